@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, fingerprint, packing, url_filter
+from . import chat_format, exact_dedup, fingerprint, ngram_join, packing, url_filter
 
 #: (verdict, host, path)
 URL_RULES = (
@@ -70,6 +70,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_classes(_table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
 
@@ -111,7 +115,7 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op4_packing, op7_url_filter, op8_fingerprints, op10_exact_dedup)
+    f.__name__: f for f in (op1_chat_formatting, op4_packing, op6_ngram_jaccard_join, op7_url_filter, op8_fingerprints, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
