@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, fingerprint, ngram_join, packing, url_filter
+from . import chat_format, exact_dedup, fingerprint, ngram_join, packing, substring_dedup, url_filter
 
 #: (verdict, host, path)
 URL_RULES = (
@@ -65,6 +65,11 @@ FROM e GROUP BY conv_id
 """
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -115,7 +120,7 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op4_packing, op6_ngram_jaccard_join, op7_url_filter, op8_fingerprints, op10_exact_dedup)
+    f.__name__: f for f in (op1_chat_formatting, op3_substring_dedup, op4_packing, op6_ngram_jaccard_join, op7_url_filter, op8_fingerprints, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
