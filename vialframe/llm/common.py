@@ -138,3 +138,47 @@ def text_chunks(batches: Iterable, column: str = "text") -> Iterator:
                 end += 1
             yield batch.slice(at, end - at), texts[at:end]
             at = end
+
+
+class PieceCache:
+    """Ids (little-endian u32 bytes) of text pieces; two generations, so at most about ``limit`` pieces are kept.
+
+    ``encode(list of new pieces) -> list of bytes`` is asked for each piece that no generation holds.
+    """
+
+    STEP = 1 << 18
+
+    def __init__(self, encode, limit: int):
+        self.encode, self.limit, self.new, self.old = encode, limit // 2, {}, {}
+
+    def _learn(self, pieces: set) -> None:
+        todo = []
+        for p in pieces:
+            if p not in self.new:
+                if p in self.old:
+                    self.new[p] = self.old[p]
+                else:
+                    todo.append(p)
+        if todo:
+            self.new.update(zip(todo, self.encode(todo), strict=True))
+
+    def ids(self, pieces: list) -> bytes:
+        known = self.new
+        try:
+            return b"".join([known[p] for p in pieces])
+        except KeyError:
+            pass
+        if len(known) > self.limit:
+            self.old, self.new = self.new, {}
+        out = []
+        for at in range(0, len(pieces), self.STEP):
+            part = pieces[at : at + self.STEP]
+            self._learn(set(part))
+            out.append(b"".join([self.new[p] for p in part]))
+        return b"".join(out)
+
+    def learn_all(self, lists: list) -> None:
+        """Learn the pieces of many texts at once, so that ``encode`` sees large batches."""
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}
+        self._learn(set().union(*lists))

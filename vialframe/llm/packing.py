@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import PieceCache, text_chunks
 
 MAX_LEN = 4096
 END_ID = 2
@@ -33,46 +33,26 @@ _PIECES = "doc_id long, start long, length long, bucket int, ids binary, doc_tok
 
 
 class WordIds:
-    """Little-endian unsigned 32-bit ids of whole texts through a bounded two-generation cache of words."""
+    """Little-endian unsigned 32-bit ids of whole texts, word by word through a bounded cache."""
 
     def __init__(self, tokenizer_path: str, limit: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
-        self.limit, self.new, self.old = limit // 2, {}, {}
+        self.cache = PieceCache(self._encode, limit)
 
-    def learn(self, words: set[bytes]) -> None:
+    def _encode(self, words: list[bytes]) -> list[bytes]:
         import numpy as np
 
-        todo = []
-        for w in words:
-            if w not in self.new:
-                if w in self.old:
-                    self.new[w] = self.old[w]
-                else:
-                    todo.append(w)
-        for at in range(0, len(todo), 4096):
-            part = todo[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for w, e in zip(part, found, strict=True):
-                self.new[w] = np.asarray(e.ids, "<u4").tobytes()
+        out = []
+        for at in range(0, len(words), 4096):
+            part = [w.decode("utf-8", "replace") for w in words[at : at + 4096]]
+            out += [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        return out
 
     def ids(self, text: bytes) -> bytes:
-        words = text.split()
-        known = self.new
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > self.limit:
-            self.old, self.new = self.new, {}
-        out = []
-        for at in range(0, len(words), 1 << 18):
-            part = words[at : at + (1 << 18)]
-            self.learn(set(part))
-            out.append(b"".join([self.new[w] for w in part]))
-        return b"".join(out)
+        return self.cache.ids(text.split())
 
 
 def cut_lengths(n: int, max_len: int = MAX_LEN) -> list[int]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, fingerprint, ngram_join, packing, substring_dedup, url_filter
+from . import chat_format, exact_dedup, fingerprint, ngram_join, packing, quality, sentencepiece_sa, substring_dedup, url_filter
 
 #: (verdict, host, path)
 URL_RULES = (
@@ -65,6 +65,18 @@ FROM e GROUP BY conv_id
 """
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_file("piece_bpe_32k.model")
+    coded = sentencepiece_sa.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
+    rows = sentencepiece_sa.decode(coded, model)
+    return rows.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_ids"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -112,6 +124,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "votes", F.round("quality_score", 6).alias("quality_score"), "accepted")
+
+
 OP10_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents
@@ -120,7 +137,7 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op3_substring_dedup, op4_packing, op6_ngram_jaccard_join, op7_url_filter, op8_fingerprints, op10_exact_dedup)
+    f.__name__: f for f in (op1_chat_formatting, op2_sentencepiece, op3_substring_dedup, op4_packing, op6_ngram_jaccard_join, op7_url_filter, op8_fingerprints, op9_quality_classifier, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
