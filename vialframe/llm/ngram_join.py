@@ -34,7 +34,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, discard, materialise, mix, shuffle_partitions, span_hash, text_chunks
@@ -265,53 +265,68 @@ def verified(pairs: DataFrame, parts: DataFrame, threshold: int = THRESHOLD) ->
     return total.where(f"100 * overlap >= {threshold} * (na + nb - overlap)")
 
 
+def _untested(now: DataFrame) -> float:
+    """Pairs of different classes that share an n-gram and whose sizes are in the same or in neighbouring bands."""
+    by_class = Window.partitionBy("gram", "root").orderBy("band")
+    by_gram = Window.partitionBy("gram").orderBy("band")
+    near = lambda what, w: F.when(F.lag("band").over(w) == F.col("band") - 1, F.lag(what).over(w)).otherwise(0)
+    per_class = now.groupBy("gram", "root", "band").agg(F.count(F.lit(1)).alias("c")).withColumn("before", near("c", by_class))
+    per_band = per_class.groupBy("gram", "band").agg(
+        F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"), F.sum(F.col("c") * F.col("before")).alias("x")
+    )
+    per_band = per_band.withColumn("before", near("m", by_gram))
+    return per_band.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2 + F.col("m") * F.col("before") - F.col("x")), F.lit(0.0))).first()[0]
+
+
 def link_sets(records: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(node, root): the classes of the links between the records' sets; records without a link are left out."""
-    parts = materialise(
-        records.select("key", F.explode(F.expr(f"transform(sequence(0, {PARTS - 1}), p -> struct(p AS part, filter(grams, g -> pmod(g, {PARTS}) = p) AS grams))")).alias("x"))
-        .select("key", "x.part", "x.grams").where("size(grams) > 0"),
-        "segments",
-    )
-    index = records.select("key", "n", "score", F.explode("prefix").alias("p")).select(F.col("p.gram").alias("gram"), "key", "n", "score", F.col("p.pos").alias("pos"))
-    index = materialise(index, "index")
-    size = index.count()
-    roots = None
+    """(node, root): the class of each record in the graph of their links."""
+    split = f"transform(sequence(0, {PARTS - 1}), p -> struct(p AS part, filter(grams, g -> pmod(g, {PARTS}) = p) AS grams))"
+    parts = records.select("key", F.explode(F.expr(split)).alias("x")).select("key", "x.part", "x.grams").where("size(grams) > 0")
+    parts = materialise(parts, "segments")
+    labels = records.select(F.col("key").alias("node"), F.col("key").alias("root"))
+    now = records.select("key", "n", "score", F.explode("prefix").alias("p"), F.col("key").alias("root")).select(
+        F.col("p.gram").alias("gram"), "key", "n", "score", F.col("p.pos").alias("pos"), "root"
+    )
+    # sizes that can link differ by the factor 100 / threshold at most: one band or two neighbours
+    band = lambda turn: F.floor(F.ln("n") / F.lit(float(np.log(100 / threshold))) + F.lit(0.5 * (turn % 2)))
+    spent: list[DataFrame] = []
     for turn in range(STAR_ROUNDS + 1):
-        now = index.withColumn("root", F.col("key")) if roots is None else (
-            index.join(roots, index["key"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "key"))
-        )
-        per_class = now.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("c"))
-        open_ = per_class.groupBy("gram").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s")).where("m * m > s")
-        left = open_.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2), F.lit(0.0))).first()[0]
-        if left == 0:
+        open_ = now.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("gram")
+        held = materialise(now.join(open_, "gram", "left_semi").withColumn("band", band(turn)), "index")
+        left, rows = _untested(held), held.count()
+        last = left <= max(FEW_PAIRS, 2 * rows) or turn == STAR_ROUNDS
+        side = lambda x: held.select("gram", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "pos", "root", "band")])  # noqa: E731, B023
+        spent.append(held)
+        if not rows:
             break
-        last = left <= max(FEW_PAIRS, size) or turn == STAR_ROUNDS
         if last:
-            side = lambda x: now.select("gram", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "pos", "root")])  # noqa: E731, B023
             pairs = side("a").join(side("b"), "gram").where("key_a < key_b and root_a <> root_b")
         else:
             # the first leader is the set with the commonest n-grams (nearest to what a group of edits came from), later ones go by hash
-            rank = F.col("score") if turn == 0 else F.xxhash64("key", F.lit(turn)).cast("double")
-            leader = now.groupBy("gram").agg(F.max(F.struct(rank.alias("r"), "key", "n", "pos", "root")).alias("l")).select(
-                "gram", F.col("l.key").alias("key_a"), F.col("l.n").alias("n_a"), F.col("l.pos").alias("pos_a"), F.col("l.root").alias("root_a")
-            )
-            pairs = now.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "pos", "root")]).join(leader, "gram").where("root_a <> root_b")
+            rank = F.col("score") if turn < 2 else F.xxhash64("key", F.lit(turn)).cast("double")
+            best = held.groupBy("gram", "band").agg(F.max(F.struct(rank.alias("r"), "key", "n", "pos", "root")).alias("l"))
+            leader = best.select("gram", F.col("band").alias("band_b"), *[F.col(f"l.{c}").alias(f"{c}_a") for c in ("key", "n", "pos", "root")])
+            pairs = side("b").join(leader, ["gram", "band_b"]).where("root_a <> root_b")
         pairs = pairs.where(_fits(threshold, "n_a", "n_b", "pos_a", "pos_b"))
-        a_first = F.col("key_a") < F.col("key_b")
-        pairs = pairs.select(
-            F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"),
-            F.when(a_first, F.col("n_a")).otherwise(F.col("n_b")).alias("na"), F.when(a_first, F.col("n_b")).otherwise(F.col("n_a")).alias("nb"),
-        ).distinct()
-        found = verified(pairs, parts, threshold).select("a", "b")
-        if roots is not None:
-            found = found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = materialise(components(found, "a", "b"), "roots")
+        swap = F.col("key_a") > F.col("key_b")
+        ordered = [F.when(swap, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(name) for c, x, y, name in (("key", "a", "b", "a"), ("key", "b", "a", "b"), ("n", "a", "b", "na"), ("n", "b", "a", "nb"))]
+        found = verified(pairs.select(*ordered).distinct(), parts, threshold)
+        # links between sets become links between their classes
+        of = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))  # noqa: E731, B023
+        classes = found.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+        merged = components(classes, "root_a", "root_b").select(F.col("node").alias("root"), F.col("root").alias("merged"))
+        following = labels.join(merged, "root", "left").select("node", F.coalesce("merged", "root").alias("root"))
+        before, labels = labels, materialise(following, "labels")
+        discard(before)
         if last:
             break
-    discard(index)
-    if roots is None:
-        roots = parts.sparkSession.createDataFrame([], "node long, root long")
-    return roots
+        now = held.drop("band", "root").join(labels.withColumnRenamed("node", "key"), "key")
+        for table in spent[:-1]:
+            discard(table)
+        spent = spent[-1:]
+    for table in (parts, *spent):
+        discard(table)
+    return labels
 
 
 def near_classes(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:

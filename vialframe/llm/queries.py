@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, fingerprint, ngram_join, packing, quality, sentencepiece_sa, substring_dedup, url_filter
+from . import chat_format, exact_dedup, fingerprint, license_scan, ngram_join, packing, quality, sentencepiece_sa, substring_dedup, url_filter
 
 #: (verdict, host, path)
 URL_RULES = (
@@ -87,6 +87,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_paragraphs", "paragraph", "family", F.round("probability", 6).alias("probability"), F.round("template_share", 6).alias("template_share"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_classes(_table(spark, sf_dir, "documents"))
 
@@ -137,7 +142,7 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_sentencepiece, op3_substring_dedup, op4_packing, op6_ngram_jaccard_join, op7_url_filter, op8_fingerprints, op9_quality_classifier, op10_exact_dedup)
+    f.__name__: f for f in (op1_chat_formatting, op2_sentencepiece, op3_substring_dedup, op4_packing, op5_license_scan, op6_ngram_jaccard_join, op7_url_filter, op8_fingerprints, op9_quality_classifier, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
