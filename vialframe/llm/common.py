@@ -152,13 +152,11 @@ class PieceCache:
         self.encode, self.limit, self.new, self.old = encode, limit // 2, {}, {}
 
     def _learn(self, pieces: set) -> None:
-        todo = []
-        for p in pieces:
-            if p not in self.new:
-                if p in self.old:
-                    self.new[p] = self.old[p]
-                else:
-                    todo.append(p)
+        missing = pieces.difference(self.new)
+        again = missing.intersection(self.old)
+        old = self.old
+        self.new.update({p: old[p] for p in again})
+        todo = list(missing.difference(again))
         if todo:
             self.new.update(zip(todo, self.encode(todo), strict=True))
 

@@ -18,8 +18,11 @@ table gives no rows.
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,32 +31,106 @@ from .common import PieceCache, text_chunks
 MAX_LEN = 4096
 END_ID = 2
 #: Words that a worker remembers; two generations of half that size.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 _PIECES = "doc_id long, start long, length long, bucket int, ids binary, doc_tokens long"
 
 
+#: What is no letter (ASCII or Latin-1) and no ASCII punctuation; the apostrophe has splitting rules of its own.
+_OTHER = re.compile(r"[^a-zA-ZÀ-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~]")
+#: Runs that are pre-tokens of their own, and the line break between words.
+_RUNS = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ\n]+|\n")
+_BREAK = b"\xff\xff\xff\xff"
+
+
 class WordIds:
-    """Little-endian unsigned 32-bit ids of whole texts, word by word through a bounded cache."""
+    """Little-endian unsigned 32-bit ids of whole texts, word by word through bounded caches.
+
+    A new word of letters and punctuation is taken apart into its runs, in lower case, which a second cache holds.
+    New runs are encoded as one text and told apart by the end-of-word mark of their last token. Other new words
+    are encoded as one text with a mark between them, those that hold the mark one by one.
+    """
+
+    MARK = "|"
 
     def __init__(self, tokenizer_path: str, limit: int = CACHE_WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
-        self.cache = PieceCache(self._encode, limit)
+        self.mark = self._encode_text(self.MARK)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.cache, self.runs = PieceCache(self._encode, limit), PieceCache(self._encode_runs, limit)
+
+    def _encode_text(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _encode_runs(self, runs: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(runs), 4096):
+            part = runs[at : at + 4096]
+            ids = self._encode_text(" ".join(part))
+            cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(cuts) == len(part):
+                raw = ids.tobytes()
+                out += [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+            else:
+                out += [self._encode_text(p).tobytes() for p in part]
+        return out
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        import numpy as np
+    def _by_runs(self, words: list[str]) -> list[bytes]:
+        runs = _RUNS.findall("\n".join(words).lower())
+        self.runs.learn_all([[r for r in runs if r != "\n"]])
+        known = self.runs.new
+        known["\n"] = _BREAK
+        raw = b"".join([known[r] for r in runs])
+        del known["\n"]
+        cuts = (4 * np.flatnonzero(np.frombuffer(raw, "<u4") == 0xFFFFFFFF)).tolist()
+        return [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)], strict=True)]
+
+    def _by_marks(self, words: list[str]) -> list[bytes]:
+        ids = self._encode_text(f" {self.MARK} ".join(words))
+        cuts = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else []
+        if len(cuts) != len(words) - 1:  # a word holds the mark
+            return [self._encode_text(w).tobytes() for w in words]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True)]
 
-        out = []
-        for at in range(0, len(words), 4096):
-            part = [w.decode("utf-8", "replace") for w in words[at : at + 4096]]
-            out += [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain, other, marked = [], [], []
+        for i, t in enumerate(texts):
+            (plain if not _OTHER.search(t) else marked if self.MARK in t else other).append(i)
+        out: list[bytes] = [b""] * len(words)
+        for i, x in zip(plain, self._by_runs([texts[i] for i in plain]) if plain else [], strict=True):
+            out[i] = x
+        for at in range(0, len(other), 4096):
+            part = other[at : at + 4096]
+            for i, x in zip(part, self._by_marks([texts[i] for i in part]), strict=True):
+                out[i] = x
+        for i in marked:
+            out[i] = self._encode_text(texts[i]).tobytes()
         return out
 
     def ids(self, text: bytes) -> bytes:
         return self.cache.ids(text.split())
 
+    def ids_of(self, texts: list[bytes]) -> list[bytes]:
+        words = [t.split() for t in texts]
+        self.cache.learn_all(words)
+        return [self.cache.ids(w) for w in words]
+
+
+_ENCODERS: dict[str, WordIds] = {}
+
+
+def word_ids(tokenizer_path: str) -> WordIds:
+    """The worker's encoder of a tokenizer: loaded once, and its cache lives on from task to task."""
+    if tokenizer_path not in _ENCODERS:
+        _ENCODERS[tokenizer_path] = WordIds(tokenizer_path)
+    return _ENCODERS[tokenizer_path]
+
 
 def cut_lengths(n: int, max_len: int = MAX_LEN) -> list[int]:
     """Full pieces first, then the binary digits of the rest, large to small."""
@@ -65,13 +142,13 @@ def _packer(tokenizer_path: str, max_len: int, end_id: int) -> Callable[[Iterabl
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        words, end = WordIds(tokenizer_path), end_id.to_bytes(4, "little")
+        words, end = word_ids(tokenizer_path), end_id.to_bytes(4, "little")
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
         names = ["doc_id", "start", "length", "bucket", "ids", "doc_tokens"]
         for batch, texts in text_chunks(batches):
             cols: list[list] = [[], [], [], [], [], []]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                ids = words.ids(text) + end
+            for doc, own in zip(batch.column("doc_id").to_pylist(), words.ids_of(texts), strict=True):
+                ids = own + end
                 n, at = len(ids) // 4, 0
                 for size in cut_lengths(n, max_len):
                     for c, v in zip(cols, (doc, at, size, size.bit_length() - 1, ids[4 * at : 4 * (at + size)], n), strict=True):
