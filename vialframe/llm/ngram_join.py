@@ -283,7 +283,7 @@ def link_sets(records: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     split = f"transform(sequence(0, {PARTS - 1}), p -> struct(p AS part, filter(grams, g -> pmod(g, {PARTS}) = p) AS grams))"
     parts = records.select("key", F.explode(F.expr(split)).alias("x")).select("key", "x.part", "x.grams").where("size(grams) > 0")
     parts = materialise(parts, "segments")
-    labels = records.select(F.col("key").alias("node"), F.col("key").alias("root"))
+    labels = materialise(records.select(F.col("key").alias("node"), F.col("key").alias("root")), "labels")
     now = records.select("key", "n", "score", F.explode("prefix").alias("p"), F.col("key").alias("root")).select(
         F.col("p.gram").alias("gram"), "key", "n", "score", F.col("p.pos").alias("pos"), "root"
     )
