@@ -77,16 +77,16 @@ def _set_keys(width: int) -> Callable[[Iterable], Iterator]:
         for batch, texts in text_chunks(batches):
             _, sizes, keys = chunk_sets(texts, width)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(keys.view(np.int64)), pa.array(sizes)], ["doc_id", "key", "n"]
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(keys.view(np.int64)), pa.array(sizes)], ["doc_id", "text_hash", "key", "n"]
             )
 
     return run
 
 
 def set_keys(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, key (digest of the n-gram set), n (its size) per row."""
+    """doc_id, text_hash (xxhash64), key (digest of the n-gram set), n (its size) per row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_set_keys(width), "doc_id long, key long, n long")
+    return rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_set_keys(width), "doc_id long, text_hash long, key long, n long")
 
 
 # ------------------------------------------------------------------ fragments
@@ -329,24 +329,28 @@ def link_sets(records: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return labels
 
 
-def near_classes(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id of its class)."""
+def _classes(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     keys = materialise(set_keys(docs, width), "sets")
     records = materialise(linkable_records(docs, width, threshold), "records")
     roots = link_sets(records, threshold)
     discard(records)
-    named = keys.join(roots, keys["key"] == roots["node"], "left").select("doc_id", "n", F.coalesce("root", "key").alias("class"))
+    named = keys.join(roots, keys["key"] == roots["node"], "left").select("doc_id", "text_hash", "n", F.coalesce("root", "key").alias("class"))
     smallest = named.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    joined = named.join(smallest, "class", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return named.join(smallest, "class", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def near_classes(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id of its class)."""
+    return _classes(docs, width, threshold).drop("text_hash")
 
 
 def keep_representatives(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each class: the one with the smallest doc_id; all columns kept.
 
-    Documents without words have no class and all stay. Rows are told apart by doc_id: those that repeat
-    a kept doc_id stay with it.
+    Documents without words have no class and all stay. Rows are told apart by doc_id and text: rows that repeat a
+    kept one stay with it, and a class of null ids only keeps all its rows.
     """
-    classes = near_classes(docs, width, threshold)
-    kept = classes.where("component_id <=> doc_id").select(F.col("doc_id").alias("_vf_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_vf_id")), "left_semi")
+    kept = _classes(docs, width, threshold).where("component_id <=> doc_id").select(F.col("doc_id").alias("_vf_id"), F.col("text_hash").alias("_vf_text")).distinct()
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col("_vf_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_vf_text"))
+    return docs.join(kept, here, "left_semi")
