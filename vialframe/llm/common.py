@@ -17,8 +17,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-#: Text bytes handled at once by a Python worker (one longer document is its own chunk).
-CHUNK_BYTES = 1 << 21
+#: Text bytes and documents handled at once by a Python worker (one longer document is its own chunk).
+CHUNK_BYTES, CHUNK_DOCS = 1 << 20, 1024
 
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
@@ -123,21 +123,50 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(_slices(values, _C, _C_INV, starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(_R))
 
 
+# ------------------------------------------------------------- worker's memory
+#: What an operator keeps in a worker from task to task, by operator.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """The operator's store in this worker; what other operators keep is let go."""
+    for other in [k for k in _KEPT if k != owner]:
+        del _KEPT[other]
+    return _KEPT.setdefault(owner, {})
+
+
+def trim() -> None:
+    """Give freed memory back to the system, and keep large arrays out of the heap (where glibc is)."""
+    try:
+        import ctypes
+
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: fixed, else it grows to 32 MB and the heap fragments
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 # ---------------------------------------------------------------- Arrow reading
-def text_chunks(batches: Iterable, column: str = "text") -> Iterator:
+def text_chunks(batches: Iterable, column: str = "text", owner: str = "") -> Iterator:
     """Slices of the record batches with about CHUNK_BYTES of text each: (slice, list of UTF-8 bytes; null: empty)."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
+    kept(owner)
+    trim()
     for batch in batches:
-        texts = [b"" if t is None else t for t in batch.column(column).cast(pa.large_binary()).to_pylist()]
+        texts = batch.column(column).cast(pa.large_binary())
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
         at = 0
-        while at < len(texts):
+        while at < len(sizes):
             end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK_BYTES):
-                size += len(texts[end])
+            while end < len(sizes) and (end == at or size + sizes[end] <= CHUNK_BYTES and end - at < CHUNK_DOCS):
+                size += sizes[end]
                 end += 1
-            yield batch.slice(at, end - at), texts[at:end]
+            yield batch.slice(at, end - at), [t or b"" for t in texts.slice(at, end - at).to_pylist()]
             at = end
+    trim()
 
 
 class PieceCache:

@@ -26,12 +26,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PieceCache, text_chunks
+from .common import PieceCache, kept, text_chunks
 
 MAX_LEN = 4096
 END_ID = 2
 #: Words that a worker remembers; two generations of half that size.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 500_000
 _PIECES = "doc_id long, start long, length long, bucket int, ids binary, doc_tokens long"
 
 
@@ -122,14 +122,12 @@ class WordIds:
         return [self.cache.ids(w) for w in words]
 
 
-_ENCODERS: dict[str, WordIds] = {}
-
-
 def word_ids(tokenizer_path: str) -> WordIds:
     """The worker's encoder of a tokenizer: loaded once, and its cache lives on from task to task."""
-    if tokenizer_path not in _ENCODERS:
-        _ENCODERS[tokenizer_path] = WordIds(tokenizer_path)
-    return _ENCODERS[tokenizer_path]
+    store = kept("packing")
+    if tokenizer_path not in store:
+        store[tokenizer_path] = WordIds(tokenizer_path)
+    return store[tokenizer_path]
 
 
 def cut_lengths(n: int, max_len: int = MAX_LEN) -> list[int]:
@@ -145,7 +143,7 @@ def _packer(tokenizer_path: str, max_len: int, end_id: int) -> Callable[[Iterabl
         words, end = word_ids(tokenizer_path), end_id.to_bytes(4, "little")
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
         names = ["doc_id", "start", "length", "bucket", "ids", "doc_tokens"]
-        for batch, texts in text_chunks(batches):
+        for batch, texts in text_chunks(batches, owner="packing"):
             cols: list[list] = [[], [], [], [], [], []]
             for doc, own in zip(batch.column("doc_id").to_pylist(), words.ids_of(texts), strict=True):
                 ids = own + end

@@ -213,14 +213,12 @@ def _scorer(weights: np.ndarray) -> Callable[[Iterable], Iterator]:
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        for batch, texts in text_chunks(batches, "_vf_text"):
+        for batch, texts in text_chunks(batches):
             votes, rows = describe(texts)
             score = 1 / (1 + np.exp(-np.clip(rows.astype("<f2").astype(np.float64) @ weights[:-1] + weights[-1], -30, 30)))
             score[~rows.any(axis=1)] = 0.0
-            keep = [i for i, n in enumerate(batch.schema.names) if n != "_vf_text"]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in keep], pa.array(pattern_of(votes), pa.int64()), pa.array(score, pa.float64())],
-                [*[batch.schema.names[i] for i in keep], "_vf_pattern", "_vf_score"],
+                [*batch.columns, pa.array(pattern_of(votes), pa.int64()), pa.array(score, pa.float64())], [*batch.schema.names, "_vf_pattern", "_vf_score"]
             )
 
     return run
@@ -231,6 +229,5 @@ def score(docs: DataFrame, weights: np.ndarray | None = None, names: tuple[str,
     weights = fit(docs) if weights is None else weights
     rest = docs.select(*[c for c in docs.columns if c not in names])
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema], "_vf_pattern long, _vf_score double"])
-    text = F.coalesce(docs["text"].cast("string"), F.lit("")).alias("_vf_text")
-    scored = docs.select(*[c for c in rest.columns], text).mapInArrow(_scorer(weights), schema)
+    scored = rest.mapInArrow(_scorer(weights), schema)
     return scored.select(*rest.columns, F.col("_vf_pattern").alias(names[0]), F.col("_vf_score").alias(names[1]), (F.col("_vf_score") >= CUT).alias(names[2]))
