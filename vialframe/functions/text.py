@@ -20,9 +20,9 @@ def blank_to_null(s: Column) -> Column:
 
 def standardize_unit(raw: Column) -> Column:
     """FN-02: drop [H], [L] and [ ] marks, trim, micro sign to u, and the common variants to one spelling."""
-    bare = F.replace(F.trim(F.regexp_replace(raw, r"\[(H|L)\]|\[\s*\]", "")), F.lit("µ"), F.lit("u"))
-    known = F.create_map(*[F.lit(x) for kv in C.UNIT_VARIANTS.items() for x in kv])
-    return F.when(bare != "", F.when(F.lower(bare) == "ul", F.lit("uL")).otherwise(F.coalesce(F.try_element_at(known, F.lower(bare)), bare)))
+    bare = F.translate(F.trim(F.regexp_replace(raw, r"\[(H|L)\]|\[\s*\]", "")), "µ", "u")
+    known = F.create_map(*[F.lit(x) for kv in [*C.UNIT_VARIANTS.items(), ("ul", "uL")] for x in kv])
+    return F.nullif(F.coalesce(F.try_element_at(known, F.lower(bare)), bare), F.lit(""))
 
 
 def tokenize(s: Column) -> Column:

@@ -23,12 +23,17 @@ def number(value: Column) -> Column:
 
 def suggest_decimal_fix(value: Column, reference_range: Column) -> Column:
     """FN-14: what the value was if a decimal point got lost and exactly one place for it is plausible, else null."""
-    n, rng = number(value), parse_range(reference_range)
-    lo, hi = rng["lo"] * C.SUGGESTION_BAND[0], rng["hi"] * C.SUGGESTION_BAND[1]
-    fits = F.filter(F.array(*[n / k for k in (10.0, 100.0, 1000.0)]), lambda x: (x >= lo) & (x <= hi))
-    text = F.regexp_replace(F.regexp_replace(F.format_string("%.4f", fits[0]), "0+$", ""), r"\.$", "")
+    return decimal_fix(value, number(value), parse_range(reference_range))
+
+
+def decimal_fix(value: Column, n: Column, rng: Column) -> Column:
+    """``suggest_decimal_fix`` on a parsed number and range."""
+    fits = {k: (n / k >= rng["lo"] * C.SUGGESTION_BAND[0]) & (n / k <= rng["hi"] * C.SUGGESTION_BAND[1]) for k in (10.0, 100.0, 1000.0)}
+    once = sum((f.cast("int") for f in fits.values()), F.lit(0)) == 1
+    fixed = F.coalesce(*[F.when(f, n / k) for k, f in fits.items()])
+    text = F.regexp_replace(F.regexp_replace(F.format_string("%.4f", fixed), "0+$", ""), r"\.$", "")
     suspect = ~F.contains(value, F.lit(".")) & (n >= rng["hi"] * C.SUSPECT_FACTOR)
-    return F.when(suspect & (F.size(fits) == 1), text)
+    return F.when(suspect & once, text)
 
 
 def flag_conflicts(flag: Column, n: Column, rng: Column) -> Column:
@@ -44,12 +49,20 @@ def flag_conflicts(flag: Column, n: Column, rng: Column) -> Column:
 
 def unit_recognized(unit: Column) -> Column:
     """FN-16: no unit, a known unit, or known/known (powers of ten count as known)."""
-    std = F.lower(F.trim(F.coalesce(standardize_unit(unit), F.lit(""))))
-    words = sorted({v.lower() for v in C.UNIT_VARIANTS.values()} | set(C.UNIT_WORDS))
-    num, den = F.substring_index(std, "/", 1), F.regexp_extract(std, "(?s)^[^/]*/(.*)$", 1)
-    power = lambda s: F.rlike(s, F.lit(C.POWER_OF_TEN_PATTERN))
-    compound = F.contains(std, F.lit("/")) & (num.isin(*C.UNIT_NUMERATORS) | power(num)) & (den.isin(*C.UNIT_DENOMINATORS) | power(den))
-    return F.when(F.coalesce(unit, F.lit("")) == "", F.lit(True)).otherwise(std.isin(*words) | compound)
+    return F.when(F.coalesce(unit, F.lit("")) == "", F.lit(True)).otherwise(known_unit(plain_unit(unit)))
+
+
+def plain_unit(unit: Column) -> Column:
+    """The standard form in lower case; null: empty."""
+    return F.lower(F.trim(F.coalesce(standardize_unit(unit), F.lit(""))))
+
+
+def known_unit(std: Column) -> Column:
+    """FN-16 on a plain unit: one pattern, so that it is matched once."""
+    quoted = lambda xs: "|".join(rf"\Q{x}\E" for x in sorted(xs))
+    words = {v.lower() for v in C.UNIT_VARIANTS.values()} | set(C.UNIT_WORDS)
+    power = r"x?10[*^]?\d+|10[²³⁰-⁹]"
+    return F.rlike(std, F.lit(rf"^(?:{quoted(words)}|(?:{quoted(C.UNIT_NUMERATORS)}|{power})/(?:{quoted(C.UNIT_DENOMINATORS)}|{power}))$"))
 
 
 def label_variants(label: Column) -> Column:
@@ -92,11 +105,15 @@ def validate_rows(rows: DataFrame) -> DataFrame:
     ocr, name = F.coalesce(F.col("ocr"), F.lit(False)), F.col("original_test_name")
     value, unit, rng_text, flag = (F.col(c) for c in ("value", "unit", "reference_range", "flag"))
     fixed = F.when(ocr, F.col("corrected_label"))
-    n, rng, hint = number(value), parse_range(rng_text), suggest_decimal_fix(value, rng_text)
+    # what several checks use is computed once per row
+    rows = rows.withColumns({"_n": number(value), "_rng": parse_range(rng_text), "_std": plain_unit(unit)})
+    rows = rows.withColumn("_bad_unit", (F.coalesce(unit, F.lit("")) != "") & ~known_unit(F.col("_std")))
+    rows = rows.withColumns({"_hint": decimal_fix(value, F.col("_n"), F.col("_rng")), "_bad_flag": flag_conflicts(flag, F.col("_n"), F.col("_rng"))})
+    n, hint = F.col("_n"), F.col("_hint")
     junk = ocr & fixed.isNull() & junk_label(name, F.col("known"))
     bare = ocr & ~junk & F.coalesce(F.rlike(F.trim(unit), F.lit(r"^[<>]?\d+\.?\d*$")), F.lit(False))
     text_value = n.isNull() & value.isNotNull() & ~F.rlike(value, F.lit(r"^[A-Za-z][A-Za-z \-]*$"))
-    bad_unit, bad_flag = ~unit_recognized(unit), flag_conflicts(flag, n, rng)
+    bad_unit, bad_flag = F.col("_bad_unit"), F.col("_bad_flag")
     show = lambda c: F.coalesce(c, F.lit("None"))
     first = F.when(fixed.isNotNull(), F.format_string("label '%s' looks like an OCR misread of '%s'; corrected", name, fixed))
     checks = F.array(
@@ -119,4 +136,4 @@ def validate_rows(rows: DataFrame) -> DataFrame:
             "confidence": F.when(junk | bare, base).otherwise(F.round(F.greatest(F.lit(C.MIN_CONFIDENCE), F.least(F.lit(1.0), base - cost)), 2)),
             "dropped": junk | bare,
         }
-    )
+    ).drop("_n", "_rng", "_std", "_bad_unit", "_hint", "_bad_flag")
