@@ -180,32 +180,31 @@ class PieceCache:
     def __init__(self, encode, limit: int):
         self.encode, self.limit, self.new, self.old = encode, limit // 2, {}, {}
 
-    def _learn(self, pieces: set) -> None:
-        missing = pieces.difference(self.new)
-        again = missing.intersection(self.old)
-        old = self.old
-        self.new.update({p: old[p] for p in again})
-        todo = list(missing.difference(again))
-        if todo:
-            self.new.update(zip(todo, self.encode(todo), strict=True))
-
-    def ids(self, pieces: list) -> bytes:
-        known = self.new
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
-        if len(known) > self.limit:
-            self.old, self.new = self.new, {}
-        out = []
-        for at in range(0, len(pieces), self.STEP):
-            part = pieces[at : at + self.STEP]
-            self._learn(set(part))
-            out.append(b"".join([self.new[p] for p in part]))
-        return b"".join(out)
-
-    def learn_all(self, lists: list) -> None:
+    def clear(self) -> None:
+        self.new, self.old = {}, {}
+
+    def learn(self, lists: list) -> None:
         """Learn the pieces of many texts at once, so that ``encode`` sees large batches."""
         if len(self.new) > self.limit:
             self.old, self.new = self.new, {}
-        self._learn(set().union(*lists))
+        new, old = self.new, self.old
+        missing = {p for pieces in lists for p in pieces if p not in new}
+        again = {p: old[p] for p in missing if p in old}
+        if again:
+            new.update(again)
+            missing.difference_update(again)
+        if missing:
+            todo = list(missing)
+            new.update(zip(todo, self.encode(todo), strict=True))
+
+    def get(self, pieces: list) -> bytes:
+        """The ids of one text; what ``learn`` has just seen is there."""
+        try:
+            return b"".join(map(self.new.__getitem__, pieces))
+        except KeyError:  # a giant text may have pushed pieces out
+            out = []
+            for at in range(0, len(pieces), self.STEP):
+                part = pieces[at : at + self.STEP]
+                self.learn([part])
+                out.append(b"".join(map(self.new.__getitem__, part)))
+            return b"".join(out)

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PieceCache, kept, text_chunks
+from .common import PieceCache, kept, text_chunks, trim
 
 MAX_LEN = 4096
 END_ID = 2
@@ -67,6 +67,9 @@ class WordIds:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _encode_runs(self, runs: list[str]) -> list[bytes]:
+        if "\n" in runs:
+            at = runs.index("\n")
+            return [*self._encode_runs(runs[:at]), _BREAK, *self._encode_runs(runs[at + 1 :])]
         out: list[bytes] = []
         for at in range(0, len(runs), 4096):
             part = runs[at : at + 4096]
@@ -81,11 +84,8 @@ class WordIds:
 
     def _by_runs(self, words: list[str]) -> list[bytes]:
         runs = _RUNS.findall("\n".join(words).lower())
-        self.runs.learn_all([[r for r in runs if r != "\n"]])
-        known = self.runs.new
-        known["\n"] = _BREAK
-        raw = b"".join([known[r] for r in runs])
-        del known["\n"]
+        self.runs.learn([runs])
+        raw = self.runs.get(runs)
         cuts = (4 * np.flatnonzero(np.frombuffer(raw, "<u4") == 0xFFFFFFFF)).tolist()
         return [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)], strict=True)]
 
@@ -114,16 +114,16 @@ class WordIds:
         return out
 
     def ids(self, text: bytes) -> bytes:
-        return self.cache.ids(text.split())
+        return self.ids_of([text])[0]
 
     def ids_of(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]
-        self.cache.learn_all(words)
-        return [self.cache.ids(w) for w in words]
+        self.cache.learn(words)
+        return [self.cache.get(w) for w in words]
 
 
 def word_ids(tokenizer_path: str) -> WordIds:
-    """The worker's encoder of a tokenizer: loaded once, and its cache lives on from task to task."""
+    """The worker's encoder of a tokenizer, loaded once; its caches last for a task, as a worker may idle for long."""
     store = kept("packing")
     if tokenizer_path not in store:
         store[tokenizer_path] = WordIds(tokenizer_path)
@@ -153,6 +153,9 @@ def _packer(tokenizer_path: str, max_len: int, end_id: int) -> Callable[[Iterabl
                         c.append(v)
                     at += size
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+        words.cache.clear()
+        words.runs.clear()
+        trim()
 
     return run
 

@@ -238,8 +238,8 @@ class Encoder:
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
         split = [_SEGMENT.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
-        self.cache.learn_all(split)
-        return [self.cache.ids(s) for s in split]
+        self.cache.learn(split)
+        return [self.cache.get(s) for s in split]
 
 
 def decode_ids(ids: bytes, table: list[bytes]) -> str:
