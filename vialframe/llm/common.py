@@ -148,8 +148,8 @@ def trim() -> None:
 
 
 # ---------------------------------------------------------------- Arrow reading
-def text_chunks(batches: Iterable, column: str = "text", owner: str = "") -> Iterator:
-    """Slices of the record batches with about CHUNK_BYTES of text each: (slice, list of UTF-8 bytes; null: empty)."""
+def text_chunks(batches: Iterable, column: str = "text", owner: str = "", size: int = CHUNK_BYTES, docs: int = CHUNK_DOCS) -> Iterator:
+    """Slices of the record batches with about ``size`` bytes of text each: (slice, list of UTF-8 bytes; null: empty)."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -160,9 +160,9 @@ def text_chunks(batches: Iterable, column: str = "text", owner: str = "") -> Ite
         sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
         at = 0
         while at < len(sizes):
-            end, size = at, 0
-            while end < len(sizes) and (end == at or size + sizes[end] <= CHUNK_BYTES and end - at < CHUNK_DOCS):
-                size += sizes[end]
+            end, held = at, 0
+            while end < len(sizes) and (end == at or held + sizes[end] <= size and end - at < docs):
+                held += sizes[end]
                 end += 1
             yield batch.slice(at, end - at), [t or b"" for t in texts.slice(at, end - at).to_pylist()]
             at = end

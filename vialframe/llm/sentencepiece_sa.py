@@ -32,7 +32,9 @@ from .common import PieceCache, text_chunks
 
 MARK = "▁"
 #: Segments that a worker remembers, characters indexed at once, and the length from which a segment is relaxed with a heap.
-CACHE_SEGMENTS, INDEX_CHARS, LONG = 300_000, 1 << 20, 96
+CACHE_SEGMENTS, INDEX_CHARS, LONG = 300_000, 1 << 19, 96
+#: Text bytes whose new segments share a suffix array.
+BATCH_BYTES = 4 << 20
 _SEGMENT = re.compile(r"\n| *[^ \n]+| +")
 
 
@@ -63,26 +65,29 @@ class Vocabulary:
         for r, (p, _, _) in enumerate(normal):
             self.codes[r, : len(p)] = [ord(c) + 1 for c in p]
         self.size = np.array([len(p) for p, _, _ in normal])
-        self.id = np.array([i for _, i, _ in normal], np.int32)
-        self.rank = np.array([order[s] for _, _, s in normal], np.int32)
+        self.id = np.array([i for _, i, _ in normal], np.int16 if n < 1 << 15 else np.int32)
+        #: Merge order of each piece; what is no normal piece, and the -1 of no piece, come never.
+        self.rank_of = np.full(n + 1, np.iinfo(np.int32).max, np.int32)
+        self.rank_of[self.id] = [order[s] for _, _, s in normal]
 
 
 def suffix_array(codes: np.ndarray, width: int) -> np.ndarray:
-    """Suffixes of ``codes`` (positive numbers; 0 ends a segment) in the order of their first ``width`` codes at least."""
-    _, rank = np.unique(codes, return_inverse=True)
-    rank = rank.astype(np.int64)
-    reach = 1
-    order = np.argsort(rank, kind="stable")
-    while reach < width:
-        ahead = np.zeros(len(rank), np.int64)
-        ahead[:-reach] = rank[reach:] + 1
-        both = rank * (len(rank) + 2) + ahead
-        order = np.argsort(both, kind="stable")
-        fresh = np.concatenate(([0], (np.diff(both[order]) != 0).astype(np.int64)))
-        rank = np.empty(len(codes), np.int64)
-        rank[order] = np.cumsum(fresh)
+    """Suffixes of ``codes`` (0 ends a segment, others are code points + 1) in the order of their first ``width`` codes at least."""
+    n = len(codes)
+    padded = np.concatenate((codes, np.zeros(2, np.int64)))
+    key = padded[:n] << 42 | padded[1 : n + 1] << 21 | padded[2 : n + 2]  # three codes of 21 bits
+    reach = 3
+    while True:
+        order = np.argsort(key, kind="stable")
+        if reach >= width:
+            return order
+        fresh = np.concatenate(([0], (np.diff(key[order]) != 0).astype(np.int64)))
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(fresh) + 1
+        ahead = np.zeros(n, np.int64)
+        ahead[: n - reach] = rank[reach:] if reach < n else 0
+        key = rank * (n + 2) + ahead
         reach *= 2
-    return order
 
 
 def _bound(codes: np.ndarray, order: np.ndarray, vocab: Vocabulary, upper: bool) -> np.ndarray:
@@ -107,21 +112,19 @@ def _bound(codes: np.ndarray, order: np.ndarray, vocab: Vocabulary, upper: bool)
         hi[open_[~right]] = mid[~right]
 
 
-def lattice(codes: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Edges by position: rank and id of the piece that covers [position, position + length), as [length][position]."""
+def lattice(codes: np.ndarray, vocab: Vocabulary) -> np.ndarray:
+    """Edges by position: id of the piece that covers [position, position + length), else -1, as [length][position]."""
     order = suffix_array(codes, vocab.width)
     low, high = _bound(codes, order, vocab, False), _bound(codes, order, vocab, True)
-    rank = np.full((vocab.width + 1, len(codes)), np.iinfo(np.int32).max, np.int32)
-    ids = np.full((vocab.width + 1, len(codes)), -1, np.int32)
+    ids = np.full((vocab.width + 1, len(codes)), -1, vocab.id.dtype)
     count = high - low
     piece = np.repeat(np.arange(len(count)), count)
     slot = np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))
-    at, size = order[slot], vocab.size[piece]
-    rank[size, at], ids[size, at] = vocab.rank[piece], vocab.id[piece]
-    return rank, ids
+    ids[vocab.size[piece], order[slot]] = vocab.id[piece]
+    return ids
 
 
-def _relax_long(rank: np.ndarray, start: int, end: int, width: int) -> list[tuple[int, int]]:
+def _relax_long(ids: np.ndarray, rank_of: np.ndarray, start: int, end: int, width: int) -> list[tuple[int, int]]:
     """One segment with a heap: (start, end) of its symbols."""
     stop = {i: i + 1 for i in range(start, end)}
     before = {i: i - 1 for i in range(start + 1, end)}
@@ -129,7 +132,7 @@ def _relax_long(rank: np.ndarray, start: int, end: int, width: int) -> list[tupl
 
     def push(i: int) -> None:
         j = stop[i]
-        if j < end and stop[j] - i <= width and (r := int(rank[stop[j] - i, i])) != none:
+        if j < end and stop[j] - i <= width and (r := int(rank_of[ids[stop[j] - i, i]])) != none:
             heapq.heappush(heap, (r, i, j, stop[j]))
 
     heap: list[tuple[int, int, int, int]] = []
@@ -153,13 +156,13 @@ def _relax_long(rank: np.ndarray, start: int, end: int, width: int) -> list[tupl
     return out
 
 
-def relax(rank: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def relax(ids: np.ndarray, rank_of: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Symbols (start, end) of all segments [starts, ends), in order."""
     none = np.iinfo(np.int32).max
     done_a, done_b = [], []
     long = ends - starts > LONG
     for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
-        found = np.array(_relax_long(rank, s, e, width)).reshape(-1, 2)
+        found = np.array(_relax_long(ids, rank_of, s, e, width)).reshape(-1, 2)
         done_a.append(found[:, 0])
         done_b.append(found[:, 1])
     starts, ends = starts[~long], ends[~long]
@@ -171,7 +174,7 @@ def relax(rank: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) ->
         span[:-1] = b[1:] - a[:-1]
         score = np.full(len(a), none, np.int64)
         ok = np.flatnonzero((span <= width) & np.concatenate((seg[1:] == seg[:-1], [False])))
-        score[ok] = rank[span[ok], a[ok]]
+        score[ok] = rank_of[ids[span[ok], a[ok]]]
         key = score << 32 | np.arange(len(a))
         head = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
         best = np.minimum.reduceat(key, head)
@@ -213,8 +216,8 @@ class Encoder:
         codes = np.where(codes == 0, 0, codes + 1)
         ends = np.flatnonzero(codes == 0)
         starts = np.concatenate(([0], ends[:-1] + 1))
-        rank, ids = lattice(codes, self.vocab)
-        a, b = relax(rank, starts, ends, self.vocab.width)
+        ids = lattice(codes, self.vocab)
+        a, b = relax(ids, self.vocab.rank_of, starts, ends, self.vocab.width)
         size = b - a
         found = np.where(size <= self.vocab.width, ids[np.minimum(size, self.vocab.width), a], -1)
         cut = np.searchsorted(a, starts)
@@ -258,7 +261,7 @@ def _mapper(model_file: str, decode: bool) -> Callable[[Iterable], Iterator]:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, "_vf_out"])
             return
         encoder = Encoder(model_file)
-        for batch, texts in text_chunks(batches, "_vf_text"):
+        for batch, texts in text_chunks(batches, "_vf_text", size=BATCH_BYTES, docs=8192):
             found = encoder.ids_of([t.decode("utf-8", "replace") for t in texts])
             keep = [i for i, n in enumerate(batch.schema.names) if n != "_vf_text"]
             yield pa.RecordBatch.from_arrays(
