@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import string
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -60,6 +61,10 @@ class Vocabulary:
         self.width = max(len(p) for p, _, _ in normal)
         if any(MARK in p.lstrip(MARK) or "\n" in p for p, _, _ in normal):
             raise ValueError("pieces that span words need another segmentation")
+        # punctuation that follows a letter or digit in no piece: no merge can cross such a place
+        led = {b for p, _, _ in normal for a, b in zip(p[:-1], p[1:], strict=True) if a.isalnum()}
+        closed = "".join(re.escape(c) for c in string.punctuation if c not in led and c != "_")
+        self.cut = re.compile(rf"(?<=[^\W_])(?=[{closed}])") if closed else None
         order = {s: r for r, s in enumerate(sorted({s for _, _, s in normal}, reverse=True))}
         self.codes = np.zeros((len(normal), self.width), np.int64)
         for r, (p, _, _) in enumerate(normal):
@@ -71,14 +76,17 @@ class Vocabulary:
         self.rank_of[self.id] = [order[s] for _, _, s in normal]
 
 
+def first_three(codes: np.ndarray) -> np.ndarray:
+    """The next three codes at each position in one number of 63 bits."""
+    padded = np.concatenate((codes, np.zeros(2, np.int64)))
+    return padded[:-2] << 42 | padded[1:-1] << 21 | padded[2:]
+
+
 def suffix_array(codes: np.ndarray, width: int) -> np.ndarray:
     """Suffixes of ``codes`` (0 ends a segment, others are code points + 1) in the order of their first ``width`` codes at least."""
-    n = len(codes)
-    padded = np.concatenate((codes, np.zeros(2, np.int64)))
-    key = padded[:n] << 42 | padded[1 : n + 1] << 21 | padded[2 : n + 2]  # three codes of 21 bits
-    reach = 3
+    n, key, reach = len(codes), first_three(codes), 3
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys are equal prefixes: any order will do
         if reach >= width:
             return order
         fresh = np.concatenate(([0], (np.diff(key[order]) != 0).astype(np.int64)))
@@ -90,18 +98,18 @@ def suffix_array(codes: np.ndarray, width: int) -> np.ndarray:
         reach *= 2
 
 
-def _bound(codes: np.ndarray, order: np.ndarray, vocab: Vocabulary, upper: bool) -> np.ndarray:
-    """For each piece the first suffix not before it (upper: the first that neither starts with it)."""
-    lo, hi = np.zeros(len(vocab.size), np.int64), np.full(len(vocab.size), len(order), np.int64)
+def _bound(codes: np.ndarray, order: np.ndarray, vocab: Vocabulary, lo: np.ndarray, hi: np.ndarray, upper: bool) -> np.ndarray:
+    """Binary search for the long pieces inside [lo, hi): the first suffix not before the piece (upper: that no longer starts with it)."""
+    lo, hi = lo.copy(), hi.copy()
     while True:
-        open_ = np.flatnonzero(lo < hi)
+        open_ = np.flatnonzero((lo < hi) & (vocab.size > 3))
         if not len(open_):
             return lo
         mid = (lo[open_] + hi[open_]) // 2
         at = order[mid]
-        state = np.zeros(len(open_), np.int8)  # sign of suffix - piece, on the piece's length
+        state = np.zeros(len(open_), np.int8)  # sign of suffix - piece, on the piece's length; the first three are equal
         undecided = np.arange(len(open_))
-        for k in range(vocab.width):
+        for k in range(3, vocab.width):
             undecided = undecided[(state[undecided] == 0) & (vocab.size[open_[undecided]] > k)]
             if not len(undecided):
                 break
@@ -112,10 +120,21 @@ def _bound(codes: np.ndarray, order: np.ndarray, vocab: Vocabulary, upper: bool)
         hi[open_[~right]] = mid[~right]
 
 
+def occurrences(codes: np.ndarray, order: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The range of suffixes that start with each piece: by the first three codes at once, then by the rest."""
+    keys = first_three(codes)[order]
+    c0, c1, c2 = vocab.codes[:, 0], vocab.codes[:, 1], vocab.codes[:, 2]
+    last = np.where(vocab.size == 1, 1 << 42, np.where(vocab.size == 2, 1 << 21, 1))
+    own = c0 << 42 | c1 << 21 | c2
+    low, high = np.searchsorted(keys, own), np.searchsorted(keys, own + last)
+    long_low, long_high = _bound(codes, order, vocab, low, high, False), _bound(codes, order, vocab, low, high, True)
+    return np.where(vocab.size > 3, long_low, low), np.where(vocab.size > 3, long_high, high)
+
+
 def lattice(codes: np.ndarray, vocab: Vocabulary) -> np.ndarray:
     """Edges by position: id of the piece that covers [position, position + length), else -1, as [length][position]."""
     order = suffix_array(codes, vocab.width)
-    low, high = _bound(codes, order, vocab, False), _bound(codes, order, vocab, True)
+    low, high = occurrences(codes, order, vocab)
     ids = np.full((vocab.width + 1, len(codes)), -1, vocab.id.dtype)
     count = high - low
     piece = np.repeat(np.arange(len(count)), count)
@@ -187,7 +206,7 @@ def relax(ids: np.ndarray, rank_of: np.ndarray, starts: np.ndarray, ends: np.nda
         live[merge + 1] = False
         a, b, seg = a[live], b[live], seg[live]
     a, b = np.concatenate(done_a or [np.zeros(0, np.int64)]), np.concatenate(done_b or [np.zeros(0, np.int64)])
-    order = np.argsort(a, kind="stable")
+    order = np.argsort(a)
     return a[order].astype(np.int64), b[order].astype(np.int64)
 
 
@@ -196,7 +215,15 @@ class Encoder:
 
     def __init__(self, model_file: str, limit: int = CACHE_SEGMENTS):
         self.vocab = Vocabulary(model_file)
-        self.cache = PieceCache(self._encode, limit)
+        self.cache, self.parts = PieceCache(self._encode_segments, limit), PieceCache(self._encode, limit)
+
+    def _encode_segments(self, segments: list[str]) -> list[bytes]:
+        """New segments by their parts: they are cut where the vocabulary lets no piece lie across."""
+        if self.vocab.cut is None:
+            return self._encode(segments)
+        split = [self.vocab.cut.split(s) for s in segments]
+        self.parts.learn(split)
+        return [self.parts.get(s) for s in split]
 
     def _encode(self, segments: list[str]) -> list[bytes]:
         out: list[bytes] = []
