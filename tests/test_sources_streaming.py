@@ -94,3 +94,27 @@ def test_conform(spark):
 
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("notes", T.StringType())])
     assert tables.conform(spark.range(2).withColumn("x", F.lit(1)), schema).columns == ["id", "notes"]
+
+
+def test_page_images(spark):
+    import numpy as np
+
+    from vialframe.sources import images
+
+    page = np.full((700, 1100), 255, np.uint8)
+    rng = np.random.default_rng(1)
+    for y in range(60, 640, 30):
+        for x in range(80, 1000, 14):
+            if rng.random() < 0.8:
+                page[y : y + 11, x : x + 9] = rng.integers(0, 60, (11, 9))
+    for tilt in (0.0, 4.0, -7.0):
+        assert abs(images.skew(images.turn(page, tilt)) - tilt) <= 0.4
+    dim = (page * np.linspace(0.5, 1.0, 1100)[None, :]).astype(np.uint8)
+    assert images.flatten_light(dim)[5, :].min() > 240 and images.contrast(dim) < images.contrast(page)
+    noisy = np.clip(page + rng.normal(0, 12, page.shape), 0, 255).astype(np.uint8)
+    assert images.noise(noisy) > images.noise(page)
+    assert images.quarter_turn(page, 90).shape == (1100, 700) and (images.quarter_turn(images.quarter_turn(page, 90), 270) == page).all()
+    rows = [("a", 1, images.encode(images.turn(page, 3.0))), ("b", 1, b"broken")]
+    out = {r.doc_id: r for r in images.clean_pages(spark.createDataFrame(rows, "doc_id string, page int, image binary")).collect()}
+    assert out["b"].problem and any(s.startswith("deskew +3") or s.startswith("deskew +2.9") for s in out["a"].steps)
+    assert abs(images.skew(images.decode(bytes(out["a"].image)))) <= 0.4

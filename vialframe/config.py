@@ -131,3 +131,13 @@ ALIAS_OVERRIDES: dict[str, tuple[str, ...]] = {
     "2500-7": ("TIBC",),
     "2345-7": ("Sugar (Fasting)", "Fasting Blood Sugar", "Blood Sugar", "Fasting Glucose"),
 }
+
+# ---- page images
+MAX_SKEW_DEG, MIN_SKEW_DEG = 15.0, 0.3
+MAX_IMAGE_PIXELS, MIN_IMAGE_WIDTH = 9_000_000, 1000
+NOISE_LIMIT, SHARPNESS_LIMIT, CONTRAST_LIMIT = 0.8, 250.0, 150.0
+ORIENTATION_CONFIDENCE = 1.5
+#: Input limits of a row that a person adds or edits: column, most characters.
+INPUT_LIMITS = {
+    "original_test_name": 512, "value": 512, "unit": 128, "reference_range": 4000, "specimen": 256, "method": 512, "timing": 256, "flag": 64,
+}

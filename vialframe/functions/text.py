@@ -136,3 +136,34 @@ def like_any(q: str, *cols: Column) -> Column:
     for c in cols:
         hit = hit | F.coalesce(c.ilike(f"%{q}%"), F.lit(False))
     return hit
+
+
+def file_kind(content_type: Column, filename: Column) -> Column:
+    """FLT-18: what kind of file a list shows."""
+    ct, name = F.lower(F.coalesce(content_type, F.lit(""))), F.lower(F.coalesce(filename, F.lit("")))
+    return (
+        F.when((ct == C.CONTENT_TYPES[".pdf"]) | name.endswith(".pdf"), "pdf")
+        .when(ct.startswith("image/") | F.rlike(name, F.lit(r"\.(png|jpe?g)$")), "image")
+        .when((ct == C.CONTENT_TYPES[".docx"]) | name.endswith(".docx"), "docx")
+        .when(ct.startswith("text/") | name.endswith(".txt"), "text")
+        .otherwise("other")
+    )
+
+
+def status_label(status: Column, cancel_requested: Column) -> Column:
+    """FLT-18: the label of a document's state."""
+    return (
+        F.when(cancel_requested & (status == "processing"), "Cancelling")
+        .when(status == "pending", "Queued")
+        .when(status.isin("processing", "complete", "failed", "cancelled"), F.initcap(status))
+        .otherwise(status)
+    )
+
+
+def input_problem(created: bool = True) -> Column:
+    """FN-21: why a row that a person adds (or edits) is refused, over its columns; null if it is fine."""
+    name = F.col("original_test_name")
+    blank = (F.trim(name) == "") | (name.isNull() if created else F.lit(False))
+    checks = [F.when(F.length(c) > n, F.lit(f"{c} is longer than {n} characters")) for c, n in C.INPUT_LIMITS.items()]
+    page = [F.when(F.col("page_number") < 1, F.lit("page_number must be 1 or more"))] if created else []
+    return F.coalesce(F.when(blank, F.lit("original_test_name must not be blank")), *checks, *page)

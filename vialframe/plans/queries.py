@@ -834,3 +834,75 @@ def heartbeat_windows(spark: SparkSession, d: str) -> DataFrame:
 
     rows = heartbeats(A.feed(spark, d).withColumn("ts", F.col("ts").cast("timestamp")))
     return rows.select("document_id", F.col("window.start").cast("timestamp_ntz").alias("start"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "n")
+
+
+# ------------------------------------------------------------- small function fixtures
+@query(f"WITH {A.QUEUE_SQL} SELECT document_id, CASE WHEN ends_with(lower(filename), '.pdf') THEN 'pdf' WHEN content_type LIKE 'text/%' OR ends_with(lower(filename), '.txt') THEN 'text' ELSE 'other' END AS kind, "
+       "CASE WHEN cancel_requested AND status = 'processing' THEN 'Cancelling' WHEN status = 'pending' THEN 'Queued' ELSE upper(left(status, 1)) || substr(status, 2) END AS label FROM queue")
+def list_labels(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-18."""
+    return A.queue(spark, d).select("document_id", X.file_kind(F.col("content_type"), F.col("filename")).alias("kind"), X.status_label(F.col("status"), F.col("cancel_requested")).alias("label"))
+
+
+@query(f"WITH {A.OBSERVATIONS_SQL} SELECT observation_id, mapping_status <> 'confirmed' AS review, flag = 'High' IS TRUE OR (document_id % 2 = 0 AND page_number <> 3) AS flagged, page_number = 3 AS edited FROM observations WHERE contains(lower(original_test_name), 'red') OR contains(value, '7')")
+def row_filters(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-09."""
+    rows = A.observations(spark, d).where(F.contains(F.lower("original_test_name"), F.lit("red")) | F.contains("value", F.lit("7")))
+    rows = rows.withColumns(
+        {
+            "validation_notes": F.when(F.col("flag") == "High", F.array(F.lit("x"))), "extraction_source": F.when(F.col("document_id") % 2 == 0, "fallback").otherwise("llm"), "is_edited": F.col("page_number") == 3,
+        }
+    )
+    return quality.row_flags(rows).select("observation_id", "review", "flagged", "edited")
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN 'original_test_name must not be blank' WHEN p_partkey % 4 = 1 THEN 'unit is longer than 128 characters' WHEN p_partkey % 4 = 2 THEN 'page_number must be 1 or more' END AS problem FROM part")
+def input_checks(spark: SparkSession, d: str) -> DataFrame:
+    """FN-21."""
+    p, k = table(spark, d, "part"), F.col("p_partkey") % 4
+    none = F.lit(None).cast("string")
+    rows = p.select(
+        F.col("p_partkey").alias("id"), F.when(k == 0, "  ").otherwise(F.col("p_name")).alias("original_test_name"), F.when(k == 1, F.repeat(F.lit("u"), 129)).alias("unit"), F.when(k == 2, 0).otherwise(1).alias("page_number"),
+        *[none.alias(c) for c in ("value", "reference_range", "specimen", "method", "timing", "flag")],
+    )
+    return rows.select("id", X.input_problem().alias("problem"))
+
+
+@query("SELECT * FROM (VALUES (1, 'ValueError: bad', '{\"a\": 1}', true, true), (2, 'E: ', NULL, false, false), (3, NULL, '{\"b\": {}}', false, true)) v(id, error, json, request_ok, transient)")
+def message_functions(spark: SparkSession, d: str) -> DataFrame:
+    """FN-26, FN-27, FN-40, FLT-19."""
+    rows = [(1, "ValueError", "bad", "```json\n{\"a\": 1}\n```", "abc-DEF_1", 429), (2, "E", None, "no object", "short", 404), (3, None, "x", "Sure: {\"b\": {}} done", "has space!", 503)]
+    df = spark.createDataFrame(rows, "id int, kind string, message string, said string, request string, status int")
+    return df.select("id", X.describe_error(F.col("kind"), F.col("message")).alias("error"), X.lenient_json(F.col("said")).alias("json"), X.is_request_id(F.col("request")).alias("request_ok"), X.is_transient(F.col("status")).alias("transient"))
+
+
+@query("SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'postgresql://h/' ELSE 'sqlite:///' END || n_name AS url, n_name FROM nation")
+def database_urls(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-24."""
+    n = table(spark, d, "nation")
+    url = F.concat(F.when(F.col("n_nationkey") % 2 == 0, "postgres://h/").otherwise("sqlite:///"), "n_name")
+    return n.select(X.normalize_database_url(url).alias("url"), "n_name")
+
+
+@query("SELECT count(*) AS n, max(c) <= 25 AS fits FROM (SELECT 25 AS c, p_partkey FROM part)")
+def verify_batches(spark: SparkSession, d: str) -> DataFrame:
+    """FN-39: every row is in one batch and no batch has more than 25."""
+    rows = mapping.verify_batches(table(spark, d, "part").select(F.col("p_partkey").alias("observation_id")))
+    sizes = rows.groupBy("part", "batch").agg(F.count(F.lit(1)).alias("c"))
+    return sizes.agg(F.sum("c").alias("n"), (F.max("c") <= 25).alias("fits"))
+
+
+@query(f"WITH {A.CATALOG_SQL} SELECT loinc_num, long_common_name, component, system FROM catalog WHERE loinc_num = '7-7'")
+def code_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-07, JOIN-02."""
+    return A.catalog(spark, d).where("loinc_num = '7-7'").select("loinc_num", "long_common_name", "component", "system")
+
+
+@query("SELECT p_partkey AS ord, p_size > 25 AS kept FROM part WHERE p_size > 25 AND p_brand <> 'Brand#1'")
+def active_codes(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-13: the ETL filter on a table shaped like the distribution's."""
+    p = table(spark, d, "part").select(
+        F.col("p_partkey").alias("ord"), F.when(F.col("p_size") > 25, "1").otherwise("2").alias("CLASSTYPE"), F.when(F.col("p_brand") != "Brand#1", "ACTIVE").otherwise("DEPRECATED").alias("STATUS"),
+        F.col("p_name").alias("RELATEDNAMES2"), F.lit("5").alias("COMMON_TEST_RANK"),
+    )
+    return terminology.active_lab_codes(p, core_only=True).select("ord", (F.col("CLASSTYPE") == "1").alias("kept"))
