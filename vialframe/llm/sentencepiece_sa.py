@@ -29,13 +29,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PieceCache, text_chunks
+from .common import PieceCache, text_chunks, trim
 
 MARK = "▁"
 #: Segments that a worker remembers, characters indexed at once, and the length from which a segment is relaxed with a heap.
-CACHE_SEGMENTS, INDEX_CHARS, LONG = 300_000, 1 << 19, 96
+CACHE_SEGMENTS, INDEX_CHARS, LONG = 240_000, 1 << 18, 96
 #: Text bytes whose new segments share a suffix array.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 _SEGMENT = re.compile(r"\n| *[^ \n]+| +")
 
 
@@ -294,6 +294,8 @@ def _mapper(model_file: str, decode: bool) -> Callable[[Iterable], Iterator]:
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i) for i in keep], pa.array(found, pa.binary())], [*[batch.schema.names[i] for i in keep], "_vf_out"]
             )
+        del encoder
+        trim()
 
     return run
 
