@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean
+from ..session import ship
 
 
 def score_gold(gold: DataFrame, observations: DataFrame) -> DataFrame:
@@ -41,6 +42,7 @@ def agreement(base: DataFrame, new: DataFrame) -> DataFrame:
     """
     import pandas as pd
 
+    ship(base.sparkSession)
     form = lambda df, p: df.select("file", "page", clean(F.col("value")).alias("v"), F.col("row_idx").alias(f"{p}_idx"), clean(F.col("name")).alias(f"{p}_name"), F.col("loinc").alias(f"{p}_code"))
     pairs = form(base, "base").join(form(new, "new"), ["file", "page", "v"]).where("contains(base_name, new_name) OR contains(new_name, base_name)")
 

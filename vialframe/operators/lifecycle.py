@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..session import ship
 
 TERMINAL = ("complete", "failed", "cancelled")
 
@@ -101,6 +102,8 @@ def limiter(hits: DataFrame, limit: int, window_s: float) -> DataFrame:
     """
     import pandas as pd
 
+    ship(hits.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from collections import deque
 

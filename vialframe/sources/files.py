@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from ..functions.text import page_source, resolve_content_type
 
 PAGES = "doc_id string, content_type string, page int, text string, image binary, problem string"
@@ -80,6 +81,7 @@ def load_pages(files: DataFrame) -> DataFrame:
     """
     import pandas as pd
 
+    ship(files.sparkSession)
     routed = files.withColumn("source", page_source(F.col("content_type")))
     none = lambda kind: F.lit(None).cast(kind)
     text = routed.where("source = 'text'").select(

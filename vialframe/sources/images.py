@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .. import config as C
+from ..session import ship
 
 CLEANED = "doc_id string, page int, width int, height int, noise double, contrast double, sharpness double, skew double, rotation int, steps array<string>, image binary, problem string"
 
@@ -205,6 +206,8 @@ def clean_pages(pages: DataFrame, orientation: Callable[[np.ndarray], int | None
     """Pages (doc_id, page, image) with their cleaned image as PGM; a page that can't be read has its problem instead."""
     import pandas as pd
 
+    ship(pages.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import config as C
+from ..session import ship
 
 
 def heartbeats(feed: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
@@ -20,6 +21,7 @@ def limiter_stream(hits: DataFrame, limit: int, window_s: float) -> DataFrame:
     """STR-07: the admission limiter over a stream of (client, ts, seq). State: the admitted times of the window."""
     import pandas as pd
 
+    ship(hits.sparkSession)
     kind = hits.schema["client"].dataType.simpleString()
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -46,6 +48,8 @@ def stuck_stream(feed: DataFrame, after_s: int = C.STUCK_SECONDS) -> DataFrame:
     """STR-03: documents whose feed (document_id, ts) was silent for ``after_s`` seconds of event time."""
     import pandas as pd
 
+    ship(feed.sparkSession)
+
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             last = state.get[0]
