@@ -26,6 +26,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import shuffle_partitions
 
 #: Runs that meet in one partition in a round.
@@ -77,6 +78,7 @@ def _radices(partitions: int, fan_in: int) -> list[int]:
 
 def digest_groups(rows: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """Merge (digest, sha, n_bytes, keep_id, n) rows to one row per distinct text, by the tree of runs."""
+    ship(rows.sparkSession)
     radices = _radices(shuffle_partitions(rows.sparkSession), fan_in)
     total = 1
     for r in radices:

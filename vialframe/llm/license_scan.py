@@ -23,6 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import Words, mix, text_chunks
 
 DIM, CUT, CONFIRM = 1 << 15, 0.5, 0.6
@@ -220,6 +221,7 @@ def _paragraphs(batches: Iterable) -> Iterator:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Train on the templates and a bounded sample of the corpus's paragraphs."""
+    ship(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     total = rows.count()
     limit = int(min(1.0, sample / 8 / max(total, 1)) * (1 << 30))
@@ -231,6 +233,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 def scan(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     """One row per confirmed paragraph (or one with nulls for a document without): doc_id, n_paragraphs,
     paragraph (its number), family, probability, template_share, text."""
+    ship(docs.sparkSession)
     weights = fit(docs) if weights is None else weights
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_scan(weights), "doc_id long, n_paragraphs long, paragraph long, family string, probability double, template_share double, text string")

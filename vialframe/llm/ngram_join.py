@@ -37,6 +37,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import Words, discard, materialise, mix, shuffle_partitions, span_hash, text_chunks
 from .graph import components
 
@@ -85,6 +86,7 @@ def _set_keys(width: int) -> Callable[[Iterable], Iterator]:
 
 def set_keys(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, text_hash (xxhash64), key (digest of the n-gram set), n (its size) per row."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_set_keys(width), "doc_id long, text_hash long, key long, n long")
 
@@ -238,6 +240,7 @@ def _records(threshold: int) -> Callable[[Iterable], Iterator]:
 
 def linkable_records(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """key, n, prefix array<struct<gram,pos>>, grams array<long>, score: the distinct sets that may have a link."""
+    ship(docs.sparkSession)
     parts = shuffle_partitions(docs.sparkSession)
     packed = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(
         _segments(width, parts), "fragment int, keys binary, sizes binary, counts binary, low binary, high binary"

@@ -26,6 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import PieceCache, kept, text_chunks, trim
 
 MAX_LEN = 4096
@@ -168,6 +169,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, end_id: i
     """
     if max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
+    ship(docs.sparkSession)
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         _packer(tokenizer_path, max_len, end_id), _PIECES
     )

@@ -25,9 +25,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import Words, mix, text_chunks
 
-DIM, SAMPLE, CUT = 1024, 4096, 0.5
+DIM, SAMPLE = 1024, 4096
+#: A score below this rejects. The classes weigh the same in training, so 0.5 would reject too eagerly where most is good.
+CUT = 0.3
 #: Frequent function words of the four languages.
 STOPWORDS = (
     "the of and to in a is that it for was on are as with be by this have from or an not at but "
@@ -191,6 +194,7 @@ def train_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 400, l2: float = 1e
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights of the scorer: pattern counts over all documents, training on a bounded sample."""
+    ship(docs.sparkSession)
     text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     counted = text.mapInArrow(_votes, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     total = sum(r["n"] for r in counted)
@@ -226,6 +230,7 @@ def _scorer(weights: np.ndarray) -> Callable[[Iterable], Iterator]:
 
 def score(docs: DataFrame, weights: np.ndarray | None = None, names: tuple[str, str, str] = ("votes", "quality_score", "accepted")) -> DataFrame:
     """``docs`` with the vote pattern, the score in 0..1 and whether it is accepted (columns of these names are replaced)."""
+    ship(docs.sparkSession)
     weights = fit(docs) if weights is None else weights
     rest = docs.select(*[c for c in docs.columns if c not in names])
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema], "_vf_pattern long, _vf_score double"])

@@ -29,6 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import PieceCache, text_chunks, trim
 
 MARK = "▁"
@@ -306,6 +307,7 @@ def _schema(df: DataFrame, more: str) -> str:
 
 def encode(docs: DataFrame, model_file: str, out: str = "ids") -> DataFrame:
     """``docs`` with the ids of ``text`` as little-endian u32 binary in column ``out`` (replaced if there)."""
+    ship(docs.sparkSession)
     rest = docs.select(*[c for c in docs.columns if c != out])
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_vf_text")
     done = rest.select("*", text).mapInArrow(_mapper(model_file, False), _schema(rest, "_vf_out binary"))
@@ -314,5 +316,6 @@ def encode(docs: DataFrame, model_file: str, out: str = "ids") -> DataFrame:
 
 def decode(rows: DataFrame, model_file: str, out: str = "decoded") -> DataFrame:
     """``rows`` with the text of their ``ids`` in column ``out`` (replaced if there)."""
+    ship(rows.sparkSession)
     rest = rows.select(*[c for c in rows.columns if c != out])
     return rest.mapInArrow(_mapper(model_file, True), _schema(rest, "_vf_out string")).withColumnRenamed("_vf_out", out)

@@ -34,6 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import Words, mix, shuffle_partitions, text_chunks
 
 WINDOW = 35
@@ -248,6 +249,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """key (xxhash64 of the text), spans (binary: little-endian u32 first word, end word pairs) of what repeats."""
     if window < 2 * MARGIN + 2 * 2**ROUNDS - 1:
         raise ValueError("the window is too short for an anchor to be sure")
+    ship(docs.sparkSession)
     parts = shuffle_partitions(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     packed = docs.select(text.alias("text")).select("text", F.xxhash64("text").alias("key")).mapInArrow(_emit(window, parts), _PACKED)
