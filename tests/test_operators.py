@@ -178,3 +178,38 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id string, page int, line_idx int, text string, x0 double, y0 double, x1 double, y1 double, max_font double, spans array<string>, source string")
     assert layout.reading_order(empty).count() == 0
     assert parse.parse_pages(layout.reading_order(empty)).count() == 0
+
+
+def test_report_from_pages_to_observations(spark):
+    from vialframe.operators import reports
+
+    cat = spark.createDataFrame(CODES, SHAPE)
+    texts = spark.createDataFrame([("t", 1, "Specimen: Serum\nHgb      715     gm/dl    11 - 16\nIron 70 ug/dL 50-170\nPage 1 of 2")], "doc_id string, page int, text string")
+    lines = [("d", 1, 0, "Ferritin value", 0.1, 0.1, 0.3, 0.12, 10.0, ["Ferritin value"], "digital"), ("d", 1, 1, "12 ug/dL", 0.5, 0.1, 0.6, 0.12, 10.0, ["12", "ug/dL"], "digital"), ("s", 1, 0, "x", 0.1, 0.1, 0.2, 0.12, 10.0, ["x  1"], "digital")]
+    shape = "doc_id string, page int, line_idx int, text string, x0 double, y0 double, x1 double, y1 double, max_font double, spans array<string>, source string"
+    ocr = spark.createDataFrame([("o", 1, 0, "A1C 6 %", 0.1, 0.1, 0.3, 0.12, 0.0, ["A1C", "6", "%"], "ocr", 0.5), ("o", 1, 1, "eee Ol 5 %", 0.1, 0.2, 0.3, 0.22, 0.0, ["eee Ol", "5", "%"], "ocr", 0.5)], shape + ", confidence double")
+    tests = reports.extract(texts, spark.createDataFrame(lines, shape), ocr)
+    got = {(r.document_id, r.original_test_name): r for r in reports.observations(tests, cat).collect()}
+    assert set(got) == {("t", "Hgb"), ("t", "Iron"), ("d", "Ferritin value"), ("o", "A1C")}
+    hgb = got["t", "Hgb"]
+    assert (hgb.loinc_code, hgb.unit, hgb.suggested_value, hgb.specimen, hgb.extraction_confidence) == ("718-7", "g/dL", "7.15", "Serum", 0.4)
+    assert got["o", "A1C"].extraction_confidence == 0.5 and got["o", "A1C"].loinc_code == "4548-4"
+
+
+def test_retry():
+    from vialframe.sources.external import with_retry
+
+    calls, waits = [], []
+
+    def call():
+        calls.append(1)
+        if len(calls) < 3:
+            raise TimeoutError
+        return "ok"
+
+    assert with_retry(call, lambda e: isinstance(e, TimeoutError), sleep=waits.append) == "ok" and waits == [2.0, 4.0]
+    calls.clear()
+    try:
+        with_retry(call, lambda e: False, sleep=waits.append)
+    except TimeoutError:
+        assert len(calls) == 1
