@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import shuffle_partitions
+from .common import lean, shuffle_partitions
 
 #: Runs that meet in one partition in a round.
 FAN_IN = 16
@@ -89,7 +89,7 @@ def digest_groups(rows: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     runs = (
         rows.select(home.alias("home"), "digest", "sha", "n_bytes", "keep_id", "n")
         .sortWithinPartitions(*order)
-        .mapInArrow(_collapse, _RUN)
+        .mapInArrow(lean(_collapse), _RUN)
         .withColumn("at", F.spark_partition_id() % F.lit(total))
     )
     weight = total
@@ -102,7 +102,7 @@ def digest_groups(rows: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
             .repartitionById(total, "to")
             .drop("at", "to")
             .sortWithinPartitions(*order)
-            .mapInArrow(_collapse, _RUN)
+            .mapInArrow(lean(_collapse), _RUN)
             .withColumn("at", F.spark_partition_id())
         )
     return runs.drop("at", "home")

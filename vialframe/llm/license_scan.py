@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import Words, mix, text_chunks
+from .common import Words, lean, mix, text_chunks
 
 DIM, CUT, CONFIRM = 1 << 15, 0.5, 0.6
 #: Paragraphs of the corpus that serve as unknown in training, at most; examples made per template.
@@ -226,7 +226,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     total = rows.count()
     limit = int(min(1.0, sample / 8 / max(total, 1)) * (1 << 30))
     drawn = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < limit).select("text")
-    plain = sorted(r["p"].encode() for r in drawn.mapInArrow(_paragraphs, "p string").limit(sample).collect())
+    plain = sorted(r["p"].encode() for r in drawn.mapInArrow(lean(_paragraphs), "p string").limit(sample).collect())
     return train(plain)
 
 
@@ -236,4 +236,4 @@ def scan(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     ship(docs.sparkSession)
     weights = fit(docs) if weights is None else weights
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scan(weights), "doc_id long, n_paragraphs long, paragraph long, family string, probability double, template_share double, text string")
+    return rows.mapInArrow(lean(_scan(weights)), "doc_id long, n_paragraphs long, paragraph long, family string, probability double, template_share double, text string")

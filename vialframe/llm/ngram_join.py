@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import Words, discard, materialise, mix, shuffle_partitions, span_hash, text_chunks
+from .common import Words, discard, lean, materialise, mix, shuffle_partitions, span_hash, text_chunks
 from .graph import components
 
 WIDTH = 5
@@ -88,7 +88,7 @@ def set_keys(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, text_hash (xxhash64), key (digest of the n-gram set), n (its size) per row."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_set_keys(width), "doc_id long, text_hash long, key long, n long")
+    return rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(lean(_set_keys(width)), "doc_id long, text_hash long, key long, n long")
 
 
 # ------------------------------------------------------------------ fragments
@@ -243,13 +243,13 @@ def linkable_records(docs: DataFrame, width: int = WIDTH, threshold: int = THRES
     ship(docs.sparkSession)
     parts = shuffle_partitions(docs.sparkSession)
     packed = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(
-        _segments(width, parts), "fragment int, keys binary, sizes binary, counts binary, low binary, high binary"
+        lean(_segments(width, parts)), "fragment int, keys binary, sizes binary, counts binary, low binary, high binary"
     )
     shared = packed.repartitionById(parts, "fragment").mapInArrow(
-        _shared(parts, parts), "home int, keys binary, sizes binary, counts binary, grams binary, dfs binary"
+        lean(_shared(parts, parts)), "home int, keys binary, sizes binary, counts binary, grams binary, dfs binary"
     )
     return shared.repartitionById(parts, "home").mapInArrow(
-        _records(threshold), "key long, n long, prefix array<struct<gram:long,pos:long>>, grams array<long>, score double"
+        lean(_records(threshold)), "key long, n long, prefix array<struct<gram:long,pos:long>>, grams array<long>, score double"
     )
 
 

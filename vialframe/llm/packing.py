@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import PieceCache, kept, text_chunks, trim
+from .common import PieceCache, kept, lean, text_chunks
 
 MAX_LEN = 4096
 END_ID = 2
@@ -156,7 +156,6 @@ def _packer(tokenizer_path: str, max_len: int, end_id: int) -> Callable[[Iterabl
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
         words.cache.clear()
         words.runs.clear()
-        trim()
 
     return run
 
@@ -171,7 +170,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, end_id: i
         raise ValueError("max_len must be a power of two")
     ship(docs.sparkSession)
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _packer(tokenizer_path, max_len, end_id), _PIECES
+        lean(_packer(tokenizer_path, max_len, end_id)), _PIECES
     )
     return pieces.withColumn(
         "sequence_id", F.shiftleft(F.col("bucket").cast("long"), 57) + F.monotonically_increasing_id()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import Words, mix, text_chunks
+from .common import Words, lean, mix, text_chunks
 
 DIM, SAMPLE = 1024, 4096
 #: A score below this rejects. The classes weigh the same in training, so 0.5 would reject too eagerly where most is good.
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights of the scorer: pattern counts over all documents, training on a bounded sample."""
     ship(docs.sparkSession)
     text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counted = text.mapInArrow(_votes, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    counted = text.mapInArrow(lean(_votes), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     total = sum(r["n"] for r in counted)
     if not total:
         return np.zeros(DIM + 1)
@@ -205,7 +205,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     drawn = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < limit
     )
-    rows = drawn.select("text").mapInArrow(_features, "pattern long, x binary").limit(2 * sample).collect()
+    rows = drawn.select("text").mapInArrow(lean(_features), "pattern long, x binary").limit(2 * sample).collect()
     y = good[np.array([r["pattern"] for r in rows], np.int64)] if rows else np.zeros(0)
     if not (y < 0.5).any():
         return np.concatenate([np.zeros(DIM), [5.0]])
@@ -234,5 +234,5 @@ def score(docs: DataFrame, weights: np.ndarray | None = None, names: tuple[str,
     weights = fit(docs) if weights is None else weights
     rest = docs.select(*[c for c in docs.columns if c not in names])
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema], "_vf_pattern long, _vf_score double"])
-    scored = rest.mapInArrow(_scorer(weights), schema)
+    scored = rest.mapInArrow(lean(_scorer(weights)), schema)
     return scored.select(*rest.columns, F.col("_vf_pattern").alias(names[0]), F.col("_vf_score").alias(names[1]), (F.col("_vf_score") >= CUT).alias(names[2]))

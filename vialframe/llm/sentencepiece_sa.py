@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import PieceCache, text_chunks, trim
+from .common import PieceCache, lean, text_chunks
 
 MARK = "▁"
 #: Segments that a worker remembers, characters indexed at once, and the length from which a segment is relaxed with a heap.
@@ -295,8 +295,6 @@ def _mapper(model_file: str, decode: bool) -> Callable[[Iterable], Iterator]:
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i) for i in keep], pa.array(found, pa.binary())], [*[batch.schema.names[i] for i in keep], "_vf_out"]
             )
-        del encoder
-        trim()
 
     return run
 
@@ -310,7 +308,7 @@ def encode(docs: DataFrame, model_file: str, out: str = "ids") -> DataFrame:
     ship(docs.sparkSession)
     rest = docs.select(*[c for c in docs.columns if c != out])
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_vf_text")
-    done = rest.select("*", text).mapInArrow(_mapper(model_file, False), _schema(rest, "_vf_out binary"))
+    done = rest.select("*", text).mapInArrow(lean(_mapper(model_file, False)), _schema(rest, "_vf_out binary"))
     return done.withColumnRenamed("_vf_out", out)
 
 
@@ -318,4 +316,4 @@ def decode(rows: DataFrame, model_file: str, out: str = "decoded") -> DataFrame:
     """``rows`` with the text of their ``ids`` in column ``out`` (replaced if there)."""
     ship(rows.sparkSession)
     rest = rows.select(*[c for c in rows.columns if c != out])
-    return rest.mapInArrow(_mapper(model_file, True), _schema(rest, "_vf_out string")).withColumnRenamed("_vf_out", out)
+    return rest.mapInArrow(lean(_mapper(model_file, True)), _schema(rest, "_vf_out string")).withColumnRenamed("_vf_out", out)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import Words, mix, shuffle_partitions, text_chunks
+from .common import Words, lean, mix, shuffle_partitions, text_chunks
 
 WINDOW = 35
 ROUNDS = 3
@@ -252,9 +252,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     ship(docs.sparkSession)
     parts = shuffle_partitions(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    packed = docs.select(text.alias("text")).select("text", F.xxhash64("text").alias("key")).mapInArrow(_emit(window, parts), _PACKED)
-    spans = packed.repartitionById(parts, "home").mapInArrow(_repeated(window, parts), "home int, keys binary, starts binary, ends binary")
-    return spans.repartitionById(parts, "home").mapInArrow(_united, "key long, spans binary")
+    packed = docs.select(text.alias("text")).select("text", F.xxhash64("text").alias("key")).mapInArrow(lean(_emit(window, parts)), _PACKED)
+    spans = packed.repartitionById(parts, "home").mapInArrow(lean(_repeated(window, parts)), "home int, keys binary, starts binary, ends binary")
+    return spans.repartitionById(parts, "home").mapInArrow(lean(_united), "key long, spans binary")
 
 
 def _cut(batches: Iterable) -> Iterator:
@@ -291,5 +291,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, names: tuple[str, str,
     keyed = docs.select(*rest, text.alias("_vf_text"), F.xxhash64(text).alias("_vf_key"))
     joined = keyed.join(spans, "_vf_key", "left").select(*rest, "_vf_text", "_vf_spans")
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.select(*rest).schema], "_vf_kept string, _vf_n long, _vf_r long"])
-    cut = joined.mapInArrow(_cut, schema)
+    cut = joined.mapInArrow(lean(_cut), schema)
     return cut.select(*rest, F.col("_vf_kept").alias(names[0]), F.col("_vf_n").alias(names[1]), F.col("_vf_r").alias(names[2]))
