@@ -180,6 +180,41 @@ def test_license_scan_on_the_documents(spark, sf_dir):
     assert got == {d: {k for k, v in marks.items() if v in t} for d, t in documents(sf_dir)}
 
 
+GPL_HEADER = (
+    "# This program is free software: you can redistribute it and/or modify\n"
+    "# it under the terms of the GNU General Public License as published by\n"
+    "# the Free Software Foundation, either version 3 of the License, or\n"
+    "# (at your option) any later version.\n"
+)
+BSD_HEADER = (
+    " * Redistribution and use in source and binary forms, with or without\n"
+    " * modification, are permitted provided that the following conditions\n"
+    " * are met:\n"
+)
+
+
+def test_license_scan_wrapped_and_inside_long_lines(spark, sf_dir):
+    rnd = random.Random(5)
+    filler = [w for _, t in documents(sf_dir)[:40] for w in (t or "").split()]
+    long = lambda grant: " ".join(rnd.choices(filler, k=2500) + [grant] + rnd.choices(filler, k=2500))
+    plain = "You may return a copy of the book to any person, and\nuse it under the terms of the library\nas published by the town."
+    rows = [
+        (0, "int x;\n\n" + GPL_HEADER + "\nint y;"),
+        (1, "/*\n * Copyright (c) 2020\n *\n" + BSD_HEADER + " */"),
+        (2, long("Released under the MIT License.")),
+        (3, long("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:")),
+        (4, GPL_HEADER.replace("# ", "") + "\n" + BSD_HEADER.replace(" * ", "//")),
+        (5, plain),
+        (6, "x\n\nLicensed under the\r\nApache License,\r\nVersion 2.0.\r\n"),
+        (7, "Released under the\n\nMIT License."),
+    ]
+    weights = license_scan.fit(docs(spark, documents(sf_dir) + rows[:2]))
+    got = {}
+    for r in license_scan.scan(docs(spark, rows), weights).collect():
+        got.setdefault(r.doc_id, []).append((r.family, r.paragraph))
+    assert got == {0: [("GPL", 1)], 1: [("BSD", 3)], 2: [("MIT", 0)], 3: [("BSD", 0)], 4: [("GPL", 0), ("BSD", 4)], 5: [(None, None)], 6: [("Apache", 1)], 7: [(None, None)]}
+
+
 # ------------------------------------------------------------------ 6 n-gram join
 def brute_classes(rows):
     sets = {}

@@ -9,6 +9,13 @@ probabilities. A paragraph counts only if its family's probability reaches
 ``CUT`` and the template comparison confirms it: a share of at least ``CONFIRM``
 of a template phrase's word pairs must occur in the paragraph, in any order.
 
+Grants do not keep to lines: a block (lines with no blank line or line of mere
+comment marks between them) is also read as one run of words, comment marks
+dropped, and every stretch of it that holds ``CONFIRM`` of a phrase's word pairs is
+judged for itself, with ``CONTEXT`` words on either side. So a wrapped grant and one
+inside a very long line count too. Such a grant has the number of the line where it
+begins and the text of all its lines; a family is named once per stretch.
+
 Defined cases: null or empty texts have no paragraphs and no family; a very long
 line is one paragraph; repeated rows are scanned each for itself; other columns
 are not read; an empty table gives no rows (the model is then trained on the
@@ -24,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import Words, lean, mix, text_chunks
+from .common import Words, lean, mix, span_hash, text_chunks
 
 DIM, CUT, CONFIRM = 1 << 15, 0.5, 0.6
 #: Paragraphs of the corpus that serve as unknown in training, at most; examples made per template.
 SAMPLE, EXAMPLES = 4000, 60
+#: Words on either side that are judged with a stretch; a stretch this much like a phrase is no example of unknown.
+CONTEXT, ALIKE = 4, 0.4
 
 #: Phrases by which licences are granted in files, per family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -133,7 +142,7 @@ def examples(plain: list[bytes], seed: int = 7) -> tuple[list[bytes], np.ndarray
 
 def train(plain: list[bytes], rounds: int = 150, seed: int = 7) -> np.ndarray:
     """Weights [DIM + 1][classes], the last row the bias, scaled by the calibration temperature."""
-    grants = [p for p in plain if max((_overlap(p, t) for f in FAMILIES for t in _PAIRS[f]), default=0) >= 0.4]
+    grants = [p for p in plain if max((_overlap(p, t) for f in FAMILIES for t in _PAIRS[f]), default=0) >= ALIKE]
     plain = [p for p in plain if p not in set(grants)]
     texts, classes = examples(plain, seed)
     k = len(FAMILIES) + 1
@@ -178,6 +187,122 @@ def _overlap(paragraph: bytes, template: frozenset) -> float:
     return len(_pairs(paragraph) & template) / len(template)
 
 
+_PHRASES = [(f, Words([t.encode()], fold=True).hash) for f in FAMILIES for t in TEMPLATES[f]]
+_KEYS = [np.unique(span_hash(h, np.arange(len(h) - 1), np.arange(2, len(h) + 1))) for _, h in _PHRASES]
+_EVERY = np.unique(np.concatenate(_KEYS))
+_HOLDS = np.stack([np.isin(_EVERY, k) for k in _KEYS])
+_MARK = np.zeros(256, bool)
+_MARK[list(b"#*/;%!|<>=~-")] = True
+
+
+class Stretches:
+    """The words of a chunk without comment marks, and the stretches of them that are like a phrase."""
+
+    def __init__(self, texts: list[bytes]):
+        words = Words(texts, fold=True)
+        self.buf, starts, ends, hashes = words.buf, words.starts, words.ends, words.hash
+        plain = np.append(np.flatnonzero(~_MARK[self.buf]), len(self.buf))
+        inner = np.minimum(plain[np.searchsorted(plain, starts)], ends)
+        cut = np.flatnonzero((inner > starts) & (inner < ends))
+        if len(cut):
+            hashes = hashes.copy()
+            hashes[cut] = Words([self.buf[a:b].tobytes() for a, b in zip(inner[cut], ends[cut], strict=True)], fold=True).hash
+        keep = inner < ends
+        self.starts, self.ends, self.hash = inner[keep], ends[keep], hashes[keep]
+        self.doc = np.repeat(np.arange(len(texts)), np.diff(words.bounds))[keep]
+        breaks = np.flatnonzero(self.buf == 10)
+        self.line = np.searchsorted(breaks, self.starts)
+        self.first_line = np.searchsorted(breaks, words.doc_at[:-1])
+        new = np.ones(len(self.doc), bool)
+        new[1:] = (np.diff(self.line) > 1) | (np.diff(self.doc) > 0)
+        self.block = np.cumsum(new)
+
+    def find(self, share: float) -> list[tuple[int, int, str, float]]:
+        """(first word, word after the last, family, share of the phrase's pairs), the best of those that overlap."""
+        n = len(self.hash)
+        if n < 2:
+            return []
+        pairs = span_hash(self.hash, np.arange(n - 1), np.arange(2, n + 1))
+        at = np.minimum(np.searchsorted(_EVERY, pairs), len(_EVERY) - 1)
+        hit = np.flatnonzero((_EVERY[at] == pairs) & (self.block[1:] == self.block[:-1]))
+        kind, out = at[hit], []
+        for (family, phrase), keys, holds in zip(_PHRASES, _KEYS, _HOLDS, strict=True):
+            need = int(np.ceil(share * len(keys) - 1e-9))
+            own = holds[kind]
+            p, q = hit[own], kind[own]
+            if len(p) < need:
+                continue
+            reach, block = 2 * len(phrase) + 8, self.block[p]
+            last = np.minimum(np.searchsorted(p, p + reach, side="right"), np.searchsorted(block, block, side="right"))
+            found = []
+            for i in np.flatnonzero(last - np.arange(len(p)) >= need).tolist():
+                seen, end = set(), i
+                for j in range(i, int(last[i])):
+                    if q[j] not in seen:
+                        seen.add(q[j])
+                        end = j
+                if len(seen) >= need:
+                    found.append((len(seen) / len(keys), int(p[i]), int(p[end]) + 2))
+            out += [(a, b, family, s) for s, a, b in _apart(found)]
+        return out
+
+    def text(self, first: int, after: int, context: int = CONTEXT) -> bytes:
+        """The words of a stretch with those around it in its block."""
+        low, high = max(0, first - context), min(len(self.hash), after + context)
+        same = [i for i in range(low, high) if self.block[i] == self.block[first]]
+        return b" ".join(self.buf[self.starts[i] : self.ends[i]].tobytes() for i in same)
+
+
+def _apart(found: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
+    """The best of the stretches (share, first, after) that overlap: most of the phrase, then the shortest."""
+    import bisect
+
+    taken: list[tuple[int, int]] = []
+    out = []
+    for s, a, b in sorted(found, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+        i = bisect.bisect(taken, (a, b))
+        if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or taken[i][0] >= b):
+            taken.insert(i, (a, b))
+            out.append((s, a, b))
+    return out
+
+
+def _wrapped(texts: list[bytes], weights: np.ndarray) -> dict[int, list[tuple[int, int, str, float, float]]]:
+    """Per document: (first line, last line, family, probability, share) of its confirmed stretches; lines count from 0."""
+    words = Stretches(texts)
+    found = words.find(CONFIRM)
+    if not found:
+        return {}
+    p = _softmax(_logits([words.text(a, b) for a, b, _, _ in found], weights))
+    sure: dict[str, list[tuple[float, int, int]]] = {}
+    prob = {}
+    for (a, b, family, s), row in zip(found, p, strict=True):
+        c = FAMILIES.index(family)
+        if row.argmax() == c and row[c] >= CUT:
+            sure.setdefault(family, []).append((s, a, b))
+            prob[family, s, a, b] = float(row[c])
+    out: dict[int, list] = {}
+    for family, spans in sure.items():
+        for s, a, b in _apart(spans):
+            doc = int(words.doc[a])
+            first = words.first_line[doc]
+            out.setdefault(doc, []).append((int(words.line[a] - first), int(words.line[b - 1] - first), family, prob[family, s, a, b], s))
+    return out
+
+
+def _merged(rows: list[tuple], stretches: list[tuple], text: bytes) -> list[tuple]:
+    """The confirmed lines of a document and its stretches of a family that no confirmed line of theirs names, by line."""
+    lines = text.split(b"\n")
+    number = np.cumsum([bool(x.strip()) for x in lines]) - 1
+    known = {(i, family) for i, family, *_ in rows}
+    for first, last, family, prob, share in sorted(stretches):
+        own = range(int(number[first]), int(number[last]) + 1)
+        if not any((i, family) in known for i in own):
+            known.add((own[0], family))
+            rows.append((own[0], family, prob, share, b"\n".join(x for x in lines[first : last + 1])))
+    return sorted(rows, key=lambda r: r[:2])
+
+
 def _scan(weights: np.ndarray) -> Callable[[Iterable], Iterator]:
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -190,20 +315,22 @@ def _scan(weights: np.ndarray) -> Callable[[Iterable], Iterator]:
             if flat:
                 p = _softmax(_logits(flat, weights))
                 best, prob = p.argmax(axis=1), p.max(axis=1)
+            wrapped = _wrapped(texts, weights)
             at, cols = 0, [[] for _ in names]
-            for doc, own in zip(batch.column("doc_id").to_pylist(), lines, strict=True):
-                found = False
+            for d, (doc, own) in enumerate(zip(batch.column("doc_id").to_pylist(), lines, strict=True)):
+                rows = []
                 for i in range(at, at + len(own)):
                     if best[i] == len(FAMILIES) or prob[i] < CUT:
                         continue
                     family = FAMILIES[best[i]]
                     share = max(_overlap(flat[i], t) for t in _PAIRS[family])
                     if share >= CONFIRM:
-                        found = True
-                        for c, v in zip(cols, (doc, len(own), i - at, family, float(prob[i]), share, flat[i].decode("utf-8", "replace")), strict=True):
-                            c.append(v)
-                if not found:
-                    for c, v in zip(cols, (doc, len(own), None, None, None, None, None), strict=True):
+                        rows.append((i - at, family, float(prob[i]), share, flat[i]))
+                if d in wrapped:
+                    rows = _merged(rows, wrapped[d], texts[d])
+                for row in rows or [(None, None, None, None, None)]:
+                    text = None if row[4] is None else row[4].decode("utf-8", "replace")
+                    for c, v in zip(cols, (doc, len(own), *row[:4], text), strict=True):
                         c.append(v)
                 at += len(own)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.string())
@@ -216,7 +343,13 @@ def _paragraphs(batches: Iterable) -> Iterator:
     import pyarrow as pa
 
     for _, texts in text_chunks(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([p[:2000].decode("utf-8", "replace") for t in texts for p in _lines(t)[:20]], pa.string())], ["p"])
+        words = Stretches(texts)
+        grants = {(int(words.doc[a]), i) for a, b, _, _ in words.find(ALIKE) for i in range(int(words.line[a]), int(words.line[b - 1]) + 1)}
+        out = []
+        for d, t in enumerate(texts):
+            own = [(i, x) for i, x in enumerate(t.split(b"\n"), int(words.first_line[d])) if x.strip()]
+            out += [x[:2000].decode("utf-8", "replace") for i, x in own[:20] if (d, i) not in grants]
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["p"])
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
@@ -231,8 +364,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 
 
 def scan(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
-    """One row per confirmed paragraph (or one with nulls for a document without): doc_id, n_paragraphs,
-    paragraph (its number), family, probability, template_share, text."""
+    """One row per confirmed paragraph or stretch (or one with nulls for a document without): doc_id, n_paragraphs,
+    paragraph (the number of its first line), family, probability, template_share, text."""
     ship(docs.sparkSession)
     weights = fit(docs) if weights is None else weights
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
