@@ -362,6 +362,22 @@ def test_quality_edges(spark, sf_dir):
     assert all(r.accepted for r in quality.score(docs(spark, [(1, "The cat sat on the mat and it was good.")])).collect())
 
 
+def test_quality_rare_junk_is_in_the_sample(spark, sf_dir):
+    clean = [t for _, t in documents(sf_dir) if t and (quality.describe([t.encode()])[0] == quality.GOOD).all()][:50]
+    junk = ["WIN | CASH ## || NOW!!! $$$ " * 12, "BUY | GOLD ## || TODAY!!! %%% " * 12, "CHEAP | PILLS ## || HERE!!! &&& " * 12]
+    rows = [(i, f"{clean[i % len(clean)]} {i}") for i in range(3000)] + [(10000 + i, t) for i, t in enumerate(junk)]
+    for sample in (4096, 64):  # the whole table, and a draw that is likely to miss the junk
+        weights = quality.fit(docs(spark, rows), sample)
+        got = {r.doc_id: r.accepted for r in quality.score(docs(spark, rows), weights).collect()}
+        assert not any(got[10000 + i] for i in range(len(junk)))
+        assert np.mean([got[i] for i in range(3000)]) > 0.98
+
+
+def test_quality_classes_weigh_the_same():
+    w = quality.train_scorer(np.ones((20001, 1)), np.r_[np.full(20000, 0.99), 0.01])
+    assert abs(w.sum()) < 0.1  # nothing tells the classes apart: even odds
+
+
 def test_em_recovers_vote_rates():
     rng = np.random.default_rng(0)
     truth = rng.random(20000) < 0.8

@@ -8,13 +8,17 @@ patterns are the soft labels on which a hashed linear scorer is trained: word
 shapes, endings, repeats and vote evidence hashed into ``DIM`` weights. The scorer
 then reads every whole document; those with a score under ``CUT`` are rejected.
 
-The scorer is fitted on about ``SAMPLE`` documents (at most twice as many), drawn
-by hash of id and text; votes, pattern counts and scores cover every document.
+The scorer is fitted on about ``SAMPLE`` documents drawn by hash of id and text and,
+of every pattern that the corpus holds, on at least ``PER_PATTERN`` documents or all
+it has (fewer where so many patterns occur that they were more than ``SAMPLE``). All
+in all these are at most twice ``SAMPLE``; each stands for as many documents of its
+pattern as its draw left out. Votes, pattern counts and scores cover every document.
 
 Defined cases: a null or wordless text is rejected with score 0; a heuristic
 without enough to judge abstains, so short clean texts stay; repeated rows
 score alike and all stay; other columns are handed on; with an empty table, or
-one on which no heuristic ever votes bad, nothing is rejected but wordless texts.
+one that holds no pattern more likely bad than good, nothing is rejected but
+wordless texts.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .common import Words, lean, mix, text_chunks
 
-DIM, SAMPLE = 1024, 4096
+DIM, SAMPLE, PER_PATTERN = 1024, 4096, 64
 #: A score below this rejects. The classes weigh the same in training, so 0.5 would reject too eagerly where most is good.
 CUT = 0.3
 #: Frequent function words of the four languages.
@@ -131,11 +135,20 @@ def pattern_of(votes: np.ndarray) -> np.ndarray:
 
 
 def _votes(batches: Iterable) -> Iterator:
+    """Per task and pattern: its count and the smallest of its documents' hashes."""
     import pyarrow as pa
 
-    for _, texts in text_chunks(batches, "text"):
-        found, count = np.unique(pattern_of(describe(texts)[0]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(count, pa.int64())], ["pattern", "n"])
+    count: dict[int, int] = {}
+    least: dict[int, np.ndarray] = {}
+    for batch, texts in text_chunks(batches, "text"):
+        patterns, keys = pattern_of(describe(texts)[0]), batch.column("h").to_numpy(zero_copy_only=False)
+        for p in np.unique(patterns).tolist():
+            own = keys[patterns == p]
+            count[p] = count.get(p, 0) + len(own)
+            least[p] = np.unique(np.concatenate((least.get(p, own[:0]), own)))[:PER_PATTERN]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(count), pa.int64()), pa.array(list(count.values()), pa.int64()), pa.array([least[p].tolist() for p in count], pa.list_(pa.int64()))], ["pattern", "n", "least"]
+    )
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> np.ndarray:
@@ -170,19 +183,23 @@ def _posterior(votes: np.ndarray, rate: np.ndarray, prior: float) -> np.ndarray:
 def _features(batches: Iterable) -> Iterator:
     import pyarrow as pa
 
-    for _, texts in text_chunks(batches, "text"):
-        votes, rows = describe(texts)
+    for batch, texts in text_chunks(batches, "text"):
+        keys, first, n = np.unique(batch.column("h").to_numpy(zero_copy_only=False), return_index=True, return_counts=True)
+        votes, rows = describe([texts[i] for i in first])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(pattern_of(votes), pa.int64()), pa.array([r.tobytes() for r in rows.astype("<f2")], pa.binary())], ["pattern", "x"]
+            [pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(pattern_of(votes), pa.int64()), pa.array([r.tobytes() for r in rows.astype("<f2")], pa.binary())], ["h", "n", "pattern", "x"]
         )
 
 
-def train_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 400, l2: float = 1e-4) -> np.ndarray:
-    """Logistic regression on soft labels (full-batch, accelerated); the last weight is the bias."""
+def train_scorer(x: np.ndarray, y: np.ndarray, counts: np.ndarray | None = None, rounds: int = 400, l2: float = 1e-4) -> np.ndarray:
+    """Logistic regression on soft labels (full-batch, accelerated) of rows that stand for ``counts`` documents each;
+    the last weight is the bias."""
     x = np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
     w, v = np.zeros(x.shape[1]), np.zeros(x.shape[1])
     # both classes weigh the same
-    weight = np.where(y >= 0.5, 0.5 / max((y >= 0.5).mean(), 1e-3), 0.5 / max((y < 0.5).mean(), 1e-3))
+    weight = np.ones(len(y)) if counts is None else counts.astype(float)
+    for side in (y >= 0.5, y < 0.5):
+        weight[side] *= 0.5 * len(y) / max(weight[side].sum(), 1e-300)
     step = 4.0 / ((x * x).sum(axis=1) * weight).mean()
     for t in range(rounds):
         look = v + t / (t + 3) * (v - w)
@@ -193,24 +210,35 @@ def train_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 400, l2: float = 1e
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """Weights of the scorer: pattern counts over all documents, training on a bounded sample."""
+    """Weights of the scorer: pattern counts over all documents, training on a bounded sample with every pattern in it."""
     ship(docs.sparkSession)
-    text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counted = text.mapInArrow(lean(_votes), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
-    total = sum(r["n"] for r in counted)
-    if not total:
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    counted = (
+        rows.mapInArrow(lean(_votes), "pattern long, n long, least array<long>").groupBy("pattern")
+        .agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("least")))), 1, PER_PATTERN).alias("least")).collect()
+    )
+    total = {r["pattern"]: r["n"] for r in counted}
+    documents = sum(total.values())
+    if not documents:
         return np.zeros(DIM + 1)
-    good = estimate(np.array([r["pattern"] for r in counted]), np.array([r["n"] for r in counted]))
-    limit = int(min(1.0, sample / total) * (1 << 30))
-    drawn = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < limit
-    )
-    rows = drawn.select("text").mapInArrow(lean(_features), "pattern long, x binary").limit(2 * sample).collect()
-    y = good[np.array([r["pattern"] for r in rows], np.int64)] if rows else np.zeros(0)
-    if not (y < 0.5).any():
+    good = estimate(np.array(list(total)), np.array(list(total.values())))
+    if not (good[list(total)] < 0.5).any():
         return np.concatenate([np.zeros(DIM), [5.0]])
-    x = np.stack([np.frombuffer(r["x"], "<f2") for r in rows])
-    return train_scorer(x, y)
+    share = min(1.0, sample / documents)
+    each = max(1, min(PER_PATTERN, sample // len(total)))
+    # patterns of which the draw by hash may hold fewer than their due
+    named = sorted({h for r in counted if share < 1 and r["n"] * share < 2 * each for h in r["least"][:each]})
+    even = F.pmod("h", F.lit(1 << 30))
+    own = F.col("h").isin(named) if named else F.lit(False)
+    drawn = rows.where((even < int(share * (1 << 30))) | own)
+    drawn = drawn.mapInArrow(lean(_features), "h long, n long, pattern long, x binary").groupBy("h")
+    drawn = drawn.agg(F.sum("n").alias("n"), F.first("pattern").alias("pattern"), F.first("x").alias("x"))
+    got = drawn.orderBy(own.desc(), even, "h").limit(2 * sample).collect()
+    pattern, n = np.array([r["pattern"] for r in got], np.int64), np.array([r["n"] for r in got], float)
+    held = np.bincount(pattern, weights=n, minlength=3 ** len(LABELLERS))
+    counts = n * np.array([total[p] for p in pattern.tolist()]) / held[pattern]
+    return train_scorer(np.stack([np.frombuffer(r["x"], "<f2") for r in got]), good[pattern], counts)
 
 
 def _scorer(weights: np.ndarray) -> Callable[[Iterable], Iterator]:
