@@ -40,6 +40,14 @@ def test_files_to_tests(spark, tmp_path):
     assert routes["a.docx"] == routes["b.txt"] == "parse"
 
 
+def test_text_file_with_bytes_that_are_no_utf8(spark, tmp_path):
+    texts = {"latin.txt": b"Eisen  70  \xb5g/dL\nna\xefve \xc3\xa9\n", "bom.txt": b"\xef\xbb\xbfWBC \xff6.8\xe2\x82", "fine.txt": "\ufeffé � x".encode()}
+    for name, content in texts.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r.doc_id.rsplit("/", 1)[1]: (r.page, r.text, r.problem) for r in files.load_pages(files.read_files(spark, str(tmp_path))).collect()}
+    assert got == {name: (1, content.decode("utf-8", "ignore").replace("\ufeff", ""), None) for name, content in texts.items()}
+
+
 def test_catalog_csv_and_sync(spark, tmp_path):
     (tmp_path / "c.csv").write_text('loinc_num,long_common_name,shortname,component,common_test_rank,aliases\n1-1,"Iron, total",Iron,,x,Fe| |Serum iron\n2-2,B,,C,7,\n')
     cat = read_catalog_csv(spark, str(tmp_path / "c.csv"))

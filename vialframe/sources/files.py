@@ -75,7 +75,8 @@ def image_page(content: bytes) -> bytes:
 
 
 def load_pages(files: DataFrame) -> DataFrame:
-    """SRC-01: one row per page. Text stays in the JVM; docx, pdf and image bytes are decoded in Arrow batches.
+    """SRC-01: one row per page. Text that is UTF-8 stays in the JVM; other text, docx, pdf and image bytes are decoded
+    in Arrow batches.
 
     A file that can't be read is one row with its problem, so that no file is lost silently.
     """
@@ -83,11 +84,12 @@ def load_pages(files: DataFrame) -> DataFrame:
 
     ship(files.sparkSession)
     routed = files.withColumn("source", page_source(F.col("content_type")))
+    # bytes that are no UTF-8 are dropped, as a lenient reader does
+    broken = (F.col("source") == "text") & F.col("content").isNotNull() & F.expr("try_validate_utf8(content)").isNull()
     none = lambda kind: F.lit(None).cast(kind)
-    text = routed.where("source = 'text'").select(
+    text = routed.where((F.col("source") == "text") & ~broken).select(
         F.col("doc_id").cast("string"), "content_type", F.lit(1).alias("page"), F.regexp_replace(F.expr("try_validate_utf8(content)"), "﻿", "").alias("text"), none("binary").alias("image"), none("string").alias("problem")
     )
-    # bytes that are no UTF-8 are dropped, as a lenient reader does
     text = text.withColumn("text", F.coalesce("text", F.lit("")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,7 +97,9 @@ def load_pages(files: DataFrame) -> DataFrame:
             out = []
             for doc, kind, source, content in zip(pdf["doc_id"], pdf["content_type"], pdf["source"], pdf["content"], strict=True):
                 try:
-                    if source == "docx":
+                    if source == "text":
+                        out.append((doc, kind, 1, content.decode("utf-8", "ignore").replace("\ufeff", ""), None, None))
+                    elif source == "docx":
                         out.append((doc, kind, 1, docx_text(content), None, None))
                     elif source == "pdf":
                         out += [(doc, kind, i, t, None, None) for i, t in enumerate(pdf_texts(content), 1)]
@@ -107,7 +111,7 @@ def load_pages(files: DataFrame) -> DataFrame:
                     out.append((doc, kind, 0, None, None, f"{type(e).__name__}: {e}"[:500]))
             yield pd.DataFrame(out, columns=["doc_id", "content_type", "page", "text", "image", "problem"])
 
-    rest = routed.where("source <> 'text'").select(F.col("doc_id").cast("string"), "content_type", "source", "content").mapInPandas(run, PAGES)
+    rest = routed.where((F.col("source") != "text") | broken).select(F.col("doc_id").cast("string"), "content_type", "source", "content").mapInPandas(run, PAGES)
     return text.unionByName(rest)
 
 
