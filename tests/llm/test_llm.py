@@ -340,6 +340,21 @@ def test_fingerprint_edges(spark):
     assert sorted((r.doc_id, r.text, r.next_text) for r in fingerprint.with_next(docs(spark, many), buckets=9).collect()) == nexts
 
 
+def test_fingerprints_normalise_every_script(spark):
+    import unicodedata
+
+    rules = [chr(c) for c in range(0x110000) if unicodedata.decomposition(chr(c)) and not unicodedata.decomposition(chr(c)).startswith("<")]
+    rnd = random.Random(8)
+    marks = [chr(c) for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c)) and unicodedata.unidata_version >= "13"]
+    texts = [f"x{unicodedata.normalize('NFD', c)}y" for c in rules] + [f"{c}," for c in rules]
+    texts += [unicodedata.normalize("NFD", "".join(chr(rnd.randrange(0xAC00, 0xD7A4)) for _ in range(5))) for _ in range(20)] + ["\uac00\u11a8 \u1161\u1100 \u1100\u1161\u11a7"]
+    texts += ["".join(rnd.choice([*"aeoqかは, ", rnd.choice(rules), rnd.choice(marks), rnd.choice(marks), "\u0323", "\u0302", "\u3099"]) for _ in range(12)) for _ in range(1500)]
+    texts += ["a\u0302\u0323", "e" + "\u0301\u0323" * 300, "\u212b \u2126", "が", "か\u3099", "plain – text"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").repartition(4)
+    got = {r.i: r.n for r in rows.select("i", fingerprint._composed(F.col("t")).alias("n")).collect()}
+    assert [(i, t) for i, t in enumerate(texts) if got[i] != unicodedata.normalize("NFC", t)] == []
+
+
 # ------------------------------------------------------------------ 9 quality
 def test_quality_held_out(spark, sf_dir):
     import os

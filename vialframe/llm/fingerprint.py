@@ -6,9 +6,10 @@ are equal exactly when canonical texts are, up to a 192-bit collision, which
 ``likeness`` and ``exact_groups`` exclude by comparing the texts themselves
 inside equal buckets. An exact digest has no degrees: likeness is 1.0 or 0.0.
 
-Spark has no Unicode normaliser, so composition is a map from base+mark pairs
-to the composed letter, built from the rule in ``unicodedata`` at planning time;
-only texts that hold a combining mark are taken apart.
+Spark has no Unicode normaliser, so NFC is done here in full: decomposition,
+canonical order of the marks and composition by tables of every code point, built
+from the rules in ``unicodedata`` at planning time, Hangul by its arithmetic. Only
+texts and clusters with a character that NFC may change are taken apart.
 
 Defined cases: null text is empty; an empty or all-white text has the
 fingerprint of the empty text; the next document goes by ascending doc_id,
@@ -27,41 +28,108 @@ from pyspark.sql import functions as F
 _FIRST = -(1 << 63)
 
 
+#: Below this code point the tables are arrays, above it (few entries) maps.
+_LOW = 0x3100
+#: Marks that Unicode added after version 13, which Java 17's \p{M} doesn't know.
+_NEWER = r"\x{898}-\x{89F}\x{8CA}-\x{8D2}\x{C3C}\x{1715}\x{1AC1}-\x{1ACE}\x{1DFA}\x{10EFD}-\x{10EFF}\x{10F82}-\x{10F85}\x{11070}\x{11241}\x{11F41}\x{11F42}\x{1E08F}\x{1E2AE}\x{1E4EC}-\x{1E4EF}"
+
+
+def _ranges(codes: list[int]) -> str:
+    """The inside of a character class."""
+    out, codes = [], sorted(codes)
+    for c in codes:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out)
+
+
 @lru_cache(maxsize=1)
-def _compositions() -> tuple[str, ...]:
-    """base+mark, composed, base+mark, composed ... for every pair that NFC composes (by rule)."""
-    out: list[str] = []
-    for code in range(0xC0, 0x2000):
-        pair = unicodedata.decomposition(chr(code)).split()
-        if len(pair) == 2 and not pair[0].startswith("<"):
-            both = "".join(chr(int(x, 16)) for x in pair)
-            if unicodedata.normalize("NFC", both) == chr(code) and unicodedata.combining(both[1]):
-                out += [both, chr(code)]
-    return tuple(out)
+def _unicode() -> tuple[dict[int, str], dict[int, int], dict[int, str], dict[str, str]]:
+    """Full decompositions, combining classes, per first code point its seconds each with what NFC makes of the two,
+    and the classes of regular expressions."""
+    full, order, joins, gone, seconds = {}, {}, {}, [], set()
+    for code in range(0x110000):
+        if 0xD800 <= code < 0xE000 or 0xAC00 <= code <= 0xD7A3:
+            continue
+        ch = chr(code)
+        if unicodedata.combining(ch):
+            order[code] = unicodedata.combining(ch)
+        rule = unicodedata.decomposition(ch)
+        if not rule or rule.startswith("<"):
+            continue
+        full[code] = unicodedata.normalize("NFD", ch)
+        if unicodedata.normalize("NFC", ch) != ch:
+            gone.append(code)
+        else:
+            first, second = (int(x, 16) for x in rule.split())
+            joins[first] = joins.get(first, "") + chr(second) + ch
+            seconds.add(second)
+    after = rf"\p{{M}}{_NEWER}\x{{1160}}-\x{{11FF}}"
+    classes = {
+        "after": after,
+        "gone": _ranges(gone),
+        "marks": _ranges(list(order)),
+        "active": rf"[[^\x{{0}}-\x{{2FF}}]&&[{_ranges([*seconds, *gone])}\x{{1161}}-\x{{1175}}\x{{11A8}}-\x{{11C2}}]]|[\p{{M}}{_NEWER}]{{2}}",
+    }
+    return full, order, joins, classes
+
+
+def _table(entries: dict, kind: str):
+    """char -> its entry, or null."""
+    low = F.split(F.lit(",".join(str(entries.get(c, "")) if c != 0x2C else "" for c in range(_LOW))), ",")
+    high = F.create_map(*[F.lit(x) for c, v in entries.items() if c >= _LOW for x in (chr(c), str(v))])
+
+    def look(ch: Column) -> Column:
+        code = F.ascii(ch)
+        return F.when(code < _LOW, F.nullif(F.element_at(low, code + 1), F.lit(""))).otherwise(F.try_element_at(high, ch)).cast(kind)
+
+    return look
 
 
 def _composed(text: Column) -> Column:
-    """NFC for texts that hold combining marks: clusters fold their marks into the base, one by one."""
-    table = F.create_map(*[F.lit(x) for x in _compositions()])
-    clusters = F.regexp_extract_all(text, F.lit(r"(?s)(\P{M}\p{M}*|\p{M}+)"), F.lit(1))
-    state = "struct<out:string,last:string>"
+    """NFC: clusters are decomposed, their marks ordered, and folded into the starters one by one."""
+    full, order, joins, classes = _unicode()
+    decomposed, rank, seconds = _table(full, "string"), _table(order, "int"), _table(joins, "string")
+    hangul = F.split(F.lit("".join(map(chr, range(0xAC00, 0xD7A4)))), "")
+    active = F.lit(classes["active"])
+    after, gone, marks = classes["after"], classes["gone"], classes["marks"]
+    clusters = F.regexp_extract_all(text, F.lit(rf"(?s)([^{after}{gone}]+(?![{after}])|[^{after}][{after}]*|[{after}]+)"), F.lit(1))
+    state = "struct<out:string,last:string,wait:string,rank:int>"
+
+    def joined(last: Column, ch: Column) -> Column:
+        a, b, have = F.ascii(last), F.ascii(ch), seconds(last)
+        at = F.when(a.between(0x1100, 0x1112) & b.between(0x1161, 0x1175), ((a - 0x1100) * 21 + b - 0x1161) * 28).when(
+            a.between(0xAC00, 0xD7A3) & ((a - 0xAC00) % 28 == 0) & b.between(0x11A8, 0x11C2), a - 0xAC00 + b - 0x11A7
+        )
+        place = F.instr(have, ch)
+        return F.when(last == "", F.lit(None)).when(at.isNotNull(), F.element_at(hangul, at + 1)).when(place > 0, F.substr(have, place + 1, F.lit(1)))
+
+    def step(acc: Column, x: Column) -> Column:
+        ch, here, new = x["ch"], x["rank"], x["ch"]
+        free = (acc["wait"] == "") | (acc["rank"] < here)
+        new = F.when(free, joined(acc["last"], ch))
+        made = lambda out, last, wait, r: F.struct(out.alias("out"), last.alias("last"), wait.alias("wait"), r.alias("rank"))
+        return (
+            F.when(new.isNotNull(), made(acc["out"], new, acc["wait"], acc["rank"]))
+            .when(here == 0, made(F.concat(acc["out"], acc["last"], acc["wait"]), ch, F.lit(""), F.lit(0)))
+            .otherwise(made(acc["out"], acc["last"], F.concat(acc["wait"], ch), here))
+        )
 
-    def step(acc: Column, ch: Column) -> Column:
-        joined = F.try_element_at(table, F.concat(acc["last"], ch))
-        return F.when(
-            joined.isNotNull(), F.struct(acc["out"].alias("out"), joined.alias("last"))
-        ).otherwise(F.struct(F.concat(acc["out"], acc["last"]).alias("out"), ch.alias("last")))
+    def ranked(part: Column) -> Column:
+        """Characters with their classes; a run of marks in canonical order."""
+        chars = F.transform(F.split(part, ""), lambda ch, i: F.struct(F.coalesce(rank(ch), F.lit(0)).alias("rank"), i.alias("i"), ch.alias("ch")))
+        return F.when(F.rlike(part, F.lit(f"^[{marks}]{{2}}")), F.array_sort(chars)).otherwise(chars)
 
     def fold(cluster: Column) -> Column:
-        whole = F.aggregate(
-            F.split(cluster, ""),
-            F.struct(F.lit("").alias("out"), F.lit("").alias("last")).cast(state),
-            step,
-            lambda acc: F.concat(acc["out"], acc["last"]),
-        )
-        return F.when(F.char_length(cluster) > 1, whole).otherwise(cluster)
+        apart = F.array_join(F.transform(F.split(cluster, ""), lambda ch: F.coalesce(decomposed(ch), ch)), "")
+        runs = F.regexp_extract_all(apart, F.lit(f"(?s)([{marks}]+|[^{marks}]+)"), F.lit(1))
+        start = F.struct(F.lit("").alias("out"), F.lit("").alias("last"), F.lit("").alias("wait"), F.lit(0).alias("rank")).cast(state)
+        whole = F.aggregate(F.flatten(F.transform(runs, ranked)), start, step, lambda acc: F.concat(acc["out"], acc["last"], acc["wait"]))
+        return F.when(F.rlike(cluster, active), whole).otherwise(cluster)
 
-    return F.when(F.rlike(text, F.lit(r"\p{M}")), F.array_join(F.transform(clusters, fold), "")).otherwise(text)
+    return F.when(F.rlike(text, active), F.array_join(F.transform(clusters, fold), "")).otherwise(text)
 
 
 def canonical(text: Column) -> Column:
