@@ -8,7 +8,12 @@ bucket is a rectangle of equal lengths (``bucket`` is log2 of the length).
 
 There is no shuffle: pieces are made where the document is read. Words are
 tokenised once and kept in a bounded cache per worker: the vocabulary's matches
-never span white space, so a text's ids are its words' ids in order.
+never span white space, so a text's ids are its words' ids in order. That holds for
+files with the normaliser and pre-tokeniser of ``WORDWISE``; with any other file
+whole texts are encoded.
+
+Ids are those of the library's plain call: a control string of the vocabulary inside
+a text gives the control id. With ``control_ids=False`` it is ordinary text.
 
 Defined cases: a null or empty text gives the end id alone, one piece of one id;
 repeated rows are packed each for itself, with sequence ids of their own; very
@@ -18,6 +23,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -41,11 +47,23 @@ _OTHER = re.compile(r"[^a-zA-ZÀ-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~]")
 #: Runs that are pre-tokens of their own, and the line break between words.
 _RUNS = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ\n]+|\n")
 _BREAK = b"\xff\xff\xff\xff"
+#: How a file must clean and split texts for words to be encoded one by one.
+WORDWISE = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
 
 
 class WordIds:
     """Little-endian unsigned 32-bit ids of whole texts, word by word through bounded caches.
 
+    Control strings (added tokens that match as they stand) are cut out first, as the library does.
     A new word of letters and punctuation is taken apart into its runs, in lower case, which a second cache holds.
     New runs are encoded as one text and told apart by the end-of-word mark of their last token. Other new words
     are encoded as one text with a mark between them, those that hold the mark one by one.
@@ -53,12 +71,21 @@ class WordIds:
 
     MARK = "|"
 
-    def __init__(self, tokenizer_path: str, limit: int = CACHE_WORDS):
+    def __init__(self, tokenizer_path: str, limit: int = CACHE_WORDS, control_ids: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(tokenizer_path, encoding="utf-8") as f:
+            config = json.load(f)
+        added = config.get("added_tokens") or []
+        literal = all(x["special"] and not (x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"]) for x in added)
+        model = config["model"]
+        plain = model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not (model.get("dropout") or config.get("truncation") or config.get("padding"))
+        self.wordwise = plain and literal and (config.get("normalizer"), config.get("pre_tokenizer")) == WORDWISE
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = self.wordwise or not control_ids
+        self.control = {x["content"].encode(): int(x["id"]).to_bytes(4, "little") for x in added} if control_ids else {}
+        self.cut = re.compile(b"(" + b"|".join(re.escape(c) for c in sorted(self.control, key=len, reverse=True)) + b")") if self.control else None
         self.mark = self._encode_text(self.MARK)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
@@ -118,17 +145,38 @@ class WordIds:
         return self.ids_of([text])[0]
 
     def ids_of(self, texts: list[bytes]) -> list[bytes]:
+        if not self.wordwise:
+            coded = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+            return [np.asarray(c.ids, "<u4").tobytes() for c in coded]
+        if self.cut:
+            parts = {i: self.cut.split(t) for i, t in enumerate(texts) if self.cut.search(t)}
+            if parts:
+                return self._around_control(texts, parts)
         words = [t.split() for t in texts]
         self.cache.learn(words)
         return [self.cache.get(w) for w in words]
 
+    def _around_control(self, texts: list[bytes], parts: dict[int, list[bytes]]) -> list[bytes]:
+        """Ids of texts some of which hold control strings: ``parts`` has those, cut with the control strings at odd places."""
+        flat = [p for i, t in enumerate(texts) for p in (parts[i][::2] if i in parts else [t])]
+        words = [p.split() for p in flat]
+        self.cache.learn(words)
+        own = iter([self.cache.get(w) for w in words])
+        out = []
+        for i in range(len(texts)):
+            pieces = [next(own)]
+            for c in parts[i][1::2] if i in parts else ():
+                pieces += [self.control[c], next(own)]
+            out.append(b"".join(pieces))
+        return out
+
 
-def word_ids(tokenizer_path: str) -> WordIds:
+def word_ids(tokenizer_path: str, control_ids: bool = True) -> WordIds:
     """The worker's encoder of a tokenizer, loaded once; its caches last for a task, as a worker may idle for long."""
-    store = kept("packing")
-    if tokenizer_path not in store:
-        store[tokenizer_path] = WordIds(tokenizer_path)
-    return store[tokenizer_path]
+    store, name = kept("packing"), (tokenizer_path, control_ids)
+    if name not in store:
+        store[name] = WordIds(tokenizer_path, control_ids=control_ids)
+    return store[name]
 
 
 def cut_lengths(n: int, max_len: int = MAX_LEN) -> list[int]:
@@ -137,11 +185,11 @@ def cut_lengths(n: int, max_len: int = MAX_LEN) -> list[int]:
     return [max_len] * full + [1 << b for b in range(max_len.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def _packer(tokenizer_path: str, max_len: int, end_id: int) -> Callable[[Iterable], Iterator]:
+def _packer(tokenizer_path: str, max_len: int, end_id: int, control_ids: bool) -> Callable[[Iterable], Iterator]:
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        words, end = word_ids(tokenizer_path), end_id.to_bytes(4, "little")
+        words, end = word_ids(tokenizer_path, control_ids), end_id.to_bytes(4, "little")
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
         names = ["doc_id", "start", "length", "bucket", "ids", "doc_tokens"]
         for batch, texts in text_chunks(batches, owner="packing"):
@@ -160,7 +208,7 @@ def _packer(tokenizer_path: str, max_len: int, end_id: int) -> Callable[[Iterabl
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, end_id: int = END_ID, control_ids: bool = True) -> DataFrame:
     """(doc_id, text) to one row per piece: doc_id, start, length, bucket, ids, doc_tokens, sequence_id, offset.
 
     ``max_len`` must be a power of two. ``ids`` are little-endian unsigned 32-bit. The sequence id holds the
@@ -170,7 +218,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, end_id: i
         raise ValueError("max_len must be a power of two")
     ship(docs.sparkSession)
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        lean(_packer(tokenizer_path, max_len, end_id)), _PIECES
+        lean(_packer(tokenizer_path, max_len, end_id, control_ids)), _PIECES
     )
     return pieces.withColumn(
         "sequence_id", F.shiftleft(F.col("bucket").cast("long"), 57) + F.monotonically_increasing_id()
