@@ -3,7 +3,9 @@
 A turn is (conversation, turn, role, parts); a part is text, image, audio or
 document. A visitor over the parts writes text as it is (control strings
 escaped) and every attachment as a placeholder ``<|image|>`` whose reference and
-expanded token count are recorded in order. The template is
+expanded token count are recorded in order. The placeholders are a closed set: an
+attachment of any other kind becomes ``<|attachment|>``, and its kind is recorded
+only, so no kind can forge a control string. The template is
 
     <|im_start|>ROLE\\nTEXT<|im_end|>\\n
 
@@ -13,13 +15,14 @@ backslashes + ``|`` becomes ``<`` + k+1 backslashes + ``|``, so no text can hold
 
 The output keeps the loss mask as segments: an array of (text, loss) whose
 texts, joined, are the formatted string; the segments of assistant texts alone
-carry loss.
+carry loss, placeholders inside an assistant's turn don't.
 
 Defined cases: null text, role or reference: empty; null turns sort first; rows
 with the same turn are ordered by role, then content, and repeated rows all
 stay; a null conversation id is a conversation of its own; extra columns are not
-read; an empty table gives no rows. All turns of a conversation meet in one row,
-as the formatted conversation is one string.
+read; an empty table gives no rows; texts of any length are formatted whole. All
+turns of a conversation meet in one row, as the formatted conversation is one
+string.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-START, END, LINE = "<|im_start|>", "<|im_end|>\n", "<|nl|>"
+START, END, LINE, OTHER = "<|im_start|>", "<|im_end|>\n", "<|nl|>", "<|attachment|>"
 PART = "struct<kind:string,text:string,ref:string,tokens:int>"
 #: Tokens that an attachment stands for when its part has no count of its own.
 EXPANDED_TOKENS = {"image": 256, "audio": 128, "document": 512}
@@ -58,24 +61,21 @@ def text_parts(text: Column) -> Column:
     )
 
 
+def _is_text(part: Column) -> Column:
+    return F.coalesce(part["kind"], F.lit("text")) == "text"
+
+
 def _visit(parts: Column) -> Column:
-    """Flattened text of the parts: placeholders in order, texts escaped."""
-    return F.array_join(
-        F.transform(
-            parts,
-            lambda p: F.when(F.coalesce(p["kind"], F.lit("text")) == "text", escape(p["text"])).otherwise(
-                F.concat(F.lit("<|"), p["kind"], F.lit("|>"))
-            ),
-        ),
-        "",
-    )
+    """The parts flattened to array<struct<text,said>>: escaped texts (said) and placeholders, in order."""
+    placeholder = lambda p: F.when(p["kind"].isin(*EXPANDED_TOKENS), F.concat(F.lit("<|"), p["kind"], F.lit("|>"))).otherwise(OTHER)
+    return F.transform(parts, lambda p: F.struct(F.when(_is_text(p), escape(p["text"])).otherwise(placeholder(p)).alias("text"), _is_text(p).alias("said")))
 
 
 def _attached(parts: Column) -> Column:
     """The attachments of the parts, in order."""
     count = F.create_map(*[F.lit(x) for kv in EXPANDED_TOKENS.items() for x in kv])
     return F.transform(
-        F.filter(parts, lambda p: F.coalesce(p["kind"], F.lit("text")) != "text"),
+        F.filter(parts, lambda p: ~_is_text(p)),
         lambda p: F.struct(
             p["kind"].alias("kind"),
             F.coalesce(p["ref"], F.lit("")).alias("ref"),
@@ -96,7 +96,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
         F.struct(
             F.col("turn").alias("turn"),
             F.coalesce("role", F.lit("")).alias("role"),
-            _visit(parts).alias("text"),
+            _visit(parts).alias("body"),
             _attached(parts).alias("attached"),
         ).alias("row"),
     )
@@ -104,10 +104,10 @@ def format_chats(turns: DataFrame) -> DataFrame:
     segments = F.flatten(
         F.transform(
             "rows",
-            lambda r: F.array(
-                F.struct(F.concat(F.lit(START), escape_role(r["role"]), F.lit("\n")).alias("text"), F.lit(False).alias("loss")),
-                F.struct(r["text"].alias("text"), (r["role"] == "assistant").alias("loss")),
-                F.struct(F.lit(END).alias("text"), F.lit(False).alias("loss")),
+            lambda r: F.concat(
+                F.array(F.struct(F.concat(F.lit(START), escape_role(r["role"]), F.lit("\n")).alias("text"), F.lit(False).alias("loss"))),
+                F.transform(r["body"], lambda b: F.struct(b["text"].alias("text"), (b["said"] & (r["role"] == "assistant")).alias("loss"))),
+                F.array(F.struct(F.lit(END).alias("text"), F.lit(False).alias("loss"))),
             ),
         )
     )
