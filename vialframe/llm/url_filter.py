@@ -2,7 +2,8 @@
 
 Each URL is expanded into host-suffix x path-prefix expressions: the host and
 every part of it that follows a dot, with the path cut to each length that a
-rule's path has. Expressions and rules meet in an equi-join on the first four
+rule's path has; suffixes with more labels than any rule's host fit none and are
+left out, so a URL of any length makes few. Expressions and rules meet in an equi-join on the first four
 bytes of their SHA-256; the whole digest confirms, and of the rules that fit a
 URL the longest wins (of equally long ones block before allow, then the
 smaller text). URLs that no rule fits get ``default``.
@@ -53,21 +54,22 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", key:
         F.concat("host", "path").alias("r_rule"),
         F.col("verdict").alias("r_verdict"),
         F.char_length("path").alias("r_cut"),
+        F.size(F.split("host", r"\.", -1)).alias("r_labels"),
     ).withColumn("short", F.substring("r_digest", 1, 8))
-    # the distinct path lengths: one row, at most as many values as rules have lengths
-    cuts = prepared.agg(F.array_sort(F.collect_set("r_cut"))).scalar()
+    # the distinct path lengths: one row, at most as many values as rules have lengths; with them the most labels of a host
+    shape = prepared.agg(F.struct(F.array_sort(F.collect_set("r_cut")).alias("cuts"), F.coalesce(F.max("r_labels"), F.lit(0)).alias("labels"))).scalar()
     rows = pages.select(
         F.monotonically_increasing_id().alias("row_uid"),
         F.col(key).alias("row_key"),
         url_host(F.col("url")).alias("host"),
         url_path(F.col("url")).alias("path"),
-    ).withColumn("cuts", cuts)
+    ).withColumn("shape", shape)
     parts = F.split("host", r"\.", -1)
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")
-    )
+    most = F.least(F.col("shape.labels"), F.size(parts))
+    last = F.slice(parts, F.size(parts) - most + 1, F.size(parts))
+    suffixes = F.when(most > 0, F.transform(F.sequence(F.lit(1), most), lambda i: F.array_join(F.slice(last, i, most), "."))).otherwise(F.array().cast("array<string>"))
     prefixes = F.transform(
-        F.filter("cuts", lambda n: n <= F.char_length("path")), lambda n: F.col("path").substr(F.lit(1), n)
+        F.filter("shape.cuts", lambda n: n <= F.char_length("path")), lambda n: F.col("path").substr(F.lit(1), n)
     )
     expressions = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: _digest(h, p))))
     expanded = rows.withColumn("digest", F.explode_outer(F.array_distinct(expressions)))
