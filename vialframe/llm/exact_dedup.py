@@ -141,6 +141,8 @@ def keep_one(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
         F.col("doc_id").cast("long").alias("keep_id"), F.lit(1).cast("long").alias("n"),
     )
     groups = digest_groups(rows, fan_in).select(F.col("digest").alias(names[0]), F.col("sha").alias(names[1]), F.col("n_bytes").alias(names[2]), F.col("keep_id").alias("_vf_keep"))
-    kept = keyed.join(groups, names).where(F.col("doc_id").eqNullSafe(F.col("_vf_keep")))
+    # the id is part of the key: copies that go never meet their group, so no key is hot
+    here = [F.col(f"k.{n}") == F.col(f"g.{n}") for n in names]
+    kept = keyed.alias("k").join(groups.alias("g"), [*here, F.col("k.doc_id").cast("long").eqNullSafe(F.col("g._vf_keep"))], "left_semi")
     # only rows that repeat a whole (doc_id, text) can still be double
     return kept.dropDuplicates(["doc_id", *names]).select(*docs.columns)
