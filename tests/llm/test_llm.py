@@ -332,6 +332,22 @@ def test_url_filter_edges(spark):
 
 
 # ------------------------------------------------------------------ 8 fingerprints
+def canon(text):
+    import unicodedata
+
+    for _ in range(2):
+        text = unicodedata.normalize("NFC", text).casefold()
+    return " ".join(text.split())
+
+
+def test_fingerprint_case_folding_is_full(spark):
+    texts = [f"a{chr(c)}B" for c in range(1, 0x30000) if chr(c).casefold() != chr(c) or chr(c).lower() != chr(c) or chr(c).isspace()]
+    texts += ["STRASSE", "straße", "ΣΑΣ σας", "\u03aa\u0301", "\u0390", "J\u030c", "\u01f0", "ﬃ", "İ i\u0307", "ᾳ \u03b1\u0345 ΑΙ", "\u1e9e", "Ꭰ ꭰ", "a\u0345\u0301 x", "\x1c\x1d y"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").repartition(4)
+    got = {r.i: r.n for r in rows.select("i", fingerprint.canonical(F.col("t")).alias("n")).collect()}
+    assert [(i, t, got[i]) for i, t in enumerate(texts) if got[i] != canon(t)] == []
+
+
 def test_fingerprints_equal_brute_force(spark, sf_dir):
     rows = documents(sf_dir)
     got = {r.doc_id: r for r in QUERIES["op8_fingerprints"](spark, sf_dir).collect()}
@@ -341,13 +357,17 @@ def test_fingerprints_equal_brute_force(spark, sf_dir):
         half = len(t) // 2
         edited = t[: len(t) - half] + follow[:half]
         assert got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[d].n_chars == len(t)
-        fold = lambda s: " ".join(s.lower().split())
+        fold = canon
         assert got[d].near_edited == float(fold(t) == fold(edited)) and got[d].near_next == float(fold(t) == fold(follow))
         assert prints.setdefault(fold(t), got[d].fingerprint) == got[d].fingerprint
     assert len(set(prints.values())) == len(prints)
+    groups = {}
+    for d, t in rows:
+        groups.setdefault(canon(t), []).append(d)
+    assert {d: (r.group_id, r.group_size) for d, r in got.items()} == {d: (min(g), len(g)) for g in groups.values() for d in g}
 
 
-def test_fingerprint_edges(spark):
+def test_fingerprint_edges(spark, monkeypatch):
     forms = ["É  x", "e\u0301 X ", "é x", " é\u00a0x\n"]
     rows = [(i, t) for i, t in enumerate(forms)] + [(10, None), (11, ""), (12, "  \n"), (13, "ạ\u0302 x"), (14, "q" * 50000), (14, "q" * 50000), (None, "n")]
     out = fingerprint.fingerprint_edits(clashing(docs(spark, rows))).collect()
@@ -357,7 +377,11 @@ def test_fingerprint_edges(spark):
     groups = {r.doc_id: (r.group_id, r.group_size) for r in fingerprint.exact_groups(docs(spark, rows)).collect()}
     assert groups[3] == (0, 4) and groups[12] == (10, 3)
     (one,) = fingerprint.fingerprint_edits(docs(spark, [(1, "abcd")])).collect()
-    assert (one.edited, one.near_next) == ("abab", 1.0)
+    assert (one.edited_sha256, one.near_next) == (hashlib.sha256(b"abab").hexdigest(), 1.0)
+    monkeypatch.setattr(fingerprint, "wide_digest", lambda c: F.lit("0" * 48))  # every bucket collides
+    groups = {r.doc_id: (r.group_id, r.group_size) for r in fingerprint.exact_groups(docs(spark, rows)).collect()}
+    assert groups[3] == (0, 4) and groups[12] == (10, 3) and groups[13] == (13, 1)
+    monkeypatch.undo()
     assert fingerprint.fingerprint_edits(docs(spark, rows).limit(0)).count() == 0
     rnd = random.Random(1)
     many = [(rnd.randrange(-50, 50) * 7, f"t{i}") for i in range(300)]

@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes and documents handled at once by a Python worker (one longer document is its own chunk).
 CHUNK_BYTES, CHUNK_DOCS = 1 << 20, 1024
@@ -28,9 +29,11 @@ _C_INV = pow(_C, -1, 1 << 64)
 
 # ----------------------------------------------------------------- shared folder
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and all run on this machine."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         got = "file://" + tempfile.mkdtemp(prefix="vialframe-shared-")
         spark.conf.set("spark.checkpoint.dir", got)
     return got.rstrip("/")
@@ -54,6 +57,21 @@ def discard(df: DataFrame | None) -> None:
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Parts into which the rows of a key are dealt where a group's values go back to its rows.
+SALTS = 64
+
+
+def salted_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """``rows`` left-joined with ``groups`` (one row per key) so that no key is hot.
+
+    The rows of a key are dealt over ``SALTS`` parts by a hash of ``spread``; a group is first sent to the parts that its
+    rows use, at most ``SALTS`` entries per key, and meets its rows there.
+    """
+    salted = rows.withColumn("_vf_salt", F.pmod(F.xxhash64(F.lit(7), spread), F.lit(SALTS)).cast("int"))
+    used = salted.select(*keys, "_vf_salt").distinct()
+    return salted.join(used.join(groups, keys), [*keys, "_vf_salt"], "left").drop("_vf_salt").select(*rows.columns, *[c for c in groups.columns if c not in keys])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import lean, shuffle_partitions
+from .common import lean, salted_groups, shuffle_partitions
 
 #: Runs that meet in one partition in a round.
 FAN_IN = 16
@@ -122,11 +122,12 @@ def mark_copies(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
         F.octet_length("t").cast("long").alias("n_bytes"),
     )
     groups = digest_groups(rows.select("digest", "sha", "n_bytes", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n")), fan_in)
-    return rows.join(groups, ["digest", "sha", "n_bytes"]).select(
+    keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return salted_groups(rows, groups.where("n > 1"), ["digest", "sha", "n_bytes"], "doc_id").select(
         "doc_id",
-        "keep_id",
-        F.col("n").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        keep.alias("keep_id"),
+        F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
+        F.col("doc_id").eqNullSafe(keep).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
 

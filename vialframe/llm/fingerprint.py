@@ -1,20 +1,23 @@
 """Operator 8: document fingerprints as canonical exact digests, with DataFrame functions only.
 
-The canonical text is NFC-composed, case-folded and white-space-folded; its
-fingerprint is a wide (3 x 64 bit) xxhash of it with its length. Fingerprints
-are equal exactly when canonical texts are, up to a 192-bit collision, which
-``likeness`` and ``exact_groups`` exclude by comparing the texts themselves
-inside equal buckets. An exact digest has no degrees: likeness is 1.0 or 0.0.
+The canonical text is NFC-composed, case-folded in full (not merely lower-cased)
+and white-space-folded; its fingerprint is a wide (3 x 64 bit) xxhash of it with its
+length. Documents are grouped by fingerprint, and the canonical bytes of every bucket
+with more than one row are compared, so a group holds equal canonical texts only.
+An exact digest has no degrees: likeness is 1.0 or 0.0.
 
 Spark has no Unicode normaliser, so NFC is done here in full: decomposition,
 canonical order of the marks and composition by tables of every code point, built
 from the rules in ``unicodedata`` at planning time, Hangul by its arithmetic. Only
-texts and clusters with a character that NFC may change are taken apart.
+texts and clusters with a character that NFC may change are taken apart. Folding can
+undo composition, so texts with marks are composed and folded twice.
 
 Defined cases: null text is empty; an empty or all-white text has the
 fingerprint of the empty text; the next document goes by ascending doc_id,
 nulls first, ties by text, the last document's next is the first, and a single
-document is its own next; repeated rows all stay; other columns are not read.
+document is its own next; repeated rows all stay, each counts in its group; a group
+of null ids only has a null group_id; texts of any length are read whole; other
+columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise, salted_groups
+
 _FIRST = -(1 << 63)
 
 
@@ -76,10 +81,20 @@ def _unicode() -> tuple[dict[int, str], dict[int, int], dict[int, str], dict[str
     return full, order, joins, classes
 
 
+def _map(entries: dict[str, str]) -> Column:
+    """A constant map that is one literal in the plan."""
+    return F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in entries.items())), F.lit("\x02"), F.lit("\x01"))
+
+
+def let(value: Column, use) -> Column:
+    """Evaluate ``value`` once and use it several times."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _table(entries: dict, kind: str):
     """char -> its entry, or null."""
     low = F.split(F.lit(",".join(str(entries.get(c, "")) if c != 0x2C else "" for c in range(_LOW))), ",")
-    high = F.create_map(*[F.lit(x) for c, v in entries.items() if c >= _LOW for x in (chr(c), str(v))])
+    high = _map({chr(c): str(v) for c, v in entries.items() if c >= _LOW})
 
     def look(ch: Column) -> Column:
         code = F.ascii(ch)
@@ -132,10 +147,32 @@ def _composed(text: Column) -> Column:
     return F.when(F.rlike(text, active), F.array_join(F.transform(clusters, fold), "")).otherwise(text)
 
 
+@lru_cache(maxsize=1)
+def _folds() -> dict[str, str]:
+    """What full case folding makes of a character that it changes."""
+    return {c: c.casefold() for c in map(chr, range(0x80, 0x110000)) if not 0xD800 <= ord(c) < 0xE000 and c.casefold() != c}
+
+
+def _folded(text: Column) -> Column:
+    """Full case folding: lower case, the frequent letters that fold on by themselves, the others by table where one occurs."""
+    rules = _folds()
+    low = F.lower(text)
+    for c in "ßςſµ":
+        low = F.replace(low, F.lit(c), F.lit(rules[c]))
+    near = "".join(c for c in rules if ord(c) < 0x300 and c == c.lower() and c not in "ßςſµ")
+    rest = F.lit(f"[{near}]|[[^\\x{{0}}-\\x{{2FF}}]&&[{_ranges([ord(c) for c in rules if ord(c) >= 0x300])}]]")
+    table = _map(rules)
+    return let(low, lambda x: F.when(F.rlike(x, rest), F.array_join(F.transform(F.split(x, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")).otherwise(x))
+
+
 def canonical(text: Column) -> Column:
-    """NFC, lower case, runs of white space to one space, trimmed; null to empty."""
-    folded = F.lower(_composed(F.coalesce(text, F.lit(""))))
-    return F.trim(F.regexp_replace(folded, r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+", " "))
+    """NFC, case-folded, runs of white space to one space, trimmed; null to empty."""
+    text = F.coalesce(text, F.lit(""))
+    active = F.lit(_unicode()[3]["active"])
+    # the second turn is for texts with marks alone
+    turns = F.aggregate(F.array(F.lit(0), F.lit(1)), text, lambda acc, i: F.when((i == 0) | F.rlike(acc, active), _folded(_composed(acc))).otherwise(acc))
+    folded = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(turns)
+    return F.trim(F.regexp_replace(folded, r"[\s\x0B\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+", " "))
 
 
 def wide_digest(canon: Column) -> Column:
@@ -148,20 +185,43 @@ def fingerprint(text: Column) -> Column:
     return wide_digest(canonical(text))
 
 
-def likeness(fp_a: Column, fp_b: Column, canon_a: Column, canon_b: Column) -> Column:
-    """1.0 where the fingerprints and, inside that bucket, the canonical bytes are equal, else 0.0."""
-    return F.when((fp_a == fp_b) & (canon_a == canon_b), F.lit(1.0)).otherwise(F.lit(0.0))
+def _several(prints: DataFrame) -> DataFrame:
+    """Buckets of several rows: fingerprint, group_id, group_size. Partial aggregation leaves a hot one a row per partition."""
+    return prints.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, group_id (smallest doc_id of the verified group), group_size.
+def grouped(prints: DataFrame, docs: DataFrame) -> DataFrame:
+    """``prints`` (a written table with doc_id and fingerprint) with group_id and group_size of its documents' texts.
 
-    Rows are first reduced to one per canonical text and partition by the partial aggregation; buckets
-    of equal digests group by the canonical bytes themselves.
+    Rows of buckets with several rows are looked up in ``docs`` again; their canonical bytes are compared by grouping
+    on them. Only if a bucket holds different texts (one number reaches the driver) are those told apart row by row.
     """
-    rows = docs.select("doc_id", canonical(F.col("text")).alias("canon")).withColumn("fingerprint", wide_digest(F.col("canon")))
-    groups = rows.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("group_size"))
-    return rows.join(groups, ["fingerprint", "canon"]).select("doc_id", "fingerprint", "group_id", "group_size")
+    several = materialise(_several(prints), "buckets")
+    suspects = prints.join(several, "fingerprint", "left_semi").select(F.col("doc_id").alias("_vf_id")).distinct()
+    texts = docs.select("doc_id", "text").join(suspects, F.col("doc_id").eqNullSafe(F.col("_vf_id")), "left_semi").select("doc_id", canonical(F.col("text")).alias("canon"))
+    texts = texts.withColumn("fingerprint", wide_digest(F.col("canon")))
+    kinds = texts.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    mixed = kinds.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("fingerprint")
+    if mixed.isEmpty():
+        out = salted_groups(prints, several, ["fingerprint"], "doc_id")
+    else:  # a 192-bit collision
+        own = texts.join(kinds, ["fingerprint", "canon"]).join(mixed, "fingerprint", "left_semi").groupBy("doc_id", "fingerprint").agg(F.min("least").alias("_vf_least"), F.min("n").alias("_vf_n"))
+        apart = own.withColumnsRenamed({"doc_id": "_vf_id", "fingerprint": "_vf_print"})
+        out = salted_groups(prints, several, ["fingerprint"], "doc_id").join(apart, F.col("doc_id").eqNullSafe(F.col("_vf_id")) & (F.col("fingerprint") == F.col("_vf_print")), "left")
+        out = out.withColumns({"group_size": F.coalesce("_vf_n", "group_size"), "group_id": F.coalesce("_vf_least", "group_id")}).select(*prints.columns, "group_id", "group_size")
+    alone = F.col("group_size").isNull()
+    return out.withColumns({"group_id": F.when(alone, F.col("doc_id")).otherwise(F.col("group_id")), "group_size": F.coalesce("group_size", F.lit(1).cast("long"))})
+
+
+def exact_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, group_id (smallest doc_id of the group), group_size."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return grouped(materialise(rows.select("doc_id", fingerprint(F.col("text")).alias("fingerprint")), "prints"), rows)
+
+
+def _longs(xs: list[int]) -> Column:
+    """A constant array that is one literal in the plan, however many partitions there are."""
+    return F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
 
 
 def _rank(limits: list[int], k: Column, inclusive: bool) -> Column:
@@ -169,18 +229,19 @@ def _rank(limits: list[int], k: Column, inclusive: bool) -> Column:
     if not limits:
         return F.lit(0)
     below = (lambda c: c <= k) if inclusive else (lambda c: c < k)
-    array = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    array = _longs
     step = max(1, int(len(limits) ** 0.5))
     coarse = F.size(F.filter(array(limits[step - 1 :: step]), below)) * step
     return coarse + F.size(F.filter(F.slice(array(limits), coarse + 1, F.lit(step)), below))
 
 
-def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, buckets: int | None = None, extra=None) -> DataFrame:
     """doc_id, text and next_text (null: empty) in the order of doc_id, without a global sort in one task.
 
     Ids are cut into ranges at quantiles; every range is sorted in its own task, and the first rows of a
     range are also sent to the range before it (the first of all to the last), where they only serve as
-    the next of its last row. Only the range limits, at most ``buckets`` numbers, reach the driver.
+    the next of its last row. Only the range limits, at most ``buckets`` numbers, reach the driver. ``extra(text,
+    next_text)`` gives a column ``own``, handed on with the next document's ``next_own``.
     """
     spark = docs.sparkSession
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST))
@@ -191,13 +252,16 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     bucket = _rank(cuts, F.col("k"), inclusive=False)
     firsts = [r[0] for r in ids.groupBy(bucket.alias("b")).agg(F.min("k").alias("m")).orderBy("b").select("m").collect()]
     placed = keyed.withColumn("b", _rank(firsts, F.col("k"), inclusive=True))  # 1-based; ranges without rows vanish
-    starts = F.array(*[F.lit(m).cast("long") for m in firsts or [0]])
+    starts = _longs(firsts or [0])
     own = F.struct(F.col("b").alias("b"), F.lit(0).alias("ghost"))
     before = F.struct(F.when(F.col("b") == 1, F.lit(max(1, len(firsts)))).otherwise(F.col("b") - 1).alias("b"), F.lit(1).alias("ghost"))
     copies = F.when(F.element_at(starts, F.col("b")) == F.col("k"), F.array(own, before)).otherwise(F.array(own))
     sent = placed.withColumn("c", F.explode(copies)).select("doc_id", "k", "text", F.col("c.b").alias("b"), F.col("c.ghost").alias("ghost"))
     window = Window.partitionBy("b").orderBy("ghost", "k", "text")
-    return sent.withColumn("next_text", F.lead("text").over(window)).where("ghost = 0").select("doc_id", "text", "next_text")
+    rows = sent.withColumn("next_text", F.lead("text").over(window))
+    if extra is not None:  # one more column and its next, without another shuffle or sort
+        rows = rows.withColumn("own", extra(F.col("text"), F.col("next_text"))).withColumn("next_own", F.lead("own").over(window))
+    return rows.where("ghost = 0").drop("b", "ghost", "k")
 
 
 def edited_text(text: Column, following: Column) -> Column:
@@ -207,24 +271,26 @@ def edited_text(text: Column, following: Column) -> Column:
     return F.concat(F.substr(text, F.lit(1), n - half), F.substr(following, F.lit(1), half))
 
 
+def _prints(text: Column, following: Column) -> Column:
+    """Of a text and its edit: both fingerprints and whether their canonical bytes are equal."""
+    canon = F.transform(F.array(text, edited_text(text, F.coalesce(following, F.lit("")))), canonical)
+    return let(canon, lambda c: F.struct(wide_digest(c[0]).alias("text"), wide_digest(c[1]).alias("edit"), (c[0] == c[1]).alias("same")))
+
+
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    """Per document: its text's and its edited text's fingerprint and how alike they and the next document's are."""
-    rows = with_next(docs).withColumn("edited", edited_text(F.col("text"), F.col("next_text")))
-    rows = rows.select(
+    """Per document: doc_id, n_chars, edited_sha256, its text's and its edited text's fingerprint, how alike they and the
+    next document's are, and its group (group_id: smallest doc_id with an equal canonical text, group_size)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = with_next(docs, extra=_prints)
+    equal = let(F.transform(F.array("text", "next_text"), canonical), lambda c: c[0] == c[1])  # asked inside equal buckets only
+    near = F.when(F.col("own.text") == F.col("next_own.text"), (F.col("text") == F.col("next_text")) | equal).otherwise(F.lit(False))
+    prints = rows.select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
-        "edited",
-        canonical(F.col("text")).alias("c0"),
-        canonical(F.col("edited")).alias("c1"),
-        canonical(F.col("next_text")).alias("c2"),
-    )
-    rows = rows.withColumns({f"f{i}": wide_digest(F.col(f"c{i}")) for i in range(3)})
-    return rows.select(
-        "doc_id",
-        "n_chars",
-        "edited",
-        F.col("f0").alias("fingerprint"),
-        F.col("f1").alias("edited_fingerprint"),
-        likeness(F.col("f0"), F.col("f1"), F.col("c0"), F.col("c1")).alias("near_edited"),
-        likeness(F.col("f0"), F.col("f2"), F.col("c0"), F.col("c2")).alias("near_next"),
+        F.sha2(edited_text(F.col("text"), F.col("next_text")).cast("binary"), 256).alias("edited_sha256"),
+        F.col("own.text").alias("fingerprint"),
+        F.col("own.edit").alias("edited_fingerprint"),
+        F.col("own.same").cast("double").alias("near_edited"),
+        near.cast("double").alias("near_next"),
     )
+    return grouped(materialise(prints, "prints"), docs)

@@ -118,11 +118,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fingerprint.fingerprint_edits(_table(spark, sf_dir, "documents"))
-    return rows.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        "fingerprint", "edited_fingerprint", "near_edited", "near_next",
-    )
+    return fingerprint.fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
