@@ -33,6 +33,8 @@ from .common import materialise, salted_groups
 _FIRST = -(1 << 63)
 
 
+#: Characters that NFC and white space need a look at: those below are as they should be, or handled by themselves.
+_HIGH = r"[^\x{0}-\x{2FF}]"
 #: Below this code point the tables are arrays, above it (few entries) maps.
 _LOW = 0x3100
 #: Marks that Unicode added after version 13, which Java 17's \p{M} doesn't know.
@@ -76,7 +78,7 @@ def _unicode() -> tuple[dict[int, str], dict[int, int], dict[int, str], dict[str
         "after": after,
         "gone": _ranges(gone),
         "marks": _ranges(list(order)),
-        "active": rf"[[^\x{{0}}-\x{{2FF}}]&&[{_ranges([*seconds, *gone])}\x{{1161}}-\x{{1175}}\x{{11A8}}-\x{{11C2}}]]|[\p{{M}}{_NEWER}]{{2}}",
+        "active": rf"(?={_HIGH})(?:[{_ranges([*seconds, *gone])}\x{{1161}}-\x{{1175}}\x{{11A8}}-\x{{11C2}}]|[\p{{M}}{_NEWER}]{{2}})",
     }
     return full, order, joins, classes
 
@@ -144,7 +146,7 @@ def _composed(text: Column) -> Column:
         whole = F.aggregate(F.flatten(F.transform(runs, ranked)), start, step, lambda acc: F.concat(acc["out"], acc["last"], acc["wait"]))
         return F.when(F.rlike(cluster, active), whole).otherwise(cluster)
 
-    return F.when(F.rlike(text, active), F.array_join(F.transform(clusters, fold), "")).otherwise(text)
+    return F.when(F.rlike(text, F.lit(_HIGH)) & F.rlike(text, active), F.array_join(F.transform(clusters, fold), "")).otherwise(text)
 
 
 @lru_cache(maxsize=1)
@@ -160,19 +162,26 @@ def _folded(text: Column) -> Column:
     for c in "ßςſµ":
         low = F.replace(low, F.lit(c), F.lit(rules[c]))
     near = "".join(c for c in rules if ord(c) < 0x300 and c == c.lower() and c not in "ßςſµ")
-    rest = F.lit(f"[{near}]|[[^\\x{{0}}-\\x{{2FF}}]&&[{_ranges([ord(c) for c in rules if ord(c) >= 0x300])}]]")
+    rest = F.lit(f"[{near}]|(?={_HIGH})[{_ranges([ord(c) for c in rules if ord(c) >= 0x300])}]")
     table = _map(rules)
     return let(low, lambda x: F.when(F.rlike(x, rest), F.array_join(F.transform(F.split(x, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")).otherwise(x))
 
 
+#: White space but the blank, in Latin-1 and beyond.
+_GAP = r"\x{9}\x{A}\x{B}\x{C}\x{D}\x{1C}\x{1D}\x{1E}\x{1F}\x{85}\x{A0}"
+_WIDE_GAP = r"\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
 def canonical(text: Column) -> Column:
     """NFC, case-folded, runs of white space to one space, trimmed; null to empty."""
     text = F.coalesce(text, F.lit(""))
     active = F.lit(_unicode()[3]["active"])
     # the second turn is for texts with marks alone
-    turns = F.aggregate(F.array(F.lit(0), F.lit(1)), text, lambda acc, i: F.when((i == 0) | F.rlike(acc, active), _folded(_composed(acc))).otherwise(acc))
-    folded = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(turns)
-    return F.trim(F.regexp_replace(folded, r"[\s\x0B\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+", " "))
+    turns = F.aggregate(F.array(F.lit(0), F.lit(1)), text, lambda acc, i: F.when((i == 0) | (F.rlike(acc, F.lit(_HIGH)) & F.rlike(acc, active)), _folded(_composed(acc))).otherwise(acc))
+    wide = F.regexp_replace(turns, rf"(?={_HIGH})[{_WIDE_GAP}]", " ")
+    folded = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(wide)
+    # a lone blank is no match, so most texts are not written anew word by word
+    return F.trim(F.regexp_replace(folded, f" [ {_GAP}]+|[{_GAP}][ {_GAP}]*", " "))
 
 
 def wide_digest(canon: Column) -> Column:
