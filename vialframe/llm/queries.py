@@ -89,7 +89,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", "n_paragraphs", "paragraph", "family", F.round("probability", 6).alias("probability"), F.round("template_share", 6).alias("template_share"))
+    return rows.select("doc_id", "n_paragraphs", "paragraph", "line", "family", F.round("probability", 4).alias("probability"), F.round("template_share", 6).alias("template_share"))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
