@@ -28,9 +28,11 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, salted_groups
+from .common import discard, materialise, salted_groups
 
 _FIRST = -(1 << 63)
+#: Bits of the sieve: 4 MB, 1024 rows.
+SIEVE = 1 << 25
 
 
 #: Characters that NFC and white space need a look at: those below are as they should be, or handled by themselves.
@@ -109,29 +111,30 @@ def _composed(text: Column) -> Column:
     """NFC: clusters are decomposed, their marks ordered, and folded into the starters one by one."""
     full, order, joins, classes = _unicode()
     decomposed, rank, seconds = _table(full, "string"), _table(order, "int"), _table(joins, "string")
-    hangul = F.split(F.lit("".join(map(chr, range(0xAC00, 0xD7A4)))), "")
     active = F.lit(classes["active"])
     after, gone, marks = classes["after"], classes["gone"], classes["marks"]
     clusters = F.regexp_extract_all(text, F.lit(rf"(?s)([^{after}{gone}]+(?![{after}])|[^{after}][{after}]*|[{after}]+)"), F.lit(1))
     state = "struct<out:string,last:string,wait:string,rank:int>"
 
     def joined(last: Column, ch: Column) -> Column:
-        a, b, have = F.ascii(last), F.ascii(ch), seconds(last)
+        """What the two make together, or null. Tables are looked up once, so that the plan holds each of them once."""
+        a, b = F.ascii(last), F.ascii(ch)
         at = F.when(a.between(0x1100, 0x1112) & b.between(0x1161, 0x1175), ((a - 0x1100) * 21 + b - 0x1161) * 28).when(
             a.between(0xAC00, 0xD7A3) & ((a - 0xAC00) % 28 == 0) & b.between(0x11A8, 0x11C2), a - 0xAC00 + b - 0x11A7
         )
-        place = F.instr(have, ch)
-        return F.when(last == "", F.lit(None)).when(at.isNotNull(), F.element_at(hangul, at + 1)).when(place > 0, F.substr(have, place + 1, F.lit(1)))
+        syllable = let(at, lambda n: F.when(n.isNotNull(), F.decode(F.unhex(F.hex(n + 0xAC00)), "UTF-16BE")))
+        by_table = let(seconds(last), lambda have: let(F.instr(have, ch), lambda place: F.when(place > 0, F.substr(have, place + 1, F.lit(1)))))
+        return F.when(last != "", F.coalesce(syllable, by_table))
 
     def step(acc: Column, x: Column) -> Column:
-        ch, here, new = x["ch"], x["rank"], x["ch"]
+        ch, here = x["ch"], x["rank"]
         free = (acc["wait"] == "") | (acc["rank"] < here)
-        new = F.when(free, joined(acc["last"], ch))
         made = lambda out, last, wait, r: F.struct(out.alias("out"), last.alias("last"), wait.alias("wait"), r.alias("rank"))
-        return (
-            F.when(new.isNotNull(), made(acc["out"], new, acc["wait"], acc["rank"]))
+        return let(
+            F.when(free, joined(acc["last"], ch)),
+            lambda new: F.when(new.isNotNull(), made(acc["out"], new, acc["wait"], acc["rank"]))
             .when(here == 0, made(F.concat(acc["out"], acc["last"], acc["wait"]), ch, F.lit(""), F.lit(0)))
-            .otherwise(made(acc["out"], acc["last"], F.concat(acc["wait"], ch), here))
+            .otherwise(made(acc["out"], acc["last"], F.concat(acc["wait"], ch), here)),
         )
 
     def ranked(part: Column) -> Column:
@@ -199,25 +202,41 @@ def _several(prints: DataFrame) -> DataFrame:
     return prints.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
 
 
+def _sieve(ids: DataFrame, bits: int) -> DataFrame:
+    """(bucket, bits): which of ``bits`` hash values the doc_ids have; at most bits / 32768 rows of 4 KB, whatever the input."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1
+    return ids.groupBy(F.bitmap_bucket_number(bit).alias("_vf_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_vf_bits"))
+
+
+def _sifted(docs: DataFrame, sieve: DataFrame, bits: int) -> DataFrame:
+    """The rows whose doc_id has its bit in the sieve: all that were put in and, the fuller it is, others."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring(F.col("_vf_bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return docs.join(F.broadcast(sieve), F.bitmap_bucket_number(bit) == F.col("_vf_bucket")).where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*docs.columns)
+
+
 def grouped(prints: DataFrame, docs: DataFrame) -> DataFrame:
     """``prints`` (a written table with doc_id and fingerprint) with group_id and group_size of its documents' texts.
 
-    Rows of buckets with several rows are looked up in ``docs`` again; their canonical bytes are compared by grouping
-    on them. Only if a bucket holds different texts (one number reaches the driver) are those told apart row by row.
+    The texts of buckets with several rows are read again and grouped by their canonical bytes; a sieve of bounded size
+    keeps most others from being read so (past some ten million copies more texts pass, at worst all). Only if a bucket
+    holds different texts (one number reaches the driver) are those told apart row by row.
     """
     several = materialise(_several(prints), "buckets")
-    suspects = prints.join(several, "fingerprint", "left_semi").select(F.col("doc_id").alias("_vf_id")).distinct()
-    texts = docs.select("doc_id", "text").join(suspects, F.col("doc_id").eqNullSafe(F.col("_vf_id")), "left_semi").select("doc_id", canonical(F.col("text")).alias("canon"))
-    texts = texts.withColumn("fingerprint", wide_digest(F.col("canon")))
+    out = materialise(salted_groups(prints, several, ["fingerprint"], "doc_id"), "groups")
+    discard(prints)
+    discard(several)
+    texts = _sifted(docs.select("doc_id", "text"), _sieve(out.where("group_size IS NOT NULL").select("doc_id"), SIEVE), SIEVE)
+    texts = texts.select("doc_id", canonical(F.col("text")).alias("canon")).withColumn("fingerprint", wide_digest(F.col("canon")))
     kinds = texts.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     mixed = kinds.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("fingerprint")
-    if mixed.isEmpty():
-        out = salted_groups(prints, several, ["fingerprint"], "doc_id")
-    else:  # a 192-bit collision
+    if not mixed.isEmpty():  # a 192-bit collision
         own = texts.join(kinds, ["fingerprint", "canon"]).join(mixed, "fingerprint", "left_semi").groupBy("doc_id", "fingerprint").agg(F.min("least").alias("_vf_least"), F.min("n").alias("_vf_n"))
         apart = own.withColumnsRenamed({"doc_id": "_vf_id", "fingerprint": "_vf_print"})
-        out = salted_groups(prints, several, ["fingerprint"], "doc_id").join(apart, F.col("doc_id").eqNullSafe(F.col("_vf_id")) & (F.col("fingerprint") == F.col("_vf_print")), "left")
-        out = out.withColumns({"group_size": F.coalesce("_vf_n", "group_size"), "group_id": F.coalesce("_vf_least", "group_id")}).select(*prints.columns, "group_id", "group_size")
+        columns = out.columns
+        out = out.join(apart, F.col("doc_id").eqNullSafe(F.col("_vf_id")) & (F.col("fingerprint") == F.col("_vf_print")), "left")
+        out = out.withColumns({"group_size": F.coalesce("_vf_n", "group_size"), "group_id": F.coalesce("_vf_least", "group_id")}).select(*columns)
     alone = F.col("group_size").isNull()
     return out.withColumns({"group_id": F.when(alone, F.col("doc_id")).otherwise(F.col("group_id")), "group_size": F.coalesce("group_size", F.lit(1).cast("long"))})
 
