@@ -124,5 +124,34 @@ def test_page_images(spark):
     assert images.quarter_turn(page, 90).shape == (1100, 700) and (images.quarter_turn(images.quarter_turn(page, 90), 270) == page).all()
     rows = [("a", 1, images.encode(images.turn(page, 3.0))), ("b", 1, b"broken")]
     out = {r.doc_id: r for r in images.clean_pages(spark.createDataFrame(rows, "doc_id string, page int, image binary")).collect()}
-    assert out["b"].problem and any(s.startswith("deskew +3") or s.startswith("deskew +2.9") for s in out["a"].steps)
+    taken = {s.measure: s for s in out["a"].steps}
+    assert out["b"].problem and taken["skew"].repaired and abs(taken["skew"].value - 3) <= 0.2 and list(taken) == [r[0] for r in images.REPAIRS]
+    assert not taken["rotation"].repaired and not taken["shrink"].repaired and taken["light"].repaired
     assert abs(images.skew(images.decode(bytes(out["a"].image)))) <= 0.4
+
+
+def test_image_filters():
+    import numpy as np
+
+    from vialframe.sources import images
+
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 255, (60, 80)).astype(np.uint8)
+    tap = np.exp(-0.5 * (np.arange(-6, 7) / 2.0) ** 2)
+    tap /= tap.sum()
+    want = sum(t * np.pad(x.astype(float), ((6, 6), (0, 0)), mode="edge")[i : i + 60] for i, t in enumerate(tap))
+    want = sum(t * np.pad(want, ((0, 0), (6, 6)), mode="edge")[:, i : i + 80] for i, t in enumerate(tap))
+    assert np.abs(images.gauss(x, 2.0) - want).max() < 1e-9
+    ramp = np.tile(np.linspace(0, 255, 400), (300, 1))
+    assert np.abs(images.gauss(ramp, 20.0)[:, 80:-80] - ramp[:, 80:-80]).max() < 3
+    step = np.full((64, 64), 200, np.uint8)
+    step[:, 32:] = 40
+    noisy = np.clip(step + rng.normal(0, 6, step.shape), 0, 255).astype(np.uint8)
+    calm = images.quiet(noisy)
+    assert np.abs(calm.astype(int) - step).mean() < 0.5 * np.abs(noisy.astype(int) - step).mean() and calm[:, 30].mean() - calm[:, 34].mean() > 140
+    flat = np.clip(120 + rng.normal(0, 5, (160, 160)), 0, 255).astype(np.uint8)
+    assert images.local_contrast(flat).std() > 1.5 * flat.std() and images.contrast(np.full((9, 9), 7, np.uint8)) == 0
+    runs = images._runs(np.array([[1, 1, 0, 1], [0, 0, 0, 0], [1, 1, 1, 1]], bool), 1)
+    assert runs.tolist() == [[2, 2, 0, 1], [0, 0, 0, 0], [4, 4, 4, 4]]
+    assert images.recognition_scale(1000, 1000, 2.0) == 2.0 and images.recognition_scale(3600, 100, 2.0) == 1.0 and images.recognition_scale(7200, 4000, 1.0) == 0.5
+    assert images.recognition_engine(enabled=False) is None

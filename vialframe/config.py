@@ -2,6 +2,29 @@
 
 from __future__ import annotations
 
+# ---- white space: the inside of a class with all of Unicode's, as Spark's trim strips blanks and its \s knows ASCII only
+SPACE = r" \x{9}-\x{D}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def spaced(pattern: str) -> str:
+    """A pattern whose \\s and \\S stand for all white space, inside classes and outside."""
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        two = pattern[at : at + 2]
+        if two == r"\s":
+            out.append(SPACE if inside else f"[{SPACE}]")
+        elif two == r"\S":
+            out.append(f"[^{SPACE}]")
+        elif two[0] == "\\":
+            out.append(two)
+        else:
+            inside = two[0] == "[" or (inside and two[0] != "]")
+            out.append(two[0])
+            at -= 1
+        at += 2
+    return "".join(out)
+
+
 # ---- pages and layout
 DIGITAL_PAGE_MIN_CHARS = 20
 TEXT_INPUT_MIN_CHARS = 400
@@ -19,12 +42,12 @@ METADATA_MARKERS = (
     "location", "report date", "sample drawn date", "sample regd", "sample auth date",
 )
 NUMBER = r"\d+\.?\d*"
-RANGE_PATTERN = r"\d+\.?\d*\s*-\s*\d+\.?\d*|[<>]\s*\d+\.?\d*|\(.+\)"
-PURE_RANGE_PATTERN = r"^(?:\d+\.?\d*\s*-\s*\d+\.?\d*|[<>]\s*\d+\.?\d*)$"
+RANGE_PATTERN = spaced(r"\d+\.?\d*\s*-\s*\d+\.?\d*|[<>]\s*\d+\.?\d*|\(.+\)")
+PURE_RANGE_PATTERN = spaced(r"^(?:\d+\.?\d*\s*-\s*\d+\.?\d*|[<>]\s*\d+\.?\d*)$")
 UNIT_SHAPE_PATTERN = r"^[A-Za-z%/°μu³\*\d\.\-]{1,20}$"
 KNOWN_UNIT_PATTERN = r"(?i)^(?:[A-Za-zµμ%]+/[A-Za-z0-9µμ%\^\*]+|%|fl|pg|sec|s|10[\*\^]\d+/\w+|x10[\*\^]?\d+/?\w*|mm/hr)$"
-SPECIMEN_PATTERN = r"(?i)specimen\s*:?\s*([A-Za-z ]+)"
-TOKEN_SPLIT_PATTERN = r"\s{2,}|\.{2,}"
+SPECIMEN_PATTERN = spaced(r"(?i)specimen\s*:?\s*([A-Za-z ]+)")
+TOKEN_SPLIT_PATTERN = spaced(r"\s{2,}|\.{2,}")
 
 # ---- units
 UNIT_VARIANTS = {
@@ -93,9 +116,9 @@ CONTENT_TYPES = {
 SECRET_PATTERNS = (
     (r"AIza[0-9A-Za-z_\-]{20,}", "[REDACTED]"),
     (r"sk-[A-Za-z0-9_\-]{16,}", "[REDACTED]"),
-    (r"(?i)(bearer\s+)[A-Za-z0-9._\-]{16,}", "$1[REDACTED]"),
-    (r"(?i)(x-api-key['\"]?\s*[:=]\s*['\"]?)[^\s'\",}]+", "$1[REDACTED]"),
-    (r"(?i)((?:api[_-]?key|key)=)[^&\s'\"]{8,}", "$1[REDACTED]"),
+    (spaced(r"(?i)(bearer\s+)[A-Za-z0-9._\-]{16,}"), "$1[REDACTED]"),
+    (spaced(r"(?i)(x-api-key['\"]?\s*[:=]\s*['\"]?)[^\s'\",}]+"), "$1[REDACTED]"),
+    (spaced(r"(?i)((?:api[_-]?key|key)=)[^&\s'\"]{8,}"), "$1[REDACTED]"),
 )
 #: Names that stand for one code whatever lists them (code, names).
 ALIAS_OVERRIDES: dict[str, tuple[str, ...]] = {
@@ -137,7 +160,28 @@ MAX_SKEW_DEG, MIN_SKEW_DEG = 15.0, 0.3
 MAX_IMAGE_PIXELS, MIN_IMAGE_WIDTH = 9_000_000, 1000
 NOISE_LIMIT, SHARPNESS_LIMIT, CONTRAST_LIMIT = 0.8, 250.0, 150.0
 ORIENTATION_CONFIDENCE = 1.5
+MAX_OCR_WIDTH, MAX_OCR_PIXELS = 3600, 8_000_000
+MODEL_IMAGE_SIDE, MODEL_IMAGE_QUALITY = 2000, 80
 #: Input limits of a row that a person adds or edits: column, most characters.
 INPUT_LIMITS = {
     "original_test_name": 512, "value": 512, "unit": 128, "reference_range": 4000, "specimen": 256, "method": 512, "timing": 256, "flag": 64,
 }
+
+
+def settings(spark=None, env: dict[str, str] | None = None) -> dict[str, object]:
+    """SRC-23: the scalar values of this module, overridden by environment variables (VIALFRAME_NAME), these by Spark
+    settings (spark.vialframe.name). An override must read as the value's own kind."""
+    import os
+
+    env = dict(os.environ) if env is None else env
+    out: dict[str, object] = {}
+    for name, value in sorted(globals().items()):
+        if not name.isupper() or not isinstance(value, bool | int | float | str):
+            continue
+        given = env.get(f"VIALFRAME_{name}")
+        if spark is not None:
+            given = spark.conf.get(f"spark.vialframe.{name.lower()}", given)
+        if given is not None:
+            value = given.strip().lower() in ("1", "true", "yes", "on") if isinstance(value, bool) else type(value)(given)
+        out[name] = value
+    return out

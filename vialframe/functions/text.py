@@ -13,14 +13,19 @@ def clean(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
 
 
+def strip(s: Column, chars: str = C.SPACE) -> Column:
+    """Without white space (of any script, or the given characters of a class) at both ends."""
+    return F.regexp_replace(s, f"^[{chars}]+|[{chars}]+$", "")
+
+
 def blank_to_null(s: Column) -> Column:
     """FN-21: null for what is empty after trimming."""
-    return F.when(F.trim(s) != "", s)
+    return F.when(strip(s) != "", s)
 
 
 def standardize_unit(raw: Column) -> Column:
     """FN-02: drop [H], [L] and [ ] marks, trim, micro sign to u, and the common variants to one spelling."""
-    bare = F.translate(F.trim(F.regexp_replace(raw, r"\[(H|L)\]|\[\s*\]", "")), "µ", "u")
+    bare = F.translate(strip(F.regexp_replace(raw, C.spaced(r"\[(H|L)\]|\[\s*\]"), "")), "µ", "u")
     known = F.create_map(*[F.lit(x) for kv in [*C.UNIT_VARIANTS.items(), ("ul", "uL")] for x in kv])
     return F.nullif(F.coalesce(F.try_element_at(known, F.lower(bare)), bare), F.lit(""))
 
@@ -49,7 +54,7 @@ def clip(s: Column, limit: int) -> Column:
 
 def short(s: Column, limit: int = 90) -> Column:
     """FN-25: white space collapsed, then clipped."""
-    return clip(F.trim(F.regexp_replace(s, r"\s+", " ")), limit)
+    return clip(F.trim(F.regexp_replace(s, C.spaced(r"\s+"), " ")), limit)
 
 
 def describe_error(kind: Column, message: Column) -> Column:
@@ -163,7 +168,7 @@ def status_label(status: Column, cancel_requested: Column) -> Column:
 def input_problem(created: bool = True) -> Column:
     """FN-21: why a row that a person adds (or edits) is refused, over its columns; null if it is fine."""
     name = F.col("original_test_name")
-    blank = (F.trim(name) == "") | (name.isNull() if created else F.lit(False))
+    blank = (strip(name) == "") | (name.isNull() if created else F.lit(False))
     checks = [F.when(F.length(c) > n, F.lit(f"{c} is longer than {n} characters")) for c, n in C.INPUT_LIMITS.items()]
     page = [F.when(F.col("page_number") < 1, F.lit("page_number must be 1 or more"))] if created else []
     return F.coalesce(F.when(blank, F.lit("original_test_name must not be blank")), *checks, *page)

@@ -6,19 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from .text import clean, standardize_unit
+from .text import clean, standardize_unit, strip
 
 
 def parse_range(text: Column) -> Column:
     """FN-12: struct(lo, hi) of the first 'number - number' with lo < hi, else null."""
-    lo = F.nullif(F.regexp_extract(text, r"(\d+\.?\d*)\s*-\s*(\d+\.?\d*)", 1), F.lit("")).try_cast("double")
-    hi = F.nullif(F.regexp_extract(text, r"(\d+\.?\d*)\s*-\s*(\d+\.?\d*)", 2), F.lit("")).try_cast("double")
+    lo = F.nullif(F.regexp_extract(text, C.spaced(r"(\d+\.?\d*)\s*-\s*(\d+\.?\d*)"), 1), F.lit("")).try_cast("double")
+    hi = F.nullif(F.regexp_extract(text, C.spaced(r"(\d+\.?\d*)\s*-\s*(\d+\.?\d*)"), 2), F.lit("")).try_cast("double")
     return F.when(lo < hi, F.struct(lo.alias("lo"), hi.alias("hi")))
 
 
 def number(value: Column) -> Column:
     """FN-13: the number that the whole trimmed value is, a leading < or > allowed; else null."""
-    return F.nullif(F.regexp_extract(F.trim(value), r"^[<>]?\s?(\d+\.?\d*)$", 1), F.lit("")).try_cast("double")
+    return F.nullif(F.regexp_extract(strip(value), C.spaced(r"^[<>]?\s?(\d+\.?\d*)$"), 1), F.lit("")).try_cast("double")
 
 
 def suggest_decimal_fix(value: Column, reference_range: Column) -> Column:
@@ -38,7 +38,7 @@ def decimal_fix(value: Column, n: Column, rng: Column) -> Column:
 
 def flag_conflicts(flag: Column, n: Column, rng: Column) -> Column:
     """FN-15: the printed flag contradicts value and range; false where one is missing."""
-    f = F.lower(F.trim(flag))
+    f = F.lower(strip(flag))
     wrong = (
         (f.isin("normal", "n") & ~((n >= rng["lo"]) & (n <= rng["hi"])))
         | (f.isin("h", "high") & (n <= rng["hi"]))
@@ -54,7 +54,7 @@ def unit_recognized(unit: Column) -> Column:
 
 def plain_unit(unit: Column) -> Column:
     """The standard form in lower case; null: empty."""
-    return F.lower(F.trim(F.coalesce(standardize_unit(unit), F.lit(""))))
+    return F.lower(strip(F.coalesce(standardize_unit(unit), F.lit(""))))
 
 
 def known_unit(std: Column) -> Column:
@@ -111,7 +111,7 @@ def validate_rows(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({"_hint": decimal_fix(value, F.col("_n"), F.col("_rng")), "_bad_flag": flag_conflicts(flag, F.col("_n"), F.col("_rng"))})
     n, hint = F.col("_n"), F.col("_hint")
     junk = ocr & fixed.isNull() & junk_label(name, F.col("known"))
-    bare = ocr & ~junk & F.coalesce(F.rlike(F.trim(unit), F.lit(r"^[<>]?\d+\.?\d*$")), F.lit(False))
+    bare = ocr & ~junk & F.coalesce(F.rlike(strip(unit), F.lit(r"^[<>]?\d+\.?\d*$")), F.lit(False))
     text_value = n.isNull() & value.isNotNull() & ~F.rlike(value, F.lit(r"^[A-Za-z][A-Za-z \-]*$"))
     bad_unit, bad_flag = F.col("_bad_unit"), F.col("_bad_flag")
     show = lambda c: F.coalesce(c, F.lit("None"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 from ..functions.text import clean
 from ..session import ship
 
@@ -14,7 +16,7 @@ def score_gold(gold: DataFrame, observations: DataFrame) -> DataFrame:
 
     gold: file, original_test_name, value, loinc_code, expect_status array; observations: file, row_idx and the like.
     """
-    name = F.lower(F.trim("original_test_name"))
+    name = F.lower(strip(F.col("original_test_name")))
     last = Window.partitionBy("file", "k").orderBy(F.desc("row_idx"))
     seen = observations.withColumn("k", name).withColumn("_n", F.row_number().over(last)).where("_n = 1").select(
         "file", "k", F.lit(True).alias("hit"), F.col("value").alias("got_value"), F.col("loinc_code").alias("got_code"), F.col("mapping_status").alias("got_status")

@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import standardize_unit
+from ..config import spaced
+from ..functions.text import standardize_unit, strip
 
 STATUS_URL, CONFIDENCE_URL = "urn:vialframe:mapping-status", "urn:vialframe:mapping-confidence"
-_RANGE = r"^\s*([-+]?\d+(?:\.\d+)?)\s*-\s*([-+]?\d+(?:\.\d+)?)\s*$"
+_RANGE = spaced(r"^\s*([-+]?\d+(?:\.\d+)?)\s*-\s*([-+]?\d+(?:\.\d+)?)\s*$")
 
 
 def is_pure_number(value: Column) -> Column:
-    return F.rlike(F.trim(value), F.lit(r"^[-+]?\d+(?:\.\d+)?$"))
+    return F.rlike(strip(value), F.lit(r"^[-+]?\d+(?:\.\d+)?$"))
 
 
 def value_quantity(value: Column, unit: Column) -> Column:
     """FN-22: struct(value, unit) if the whole value is a signed decimal, else null."""
-    return F.when(is_pure_number(value), F.struct(F.trim(value).try_cast("double").alias("value"), standardize_unit(unit).alias("unit")))
+    return F.when(is_pure_number(value), F.struct(strip(value).try_cast("double").alias("value"), standardize_unit(unit).alias("unit")))
 
 
 def value_string(value: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.text import strip
 
 PAGE = ("doc_id", "page")
 
@@ -96,13 +97,13 @@ def reading_order(lines: DataFrame) -> DataFrame:
     rows = merge_rows(assign_zones(headed, zones(headed)))
     order = F.row_number().over(Window.partitionBy(*PAGE).orderBy("zone", "zone_band")) - 1
     return rows.select(
-        *PAGE, order.alias("reading_order"), F.col("zone").alias("column_index"), F.trim(F.array_join("spans", " ")).alias("text"), "spans", "source", "x0", "y0", "x1", "y1"
+        *PAGE, order.alias("reading_order"), F.col("zone").alias("column_index"), strip(F.array_join("spans", " ")).alias("text"), "spans", "source", "x0", "y0", "x1", "y1"
     )
 
 
 def text_layout(texts: DataFrame) -> DataFrame:
     """SRC-07: (doc_id, page, text) to rows: blank lines go, the i-th of n gets the slice i/n .. (i+0.9)/n of the page."""
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"), lambda t: F.trim(F.regexp_replace(t, r"\s", " ")) != "")
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"), lambda t: strip(t) != "")
     rows = texts.withColumn("_l", lines).select(*PAGE, F.size("_l").alias("n"), F.posexplode("_l").alias("reading_order", "text"))
     i, n = F.col("reading_order"), F.col("n")
     return rows.select(
@@ -116,14 +117,14 @@ def layout_spans(spans: DataFrame) -> DataFrame:
 
     spans: doc_id, page, block_type, line_idx, span_idx, text, x0, y0, x1, y1, font_size, flags, page_width, page_height.
     """
-    kept = spans.where((F.col("block_type") == 0) & (F.trim("text") != ""))
+    kept = spans.where((F.col("block_type") == 0) & (strip(F.col("text")) != ""))
     kept = kept.withColumns({c: F.col(c) / F.col("page_width" if c[0] == "x" else "page_height") for c in ("x0", "y0", "x1", "y1")})
     own = F.array_sort(F.collect_list(F.struct("span_idx", "text")))
     return kept.groupBy(*PAGE, "line_idx").agg(
         own.alias("o"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
         F.max("font_size").alias("max_font"), F.bool_or(F.col("flags").bitwiseAND(16) > 0).alias("is_bold"),
     ).select(
-        *PAGE, "line_idx", F.trim(F.array_join(F.transform("o", lambda s: s["text"]), " ")).alias("text"), "x0", "y0", "x1", "y1", "max_font", "is_bold",
+        *PAGE, "line_idx", strip(F.array_join(F.transform("o", lambda s: s["text"]), " ")).alias("text"), "x0", "y0", "x1", "y1", "max_font", "is_bold",
         F.transform("o", lambda s: s["text"]).alias("spans"), F.lit("digital").alias("source"),
     )
 
@@ -135,7 +136,7 @@ def ocr_lines(words: DataFrame) -> DataFrame:
     are blank or unsure go; a gap of more than 0.8 median word heights opens a new phrase.
     """
     line = (*PAGE, "block_num", "par_num", "line_num")
-    kept = words.where((F.trim("text") != "") & (F.col("conf") >= C.OCR_WORD_CONFIDENCE))
+    kept = words.where((strip(F.col("text")) != "") & (F.col("conf") >= C.OCR_WORD_CONFIDENCE))
     typical = kept.groupBy(*line).agg(F.percentile("height", 0.5).alias("h"))
     order = Window.partitionBy(*line).orderBy("left", "top", "text")
     gap = F.col("left") - F.lag(F.col("left") + F.col("width")).over(order)

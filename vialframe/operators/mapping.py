@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.text import clean, make_key
-from .retrieval import candidates, search, text_query
+from ..session import ship
+from ..sources.external import with_retry
+from .retrieval import search_candidates, text_query
 
 RESULT = ("normalized_test_name", "loinc_code", "loinc_display", "mapping_status", "mapping_confidence", "mapping_stage", "mapping_rationale")
 _TYPES = dict(zip(RESULT, ("string", "string", "string", "string", "double", "string", "string"), strict=True))
@@ -68,8 +70,9 @@ def map_rows(
     """MAP-01: alias, learned, then retrieval with the verifier's mode: off, ambiguous (clear winners skip it) or all.
 
     Only rows that the first two stages leave are searched. ``verifier`` takes (key, original_test_name, value, unit,
-    specimen, method, hits) and returns (key, chosen_loinc_num, confidence, rationale); rows it leaves out count as
-    unanswered (JOIN-11), a null verifier as a failed call (MAP-03).
+    specimen, method, hits) and returns (key, chosen_loinc_num, confidence, rationale) and, if it can fail, failed
+    (``batch_verifier`` makes one of a plain call); rows it leaves out count as unanswered (JOIN-11), failed ones and
+    all of a null verifier as a failed call (MAP-03). With a mode other than off there is a column llm_failed.
     """
     name = F.col("original_test_name")
     rows = exact_matches(observations, index, catalog)
@@ -79,7 +82,7 @@ def map_rows(
         rows = rows.withColumns({"learned_code": F.lit(None).cast("string"), "learned_name": F.lit(None).cast("string")})
     open_ = rows.where(F.col("exact_code").isNull() & F.col("learned_code").isNull())
     asked = open_.select(F.col(key).alias("query_id"), name.alias("name"), "specimen", "unit", "method", "value")
-    found = candidates(search(asked, catalog)).withColumnRenamed("query_id", key)
+    found = search_candidates(asked, catalog).withColumnRenamed("query_id", key)
     rows = rows.join(found, key, "left")
     if mode == "off":
         last = unverified(name, F.col("hint"), _NO_LLM)
@@ -87,14 +90,17 @@ def map_rows(
         clear = F.lit(mode == "ambiguous") & F.coalesce("clear_winner", F.lit(False))
         top = F.try_element_at("hits", F.lit(1))
         pending = F.col("exact_code").isNull() & F.col("learned_code").isNull() & ~clear & F.col("hits").isNotNull()
+        failure = unverified(name, F.col("hint"), "LLM verification call failed; needs manual review.", "error")
         if verifier is None:
-            verdict = unverified(name, F.col("hint"), "LLM verification call failed; needs manual review.", "error")
+            rows, verdict = rows.withColumn("_failed", pending), failure
         else:
             answers = verifier(rows.where(pending).select(key, "original_test_name", "value", "unit", "specimen", "method", "hits"))
-            given = F.struct("chosen_loinc_num", "confidence", "rationale")
-            rows = rows.join(answers.select(key, given.alias("given")), key, "left")
-            none = F.struct(F.lit(None).cast("string").alias("chosen_loinc_num"), F.lit(0.0).alias("confidence"), F.lit("No verdict returned.").alias("rationale"))
-            verdict = verdict_result(name, F.col("hits"), F.coalesce("given", none))
+            given = F.struct("chosen_loinc_num", F.col("confidence").cast("string").alias("confidence"), "rationale")
+            failed = F.col("failed") if "failed" in answers.columns else F.lit(False)
+            rows = rows.join(answers.select(key, given.alias("given"), failed.alias("_failed")), key, "left").withColumn("_failed", F.coalesce("_failed", F.lit(False)))
+            none = F.struct(F.lit(None).cast("string").alias("chosen_loinc_num"), F.lit("0").alias("confidence"), F.lit("No verdict returned.").alias("rationale"))
+            answer = verdict_result(name, F.col("hits"), F.coalesce("given", none))
+            verdict = F.when(F.col("_failed"), failure).otherwise(answer)
         last = (
             F.when(clear, result(top["long_common_name"], top["loinc_num"], top["long_common_name"], "confirmed", C.STAGE_CONFIDENCE["retrieval_auto"], "retrieval_auto", "Clear best match among LOINC candidates (name, specimen and unit agree)."))
             .when(F.col("hits").isNull(), result(name, status="unmapped", confidence=0.0, why="No candidate LOINC concepts found."))
@@ -112,6 +118,15 @@ def map_rows(
         .otherwise(last)
     )
     out = rows.withColumn("_m", mapped)
+    marks = [] if mode == "off" else [F.col("_failed").alias("llm_failed")]
+    return out.select(*[c for c in observations.columns if c not in (*RESULT, *(["llm_failed"] if marks else []))], *[F.col(f"_m.{n}").alias(n) for n in RESULT], *marks)
+
+
+def complete_mapping(observations: DataFrame, mapped: DataFrame, key: str = "observation_id") -> DataFrame:
+    """MAP-05: every row with its mapping; rows that the mapping lost are left to a person, with the stage error."""
+    given = mapped.select(F.col(key).alias("_id"), F.struct(*RESULT).alias("_m"))
+    default = result(F.col("original_test_name"), stage="error", why="Mapping pipeline raised an exception; needs manual review.")
+    out = observations.join(given, F.col(key) == F.col("_id"), "left").withColumn("_m", F.coalesce("_m", default))
     return out.select(*[c for c in observations.columns if c not in RESULT], *[F.col(f"_m.{n}").alias(n) for n in RESULT])
 
 
@@ -123,7 +138,7 @@ def map_single(observations: DataFrame, index: DataFrame, catalog: DataFrame, ke
     asked = rows.where("exact_code IS NULL").select(F.col(key).alias("query_id"), text_query(text).alias("q")).select(
         "query_id", "q.name", "q.specimen", "q.method", F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("value")
     )
-    found = candidates(search(asked, catalog)).withColumnRenamed("query_id", key)
+    found = search_candidates(asked, catalog).withColumnRenamed("query_id", key)
     rows = rows.join(found, key, "left")
     mapped = F.when(
         F.col("exact_code").isNotNull(),
@@ -159,10 +174,50 @@ def remember(learned: DataFrame, picks: DataFrame, source: str, confidence: floa
     )
 
 
-def verify_batches(rows: DataFrame, key: str = "observation_id", size: int = C.VERIFY_BATCH, parts: int = 64) -> DataFrame:
-    """FN-39: batch numbers of ``size`` rows inside ``parts`` hash groups, so no global order is needed."""
-    keyed = rows.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)))
-    return keyed.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1) / size))
+def verify_batches(rows: DataFrame, by: tuple[str, ...] = ("document_id", "page_number"), key: str = "observation_id", size: int = C.VERIFY_BATCH) -> DataFrame:
+    """FN-39: the batch of ``size`` rows that each row is verified in, counted within its page, so there is no global order."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(key))
+    return rows.withColumn("batch", F.floor((place - 1) / size).cast("long"))
+
+
+def batch_verifier(call: Callable[[list[dict]], list[dict | None]], key: str = "observation_id", size: int = C.VERIFY_BATCH, transient: Callable[[Exception], bool] = lambda e: False, **retry) -> Callable[[DataFrame], DataFrame]:
+    """MAP-06, MAP-03, STR-09: a verifier for ``map_rows`` from a call that answers up to ``size`` items at once.
+
+    An item has i, original_name, value, unit, specimen, method, candidates and text (FN-38); the answers name their i.
+    A call is repeated while its errors are transient; one that fails in the end marks its own rows as failed. Batches
+    are cut from the Arrow batches where the rows lie, without a shuffle; one of size 1 is the single form.
+    """
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for at in range(0, len(pdf), size):
+                part = pdf.iloc[at : at + size]
+                fields = zip(part["original_test_name"], part["value"], part["unit"], part["specimen"], part["method"], part["hits"], part["text"], strict=True)
+                items = [
+                    {"i": i, "original_name": n, "value": v, "unit": u, "specimen": s, "method": m, "candidates": [dict(h) if isinstance(h, dict) else h.asDict() for h in hits], "text": t}
+                    for i, (n, v, u, s, m, hits, t) in enumerate(fields)
+                ]
+                try:
+                    answers = {int(a["i"]): a for a in with_retry(lambda items=items: call(items), transient, **retry) if isinstance(a, dict) and "i" in a}
+                except Exception:
+                    out += [(k, None, None, None, True) for k in part["_key"]]
+                    continue
+                for i, k in enumerate(part["_key"]):
+                    if i in answers:
+                        a = answers[i]
+                        out.append((k, a.get("chosen_loinc_num"), None if a.get("confidence") is None else str(a["confidence"]), a.get("rationale"), False))
+            yield pd.DataFrame(out, columns=[key, "chosen_loinc_num", "confidence", "rationale", "failed"])
+
+    def verify(rows: DataFrame) -> DataFrame:
+        ship(rows.sparkSession)
+        text = batch_item(F.col("original_test_name"), F.col("value"), F.col("unit"), F.col("specimen"), F.col("hits"))
+        asked = rows.select(F.col(key).alias("_key"), "original_test_name", "value", "unit", "specimen", "method", "hits", text.alias("text"))
+        kind = rows.schema[key].dataType.simpleString()
+        return asked.mapInPandas(run, f"`{key}` {kind}, chosen_loinc_num string, confidence string, rationale string, failed boolean")
+
+    return verify
 
 
 def batch_item(name: Column, value: Column, unit: Column, specimen: Column, hits: Column) -> Column:

@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.text import strip
 
 _QUALIFIER = "|".join(C.QUALIFIERS)
-_NUMERIC_VALUE = r"^([<>]?\s?\d+\.?\d*)\s*(.*)$"
+_NUMERIC_VALUE = C.spaced(r"^([<>]?\s?\d+\.?\d*)\s*(.*)$")
 _QUALIFIER_VALUE = rf"(?i)^({_QUALIFIER})\b"
-_VALUE = rf"(?i)^[<>]?\s?\d+\.?\d*|^(?:{_QUALIFIER})\b"
-_SINGLE = rf"(?i)^(.*?[A-Za-z\)\]].*?)\s+([<>]?\d+(?:\.\d+)?|{_QUALIFIER})(?:\s+(.*))?$"
+_VALUE = C.spaced(rf"(?i)^[<>]?\s?\d+\.?\d*|^(?:{_QUALIFIER})\b")
+_SINGLE = C.spaced(rf"(?i)^(.*?[A-Za-z\)\]].*?)\s+([<>]?\d+(?:\.\d+)?|{_QUALIFIER})(?:\s+(.*))?$")
 TEST = "struct<name:string,value:string,unit:string,reference_range:string,flag:string>"
 
 
@@ -29,10 +30,6 @@ def _match(s: Column, pattern: str) -> Column:
     return F.rlike(s, F.lit(pattern))
 
 
-def _strip(s: Column, chars: str = r"\s") -> Column:
-    return F.regexp_replace(s, f"^[{chars}]+|[{chars}]+$", "")
-
-
 # ------------------------------------------------------------ token predicates (FLT-11)
 def is_value(t: Column) -> Column:
     return _match(t, _VALUE)
@@ -74,32 +71,29 @@ def unbalanced(label: Column) -> Column:
 # ------------------------------------------------------------------- tokens
 def tokenize_spans(spans: Column) -> Column:
     """FN-06: tokens of all spans, split at wide gaps and dot leaders."""
-    parts = F.flatten(F.transform(spans, lambda s: F.split(_strip(s), C.TOKEN_SPLIT_PATTERN)))
-    return F.filter(F.transform(parts, lambda p: _strip(p, " .")), lambda p: p != "")
+    parts = F.flatten(F.transform(spans, lambda s: F.split(strip(s), C.TOKEN_SPLIT_PATTERN)))
+    return F.filter(F.transform(parts, lambda p: strip(p, " .")), lambda p: p != "")
 
 
 def expand_single(text: Column) -> Column:
     """FN-07, WIN-18: label, value and the rest of a row without wide gaps; null without a unit, range or qualifier to back it."""
     group = lambda g: F.regexp_extract(text, _SINGLE, g)
-    joined = F.regexp_replace(_strip(group(3)), r"(?<!\S)(\d+\.?\d*)\s+-\s+(\d+\.?\d*)(?!\S)", "$1\u0001-\u0001$2")
-    words = F.filter(F.transform(F.split(joined, r"\s+"), lambda w: F.replace(w, F.lit("\u0001"), F.lit(" "))), lambda w: w != "")
+    joined = F.regexp_replace(strip(group(3)), C.spaced(r"(?<!\S)(\d+\.?\d*)\s+-\s+(\d+\.?\d*)(?!\S)"), "$1\u0001-\u0001$2")
+    words = F.filter(F.transform(F.split(joined, C.spaced(r"\s+")), lambda w: F.replace(w, F.lit("\u0001"), F.lit(" "))), lambda w: w != "")
 
     def judge(merged: Column) -> Column:
         has_unit = F.coalesce(_match(F.try_element_at(merged, F.lit(1)), C.KNOWN_UNIT_PATTERN), F.lit(False))
         has_range = F.exists(merged, lambda w: _match(w, C.RANGE_PATTERN))
         qualifier = ~_match(group(2), r"^[\d<>]")
         ok = (has_unit | has_range) | (qualifier & (F.size(merged) == 0))
-        return F.when(ok, F.concat(F.array(_strip(group(1)), group(2)), merged))
+        return F.when(ok, F.concat(F.array(strip(group(1)), group(2)), merged))
 
     return F.when(_match(text, _SINGLE), let(words, judge))
 
 
-def row_tokens(spans: Column) -> Column:
+def expanded(tokens: Column) -> Column:
     """Tokens of a row; a single one is expanded; null if that fails or there is none."""
-    return let(
-        tokenize_spans(spans),
-        lambda t: F.when(F.size(t) == 1, expand_single(t[0])).when(F.size(t) > 1, t),
-    )
+    return F.when(F.size(tokens) == 1, expand_single(tokens[0])).when(F.size(tokens) > 1, tokens)
 
 
 # --------------------------------------------------------------------- tests
@@ -133,7 +127,7 @@ def test_of(tokens: Column) -> Column:
         qualifier = F.nullif(F.regexp_extract(token, _QUALIFIER_VALUE, 1), F.lit(""))
         numeric = F.nullif(F.regexp_extract(token, _NUMERIC_VALUE, 1), F.lit(""))
         value = F.coalesce(F.regexp_replace(F.replace(numeric, F.lit(" "), F.lit("")), r"\.+$", ""), qualifier)
-        unit = F.when(numeric.isNotNull(), F.nullif(_strip(F.regexp_extract(token, _NUMERIC_VALUE, 2)), F.lit("")))
+        unit = F.when(numeric.isNotNull(), F.nullif(strip(F.regexp_extract(token, _NUMERIC_VALUE, 2)), F.lit("")))
         roles = _roles(F.slice(rest, at + 1, F.size(rest)), unit)
         return let(
             roles,
@@ -177,6 +171,11 @@ def records_of(tokens: Column) -> Column:
 
 def row_tests(spans: Column, source: Column) -> Column:
     """FN-11: array of the row's tests: at most one, or the records of a recognised line."""
+    return let(tokenize_spans(spans), lambda t: token_tests(t, source))
+
+
+def token_tests(tokens: Column, source: Column) -> Column:
+    """``row_tests`` of a row's tokens. A value has a digit or is a qualifier, so rows without either are left alone."""
     none = F.array().cast(f"array<{TEST}>")
 
     def tests(t: Column) -> Column:
@@ -184,7 +183,8 @@ def row_tests(spans: Column, source: Column) -> Column:
         many = F.filter(F.transform(records_of(t), lambda r: test_of(F.concat(F.array(r["label"]), r["rest"]))), lambda x: x.isNotNull())
         return F.when(source == "ocr", many).otherwise(one)
 
-    return let(row_tokens(spans), lambda t: F.when(t.isNull(), none).otherwise(tests(t)))
+    may = F.exists(tokens, lambda t: _match(t, rf"(?i)\d|{_QUALIFIER}"))
+    return F.when(may, let(expanded(tokens), lambda t: F.when(t.isNull(), none).otherwise(tests(t)))).otherwise(none)
 
 
 # --------------------------------------------------------------------- pages
@@ -196,8 +196,8 @@ def parse_pages(rows: DataFrame) -> DataFrame:
     """
     page = Window.partitionBy("doc_id", "page").orderBy("reading_order")
     before = page.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"_tests": row_tests(F.col("spans"), F.col("source")), "_tokens": tokenize_spans(F.col("spans"))})
-    specimen = _strip(F.nullif(F.regexp_extract("text", C.SPECIMEN_PATTERN, 1), F.lit("")))
+    rows = rows.withColumn("_tokens", tokenize_spans(F.col("spans"))).withColumn("_tests", token_tests(F.col("_tokens"), F.col("source")))
+    specimen = strip(F.nullif(F.regexp_extract("text", C.SPECIMEN_PATTERN, 1), F.lit("")))
     own = F.size("_tests") > 0
     first = F.try_element_at("_tokens", F.lit(1))
     alone = F.size("_tokens") == 1
@@ -218,10 +218,10 @@ def parse_pages(rows: DataFrame) -> DataFrame:
     pairs = F.col("_value") & F.coalesce(prev("_label"), F.lit(False)) & same_column
     rows = rows.withColumns({"_start": F.when(F.coalesce(follows, F.lit(False)) | pairs, 0).otherwise(1), "_pairs": pairs, "_dangling": prev("_open")})
     rows = rows.withColumn("_run", F.sum("_start").over(before))
-    title = F.trim(F.regexp_replace(_strip(F.col("text")), ":+$", ""))
+    title = strip(F.regexp_replace(strip(F.col("text")), ":+$", ""))
     run = Window.partitionBy("doc_id", "page", "_run").orderBy("reading_order").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_above", F.array_join(F.collect_list(F.when(F.col("_label"), title)).over(run), " "))
-    stacked = let(test_of(F.concat(F.array("_above"), "_tokens")), lambda x: F.when(x.isNotNull(), F.array(x)).otherwise(F.array().cast(f"array<{TEST}>")))
+    stacked = let(F.when(F.col("_pairs"), test_of(F.concat(F.array("_above"), "_tokens"))), lambda x: F.when(x.isNotNull(), F.array(x)).otherwise(F.array().cast(f"array<{TEST}>")))
 
     def prefixed(x: Column, i: Column) -> Column:
         joins = (i == 0) & F.col("_dangling").isNotNull() & _match(x["name"], r"^\p{Ll}")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.text import strip
 
 
 def status_counts(observations: DataFrame, by: str = "document_id") -> DataFrame:
@@ -23,7 +24,7 @@ def status_counts(observations: DataFrame, by: str = "document_id") -> DataFrame
 
 def duplicate_names(observations: DataFrame, by: str = "document_id") -> DataFrame:
     """AGG-06: names that occur more than once on a page of a document, sorted and distinct."""
-    name = F.lower(F.trim(F.coalesce("original_test_name", F.lit(""))))
+    name = F.lower(strip(F.coalesce("original_test_name", F.lit(""))))
     per_page = observations.groupBy(by, "page_number", name.alias("name")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return per_page.groupBy(by).agg(F.array_sort(F.collect_set("name")).alias("possible_duplicate_test_names"))
 
@@ -39,16 +40,24 @@ def low_confidence(observations: DataFrame, by: str = "document_id") -> DataFram
 
 
 def quality_summary(observations: DataFrame, by: str = "document_id") -> DataFrame:
-    """The seven quality fields of each document; the three aggregates share the document's partitioning."""
-    out = status_counts(observations, by).join(duplicate_names(observations, by), by, "left").join(low_confidence(observations, by), by, "left")
-    return out.withColumns(
-        {
-            "possible_duplicate_test_names": F.coalesce("possible_duplicate_test_names", F.array().cast("array<string>")),
-            "low_confidence_extractions": F.coalesce(
-                "low_confidence_extractions", F.array().cast("array<struct<observation_id:bigint,original_test_name:string,extraction_confidence:double>>")
-            ),
-        }
-    )
+    """FLT-06, AGG-05..08: the seven quality fields of each document, from one scan.
+
+    Rows first meet by document, page and name, with their counts and doubtful rows, then by document alone.
+    """
+    status = F.col("mapping_status")
+    name = F.lower(strip(F.coalesce("original_test_name", F.lit(""))))
+    doubtful = F.struct("observation_id", "original_test_name", "extraction_confidence")
+    each = observations.groupBy(by, "page_number", name.alias("_name")).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.count_if(status == s).alias(f"_{s}") for s in ("confirmed", "needs_review", "unmapped")],
+        F.collect_list(F.when(is_low_confidence(F.col("extraction_confidence")), doubtful)).alias("_low"),
+    )
+    out = each.groupBy(by).agg(
+        F.sum("_n").alias("total_observations"), *[F.sum(f"_{s}").alias(f"{s}_count") for s in ("confirmed", "needs_review", "unmapped")],
+        F.array_sort(F.collect_set(F.when(F.col("_n") > 1, F.col("_name")))).alias("possible_duplicate_test_names"),
+        F.array_sort(F.flatten(F.collect_list("_low"))).alias("low_confidence_extractions"),
+    )
+    review = F.col("needs_review_count") + F.col("unmapped_count")
+    return out.withColumn("review_needed_ratio", F.round(review / F.nullif("total_observations", F.lit(0)), 3))
 
 
 def dashboard(documents: DataFrame) -> DataFrame:

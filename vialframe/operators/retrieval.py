@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.text import tokenize, unit_key
-from .terminology import catalog_features, postings, token_idf
+from ..functions.text import strip, tokenize, unit_key
+from .terminology import catalog_features, postings
 
 
 def query_tokens(name: Column, specimen: Column, method: Column) -> Column:
@@ -26,15 +26,29 @@ def specimen_tokens(specimen: Column) -> Column:
 
 
 def search(queries: DataFrame, catalog: DataFrame, k: int = C.TOP_K, pool: int = C.POOL) -> DataFrame:
-    """The k best codes of each query.
+    """The k best codes of each query, a row each."""
+    asked, top = _search(queries, catalog, k, pool)
+    return asked.join(top, "form_id").drop("form_id")
+
+
+def search_candidates(queries: DataFrame, catalog: DataFrame, k: int = C.TOP_K, pool: int = C.POOL) -> DataFrame:
+    """``candidates`` of each query that has any: hits are gathered once per distinct question, then joined as one array."""
+    asked, top = _search(queries, catalog, k, pool)
+    return asked.join(candidates(top.withColumnRenamed("form_id", "query_id")).withColumnRenamed("query_id", "form_id"), "form_id").drop("form_id")
+
+
+def _search(queries: DataFrame, catalog: DataFrame, k: int, pool: int) -> tuple[DataFrame, DataFrame]:
+    """(query_id, form_id) and the hits per form_id.
 
     ``queries``: query_id, name, specimen, unit, method, value. Distinct token sets of queries are scored once;
-    postings meet them in an equi-join on the token. Returns query_id, rank, loinc_num, long_common_name,
+    postings meet them in an equi-join on the token. Hits: rank, loinc_num, long_common_name,
     component, system, score (rounded to 9 places; ties go by catalog position).
     """
-    post = postings(catalog)
-    weighted = post.join(token_idf(post, catalog=catalog), "token").select("token", "ord", (F.col("idf") * F.col("weight")).alias("w"))
-    idf = token_idf(post, catalog=catalog).select("token", "idf")
+    # one shuffle by token serves the document frequencies, the weights and the join
+    n = catalog.agg(F.count(F.lit(1))).scalar()
+    post = postings(catalog).withColumn("idf", F.ln(1 + n / F.count(F.lit(1)).over(Window.partitionBy("token"))))
+    weighted = post.select("token", "ord", (F.col("idf") * F.col("weight")).alias("w"))
+    idf = post.groupBy("token").agg(F.any_value("idf").alias("idf"))
     asked = queries.withColumn("tokens", query_tokens(F.col("name"), F.col("specimen"), F.col("method")))
     asked = asked.withColumn("tokens_key", F.array_sort("tokens"))
     # queries that ask the same are answered once
@@ -57,12 +71,12 @@ def search(queries: DataFrame, catalog: DataFrame, k: int = C.TOP_K, pool: int =
     top = top.join(total, "form_id").select(
         "form_id", "rank", "loinc_num", "long_common_name", "component", "system", F.round(F.col("s") / F.col("total_idf"), 9).alias("score")
     )
-    return asked.select("query_id", "form_id").join(top, "form_id").drop("form_id")
+    return asked.select("query_id", "form_id"), top
 
 
 def _presence_factor(value: Column, unit: Column) -> Column:
     """FN-32: for codes that report presence: words as a value favour them, numbers and units don't."""
-    v = F.lower(F.trim(F.coalesce(value, F.lit(""))))
+    v = F.lower(strip(F.coalesce(value, F.lit(""))))
     return (
         F.when((v != "") & ~F.rlike(v, F.lit(r"\d")), C.PRESENCE_QUALITATIVE)
         .when((v != "") | (F.coalesce(unit, F.lit("")) != ""), C.PRESENCE_QUANTITATIVE)
@@ -80,13 +94,13 @@ def _in_pool(scored: DataFrame, pool: int, applies: Column, factor: Column) -> D
 
 def text_query(text: Column) -> Column:
     """SRT-09: struct(name, specimen, method) of the text form 'name | specimen: X | method'."""
-    parts = F.transform(F.split(text, r"\|"), lambda p: F.trim(p))
+    parts = F.transform(F.split(text, r"\|"), lambda p: strip(p))
     rest = F.slice(parts, 2, 1 << 20)
     is_specimen = lambda p: F.lower(p).startswith("specimen:")
     last = lambda xs: F.try_element_at(xs, F.lit(-1))
     return F.struct(
         F.coalesce(F.try_element_at(parts, F.lit(1)), F.lit("")).alias("name"),
-        F.nullif(F.trim(F.substring(last(F.filter(rest, is_specimen)), 10, 1 << 20)), F.lit("")).alias("specimen"),
+        F.nullif(strip(F.substring(last(F.filter(rest, is_specimen)), 10, 1 << 20)), F.lit("")).alias("specimen"),
         last(F.filter(rest, lambda p: (p != "") & ~is_specimen(p))).alias("method"),
     )
 

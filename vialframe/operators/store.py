@@ -66,12 +66,33 @@ def change(action: str, seq: Column, row_id: Column, values: dict[str, Column] |
     return [seq.alias("seq"), row_id.alias("observation_id"), F.lit(action).alias("action"), patch.cast("map<string,string>").alias("patch")]
 
 
+def find(rows: DataFrame, value, key: str = "observation_id") -> DataFrame:
+    """FLT-07, JOIN-02: the row with this key, or none; the filter reaches the scan."""
+    return rows.where(F.col(key) == F.lit(value))
+
+
+def file_of(documents: DataFrame, document_id) -> DataFrame:
+    """SRC-17: the original file of a document with the headers it is served under; other documents' files are not read."""
+    name = F.replace(F.url_encode("filename"), F.lit("+"), F.lit("%20"))
+    return find(documents, document_id, "document_id").select(
+        "content_type", F.concat(F.lit("inline; filename*=UTF-8''"), name).alias("content_disposition"), F.lit("private, max-age=3600").alias("cache_control"), F.col("raw_content").alias("content")
+    )
+
+
+def accepted_events(events: DataFrame) -> DataFrame:
+    """MUT-02: without the updates that are refused: those that name no field, and those that clear the name."""
+    fields, name = F.coalesce(F.map_keys("patch"), F.array().cast("array<string>")), "original_test_name"
+    clears = F.array_contains(fields, name) & F.try_element_at("patch", F.lit(name)).isNull()
+    return events.where((F.col("action") != "update") | ((F.size(fields) > 0) & ~clears))
+
+
 def current_rows(base: DataFrame, events: DataFrame, fields: tuple[str, ...] = EDITABLE) -> DataFrame:
     """MUT-01..03: rows after the events (seq, observation_id, action create|update|delete, patch map).
 
     The last event that names a field decides it, a null value included; created rows are manual and edited, updated
-    ones edited; a delete is final. One shuffle by row id.
+    ones edited; a delete is final. Refused updates change nothing. One shuffle by row id.
     """
+    events = accepted_events(events)
     last = [
         F.max(F.when(F.map_contains_key("patch", f), F.struct("seq", F.try_element_at("patch", F.lit(f)).alias("v")))).alias(f"_{f}") for f in fields
     ]
@@ -87,8 +108,8 @@ def current_rows(base: DataFrame, events: DataFrame, fields: tuple[str, ...] = E
     return rows.withColumns(more).select(*base.columns)
 
 
-def review(observations: DataFrame, decisions: DataFrame, catalog: DataFrame) -> DataFrame:
-    """MUT-04: apply reviews (observation_id, loinc_num, status); one that fails its checks changes nothing.
+def accepted_reviews(decisions: DataFrame, catalog: DataFrame) -> DataFrame:
+    """MUT-04: the last decision on each row (by seq, if there is one) that passes its checks, with the code's name.
 
     A null code needs the status unmapped; a code must exist in the catalog.
     """
@@ -96,16 +117,24 @@ def review(observations: DataFrame, decisions: DataFrame, catalog: DataFrame) ->
     checked = decisions.join(known, F.col("loinc_num") == F.col("_code"), "left").where(
         (F.col("loinc_num").isNull() & (F.col("status") == "unmapped")) | F.col("_code").isNotNull()
     )
-    chosen = checked.select("observation_id", F.col("status").alias("_status"), "_code", "_name", F.lit(True).alias("_reviewed"))
+    order = F.struct(*[F.col(c) for c in ("seq", "status", "loinc_num") if c in decisions.columns])
+    return checked.groupBy("observation_id").agg(F.max_by(F.struct(F.col("status").alias("_status"), "_code", "_name"), order).alias("_d")).select("observation_id", "_d.*")
+
+
+def review(observations: DataFrame, decisions: DataFrame, catalog: DataFrame) -> DataFrame:
+    """MUT-04: apply reviews (observation_id, loinc_num, status and, where a row may have several, seq); what fails changes nothing."""
+    chosen = accepted_reviews(decisions, catalog).withColumn("_reviewed", F.lit(True))
     rows, done = observations.join(chosen, "observation_id", "left"), F.coalesce("_reviewed", F.lit(False))
     put = lambda c, v: F.when(done, v).otherwise(F.col(c))
-    return rows.withColumns(
-        {
-            "loinc_code": put("loinc_code", F.col("_code")), "loinc_display": put("loinc_display", F.col("_name")),
-            "mapping_status": put("mapping_status", F.col("_status")), "mapping_stage": put("mapping_stage", F.lit("human_review")),
-            "mapping_confidence": put("mapping_confidence", F.lit(1.0)),
-        }
-    ).select(*observations.columns)
+    why = F.when(F.col("_code").isNull(), "Manually reviewed; confirmed no reliable LOINC mapping exists.").otherwise("Manually reviewed and confirmed by user.")
+    changed = {
+        "loinc_code": put("loinc_code", F.col("_code")), "loinc_display": put("loinc_display", F.col("_name")),
+        "mapping_status": put("mapping_status", F.col("_status")), "mapping_stage": put("mapping_stage", F.lit("human_review")),
+        "mapping_confidence": put("mapping_confidence", F.lit(1.0)),
+    }
+    if "mapping_rationale" in observations.columns:
+        changed["mapping_rationale"] = put("mapping_rationale", why)
+    return rows.withColumns(changed).select(*observations.columns)
 
 
 def needs_sync(source: DataFrame, stored: DataFrame) -> DataFrame:

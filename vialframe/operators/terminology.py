@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.text import clean, tokenize
+from ..functions.text import clean, strip, tokenize
 
 
 def alias_claims(catalog: DataFrame) -> DataFrame:
@@ -96,9 +96,9 @@ def read_catalog_csv(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
     have = {c.lower(): c for c in raw.columns}
     pick = lambda c: F.col(f"`{have[c]}`") if c in have else F.lit(None).cast("string")
-    out = [F.nullif(F.trim(pick(c)), F.lit("")).alias(c) for c in cols]
-    rank = F.coalesce(F.trim(pick("common_test_rank")).try_cast("int"), F.lit(0)).alias("common_test_rank")
-    aliases = F.filter(F.transform(F.split(F.coalesce(pick("aliases"), F.lit("")), r"\|"), lambda a: F.trim(a)), lambda a: a != "").alias("aliases")
+    out = [F.nullif(strip(pick(c)), F.lit("")).alias(c) for c in cols]
+    rank = F.coalesce(strip(pick("common_test_rank")).try_cast("int"), F.lit(0)).alias("common_test_rank")
+    aliases = F.filter(F.transform(F.split(F.coalesce(pick("aliases"), F.lit("")), r"\|"), lambda a: strip(a)), lambda a: a != "").alias("aliases")
     return raw.select(*out, rank, aliases)
 
 
@@ -107,5 +107,5 @@ def active_lab_codes(table: DataFrame, core_only: bool = False) -> DataFrame:
     kept = table.where((F.col("CLASSTYPE") == "1") & (F.col("STATUS") == "ACTIVE"))
     if core_only:
         kept = kept.where(F.col("COMMON_TEST_RANK").try_cast("int") > 0)
-    related = F.filter(F.transform(F.split(F.coalesce("RELATEDNAMES2", F.lit("")), ";"), lambda a: F.trim(a)), lambda a: a != "")
+    related = F.filter(F.transform(F.split(F.coalesce("RELATEDNAMES2", F.lit("")), ";"), lambda a: strip(a)), lambda a: a != "")
     return kept.withColumn("aliases", F.array_join(related, "|"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from ..functions.text import page_source, resolve_content_type
+from ..functions.text import page_source, resolve_content_type, strip
 
 PAGES = "doc_id string, content_type string, page int, text string, image binary, problem string"
 
@@ -122,14 +122,14 @@ def extract_with(pages: DataFrame, extractor: Callable, schema: str) -> DataFram
 
 def model_input(text_col: str = "text", mode: str = "auto", minimum: int = 400):
     """FLT-02: what goes to a model: the text alone, or the image."""
-    text = F.trim(F.coalesce(text_col, F.lit("")))
+    text = strip(F.coalesce(text_col, F.lit("")))
     use = (text != "") & (F.lit(mode == "text") | (F.lit(mode == "auto") & (F.length(text) >= minimum)))
     return F.when(use, "text").otherwise("image")
 
 
 def route_pages(pages: DataFrame) -> DataFrame:
     """ORC-01, ORC-06: parse, layout, ocr or unavailable per page."""
-    kind, has_text = F.col("content_type"), F.length(F.trim(F.coalesce("text", F.lit("")))) >= 20
+    kind, has_text = F.col("content_type"), F.length(strip(F.coalesce("text", F.lit("")))) >= 20
     source = page_source(kind)
     route = F.when(source.isin("text", "docx"), "parse").when((source == "pdf") & has_text, "layout").when(source.isin("pdf", "image"), "ocr").otherwise("unavailable")
     return pages.withColumn("route", route)

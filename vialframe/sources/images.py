@@ -1,8 +1,8 @@
 """Clean-up of page images ahead of text recognition (IMG-01..11, ORC-05 inputs): numpy on grey pages, in pandas batches.
 
 Binary PGM is decoded here; other formats need Pillow. Orientation comes from an injected detector, as it needs a
-recognition engine. A page goes through: size, orientation, illumination, noise, contrast, sharpness, tilt; each step
-runs only where a measurement asks for it, and is listed.
+recognition engine. What may be done to a page is a table, ``REPAIRS``: a measure, when its value asks for the repair,
+and the repair. ``clean`` walks it once and reports every measure with what was done about it as a list of structs.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .. import config as C
-from ..session import ship
+from ..session import release_memory, ship
 
-CLEANED = "doc_id string, page int, width int, height int, noise double, contrast double, sharpness double, skew double, rotation int, steps array<string>, image binary, problem string"
+STEP = "struct<measure:string,value:double,repaired:boolean>"
+CLEANED = f"doc_id string, page int, width int, height int, steps array<{STEP}>, image binary, problem string"
 
 
 def decode(data: bytes) -> np.ndarray:
@@ -54,19 +55,39 @@ def _along(grey: np.ndarray, k: int, pick: Callable) -> np.ndarray:
     return grey
 
 
-def _blur(x: np.ndarray, k: int, times: int = 3) -> np.ndarray:
-    """Repeated box blur of odd width k, near enough to a Gaussian."""
+def gauss(x: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian blur. A wide one is taken on a copy of block means, as nothing finer than them is left of it."""
     x = x.astype(np.float64)
-    for _ in range(times):
-        for axis in (0, 1):
-            pad = [(0, 0), (0, 0)]
-            pad[axis] = (k // 2 + 1, k // 2)
-            s = np.cumsum(np.pad(x, pad, mode="edge"), axis=axis)
-            n = x.shape[axis]
-            x = (np.take(s, np.arange(k, n + k), axis=axis) - np.take(s, np.arange(n), axis=axis)) / k
+    f = int(sigma // 4)
+    if f > 1:
+        h, w = x.shape
+        y = np.pad(x, ((0, -h % f), (0, -w % f)), mode="edge")
+        small = gauss(y.reshape(y.shape[0] // f, f, y.shape[1] // f, f).mean(axis=(1, 3)), sigma / f)
+        return _bilinear(small, (np.arange(h) + 0.5) / f - 0.5, (np.arange(w) + 0.5) / f - 0.5)
+    reach = max(1, int(round(3 * sigma)))
+    tap = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    for axis in (0, 1):
+        pad = [(0, 0), (0, 0)]
+        pad[axis] = (reach, reach)
+        padded = np.pad(x, pad, mode="edge")
+        x = sum(t * np.take(padded, np.arange(i, i + x.shape[axis]), axis=axis) for i, t in enumerate(tap / tap.sum()))
     return x
 
 
+def _bilinear(grid: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Values of a grid at all crossings of fractional rows and columns, held at its edges."""
+
+    def split(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip(at, 0, n - 1)
+        low = np.minimum(at.astype(int), max(n - 2, 0))
+        return low, np.minimum(low + 1, n - 1), at - low
+
+    top, bottom, v = split(y, grid.shape[0])
+    left, right, u = split(x, grid.shape[1])
+    rows = grid[top] * (1 - v)[:, None] + grid[bottom] * v[:, None]
+    return rows[:, left] * (1 - u) + rows[:, right] * u
+
+
 def resize(grey: np.ndarray, factor: float) -> np.ndarray:
     """Nearest source pixel of each target pixel's centre."""
     h, w = (max(1, int(n * factor)) for n in grey.shape)
@@ -87,7 +108,7 @@ def flatten_light(grey: np.ndarray) -> np.ndarray:
     """IMG-03: divide by the paper's own brightness, taken from a copy without the text."""
     paper = _along(_along(grey, 15, np.max), 15, np.min)
     k = max(31, (min(grey.shape) // 12) | 1)
-    return _clip(grey / np.maximum(_blur(paper, (k // 3) | 1), 1) * 255)
+    return _clip(grey / np.maximum(gauss(paper, 0.15 * k + 0.35), 1) * 255)
 
 
 def otsu(grey: np.ndarray) -> int:
@@ -101,51 +122,124 @@ def otsu(grey: np.ndarray) -> int:
 
 
 def contrast(grey: np.ndarray) -> float:
-    """IMG-04: mean paper minus mean ink at the Otsu level."""
-    t = otsu(grey)
-    ink, paper = grey[grey < t], grey[grey >= t]
-    return float(paper.mean() - ink.mean()) if ink.size and paper.size else 0.0
+    """IMG-04: how far the mean grey levels of paper and ink, told apart by the Otsu level, lie from each other."""
+    count, level, t = np.bincount(grey.ravel(), minlength=256), np.arange(256), otsu(grey)
+    sides = [(count[part].sum(), (count * level)[part].sum()) for part in (slice(0, t), slice(t, 256))]
+    return float(sides[1][1] / sides[1][0] - sides[0][1] / sides[0][0]) if sides[0][0] and sides[1][0] else 0.0
 
 
-def stretch(grey: np.ndarray) -> np.ndarray:
-    low, high = np.percentile(grey, (1, 99))
-    return _clip((grey - low) / max(high - low, 1) * 255)
+def local_contrast(grey: np.ndarray, tiles: int = 8, clip: float = 3.0) -> np.ndarray:
+    """IMG-04: contrast-limited adaptive equalisation: each pixel takes the blend of its nearest tiles' clipped curves."""
+    h, w = grey.shape
+    rows, cols = np.linspace(0, h, tiles + 1).astype(int), np.linspace(0, w, tiles + 1).astype(int)
+    curve = np.zeros((tiles, tiles, 256))
+    for i in range(tiles):
+        for j in range(tiles):
+            part = grey[rows[i] : max(rows[i + 1], rows[i] + 1), cols[j] : max(cols[j + 1], cols[j] + 1)]
+            count = np.bincount(part.ravel(), minlength=256).astype(np.float64)
+            limit = max(1.0, clip * part.size / 256)
+            spare = np.maximum(count - limit, 0).sum()
+            curve[i, j] = np.cumsum(np.minimum(count, limit) + spare / 256) * 255 / part.size
+    y, x = (np.arange(h) + 0.5) * tiles / h - 0.5, (np.arange(w) + 0.5) * tiles / w - 0.5
+    y, x = np.clip(y, 0, tiles - 1), np.clip(x, 0, tiles - 1)
+    i, j = np.minimum(y.astype(int), tiles - 2), np.minimum(x.astype(int), tiles - 2)
+    v, u = (y - i)[:, None], (x - j)[None, :]
+    i, j = i[:, None], j[None, :]
+    upper = curve[i, j, grey] * (1 - u) + curve[i, j + 1, grey] * u
+    lower = curve[i + 1, j, grey] * (1 - u) + curve[i + 1, j + 1, grey] * u
+    return _clip(upper * (1 - v) + lower * v)
+
+
+def quiet(grey: np.ndarray, h: float = 10.0, patch: int = 7, search: int = 15) -> np.ndarray:
+    """IMG-10: non-local means: a pixel becomes the mean of those around it, weighed by how alike their surroundings are."""
+    reach = search // 2
+    wide = np.pad(grey.astype(np.float32), reach, mode="reflect")
+    total, weight = np.zeros(grey.shape, np.float32), np.zeros(grey.shape, np.float32)
+    for dy in range(search):
+        for dx in range(search):
+            other = wide[dy : dy + grey.shape[0], dx : dx + grey.shape[1]]
+            gap = _mean_along(_mean_along((other - grey) ** 2, patch, 0), patch, 1)
+            like = np.exp(-gap / (h * h))
+            total += like * other
+            weight += like
+    return _clip(total / weight)
+
+
+def _mean_along(x: np.ndarray, k: int, axis: int) -> np.ndarray:
+    pad = [(0, 0), (0, 0)]
+    pad[axis] = (k // 2 + 1, k // 2)
+    sums = np.cumsum(np.pad(x, pad, mode="edge"), axis=axis, dtype=np.float64)
+    n = x.shape[axis]
+    return ((np.take(sums, np.arange(k, n + k), axis=axis) - np.take(sums, np.arange(n), axis=axis)) / k).astype(np.float32)
 
 
 def sharpness(grey: np.ndarray) -> float:
-    g = np.pad(grey.astype(np.float64), 1, mode="reflect")
-    return float((g[:-2, 1:-1] + g[2:, 1:-1] + g[1:-1, :-2] + g[1:-1, 2:] - 4 * g[1:-1, 1:-1]).var())
+    """Variance of the second differences."""
+    x = np.pad(grey.astype(np.float64), 1, mode="reflect")
+    return float((np.diff(x, 2, axis=0)[:, 1:-1] + np.diff(x, 2, axis=1)[1:-1, :]).var())
 
 
 def sharpen(grey: np.ndarray) -> np.ndarray:
-    """IMG-05."""
-    return _clip(2.0 * grey - _blur(grey, 3))
+    """IMG-05: what a blur would take away is added once more."""
+    return _clip(2.0 * grey - gauss(grey, 1.6))
 
 
-def skew(grey: np.ndarray, most: float = C.MAX_SKEW_DEG) -> float:
-    """IMG-06: tilt of the text lines in degrees, counter-clockwise positive: at the right angle the ink's rows are sharpest.
+def ink_points(grey: np.ndarray, longest: int = 900) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the text's ink about the page's centre, on a copy of bounded size.
 
-    Only the coordinates of the ink are turned. Rows and columns that are ink for a quarter of their length (rules,
-    banners) are left out.
+    Left out is what is no text: rows and columns that are ink over most of their length, and ink whose unbroken run
+    is longer than a quarter of the width or a twelfth of the height (rules, banners).
     """
-    factor = min(1.0, 900.0 / max(grey.shape))
+    factor = min(1.0, longest / max(grey.shape))
     small = resize(grey, factor) if factor < 1 else grey
     ink = small < otsu(small)
-    solid = ink.mean(axis=1) > 0.6
-    y, x = np.nonzero(ink & ~solid[:, None])
+    ink &= ~((ink.mean(axis=1) > 0.6)[:, None] | (ink.mean(axis=0) > 0.6)[None, :])
+    for axis, share in ((1, 4), (0, 12)):
+        ink &= ~(_runs(ink, axis) > max(8, ink.shape[axis] / share))
+    y, x = np.nonzero(ink)
+    return y - ink.shape[0] / 2, x - ink.shape[1] / 2
+
+
+def _runs(mask: np.ndarray, axis: int) -> np.ndarray:
+    """Length of the unbroken run that each set pixel belongs to along an axis; 0 elsewhere."""
+    m = mask if axis == 1 else mask.T
+    edge = np.diff(np.pad(m.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, start = np.nonzero(edge == 1)
+    _, end = np.nonzero(edge == -1)
+    out = np.zeros(m.shape, np.int32)
+    out[np.repeat(row, end - start), np.arange(int((end - start).sum())) + np.repeat(start - np.cumsum(end - start) + (end - start), end - start)] = np.repeat(end - start, end - start)
+    return out if axis == 1 else out.T
+
+
+def skew(grey: np.ndarray, most: float = C.MAX_SKEW_DEG) -> float:
+    """IMG-06: tilt of the text lines in degrees, counter-clockwise positive: turned back by it, the ink falls into the fewest rows.
+
+    How crowded the rows are is the sum of their squared ink. Seen in wide rows that has one broad peak, in narrow ones a
+    sharp one, so the bracket shrinks as the rows do: a quarter is kept each time, and a golden section ends the search.
+    """
+    y, x = ink_points(grey)
     if not len(y):
         return 0.0
-    centre = np.array(small.shape) / 2
-    y, x = y - centre[0], x - centre[1]
 
-    def score(degrees: float) -> float:
+    def crowding(degrees: float, width: float) -> float:
         a = np.deg2rad(degrees)
-        rows = np.rint(y * np.cos(a) + x * np.sin(a)).astype(int)
-        profile = np.bincount(rows - rows.min()).astype(np.float64)
-        return float((np.diff(profile) ** 2).sum())
-
-    best = max(np.arange(-most, most + 1e-9, 0.5), key=score)
-    return float(max(np.arange(best - 0.5, best + 0.5 + 1e-9, 0.1), key=score))
+        at = (y * np.cos(a) + x * np.sin(a)) / width
+        low = np.floor(at).astype(int)
+        part = at - low  # ink is shared by the two nearest rows, so that the measure has no steps
+        low -= low.min()
+        rows = np.bincount(low, 1 - part, low.max() + 2) + np.bincount(low + 1, part, low.max() + 2)
+        return float((rows**2).sum())
+
+    centre, half = 0.0, float(most)
+    for width in (8.0, 4.0, 2.0):
+        tries = np.clip(centre + half * np.linspace(-1, 1, 17), -most, most)
+        centre, half = float(tries[int(np.argmax([crowding(d, width) for d in tries]))]), half / 4
+    golden = (5**0.5 - 1) / 2
+    low, high = centre - half, centre + half
+    while high - low > 0.05:
+        a, b = high - golden * (high - low), low + golden * (high - low)
+        low, high = (low, b) if crowding(a, 1.0) >= crowding(b, 1.0) else (a, high)
+    return (low + high) / 2
 
 
 def turn(grey: np.ndarray, degrees: float) -> np.ndarray:
@@ -166,44 +260,65 @@ def quarter_turn(grey: np.ndarray, clockwise: int) -> np.ndarray:
     return np.rot90(grey, -(clockwise // 90) % 4)
 
 
-def clean(grey: np.ndarray, orientation: Callable[[np.ndarray], int | None] | None = None) -> tuple[np.ndarray, dict]:
-    """IMG-10: the cleaned page and what was measured and done."""
-    steps: list[str] = []
-    if grey.size > C.MAX_IMAGE_PIXELS:
-        factor = (C.MAX_IMAGE_PIXELS / grey.size) ** 0.5
-        grey = resize(grey, factor)
-        steps.append(f"downscale x{factor:.2f}")
-    if grey.shape[1] < C.MIN_IMAGE_WIDTH:
-        factor = C.MIN_IMAGE_WIDTH / grey.shape[1]
-        grey = resize(grey, factor)
-        steps.append(f"upscale x{factor:.2f}")
-    rotation = (orientation(grey) or 0) if orientation else 0
-    if rotation:
-        grey = quarter_turn(grey, rotation)
-        steps.append(f"orientation {rotation}deg")
-    grey = flatten_light(grey)
-    steps.append("illumination normalized")
-    found = {"noise": noise(grey), "rotation": rotation}
-    if found["noise"] > C.NOISE_LIMIT:
-        grey = _clip(np.median(_windows(grey, 3), axis=(2, 3)))
-        steps.append(f"denoise (residual {found['noise']:.1f})")
-    found["contrast"] = contrast(grey)
-    if found["contrast"] < C.CONTRAST_LIMIT:
-        grey = stretch(grey)
-        steps.append(f"contrast (range {found['contrast']:.0f})")
-    found["sharpness"] = sharpness(grey)
-    if found["sharpness"] < C.SHARPNESS_LIMIT:
-        grey = sharpen(grey)
-        steps.append(f"sharpen (laplacian var {found['sharpness']:.0f})")
-    found["skew"] = skew(grey)
-    if abs(found["skew"]) >= C.MIN_SKEW_DEG:
-        grey = turn(grey, -found["skew"])
-        steps.append(f"deskew {found['skew']:+.1f}deg")
-    return grey, found | {"steps": steps}
+#: (measure, its value, when the value asks for the repair, the repair, given page and value), in the order of their use.
+REPAIRS: tuple[tuple[str, Callable, Callable[[float], bool], Callable], ...] = (
+    ("shrink", lambda g: (C.MAX_IMAGE_PIXELS / g.size) ** 0.5, lambda v: v < 1, resize),
+    ("enlarge", lambda g: C.MIN_IMAGE_WIDTH / g.shape[1], lambda v: v > 1, resize),
+    ("rotation", None, lambda v: v != 0, lambda g, v: quarter_turn(g, int(v))),  # measured by the injected detector
+    ("light", lambda g: 1.0, lambda v: True, lambda g, v: flatten_light(g)),
+    ("noise", noise, lambda v: v > C.NOISE_LIMIT, lambda g, v: quiet(g)),
+    ("contrast", contrast, lambda v: v < C.CONTRAST_LIMIT, lambda g, v: local_contrast(g)),
+    ("sharpness", sharpness, lambda v: v < C.SHARPNESS_LIMIT, lambda g, v: sharpen(g)),
+    ("skew", skew, lambda v: abs(v) >= C.MIN_SKEW_DEG, lambda g, v: turn(g, -v)),
+)
+
+
+def clean(grey: np.ndarray, orientation: Callable[[np.ndarray], int | None] | None = None) -> tuple[np.ndarray, list[dict]]:
+    """IMG-10: the page after the repairs that its measures asked for, and every measure taken."""
+    taken = []
+    for name, measure, asks, repair in REPAIRS:
+        measure = measure or (lambda g: (orientation(g) if orientation else None) or 0)
+        value = float(measure(grey))
+        if asks(value):
+            grey = repair(grey, value)
+        taken.append({"measure": name, "value": value, "repaired": bool(asks(value))})
+    return grey, taken
+
+
+def recognition_scale(width: int, height: int, wanted: float) -> float:
+    """IMG-11: the scale at which a page is recognised, within the engine's limits of width and pixels; 1 if it hardly differs."""
+    scale = min(wanted, C.MAX_OCR_WIDTH / width, (C.MAX_OCR_PIXELS / (width * height)) ** 0.5)
+    return scale if abs(scale - 1) >= 0.02 else 1.0
+
+
+def recognition_engine(configured: str = "", enabled: bool = True) -> str | None:
+    """IMG-11: the engine's program: the configured one if it exists, else one on the path; None if there is none or it is off."""
+    import os
+    import shutil
+
+    if not enabled:
+        return None
+    return configured if configured and os.path.isfile(configured) else shutil.which("tesseract")
+
+
+def model_image(data: bytes, longest: int = C.MODEL_IMAGE_SIDE, quality: int = C.MODEL_IMAGE_QUALITY) -> bytes:
+    """SRC-04: the picture as a model gets it: JPEG, no side longer than ``longest``. Needs Pillow."""
+    import io
+
+    from PIL import Image
+
+    picture = Image.open(io.BytesIO(data)).convert("RGB")
+    picture.thumbnail((longest, longest))
+    out = io.BytesIO()
+    picture.save(out, "JPEG", quality=quality)
+    return out.getvalue()
 
 
 def clean_pages(pages: DataFrame, orientation: Callable[[np.ndarray], int | None] | None = None) -> DataFrame:
-    """Pages (doc_id, page, image) with their cleaned image as PGM; a page that can't be read has its problem instead."""
+    """Pages (doc_id, page, image) with their cleaned image as PGM; a page that can't be read has its problem instead.
+
+    Workers give freed page buffers back to the system after every page (IMG-11), as they idle between batches.
+    """
     import pandas as pd
 
     ship(pages.sparkSession)
@@ -213,10 +328,11 @@ def clean_pages(pages: DataFrame, orientation: Callable[[np.ndarray], int | None
             rows = []
             for doc, page, data in zip(pdf["doc_id"], pdf["page"], pdf["image"], strict=True):
                 try:
-                    grey, m = clean(decode(data), orientation)
-                    rows.append((doc, page, grey.shape[1], grey.shape[0], m["noise"], m["contrast"], m["sharpness"], m["skew"], m["rotation"], m["steps"], encode(grey), None))
+                    grey, steps = clean(decode(data), orientation)
+                    rows.append((doc, page, grey.shape[1], grey.shape[0], steps, encode(grey), None))
                 except Exception as e:
-                    rows.append((doc, page, None, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:500]))
-            yield pd.DataFrame(rows, columns=[f.split()[0] for f in CLEANED.split(", ")])
+                    rows.append((doc, page, None, None, None, None, f"{type(e).__name__}: {e}"[:500]))
+                release_memory()
+            yield pd.DataFrame(rows, columns=["doc_id", "page", "width", "height", "steps", "image", "problem"])
 
     return pages.select("doc_id", "page", "image").mapInPandas(run, CLEANED)

@@ -18,13 +18,19 @@ def heartbeats(feed: DataFrame, late: str = "10 minutes", width: str = "1 hour")
 
 
 def limiter_stream(hits: DataFrame, limit: int, window_s: float) -> DataFrame:
-    """STR-07: the admission limiter over a stream of (client, ts, seq). State: the admitted times of the window."""
+    """STR-07: the admission limiter over a stream of (client, ts, seq). State: the admitted times of the window.
+
+    A client's state goes when no hit came for a whole window of processing time, as none of its times can count any more.
+    """
     import pandas as pd
 
     ship(hits.sparkSession)
     kind = hits.schema["client"].dataType.simpleString()
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         admitted = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["t", "seq"])
         out = []
@@ -36,11 +42,12 @@ def limiter_stream(hits: DataFrame, limit: int, window_s: float) -> DataFrame:
             else:
                 out.append((key[0], seq, False, max(0.1, window_s - (t - admitted[0]))))
         state.update((admitted,))
+        state.setTimeoutDuration(max(1, int(window_s * 1000)))
         yield pd.DataFrame(out, columns=["client", "seq", "allowed", "retry_after"])
 
     timed = hits.select("client", "seq", (F.unix_micros(F.col("ts")) / 1e6).alias("t"))
     return timed.groupBy("client").applyInPandasWithState(
-        run, f"client {kind}, seq long, allowed boolean, retry_after double", "admitted array<double>", "append", GroupStateTimeout.NoTimeout
+        run, f"client {kind}, seq long, allowed boolean, retry_after double", "admitted array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
@@ -68,7 +75,55 @@ def stuck_stream(feed: DataFrame, after_s: int = C.STUCK_SECONDS) -> DataFrame:
     )
 
 
+def claim(spark, folder: str, name: str) -> bool:
+    """STR-01: compare-and-swap on the shared file system: only the first to create the claim's file has it."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    try:
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, False).close()
+        return True
+    except Exception as e:
+        if "FileAlreadyExists" in str(e) or "already exists" in str(e):
+            return False
+        raise
+
+
+def claim_next(queue: DataFrame, claims: str, tries: int = 5):
+    """STR-01, SRT-04: the id of the oldest pending document that this worker won, or None; a lost race moves on to the next."""
+    from ..operators.lifecycle import next_pending
+
+    for row in next_pending(queue, tries).select("document_id").collect():
+        if claim(queue.sparkSession, claims, f"document-{row['document_id']}"):
+            return row["document_id"]
+    return None
+
+
 def claim_worker(queue: DataFrame, process, checkpoint: str, every: str = "2 seconds"):
-    """STR-01, STR-13: each micro-batch claims the pending documents that arrived; the checkpoint makes each claim once."""
+    """STR-01, STR-13: each micro-batch claims the pending documents that arrived and that no batch has claimed before.
+
+    Claims are written per batch before ``process(claimed, batch)`` runs, and a batch that was processed is marked; a
+    batch that Spark repeats after a crash claims the same documents again, or is skipped if its mark is there.
+    """
     pending = queue.where("status = 'pending'")
-    return pending.writeStream.foreachBatch(lambda df, n: process(df.withColumn("status", F.lit("processing")), n)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    claims = f"{checkpoint.rstrip('/')}-claims"
+
+    def step(df: DataFrame, n: int) -> None:
+        spark = df.sparkSession
+        jvm = spark._jvm
+        done = jvm.org.apache.hadoop.fs.Path(f"{claims}-done/{n}")
+        files = done.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(done):
+            return
+        kind = df.schema["document_id"].dataType.simpleString()
+        earlier = [f"{claims}/{s.getPath().getName()}" for s in files.listStatus(jvm.org.apache.hadoop.fs.Path(claims))] if files.exists(jvm.org.apache.hadoop.fs.Path(claims)) else []
+        earlier = [p for p in earlier if not p.endswith(f"/batch-{n}")]
+        new = df.dropDuplicates(["document_id"])
+        if earlier:
+            new = new.join(spark.read.schema(f"document_id {kind}").parquet(*earlier), "document_id", "left_anti")
+        own = f"{claims}/batch-{n}"
+        new.select("document_id").write.mode("overwrite").parquet(own)
+        mine = spark.read.schema(f"document_id {kind}").parquet(own)
+        process(df.dropDuplicates(["document_id"]).join(mine, "document_id", "left_semi").withColumn("status", F.lit("processing")), n)
+        files.create(done, True).close()
+
+    return pending.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
