@@ -74,7 +74,7 @@ def run(df, name):
 
 
 def test_streams(spark, tmp_path):
-    rows = spark.createDataFrame([("c", i, 10 * i) for i in range(6)] + [("e", 9, 3600)], "client string, seq long, s int")
+    rows = spark.createDataFrame([("c", i, 1_000_000 + 10 * i) for i in range(6)] + [("e", 9, 1_000_060)], "client string, seq long, s int")
     rows.select("client", F.col("client").alias("document_id"), F.timestamp_seconds("s").alias("ts"), "seq").coalesce(1).write.parquet(str(tmp_path / "in"))
     hits = spark.readStream.schema("client string, document_id string, ts timestamp, seq long").parquet(str(tmp_path / "in"))
     allowed = {r.seq: r.allowed for r in run(jobs.limiter_stream(hits.select("client", "ts", "seq"), 2, 25.0), "limited")}
@@ -83,7 +83,18 @@ def test_streams(spark, tmp_path):
     q = jobs.claim_worker(hits.select("document_id", F.lit("pending").alias("status")), lambda df, n: done.append(df.count()), str(tmp_path / "ck"), "1 second")
     q.processAllAvailable()
     q.stop()
-    assert sum(done) == 7
+    assert sum(done) == 2  # two documents, each claimed once
+    again = []
+    q = jobs.claim_worker(hits.select("document_id", F.lit("pending").alias("status")), lambda df, n: again.append(df.count()), str(tmp_path / "ck"), "1 second")
+    q.processAllAvailable()
+    q.stop()
+    assert sum(again) == 0
+
+
+def test_claims_are_won_once(spark, tmp_path):
+    queue = spark.createDataFrame([("b", "pending", 2), ("a", "pending", 1), ("c", "complete", 0)], "document_id string, status string, uploaded_at int")
+    won = [jobs.claim_next(queue, str(tmp_path / "claims")) for _ in range(3)]
+    assert won == ["a", "b", None]
 
 
 def test_stuck_stream_times_out(spark, tmp_path):
@@ -104,6 +115,21 @@ def test_conform(spark):
     assert tables.conform(spark.range(2).withColumn("x", F.lit(1)), schema).columns == ["id", "notes"]
 
 
+def test_versioned_tables_and_learned_picks(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    one = T.StructType([T.StructField("id", T.LongType())])
+    two = T.StructType([T.StructField("id", T.LongType()), T.StructField("notes", T.StringType())])
+    path = str(tmp_path / "t")
+    tables.write_versioned(spark.range(3).withColumn("own", F.lit("x")), path, 1)
+    got = tables.read_versioned(spark, path, {1: one, 2: two})
+    assert set(got.columns) == {"id", "notes", "own"} and got.count() == 3 and got.where("notes IS NULL AND own = 'x'").count() == 3
+    assert tables.migrate(spark.range(1), {1: one, 2: two})[1] == 2
+    assert tables.learned_picks(spark, str(tmp_path / "none")).count() == 0
+    spark.createDataFrame([("k", "1-1", "review", 1.0)], "key string, loinc_num string, source string, confidence double").write.parquet(str(tmp_path / "l"))
+    assert tables.learned_picks(spark, str(tmp_path / "l")).first().loinc_num == "1-1"
+
+
 def test_page_images(spark):
     import numpy as np
 

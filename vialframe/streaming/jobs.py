@@ -20,7 +20,8 @@ def heartbeats(feed: DataFrame, late: str = "10 minutes", width: str = "1 hour")
 def limiter_stream(hits: DataFrame, limit: int, window_s: float) -> DataFrame:
     """STR-07: the admission limiter over a stream of (client, ts, seq). State: the admitted times of the window.
 
-    A client's state goes when no hit came for a whole window of processing time, as none of its times can count any more.
+    A client's state goes once the watermark, a window behind the newest hit, has passed its last admitted time by a
+    window: none of its times can count any more. Hits later than the watermark get no verdict.
     """
     import pandas as pd
 
@@ -42,12 +43,12 @@ def limiter_stream(hits: DataFrame, limit: int, window_s: float) -> DataFrame:
             else:
                 out.append((key[0], seq, False, max(0.1, window_s - (t - admitted[0]))))
         state.update((admitted,))
-        state.setTimeoutDuration(max(1, int(window_s * 1000)))
+        state.setTimeoutTimestamp(max(int((admitted[-1] + window_s) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["client", "seq", "allowed", "retry_after"])
 
-    timed = hits.select("client", "seq", (F.unix_micros(F.col("ts")) / 1e6).alias("t"))
+    timed = hits.withWatermark("ts", f"{max(1, round(window_s))} seconds").select("client", "seq", "ts", (F.unix_micros(F.col("ts")) / 1e6).alias("t"))
     return timed.groupBy("client").applyInPandasWithState(
-        run, f"client {kind}, seq long, allowed boolean, retry_after double", "admitted array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        run, f"client {kind}, seq long, allowed boolean, retry_after double", "admitted array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
