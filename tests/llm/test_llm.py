@@ -120,8 +120,9 @@ def test_substring_dedup_equals_brute_force(spark, sf_dir):
         got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(clashing(docs(spark, data))).collect()), key=str)
         assert got == brute_repeats(data)
     assert substring_dedup.remove_repeats(docs(spark, rows).limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        substring_dedup.repeated_spans(docs(spark, rows), window=20)
+    for window in (20, 300):
+        with pytest.raises(ValueError):
+            substring_dedup.repeated_spans(docs(spark, rows), window=window)
 
 
 def test_equal_substrings_parse_alike():
@@ -353,6 +354,9 @@ def test_ngram_join_edges(spark):
     assert ngram_join.near_classes(docs(spark, rows).limit(0)).count() == 0
     kept = ngram_join.keep_representatives(clashing(docs(spark, rows[2:])))
     assert [(r.doc_id, r.text is None) for r in kept.orderBy("doc_id").collect()] == [(None, True), (7, False)] and set(CLASH) < set(kept.columns)
+    near = [(1, same), (1, same + " more"), (1, same + " more"), (2, same + " other")]  # an id that repeats; ids that are null
+    assert len({r.text for r in ngram_join.keep_representatives(docs(spark, near)).collect()}) == 1
+    assert len({r.text for r in ngram_join.keep_representatives(docs(spark, [(None, t) for _, t in near])).collect()}) == 1
 
 
 def test_components(spark):

@@ -72,6 +72,13 @@ def salted_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: s
     return salted.join(used.join(groups, keys), [*keys, "_vf_salt"], "left").drop("_vf_salt").select(*rows.columns, *[c for c in groups.columns if c not in keys])
 
 
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """Inner join like ``salted_groups`` for a table with a few rows per key: no key of ``rows`` is hot."""
+    salted = rows.withColumn("_vf_salt", F.pmod(F.xxhash64(F.lit(7), spread), F.lit(SALTS)).cast("int"))
+    used = salted.select(*keys, "_vf_salt").distinct()
+    return salted.join(used.join(table, keys), [*keys, "_vf_salt"]).drop("_vf_salt")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -26,7 +26,8 @@ pairs are tested.
 Defined cases: a null text, or one without words, has an empty set, links with
 nothing and is its own class; with fewer than ``width`` words the whole sequence
 is the one n-gram; rows with equal sets are one class; a null doc_id takes the
-class's smallest id; other columns are not read; an empty table gives no rows.
+class's smallest id; texts of any length are read whole; other columns are not
+read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import Words, discard, lean, materialise, mix, shuffle_partitions, span_hash, text_chunks
+from .common import SALTS, Words, discard, lean, materialise, mix, salted_groups, salted_join, shuffle_partitions, span_hash, text_chunks
 from .graph import components
 
 WIDTH = 5
@@ -263,7 +264,8 @@ def verified(pairs: DataFrame, parts: DataFrame, threshold: int = THRESHOLD) ->
     """The pairs (a, b, na, nb) whose partial overlaps add up to the threshold, with the overlap."""
     left = parts.select(F.col("key").alias("a"), "part", F.col("grams").alias("ga"))
     right = parts.select(F.col("key").alias("b"), "part", F.col("grams").alias("gb"))
-    counted = pairs.join(left, "a").join(right, ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("o"))
+    # a star's leader is in many pairs: they are dealt by the other set
+    counted = salted_join(salted_join(pairs, left, ["a"], "b"), right, ["b", "part"], "a").select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("o"))
     total = counted.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("overlap"))
     return total.where(f"100 * overlap >= {threshold} * (na + nb - overlap)")
 
@@ -294,8 +296,12 @@ def link_sets(records: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     band = lambda turn: F.floor(F.ln("n") / F.lit(float(np.log(100 / threshold))) + F.lit(0.5 * (turn % 2)))
     spent: list[DataFrame] = []
     for turn in range(STAR_ROUNDS + 1):
-        open_ = now.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("gram")
-        held = materialise(now.join(open_, "gram", "left_semi").withColumn("band", band(turn)), "index")
+        # an n-gram that very many sets hold is dealt by salts: its entries first meet per salt, then the salts
+        salted = now.withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(SALTS)).cast("int"))
+        per_salt = salted.groupBy("gram", "salt").agg(F.min("root").alias("a"), F.max("root").alias("b"))
+        open_ = per_salt.groupBy("gram").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a < b").select("gram")
+        held = salted.join(per_salt.select("gram", "salt").join(open_, "gram", "left_semi"), ["gram", "salt"], "left_semi")
+        held = materialise(held.drop("salt").withColumn("band", band(turn)), "index")
         left, rows = _untested(held), held.count()
         last = left <= max(FEW_PAIRS, 2 * rows) or turn == STAR_ROUNDS
         side = lambda x: held.select("gram", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "pos", "root", "band")])  # noqa: E731, B023
@@ -303,20 +309,22 @@ def link_sets(records: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         if not rows:
             break
         if last:
-            pairs = side("a").join(side("b"), "gram").where("key_a < key_b and root_a <> root_b")
+            # sizes that can link lie in the same or in neighbouring bands: no more pairs than were counted
+            low = side("a").withColumn("band_b", F.explode(F.array(F.col("band_a"), F.col("band_a") + 1)))
+            pairs = low.join(side("b"), ["gram", "band_b"]).where("(band_a < band_b or key_a < key_b) and root_a <> root_b")
         else:
             # the first leader is the set with the commonest n-grams (nearest to what a group of edits came from), later ones go by hash
             rank = F.col("score") if turn < 2 else F.xxhash64("key", F.lit(turn)).cast("double")
             best = held.groupBy("gram", "band").agg(F.max(F.struct(rank.alias("r"), "key", "n", "pos", "root")).alias("l"))
             leader = best.select("gram", F.col("band").alias("band_b"), *[F.col(f"l.{c}").alias(f"{c}_a") for c in ("key", "n", "pos", "root")])
-            pairs = side("b").join(leader, ["gram", "band_b"]).where("root_a <> root_b")
+            pairs = salted_join(side("b"), leader, ["gram", "band_b"], "key_b").where("root_a <> root_b")
         pairs = pairs.where(_fits(threshold, "n_a", "n_b", "pos_a", "pos_b"))
         swap = F.col("key_a") > F.col("key_b")
         ordered = [F.when(swap, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(name) for c, x, y, name in (("key", "a", "b", "a"), ("key", "b", "a", "b"), ("n", "a", "b", "na"), ("n", "b", "a", "nb"))]
         found = verified(pairs.select(*ordered).distinct(), parts, threshold)
         # links between sets become links between their classes
         of = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))  # noqa: E731, B023
-        classes = found.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+        classes = salted_join(salted_join(found.select("a", "b"), of("a"), ["a"], "b"), of("b"), ["b"], "a")
         merged = components(classes, "root_a", "root_b").select(F.col("node").alias("root"), F.col("root").alias("merged"))
         following = labels.join(merged, "root", "left").select("node", F.coalesce("merged", "root").alias("root"))
         before, labels = labels, materialise(following, "labels")
@@ -337,23 +345,28 @@ def _classes(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     records = materialise(linkable_records(docs, width, threshold), "records")
     roots = link_sets(records, threshold)
     discard(records)
-    named = keys.join(roots, keys["key"] == roots["node"], "left").select("doc_id", "text_hash", "n", F.coalesce("root", "key").alias("class"))
+    # rows of a set, and sets of a class, are dealt by their ids: a class may hold a third of all rows
+    named = salted_groups(keys, roots.withColumnRenamed("node", "key"), ["key"], "doc_id").select("doc_id", "text_hash", "n", F.coalesce("root", "key").alias("class"))
     smallest = named.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return named.join(smallest, "class", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return salted_groups(named, smallest, ["class"], "doc_id").select("doc_id", "text_hash", "class", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def near_classes(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id of its class)."""
-    return _classes(docs, width, threshold).drop("text_hash")
+    return _classes(docs, width, threshold).drop("text_hash", "class")
 
 
 def keep_representatives(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each class: the one with the smallest doc_id; all columns kept.
 
-    Documents without words have no class and all stay. Rows are told apart by doc_id and text: rows that repeat a
-    kept one stay with it, and a class of null ids only keeps all its rows.
+    Documents without words have no class and all stay. Rows are told apart by doc_id and text: of a class's rows with
+    the smallest id the one with the smallest text hash stays (an id may repeat, or all may be null), with rows that
+    repeat both.
     """
-    kept = _classes(docs, width, threshold).where("component_id <=> doc_id").select(F.col("doc_id").alias("_vf_id"), F.col("text_hash").alias("_vf_text")).distinct()
-    here = F.col("doc_id").cast("long").eqNullSafe(F.col("_vf_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_vf_text"))
+    named = _classes(docs, width, threshold)
+    first = named.where("n_shingles > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("i"), "doc_id", "text_hash")).alias("f"))
+    alone = named.where("n_shingles = 0").select(F.col("doc_id").alias("_vf_id"), F.col("text_hash").alias("_vf_text"))
+    kept = first.select(F.col("f.doc_id").alias("_vf_id"), F.col("f.text_hash").alias("_vf_text")).unionByName(alone).distinct()
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col("_vf_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_vf_text"))  # null text: the seed
     return docs.join(kept, here, "left_semi")

@@ -22,8 +22,8 @@ Windows are judged on the input. A removed word is one that such a window covers
 
 Defined cases: a null text has no words; texts under W words lose nothing;
 repeated rows are occurrences like any other, so a text of W words or more that
-two rows hold is removed whole from both; texts are known by their 64-bit
-xxhash; other columns are handed on untouched; an empty table gives no rows.
+two rows hold is removed whole from both; very long texts are chunks of
+their own and read whole; texts are known by their 64-bit xxhash; other columns are handed on untouched; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -199,9 +199,10 @@ def _repeated(window: int, homes: int) -> Callable[[Iterable], Iterator]:
         step = _ranges(np.zeros(len(kept), np.int64), count)
         owner = np.repeat(kept, count)
         away = (offset[owner].astype(np.int64) - step).astype(np.uint64)
-        ident = mix(name[owner] + away * np.uint64(0x9E3779B97F4A7C15)) ^ mix(low[at].astype(np.uint64) | high[at].astype(np.uint64) << np.uint64(32))
-        order = np.argsort(ident, kind="stable")
-        eq = ident[order[1:]] == ident[order[:-1]]
+        # 112 bits tell windows apart: where the anchor lies and its name, and the hash of the words
+        ident, words = mix(name[owner] + away * np.uint64(0x9E3779B97F4A7C15)), low[at].astype(np.uint64) | high[at].astype(np.uint64) << np.uint64(32)
+        order = np.lexsort((words, ident))
+        eq = (ident[order[1:]] == ident[order[:-1]]) & (words[order[1:]] == words[order[:-1]])
         same = np.zeros(len(ident), bool)
         same[order[1:]] |= eq
         same[order[:-1]] |= eq
@@ -249,6 +250,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """key (xxhash64 of the text), spans (binary: little-endian u32 first word, end word pairs) of what repeats."""
     if window < 2 * MARGIN + 2 * 2**ROUNDS - 1:
         raise ValueError("the window is too short for an anchor to be sure")
+    if window > 255:
+        raise ValueError("places inside a window are kept in one byte: 255 words at most")
     ship(docs.sparkSession)
     parts = shuffle_partitions(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
