@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import same_rows
-from vialframe.llm import chat_format, exact_dedup, fingerprint, graph, license_scan, ngram_join, packing, quality, sentencepiece_sa, substring_dedup, url_filter
+from vialframe.llm import chat_format, common, exact_dedup, fingerprint, graph, license_scan, ngram_join, packing, quality, sentencepiece_sa, substring_dedup, url_filter
 from vialframe.llm.queries import ORACLE_SQL, QUERIES, tokenizer_file
 
 SHAPE = "doc_id long, text string"
@@ -324,6 +324,8 @@ def brute_classes(rows):
 @pytest.mark.parametrize("few", [100_000, 300])
 def test_ngram_join_equals_brute_force(spark, sf_dir, few, monkeypatch):
     monkeypatch.setattr(ngram_join, "FEW_PAIRS", few)
+    for module in (common, ngram_join):  # with and without salts
+        monkeypatch.setattr(module, "PLAIN_ROWS", 0 if few < 1000 else common.PLAIN_ROWS)
     rnd = random.Random(few)
     words = [f"w{i}" for i in range(400)]
     rows = [(0, None), (1, ""), (2, "one two"), (3, "One TWO"), (4, "a b c d e"), (5, "z " * 3000)]

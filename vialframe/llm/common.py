@@ -59,21 +59,27 @@ def discard(df: DataFrame | None) -> None:
 
 #: Parts into which the rows of a key are dealt where a group's values go back to its rows.
 SALTS = 64
+#: Tables of so many rows are joined without salts: one task could hold them even if all had one key.
+PLAIN_ROWS = 1_000_000
 
 
-def salted_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: str) -> DataFrame:
+def salted_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: str, n: int | None = None) -> DataFrame:
     """``rows`` left-joined with ``groups`` (one row per key) so that no key is hot.
 
     The rows of a key are dealt over ``SALTS`` parts by a hash of ``spread``; a group is first sent to the parts that its
-    rows use, at most ``SALTS`` entries per key, and meets its rows there.
+    rows use, at most ``SALTS`` entries per key, and meets its rows there. ``n``: the number of rows, where it is known.
     """
+    if n is not None and n <= PLAIN_ROWS:
+        return rows.join(groups, keys, "left").select(*rows.columns, *[c for c in groups.columns if c not in keys])
     salted = rows.withColumn("_vf_salt", F.pmod(F.xxhash64(F.lit(7), spread), F.lit(SALTS)).cast("int"))
     used = salted.select(*keys, "_vf_salt").distinct()
     return salted.join(used.join(groups, keys), [*keys, "_vf_salt"], "left").drop("_vf_salt").select(*rows.columns, *[c for c in groups.columns if c not in keys])
 
 
-def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], spread: str) -> DataFrame:
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], spread: str, n: int | None = None) -> DataFrame:
     """Inner join like ``salted_groups`` for a table with a few rows per key: no key of ``rows`` is hot."""
+    if n is not None and n <= PLAIN_ROWS:
+        return rows.join(table, keys)
     salted = rows.withColumn("_vf_salt", F.pmod(F.xxhash64(F.lit(7), spread), F.lit(SALTS)).cast("int"))
     used = salted.select(*keys, "_vf_salt").distinct()
     return salted.join(used.join(table, keys), [*keys, "_vf_salt"]).drop("_vf_salt")

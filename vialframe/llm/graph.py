@@ -37,11 +37,11 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         # large star: each node hands its larger neighbours to its smallest one
         both = _both(edges)
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = salted_join(both, low, ["u"], "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = salted_join(both, low, ["u"], "v", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: each node hands itself and its smaller neighbours to the smallest of them
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            salted_join(large, small_low, ["u"], "v")
+            salted_join(large, small_low, ["u"], "v", 2 * state[0])
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u <> v")

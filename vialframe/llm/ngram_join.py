@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import SALTS, Words, discard, lean, materialise, mix, salted_groups, salted_join, shuffle_partitions, span_hash, text_chunks
+from .common import PLAIN_ROWS, SALTS, Words, discard, lean, materialise, mix, salted_groups, salted_join, shuffle_partitions, span_hash, text_chunks
 from .graph import components
 
 WIDTH = 5
@@ -260,12 +260,12 @@ def _fits(threshold: int, na: str, nb: str, pa: str, pb: str) -> str:
     return f"(100 + {threshold}) * least({na} - {pa}, {nb} - {pb}) >= {threshold} * ({na} + {nb})"
 
 
-def verified(pairs: DataFrame, parts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def verified(pairs: DataFrame, parts: DataFrame, threshold: int = THRESHOLD, n: int | None = None) -> DataFrame:
     """The pairs (a, b, na, nb) whose partial overlaps add up to the threshold, with the overlap."""
     left = parts.select(F.col("key").alias("a"), "part", F.col("grams").alias("ga"))
     right = parts.select(F.col("key").alias("b"), "part", F.col("grams").alias("gb"))
     # a star's leader is in many pairs: they are dealt by the other set
-    counted = salted_join(salted_join(pairs, left, ["a"], "b"), right, ["b", "part"], "a").select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("o"))
+    counted = salted_join(salted_join(pairs, left, ["a"], "b", n), right, ["b", "part"], "a", n).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("o"))
     total = counted.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("overlap"))
     return total.where(f"100 * overlap >= {threshold} * (na + nb - overlap)")
 
@@ -295,13 +295,18 @@ def link_sets(records: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     # sizes that can link differ by the factor 100 / threshold at most: one band or two neighbours
     band = lambda turn: F.floor(F.ln("n") / F.lit(float(np.log(100 / threshold))) + F.lit(0.5 * (turn % 2)))
     spent: list[DataFrame] = []
+    rows = records.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
     for turn in range(STAR_ROUNDS + 1):
-        # an n-gram that very many sets hold is dealt by salts: its entries first meet per salt, then the salts
-        salted = now.withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(SALTS)).cast("int"))
-        per_salt = salted.groupBy("gram", "salt").agg(F.min("root").alias("a"), F.max("root").alias("b"))
-        open_ = per_salt.groupBy("gram").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a < b").select("gram")
-        held = salted.join(per_salt.select("gram", "salt").join(open_, "gram", "left_semi"), ["gram", "salt"], "left_semi")
-        held = materialise(held.drop("salt").withColumn("band", band(turn)), "index")
+        if rows > PLAIN_ROWS:
+            # an n-gram that very many sets hold is dealt by salts: its entries first meet per salt, then the salts
+            salted = now.withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(SALTS)).cast("int"))
+            per_salt = salted.groupBy("gram", "salt").agg(F.min("root").alias("a"), F.max("root").alias("b"))
+            open_ = per_salt.groupBy("gram").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a < b").select("gram")
+            held = salted.join(per_salt.select("gram", "salt").join(open_, "gram", "left_semi"), ["gram", "salt"], "left_semi").drop("salt")
+        else:
+            open_ = now.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("gram")
+            held = now.join(open_, "gram", "left_semi")
+        held = materialise(held.withColumn("band", band(turn)), "index")
         left, rows = _untested(held), held.count()
         last = left <= max(FEW_PAIRS, 2 * rows) or turn == STAR_ROUNDS
         side = lambda x: held.select("gram", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "pos", "root", "band")])  # noqa: E731, B023
@@ -317,14 +322,15 @@ def link_sets(records: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             rank = F.col("score") if turn < 2 else F.xxhash64("key", F.lit(turn)).cast("double")
             best = held.groupBy("gram", "band").agg(F.max(F.struct(rank.alias("r"), "key", "n", "pos", "root")).alias("l"))
             leader = best.select("gram", F.col("band").alias("band_b"), *[F.col(f"l.{c}").alias(f"{c}_a") for c in ("key", "n", "pos", "root")])
-            pairs = salted_join(side("b"), leader, ["gram", "band_b"], "key_b").where("root_a <> root_b")
+            pairs = salted_join(side("b"), leader, ["gram", "band_b"], "key_b", rows).where("root_a <> root_b")
         pairs = pairs.where(_fits(threshold, "n_a", "n_b", "pos_a", "pos_b"))
         swap = F.col("key_a") > F.col("key_b")
         ordered = [F.when(swap, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(name) for c, x, y, name in (("key", "a", "b", "a"), ("key", "b", "a", "b"), ("n", "a", "b", "na"), ("n", "b", "a", "nb"))]
-        found = verified(pairs.select(*ordered).distinct(), parts, threshold)
+        most = int(max(rows, left)) if last else rows  # pairs at most
+        found = verified(pairs.select(*ordered).distinct(), parts, threshold, most)
         # links between sets become links between their classes
         of = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))  # noqa: E731, B023
-        classes = salted_join(salted_join(found.select("a", "b"), of("a"), ["a"], "b"), of("b"), ["b"], "a")
+        classes = salted_join(salted_join(found.select("a", "b"), of("a"), ["a"], "b", most), of("b"), ["b"], "a", most)
         merged = components(classes, "root_a", "root_b").select(F.col("node").alias("root"), F.col("root").alias("merged"))
         following = labels.join(merged, "root", "left").select("node", F.coalesce("merged", "root").alias("root"))
         before, labels = labels, materialise(following, "labels")
@@ -345,11 +351,12 @@ def _classes(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     records = materialise(linkable_records(docs, width, threshold), "records")
     roots = link_sets(records, threshold)
     discard(records)
+    n = keys.count()
     # rows of a set, and sets of a class, are dealt by their ids: a class may hold a third of all rows
-    named = salted_groups(keys, roots.withColumnRenamed("node", "key"), ["key"], "doc_id").select("doc_id", "text_hash", "n", F.coalesce("root", "key").alias("class"))
+    named = salted_groups(keys, roots.withColumnRenamed("node", "key"), ["key"], "doc_id", n).select("doc_id", "text_hash", "n", F.coalesce("root", "key").alias("class"))
     smallest = named.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return salted_groups(named, smallest, ["class"], "doc_id").select("doc_id", "text_hash", "class", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return salted_groups(named, smallest, ["class"], "doc_id", n).select("doc_id", "text_hash", "class", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def near_classes(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
