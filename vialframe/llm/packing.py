@@ -149,7 +149,7 @@ class WordIds:
             coded = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
             return [np.asarray(c.ids, "<u4").tobytes() for c in coded]
         if self.cut:
-            parts = {i: self.cut.split(t) for i, t in enumerate(texts) if self.cut.search(t)}
+            parts = {i: self.cut.split(t) for i, t in enumerate(texts) if any(c in t for c in self.control)}
             if parts:
                 return self._around_control(texts, parts)
         words = [t.split() for t in texts]
