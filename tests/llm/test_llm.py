@@ -180,6 +180,20 @@ def test_packing_other_vocabulary_and_plain_control_strings(name, control_ids):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_packing_caches_that_overflow():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    words = packing.WordIds(tokenizer_file("word_bpe_49k.json"), limit=8)
+    batches = [["one two, three\x0b four \x1c five", " lead", "trail \n", "\u00a0 \u3000x"], ["two one!", "x" * 5000, ""], [f"w{i}or-d{i}" for i in range(40)], ["one two w3or-d3 " * 30], []]
+    for texts in batches * 2:
+        got = words.ids_of([t.encode() for t in texts])
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(words.words.pieces) <= 8 and len(words.runs.pieces) <= 8
+    broken = [b"a \xff\xfeb \xe3\x81 c", b"plain"]
+    assert [np.frombuffer(g, "<u4").tolist() for g in words.ids_of(broken)] == [tok.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids for t in broken]
+
+
 # ------------------------------------------------------------------ 5 licences
 #: Grants and non-grants that are in no template word for word.
 HELD_GRANTS = {
