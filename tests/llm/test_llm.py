@@ -362,6 +362,23 @@ def test_ngram_join_equals_brute_force(spark, sf_dir, few, monkeypatch):
         assert got == brute_classes(data)
 
 
+def test_ngram_join_ends_when_stars_do_not_help(spark, monkeypatch):
+    """Unlike texts of shared passages: rounds that contract nothing aren't repeated, and no link is lost."""
+    monkeypatch.setattr(ngram_join, "FEW_PAIRS", 0)
+    rnd, turns = random.Random(3), []
+    passages = [" ".join(f"p{i}x{rnd.randrange(10**6)}" for _ in range(100)) for i in range(30)]
+    rows = [(d, " ".join(rnd.sample(passages, 10))) for d in range(80)]
+    rows += [(100 + d, t + " end") for d, t in rows[:15]]
+    joined = ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", lambda *a: (turns.append(1), joined(*a))[1])
+    want = brute_classes(rows)
+    for pairs in (ngram_join.PAIRS_A_ROW, (0, 0)):
+        monkeypatch.setattr(ngram_join, "PAIRS_A_ROW", pairs)
+        turns.clear()
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_classes(docs(spark, rows)).collect()}
+        assert got == want and len(turns) <= 4
+
+
 def test_ngram_join_edges(spark):
     same = " ".join(f"t{i}" for i in range(30))
     rows = [(5, same), (5, same), (None, same), (7, same + " end"), (None, None)]

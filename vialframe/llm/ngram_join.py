@@ -46,8 +46,11 @@ WIDTH = 5
 THRESHOLD = 80  # per cent
 #: Fragments in which the partial overlaps of a pair are counted.
 PARTS = 4
-#: Star rounds at most, and the pairs up to which all that remain are simply tested (at least one per index row).
+#: Star rounds at most, and the pairs up to which all that remain are simply tested.
 STAR_ROUNDS, FEW_PAIRS = 8, 100_000
+#: Pairs per index row up to which the same holds: at first, and once a star round has contracted the groups of near
+#: copies. What is left then are pairs that share common n-grams; the bounds rule nearly all out inside the join.
+PAIRS_A_ROW = (2, 32)
 
 
 # ---------------------------------------------------------------- sets of a chunk
@@ -270,17 +273,36 @@ def verified(pairs: DataFrame, parts: DataFrame, threshold: int = THRESHOLD, n:
     return total.where(f"100 * overlap >= {threshold} * (na + nb - overlap)")
 
 
-def _untested(now: DataFrame) -> float:
-    """Pairs of different classes that share an n-gram and whose sizes are in the same or in neighbouring bands."""
-    by_class = Window.partitionBy("gram", "root").orderBy("band")
+def _untested(now: DataFrame, grouped: bool) -> tuple[float, int, list[int]]:
+    """(pairs, rows, hot) of an index: pairs of different classes that share an n-gram and whose sizes are in the same or
+    in neighbouring bands; the rows; and the n-grams that more than ``PLAIN_ROWS`` rows of one band hold.
+
+    ``grouped``: some rows are of the same class (``root``); else every row is a class of its own.
+    """
     by_gram = Window.partitionBy("gram").orderBy("band")
     near = lambda what, w: F.when(F.lag("band").over(w) == F.col("band") - 1, F.lag(what).over(w)).otherwise(0)
-    per_class = now.groupBy("gram", "root", "band").agg(F.count(F.lit(1)).alias("c")).withColumn("before", near("c", by_class))
-    per_band = per_class.groupBy("gram", "band").agg(
-        F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"), F.sum(F.col("c") * F.col("before")).alias("x")
-    )
+    if grouped:
+        by_class = Window.partitionBy("gram", "root").orderBy("band")
+        per_class = now.groupBy("gram", "root", "band").agg(F.count(F.lit(1)).alias("c")).withColumn("before", near("c", by_class))
+        per_band = per_class.groupBy("gram", "band").agg(
+            F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"), F.sum(F.col("c") * F.col("before")).alias("x")
+        )
+    else:
+        per_band = now.groupBy("gram", "band").agg(F.count(F.lit(1)).alias("m")).withColumns({"s": F.col("m"), "x": F.lit(0)})
     per_band = per_band.withColumn("before", near("m", by_gram))
-    return per_band.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2 + F.col("m") * F.col("before") - F.col("x")), F.lit(0.0))).first()[0]
+    m, pairs = F.col("m"), F.sum((F.col("m") * F.col("m") - F.col("s")) / 2 + F.col("m") * F.col("before") - F.col("x"))
+    got = per_band.agg(F.coalesce(pairs, F.lit(0.0)), F.coalesce(F.sum(m), F.lit(0)), F.collect_set(F.when(m > PLAIN_ROWS, F.col("gram")))).first()
+    return got[0], got[1], got[2]
+
+
+def _dealt_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: list[int], how: str = "inner") -> DataFrame:
+    """``rows`` joined with a table of one row per key, its key ``gram`` among them: rows of hot n-grams are dealt by salts."""
+    if not hot:
+        return rows.join(table, keys, how)
+    is_hot = F.col("gram").isin(hot)
+    salted = rows.withColumn("_vf_salt", F.when(is_hot, F.pmod(F.xxhash64(F.lit(7), *[c for c in rows.columns if c.startswith("key")]), F.lit(SALTS))).otherwise(F.lit(0)))
+    dealt = table.withColumn("_vf_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
+    return salted.join(dealt, [*keys, "_vf_salt"], how).drop("_vf_salt")
 
 
 def link_sets(records: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -295,23 +317,20 @@ def link_sets(records: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     # sizes that can link differ by the factor 100 / threshold at most: one band or two neighbours
     band = lambda turn: F.floor(F.ln("n") / F.lit(float(np.log(100 / threshold))) + F.lit(0.5 * (turn % 2)))
     spent: list[DataFrame] = []
-    rows = records.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    before_left, hot = float("inf"), []
     for turn in range(STAR_ROUNDS + 1):
-        if rows > PLAIN_ROWS:
-            # an n-gram that very many sets hold is dealt by salts: its entries first meet per salt, then the salts
-            salted = now.withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(SALTS)).cast("int"))
-            per_salt = salted.groupBy("gram", "salt").agg(F.min("root").alias("a"), F.max("root").alias("b"))
-            open_ = per_salt.groupBy("gram").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a < b").select("gram")
-            held = salted.join(per_salt.select("gram", "salt").join(open_, "gram", "left_semi"), ["gram", "salt"], "left_semi").drop("salt")
-        else:
+        if turn:
             open_ = now.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("gram")
-            held = now.join(open_, "gram", "left_semi")
-        held = materialise(held.withColumn("band", band(turn)), "index")
-        left, rows = _untested(held), held.count()
-        last = left <= max(FEW_PAIRS, 2 * rows) or turn == STAR_ROUNDS
+            now = _dealt_join(now, open_, ["gram"], hot, "left_semi")
+        held = materialise(now.withColumn("band", band(turn)), "index")
+        left, rows, hot = _untested(held, turn > 0)
+        # a round that contracts next to nothing won't be followed by better ones: common n-grams of unlike sets are left
+        stalled = turn > 1 and left > 0.9 * before_left
+        last = left <= max(FEW_PAIRS, PAIRS_A_ROW[min(turn, 1)] * rows) or stalled or turn == STAR_ROUNDS
+        before_left = left
         side = lambda x: held.select("gram", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "pos", "root", "band")])  # noqa: E731, B023
         spent.append(held)
-        if not rows:
+        if not left:
             break
         if last:
             # sizes that can link lie in the same or in neighbouring bands: no more pairs than were counted
@@ -322,12 +341,13 @@ def link_sets(records: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             rank = F.col("score") if turn < 2 else F.xxhash64("key", F.lit(turn)).cast("double")
             best = held.groupBy("gram", "band").agg(F.max(F.struct(rank.alias("r"), "key", "n", "pos", "root")).alias("l"))
             leader = best.select("gram", F.col("band").alias("band_b"), *[F.col(f"l.{c}").alias(f"{c}_a") for c in ("key", "n", "pos", "root")])
-            pairs = salted_join(side("b"), leader, ["gram", "band_b"], "key_b", rows).where("root_a <> root_b")
+            pairs = _dealt_join(side("b"), leader, ["gram", "band_b"], hot).where("root_a <> root_b")
         pairs = pairs.where(_fits(threshold, "n_a", "n_b", "pos_a", "pos_b"))
         swap = F.col("key_a") > F.col("key_b")
         ordered = [F.when(swap, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(name) for c, x, y, name in (("key", "a", "b", "a"), ("key", "b", "a", "b"), ("n", "a", "b", "na"), ("n", "b", "a", "nb"))]
-        most = int(max(rows, left)) if last else rows  # pairs at most
-        found = verified(pairs.select(*ordered).distinct(), parts, threshold, most)
+        pairs = materialise(pairs.select(*ordered).distinct(), "pairs")
+        most = pairs.count()
+        found = verified(pairs, parts, threshold, most)
         # links between sets become links between their classes
         of = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))  # noqa: E731, B023
         classes = salted_join(salted_join(found.select("a", "b"), of("a"), ["a"], "b", most), of("b"), ["b"], "a", most)
@@ -335,6 +355,7 @@ def link_sets(records: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         following = labels.join(merged, "root", "left").select("node", F.coalesce("merged", "root").alias("root"))
         before, labels = labels, materialise(following, "labels")
         discard(before)
+        discard(pairs)
         if last:
             break
         now = held.drop("band", "root").join(labels.withColumnRenamed("node", "key"), "key")
