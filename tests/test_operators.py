@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vialframe.functions import text as X
 from vialframe.functions import validate as V
 from vialframe.operators import layout, lifecycle, mapping, parse, retrieval, store, terminology
+from vialframe.plans import adapters as A
 from vialframe.plans.queries import rate_limit
 
 QUICK = settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -272,3 +273,16 @@ def test_report_without_the_training_data_operators(tmp_path):
     root = __file__.rsplit("/tests/", 1)[0]
     code = f"import sys; sys.path.insert(0, {root!r})\nimport importlib.abc\nclass Gone(importlib.abc.MetaPathFinder):\n    def find_spec(self, name, path=None, target=None):\n        if name.startswith(('vialframe.llm', 'corpus_pipeline')):\n            raise ModuleNotFoundError(name, name=name)\nsys.meta_path.insert(0, Gone())\nimport __spark_entry__ as e\nq = e.queries()\nassert len(q) > 70 and not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in e.oracle_sql()\nprint('fine')"
     assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=tmp_path).stdout.strip() == "fine"
+
+
+def test_mapping_keeps_rows_whose_ids_repeat(spark, sf_dir):
+    """Rows that share an id and differ in their names or not: each is mapped once, for itself, with its hints."""
+    cat = A.catalog(spark, sf_dir).limit(40)
+    names = [r.shortname for r in cat.limit(3).collect()]
+    rows = [(1, f"{n} no alias", None, "12", "mg/dL", None) for n in (names[0], names[0], names[1])] + [(2, f"{names[2]} x", "Serum", "Trace", None, None)]
+    obs = spark.createDataFrame(rows, "observation_id long, original_test_name string, specimen string, value string, unit string, method string")
+    index = terminology.alias_index(cat)
+    for got in (mapping.map_single(obs, index, cat).collect(), mapping.map_rows(obs, index, cat).collect()):
+        assert sorted((r.observation_id, r.original_test_name) for r in got) == sorted((i, n) for i, n, *_ in rows)
+        assert all("Unverified suggestions: " in r.mapping_rationale for r in got)
+        assert len({(r.original_test_name, r.mapping_rationale) for r in got}) == len({n for _, n, *_ in rows})

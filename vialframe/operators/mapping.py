@@ -11,7 +11,7 @@ from .. import config as C
 from ..functions.text import clean, make_key
 from ..session import ship
 from ..sources.external import with_retry
-from .retrieval import search_candidates, text_query
+from .retrieval import presence_factor, search_candidates, text_query
 
 RESULT = ("normalized_test_name", "loinc_code", "loinc_display", "mapping_status", "mapping_confidence", "mapping_stage", "mapping_rationale")
 _TYPES = dict(zip(RESULT, ("string", "string", "string", "string", "double", "string", "string"), strict=True))
@@ -41,6 +41,18 @@ def learned_matches(observations: DataFrame, learned: DataFrame, catalog: DataFr
     return observations.join(known, key == F.col("_key"), "left").drop("_key")
 
 
+def questions(observations: DataFrame, fields: tuple[str, ...], value: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(``observations`` with _ask, the distinct questions): rows that ask the same are answered once and meet the answer by _ask.
+
+    A question has ``fields`` and, where the value counts, one of the same kind. Ids of rows need not be unique.
+    """
+    kind = F.lit(None).cast("double") if value is None else presence_factor(value, F.col("unit"))
+    marked = observations.withColumn("_ask", F.xxhash64(*fields, kind))
+    asked = marked.select("_ask", *fields, kind.alias("_kind")).distinct()
+    alike = F.when(F.col("_kind") == C.PRESENCE_QUALITATIVE, "word").when(F.col("_kind") == C.PRESENCE_QUANTITATIVE, "1")
+    return marked, asked.withColumn("value", alike).drop("_kind")
+
+
 def verdict_result(name: Column, hits: Column, verdict: Column) -> Column:
     """FLT-17: what a verifier's verdict (chosen_loinc_num, confidence, rationale) makes of the row."""
     chosen = F.nullif(verdict["chosen_loinc_num"], F.lit(""))
@@ -75,15 +87,16 @@ def map_rows(
     all of a null verifier as a failed call (MAP-03). With a mode other than off there is a column llm_failed.
     """
     name = F.col("original_test_name")
-    rows = exact_matches(observations, index, catalog)
+    marked, asked = questions(observations, ("original_test_name", "specimen", "unit", "method"), F.col("value"))
+    rows = exact_matches(asked, index, catalog)
     if learned is not None:
         rows = learned_matches(rows, learned, catalog)
     else:
         rows = rows.withColumns({"learned_code": F.lit(None).cast("string"), "learned_name": F.lit(None).cast("string")})
     open_ = rows.where(F.col("exact_code").isNull() & F.col("learned_code").isNull())
-    asked = open_.select(F.col(key).alias("query_id"), name.alias("name"), "specimen", "unit", "method", "value")
-    found = search_candidates(asked, catalog).withColumnRenamed("query_id", key)
-    rows = rows.join(found, key, "left")
+    found = search_candidates(open_.select(F.col("_ask").alias("query_id"), name.alias("name"), "specimen", "unit", "method", "value"), catalog)
+    answers = rows.select("_ask", "exact_code", "exact_canonical", "exact_display", "learned_code", "learned_name").join(found.withColumnRenamed("query_id", "_ask"), "_ask", "left")
+    rows = marked.join(answers, "_ask", "left").drop("_ask")
     if mode == "off":
         last = unverified(name, F.col("hint"), _NO_LLM)
     else:
@@ -133,13 +146,15 @@ def complete_mapping(observations: DataFrame, mapped: DataFrame, key: str = "obs
 def map_single(observations: DataFrame, index: DataFrame, catalog: DataFrame, key: str = "observation_id") -> DataFrame:
     """MAP-02, MUT-06: the manual-row variant: alias, else hints from the text form (no unit, value or remembered picks)."""
     name = F.col("original_test_name")
-    rows = exact_matches(observations, index, catalog)
+    marked, asked = questions(observations, ("original_test_name", "specimen", "method"))
+    rows = exact_matches(asked, index, catalog)
     text = F.concat_ws(" | ", name, F.when(F.coalesce("specimen", F.lit("")) != "", F.concat(F.lit("specimen: "), "specimen")), F.nullif("method", F.lit("")))
-    asked = rows.where("exact_code IS NULL").select(F.col(key).alias("query_id"), text_query(text).alias("q")).select(
+    open_ = rows.where("exact_code IS NULL").select(F.col("_ask").alias("query_id"), text_query(text).alias("q")).select(
         "query_id", "q.name", "q.specimen", "q.method", F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("value")
     )
-    found = search_candidates(asked, catalog).withColumnRenamed("query_id", key)
-    rows = rows.join(found, key, "left")
+    found = search_candidates(open_, catalog).withColumnRenamed("query_id", "_ask")
+    answers = rows.select("_ask", "exact_code", "exact_canonical", "exact_display").join(found, "_ask", "left")
+    rows = marked.join(answers, "_ask", "left").drop("_ask")
     mapped = F.when(
         F.col("exact_code").isNotNull(),
         result(F.col("exact_canonical"), F.col("exact_code"), F.col("exact_display"), "confirmed", C.STAGE_CONFIDENCE["alias_exact"], "alias_exact", "Exact alias/name match against the official LOINC reference table."),

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.text import strip, tokenize, unit_key
+from ..session import ship
 from .terminology import catalog_features, postings
 
+#: Parts of the forms; each meets the whole catalog in one task.
+SHARDS = 16
+
 
 def query_tokens(name: Column, specimen: Column, method: Column) -> Column:
     """FN-35: the name's first eight distinct tokens, then two unseen ones of method and of specimen."""
@@ -44,37 +48,111 @@ def _search(queries: DataFrame, catalog: DataFrame, k: int, pool: int) -> tuple[
     postings meet them in an equi-join on the token. Hits: rank, loinc_num, long_common_name,
     component, system, score (rounded to 9 places; ties go by catalog position).
     """
-    # one shuffle by token serves the document frequencies, the weights and the join
+    ship(catalog.sparkSession)
     n = catalog.agg(F.count(F.lit(1))).scalar()
-    post = postings(catalog).withColumn("idf", F.ln(1 + n / F.count(F.lit(1)).over(Window.partitionBy("token"))))
-    weighted = post.select("token", "ord", (F.col("idf") * F.col("weight")).alias("w"))
-    idf = post.groupBy("token").agg(F.any_value("idf").alias("idf"))
+    post = postings(catalog)
+    idf = post.groupBy("token").agg(F.ln(1 + n / F.count(F.lit(1))).alias("idf"))
     asked = queries.withColumn("tokens", query_tokens(F.col("name"), F.col("specimen"), F.col("method")))
     asked = asked.withColumn("tokens_key", F.array_sort("tokens"))
     # queries that ask the same are answered once
-    form = F.struct("tokens_key", specimen_tokens(F.col("specimen")).alias("spec"), unit_key(F.col("unit")).alias("ukey"), _presence_factor(F.col("value"), F.col("unit")).alias("pf"))
+    form = F.struct("tokens_key", specimen_tokens(F.col("specimen")).alias("spec"), unit_key(F.col("unit")).alias("ukey"), presence_factor(F.col("value"), F.col("unit")).alias("pf"))
     asked = asked.withColumn("form_id", F.xxhash64(form)).withColumn("form", form)
     forms = asked.groupBy("form_id").agg(F.any_value("form").alias("f")).select("form_id", "f.tokens_key", "f.spec", "f.ukey", "f.pf")
     token_rows = forms.select("form_id", F.explode("tokens_key").alias("token"))
-    total = token_rows.join(idf, "token").groupBy("form_id").agg(F.sum("idf").alias("total_idf"))
-    raw = token_rows.join(weighted, "token").groupBy("form_id", "ord").agg(F.sum("w").alias("raw"))
-    scored = raw.join(catalog_features(catalog), "ord").join(forms.select("form_id", "spec", "ukey", "pf"), "form_id").withColumn(
-        "s", F.col("raw") / F.col("norm") * (1 + C.RANK_WEIGHT * F.col("prior")) * F.when(F.col("presence"), F.col("pf")).otherwise(1.0)
-    )
-    scored = _in_pool(
-        scored, pool, F.size("spec") > 0,
-        F.when(F.arrays_overlap("system_tokens", "spec"), C.SPECIMEN_MATCH).when(F.size("system_tokens") > 0, C.SPECIMEN_MISMATCH).otherwise(1.0),
-    )
-    scored = _in_pool(scored, pool, F.col("ukey") != "", F.when(F.col("unit_key") == F.col("ukey"), C.UNIT_MATCH).otherwise(1.0))
-    best = Window.partitionBy("form_id").orderBy(F.desc(F.round("s", 9)), "ord")
-    top = scored.where("s > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    top = top.join(total, "form_id").select(
+    wanted = idf.join(token_rows.select("token").distinct(), "token")
+    total = token_rows.join(wanted, "token").groupBy("form_id").agg(F.sum("idf").alias("total_idf"))
+    # codes that no form can tell apart are scored as one; of each such class no more codes than a form can look at are kept
+    vectors = post.join(wanted, "token").groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("token", (F.col("idf") * F.col("weight")).alias("w")))).alias("v"))
+    features = catalog_features(catalog)
+    alike = ("v", "norm", "prior", "presence", "system_tokens", "unit_key")
+    codes = vectors.join(features.select("ord", *alike[1:]), "ord").withColumn("class", F.xxhash64(*alike))
+    first = codes.withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy("ord"))).where(F.col("place") <= 2 * pool + k)
+    classes = first.groupBy("class").agg(F.any_value(F.struct(*alike)).alias("c"), F.array_sort(F.collect_list("ord")).alias("ords")).select("c.*", "ords")
+    # every shard of the forms meets all classes in one task, so the pairs of forms and codes are never shuffled
+    left = forms.withColumn("shard", F.pmod("form_id", F.lit(SHARDS)).cast("int"))
+    right = classes.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1))))
+    best = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(_best(k, pool), "form_id long, rank int, ord long, s double")
+    top = best.join(features.select("ord", "loinc_num", "long_common_name", "component", "system"), "ord").join(total, "form_id").select(
         "form_id", "rank", "loinc_num", "long_common_name", "component", "system", F.round(F.col("s") / F.col("total_idf"), 9).alias("score")
     )
     return asked.select("query_id", "form_id"), top
 
 
-def _presence_factor(value: Column, unit: Column) -> Column:
+def _best(k: int, pool: int):
+    """(forms, classes of codes) to the ``k`` best codes of each form, as a function of two Arrow tables.
+
+    A factor changes at most ``pool`` places of the order before it, so nothing behind place 2 * pool + k can come to
+    the first k. Ties of scores, rounded to 9 places, go by catalog position.
+    """
+
+    def run(forms, classes):
+        import numpy as np
+        import pyarrow as pa
+
+        out: list[list] = [[], [], [], []]
+        if forms.num_rows and classes.num_rows:
+            c = classes.select(["v", "norm", "prior", "presence", "system_tokens", "unit_key", "ords"]).combine_chunks()
+            ords = c.column("ords").to_pylist()
+            by_first = np.argsort(np.array([o[0] for o in ords]), kind="stable")
+            c, ords = c.take(pa.array(by_first)), [np.array(ords[i], np.int64) for i in by_first]
+            members = np.array([len(o) for o in ords])
+            norm, prior = (np.asarray(c.column(x).to_pylist(), float) for x in ("norm", "prior"))
+            presence = np.array([bool(x) for x in c.column("presence").to_pylist()])
+            units = np.array([x if x is not None else "\0" for x in c.column("unit_key").to_pylist()])
+            kinds: dict[tuple, int] = {}
+            system = np.array([kinds.setdefault(tuple(x or ()), len(kinds)) for x in c.column("system_tokens").to_pylist()])
+            entries: dict[str, tuple[list, list]] = {}
+            for i, v in enumerate(c.column("v").to_pylist()):
+                for x in v:
+                    at, w = entries.setdefault(x["token"], ([], []))
+                    at.append(i)
+                    w.append(x["w"])
+            index = {t: (np.array(at), np.array(w)) for t, (at, w) in entries.items()}
+            prior = 1 + C.RANK_WEIGHT * prior
+            most = 2 * pool + k
+            for form in forms.select(["form_id", "tokens_key", "spec", "ukey", "pf"]).to_pylist():
+                hit = [index[t] for t in form["tokens_key"] if t in index]
+                if not hit:
+                    continue
+                raw = np.bincount(np.concatenate([a for a, _ in hit]), np.concatenate([w for _, w in hit]), len(norm))
+                at = np.flatnonzero(raw > 0)
+                s = raw[at] / norm[at] * prior[at] * np.where(presence[at], form["pf"], 1.0)
+                r = np.round(s, 9)
+                if len(at) > most:  # classes lie in the order of their first codes
+                    least = np.partition(r, len(r) - most)[len(r) - most]
+                    above, ties = np.flatnonzero(r > least), np.flatnonzero(r == least)
+                    pick = np.concatenate((above, ties[: most - len(above)]))
+                    at, s, r = at[pick], s[pick], r[pick]
+                order = np.lexsort((at, -r))
+                at, s, r = at[order], s[order], r[order]
+                # whole ranks of equal scores until there are enough codes
+                enough = np.searchsorted(np.cumsum(members[at]), most)
+                if enough < len(at):
+                    end = np.searchsorted(-r, -r[enough], "right")
+                    at, s = at[:end], s[:end]
+                code, s, cls = np.concatenate([ords[i] for i in at.tolist()]), np.repeat(s, members[at]), np.repeat(at, members[at])
+                keep = np.lexsort((code, -np.round(s, 9)))[:most]
+                code, s, cls = code[keep], s[keep], cls[keep]
+                if form["spec"]:
+                    spec = set(form["spec"])
+                    of = np.array([C.SPECIMEN_MATCH if spec.intersection(x) else C.SPECIMEN_MISMATCH if x else 1.0 for x in kinds])
+                    s[:pool] *= of[system[cls[:pool]]]
+                    again = np.lexsort((code, -np.round(s, 9)))
+                    code, s, cls = code[again], s[again], cls[again]
+                if form["ukey"]:
+                    s[:pool] *= np.where(units[cls[:pool]] == form["ukey"], C.UNIT_MATCH, 1.0)
+                    again = np.lexsort((code, -np.round(s, 9)))
+                    code, s = code[again], s[again]
+                code, s = code[:k], s[:k]
+                for x, y in zip(out, ([form["form_id"]] * len(code), range(1, len(code) + 1), code.tolist(), s.tolist()), strict=True):
+                    x.extend(y)
+        kinds_out = (("form_id", pa.int64()), ("rank", pa.int32()), ("ord", pa.int64()), ("s", pa.float64()))
+        return pa.table({name: pa.array(x, kind) for x, (name, kind) in zip(out, kinds_out, strict=True)})
+
+    return run
+
+
+def presence_factor(value: Column, unit: Column) -> Column:
     """FN-32: for codes that report presence: words as a value favour them, numbers and units don't."""
     v = F.lower(strip(F.coalesce(value, F.lit(""))))
     return (
@@ -84,14 +162,6 @@ def _presence_factor(value: Column, unit: Column) -> Column:
     )
 
 
-def _in_pool(scored: DataFrame, pool: int, applies: Column, factor: Column) -> DataFrame:
-    """WIN-14: multiply the best ``pool`` codes of each query by a factor."""
-    place = Window.partitionBy("form_id").orderBy(F.desc(F.round("s", 9)), "ord")
-    return scored.withColumn("place", F.row_number().over(place)).withColumn(
-        "s", F.when(applies & (F.col("place") <= pool), F.col("s") * factor).otherwise(F.col("s"))
-    )
-
-
 def text_query(text: Column) -> Column:
     """SRT-09: struct(name, specimen, method) of the text form 'name | specimen: X | method'."""
     parts = F.transform(F.split(text, r"\|"), lambda p: strip(p))
