@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, fingerprint, license_scan, ngram_join, packing, quality, sentencepiece_sa, substring_dedup, url_filter
+from . import chat_format, exact_dedup, fingerprint, license_scan, line_dedup, ngram_join, packing, quality, sentencepiece_sa, substring_dedup, url_filter
 
 #: (verdict, host, path)
 URL_RULES = (
@@ -137,12 +137,30 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
+
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+o AS (SELECT key, min(doc_id) AS owner FROM k WHERE length(key) >= 10 GROUP BY key),
+m AS (SELECT k.*, length(k.key) >= 10 AND k.doc_id IS DISTINCT FROM o.owner AS gone FROM k LEFT JOIN o USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r, doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_sentencepiece, op3_substring_dedup, op4_packing, op5_license_scan, op6_ngram_jaccard_join, op7_url_filter, op8_fingerprints, op9_quality_classifier, op10_exact_dedup)
+    f.__name__: f for f in (op1_chat_formatting, op2_sentencepiece, op3_substring_dedup, op4_packing, op5_license_scan, op6_ngram_jaccard_join, op7_url_filter, op8_fingerprints, op9_quality_classifier, op10_exact_dedup, op11_line_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": OP1_SQL,
     "op7_url_filter": OP7_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op11_line_dedup": OP11_SQL,
 }
