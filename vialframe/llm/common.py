@@ -127,12 +127,15 @@ def _slices(values: np.ndarray, base: int, inverse: int, starts: np.ndarray, end
 
 
 class Words:
-    """Words of a chunk: hash per word, byte bounds per word, and bounds[d]:bounds[d+1] = words of document d."""
+    """Words of a chunk: hash per word, byte bounds per word, and bounds[d]:bounds[d+1] = words of document d.
 
-    def __init__(self, texts: list[bytes], fold: bool = False):
+    ``gaps``: for each byte whether it parts words; \\n must.
+    """
+
+    def __init__(self, texts: list[bytes], fold: bool = False, gaps: np.ndarray = _SEP):
         joined = b"\n".join(texts) + b"\n"
         self.buf = buf = np.frombuffer(joined, np.uint8)
-        sep = _SEP[buf]
+        sep = gaps[buf]
         edge = np.flatnonzero(np.diff(sep, prepend=True))
         self.starts, self.ends = edge[0::2], edge[1::2]
         self.doc_at = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))).astype(np.int64)

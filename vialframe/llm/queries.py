@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, fingerprint, license_scan, line_dedup, ngram_join, packing, quality, sentencepiece_sa, substring_dedup, url_filter
+from . import chat_format, exact_dedup, fingerprint, lexical_search, license_scan, line_dedup, ngram_join, packing, quality, sentencepiece_sa, substring_dedup, url_filter
 
 #: (verdict, host, path)
 URL_RULES = (
@@ -154,8 +154,30 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM m GROUP BY r, doc_id
 """
 
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(_table(spark, sf_dir, "documents"))
+    found = lexical_search.search(index, _table(spark, sf_dir, "benchmark"))
+    index.close()
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents),
+s AS (SELECT count(*) FILTER (len(terms) > 0) AS big_n, CAST(sum(len(terms)) AS BIGINT) AS big_l FROM d),
+p AS (SELECT r, doc_id, len(terms) AS n, term, count(*) AS tf FROM (SELECT r, doc_id, terms, unnest(terms) AS term FROM d) GROUP BY r, doc_id, n, term),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM f, s),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+c AS (SELECT item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l)))) AS BIGINT) AS score
+      FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM c WHERE score > 0 QUALIFY rank <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_sentencepiece, op3_substring_dedup, op4_packing, op5_license_scan, op6_ngram_jaccard_join, op7_url_filter, op8_fingerprints, op9_quality_classifier, op10_exact_dedup, op11_line_dedup)
+    f.__name__: f for f in (op1_chat_formatting, op2_sentencepiece, op3_substring_dedup, op4_packing, op5_license_scan, op6_ngram_jaccard_join, op7_url_filter, op8_fingerprints, op9_quality_classifier, op10_exact_dedup, op11_line_dedup, op13_lexical_search)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -163,4 +185,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_url_filter": OP7_SQL,
     "op10_exact_dedup": OP10_SQL,
     "op11_line_dedup": OP11_SQL,
+    "op13_lexical_search": OP13_SQL,
 }
