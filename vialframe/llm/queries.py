@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, fingerprint, lexical_search, license_scan, line_dedup, ngram_join, packing, quality, sentencepiece_sa, substring_dedup, url_filter
+from . import chat_format, exact_dedup, fingerprint, lexical_search, license_scan, line_dedup, ngram_join, packing, prefix_trie, quality, sentencepiece_sa, substring_dedup, url_filter
 
 #: (verdict, host, path)
 URL_RULES = (
@@ -155,6 +155,28 @@ FROM m GROUP BY r, doc_id
 """
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+own AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role, sha256(length(role)::VARCHAR || ':' || role || text)) AS turns FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, turns, CAST(coalesce(xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 4, 0) AS INTEGER) AS h FROM own),
+p AS (SELECT h.conv_id, list_concat(CASE WHEN h > 0 THEN coalesce(d.turns[1:h], []) ELSE [] END, h.turns[h + 1:]) AS path FROM h LEFT JOIN own d ON d.conv_id = h.conv_id - h.conv_id % 20),
+m AS (SELECT conv_id, len(path) AS n_turns, d AS depth, path[1:d] AS node FROM (SELECT *, unnest(range(len(path) + 1)) AS d FROM p)),
+n AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n_turns = depth), '')) AS ends_sha256,
+    (count(*) - 1) * CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(node[depth].text, '[^ 	-]+')) END AS own FROM m GROUP BY node, depth),
+k AS (SELECT node[1:depth - 1] AS up, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY up),
+w AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k ON k.up = n.node),
+s AS (SELECT node[1:d] AS top, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(own) AS BIGINT) AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS d FROM w) GROUP BY top)
+SELECT w.conv_id, w.depth, q.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved_tokens, w.ends_sha256
+FROM w JOIN s ON s.top = w.node LEFT JOIN n q ON w.depth > 0 AND q.node = w.node[1:w.depth - 1]
+"""
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = lexical_search.build_index(_table(spark, sf_dir, "documents"))
     found = lexical_search.search(index, _table(spark, sf_dir, "benchmark"))
@@ -177,7 +199,7 @@ FROM c WHERE score > 0 QUALIFY rank <= 10
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_sentencepiece, op3_substring_dedup, op4_packing, op5_license_scan, op6_ngram_jaccard_join, op7_url_filter, op8_fingerprints, op9_quality_classifier, op10_exact_dedup, op11_line_dedup, op13_lexical_search)
+    f.__name__: f for f in (op1_chat_formatting, op2_sentencepiece, op3_substring_dedup, op4_packing, op5_license_scan, op6_ngram_jaccard_join, op7_url_filter, op8_fingerprints, op9_quality_classifier, op10_exact_dedup, op11_line_dedup, op12_prefix_trie, op13_lexical_search)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -185,5 +207,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_url_filter": OP7_SQL,
     "op10_exact_dedup": OP10_SQL,
     "op11_line_dedup": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
     "op13_lexical_search": OP13_SQL,
 }
