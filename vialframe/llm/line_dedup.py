@@ -34,7 +34,9 @@ from .exact_dedup import normalised
 #: Lines shorter than this (code points of the key) are left alone.
 MIN_CHARS = 10
 #: Batches of a table that is deduplicated at once, and runs of a level before they become one of the next.
-BATCHES, FANOUT = 8, 4
+BATCHES, FANOUT = 4, 3
+#: Hashes don't compress, and a codec holds native buffers for every file and column.
+_PLAIN = {"compression": "uncompressed"}
 _BLANK = " \t\n\v\f\r"
 _ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
@@ -74,7 +76,7 @@ class LineRuns:
     def _write(self, rows: DataFrame) -> str:
         name = f"{self.name}_{self.made}"
         self.made += 1
-        out = rows.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+        out = rows.write.format("parquet").options(**_PLAIN).bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
         out.option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
         return name
 
@@ -171,7 +173,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         batch = batch + (F.col("doc_id") > int(cut)).cast("int")
     path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
     rows = line_rows(docs, id_col, text_col, min_chars)
-    rows.withColumn("batch", F.coalesce(batch, F.lit(len(cuts)))).write.partitionBy("batch").parquet(path)
+    rows.withColumn("batch", F.coalesce(batch, F.lit(len(cuts)))).write.options(**_PLAIN).partitionBy("batch").parquet(path)
     lines = spark.read.schema(f"{', '.join(f'{n} {t}' for n, t in rows.dtypes)}, batch int").parquet(path)
     lines._vialframe_path = path
     runs = LineRuns(spark, fanout=fanout)
