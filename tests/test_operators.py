@@ -286,3 +286,73 @@ def test_mapping_keeps_rows_whose_ids_repeat(spark, sf_dir):
         assert sorted((r.observation_id, r.original_test_name) for r in got) == sorted((i, n) for i, n, *_ in rows)
         assert all("Unverified suggestions: " in r.mapping_rationale for r in got)
         assert len({(r.original_test_name, r.mapping_rationale) for r in got}) == len({n for _, n, *_ in rows})
+
+
+# ------------------------------------------------- mapping keeps its rows; the stored index
+def _small_catalog(spark):
+    rows = [(i, f"{i}-{i % 10}", f"{n} {s} panel {i}", n, n, s, u, i * 50, [n]) for i, (n, s, u) in enumerate([("iron", "Serum", "mg/dL"), ("iron", "Urine", "mg/dL"), ("zinc", "Serum", None), ("zinc", "Urine", "g/dL")] * 12)]
+    return spark.createDataFrame(rows, "ord long, loinc_num string, long_common_name string, shortname string, component string, system string, example_units string, common_test_rank int, aliases array<string>")
+
+
+_ASKING = "observation_id long, original_test_name string, specimen string, method string, unit string, value string"
+
+
+def test_rows_that_differ_only_in_place_keep_their_own_answers(spark):
+    cat = _small_catalog(spark)
+    index = terminology.alias_index(cat)
+    codes, cat = cat, retrieval.build_index(cat)
+    rows = spark.createDataFrame(
+        [(1, "iron x", "Urine", None, None, None), (2, "iron x", None, "Urine", None, None), (3, "iron x", "", "Urine", None, None), (4, "iron x", "mg/dL", None, None, None), (5, "iron x", None, None, "mg/dL", None), (5, "iron x", None, None, None, "1")], _ASKING,
+    )
+
+    def verifier(pending):
+        return pending.select("observation_id", F.col("hits")[0]["loinc_num"].alias("chosen_loinc_num"), F.lit(0.9).alias("confidence"), F.concat_ws("/", F.coalesce("specimen", F.lit("-")), F.coalesce("method", F.lit("-"))).alias("rationale"))
+
+    for mapped in (mapping.map_rows(rows, index, cat, mode="ambiguous"), mapping.map_rows(rows, index, cat, mode="all", verifier=verifier), mapping.map_single(rows, index, cat), mapping.map_single(rows, index, cat, verifier=verifier)):
+        assert sorted(r.observation_id for r in mapped.collect()) == [1, 2, 3, 4, 5, 5]
+    said = {r.observation_id: r for r in mapping.map_single(rows.where("observation_id < 4"), index, cat, verifier=verifier).collect()}
+    assert [said[i].mapping_rationale for i in (1, 2, 3)] == ["Urine/-", "-/Urine", "/Urine"] and said[1].mapping_status == "confirmed" and not said[1].llm_failed
+    assert said[1].loinc_code in {r.loinc_num for r in codes.where("system = 'Urine'").collect()}
+
+
+def test_single_rows_with_a_verifier_that_fails_or_finds_nothing(spark):
+    cat = _small_catalog(spark)
+    rows = spark.createDataFrame([(1, "iron x", None, None, None, None), (2, "absent", None, None, None, None), (3, "zinc y", None, None, None, None)], _ASKING)
+
+    def verifier(pending):
+        return pending.where("observation_id <> 3").select("observation_id", F.when(F.size("hits") > 0, F.lit("none")).alias("chosen_loinc_num"), F.lit("0.2").alias("confidence"), F.lit("").alias("rationale"), (F.col("observation_id") == 1).alias("failed"))
+
+    got = {r.observation_id: r for r in mapping.map_single(rows, terminology.alias_index(cat), cat, verifier=verifier).collect()}
+    assert got[1].mapping_stage == "error" and got[1].llm_failed and got[1].mapping_rationale == "LLM verification call failed; needs manual review."
+    assert got[2].mapping_status == "unmapped" and got[2].mapping_rationale == "No candidate judged reliable."
+    assert got[3].mapping_rationale == "No verdict returned." and got[3].mapping_status == "unmapped"
+
+
+def test_exact_keys_differ_wherever_a_field_does(spark):
+    values = [None, "", "-", "1:a", "a", "a1:", "0:"]
+    rows = spark.createDataFrame([(a, b) for a in values for b in values], "a string, b string")
+    assert rows.select(mapping.exact_key(F.col("a"), F.col("b")).alias("k")).distinct().count() == len(values) ** 2
+
+
+def test_stored_index_prunes_and_stays_exact(spark, tmp_path):
+    rnd = random.Random(2)
+    words = [f"tok{i}" for i in range(30)]
+    rows = [(i, str(i), " ".join(rnd.sample(words, 6)) + (" [Presence]" if i % 5 == 0 else ""), rnd.choice(words), None, rnd.choice(["Serum", "Urine", None]), rnd.choice(["g/L", None]), rnd.randint(0, 3000), [rnd.choice(words)]) for i in range(1500)]
+    cat = spark.createDataFrame(rows, "ord long, loinc_num string, long_common_name string, shortname string, component string, system string, example_units string, common_test_rank int, aliases array<string>")
+    asked = spark.createDataFrame([(q, " ".join(rnd.sample(words, rnd.randint(1, 5))), rnd.choice(["Serum", "Urine", "", None]), rnd.choice(["g/L", None]), None, rnd.choice(["Positive", "3", None])) for q in range(150)], "query_id long, name string, specimen string, unit string, method string, value string")
+    stored = retrieval.build_index(cat, str(tmp_path / "index"), block=8)
+    got = retrieval.search(asked, retrieval.open_index(spark, str(tmp_path / "index")), k=3, pool=4)
+    whole = retrieval.search(asked, retrieval.build_index(cat, block=10**6), k=3, pool=4)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect())) and got.count() > 300
+    assert stored.blocks.where("n > 8").count() == 0 and stored.blocks.groupBy("token").agg(F.sum("n").alias("n")).agg(F.sum("n")).first()[0] == retrieval.postings(cat).count()
+    # the second round leaves blocks out: most of them where a question has one word, as no other list can lift a code
+    read = []
+    real = retrieval._read_blocks
+    retrieval._read_blocks = lambda index, forms, wanted: read.append(wanted.count()) or real(index, forms, wanted)
+    single = spark.createDataFrame([(i, w, None, None, None, None) for i, w in enumerate(words)], asked.schema)
+    try:
+        retrieval.search(single, stored, k=3, pool=4)
+    finally:
+        retrieval._read_blocks = real
+    total = stored.blocks.where(F.col("token").isin(words)).count()
+    assert read[1] < 0.35 * total, (read, total)

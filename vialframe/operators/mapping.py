@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.text import clean, make_key
-from ..session import ship
+from ..session import materialise, ship
 from ..sources.external import with_retry
-from .retrieval import presence_factor, search_candidates, text_query
+from .retrieval import CodeIndex, presence_factor, search_candidates, text_query
 
 RESULT = ("normalized_test_name", "loinc_code", "loinc_display", "mapping_status", "mapping_confidence", "mapping_stage", "mapping_rationale")
 _TYPES = dict(zip(RESULT, ("string", "string", "string", "string", "double", "string", "string"), strict=True))
@@ -41,14 +41,21 @@ def learned_matches(observations: DataFrame, learned: DataFrame, catalog: DataFr
     return observations.join(known, key == F.col("_key"), "left").drop("_key")
 
 
+def exact_key(*fields: Column) -> Column:
+    """A text that differs wherever one of the (text) fields does, nulls and empty texts included: each with its length before it."""
+    part = lambda c: F.coalesce(F.concat(F.char_length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    return F.concat(*[part(f.cast("string")) for f in fields])
+
+
 def questions(observations: DataFrame, fields: tuple[str, ...], value: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(``observations`` with _ask, the distinct questions): rows that ask the same are answered once and meet the answer by _ask.
 
-    A question has ``fields`` and, where the value counts, one of the same kind. Ids of rows need not be unique.
+    A question has ``fields`` and, where the value counts, one of the same kind; _ask spells them out, so different
+    questions never share it. Ids of rows need not be unique.
     """
     kind = F.lit(None).cast("double") if value is None else presence_factor(value, F.col("unit"))
-    marked = observations.withColumn("_ask", F.xxhash64(*fields, kind))
-    asked = marked.select("_ask", *fields, kind.alias("_kind")).distinct()
+    marked = observations.withColumn("_ask", exact_key(*[F.col(f) for f in fields], kind))
+    asked = marked.select("_ask", *fields, kind.alias("_kind")).dropDuplicates(["_ask"])
     alike = F.when(F.col("_kind") == C.PRESENCE_QUALITATIVE, "word").when(F.col("_kind") == C.PRESENCE_QUANTITATIVE, "1")
     return marked, asked.withColumn("value", alike).drop("_kind")
 
@@ -73,29 +80,48 @@ def unverified(name: Column, hint: Column, why: str, stage: str = "lexical_only"
 
 
 _NO_LLM = "No exact alias match and AI verification was unavailable; needs manual review."
+_FAILED = "LLM verification call failed; needs manual review."
+
+
+def _with_verdicts(rows: DataFrame, pending: Column, verifier: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
+    """``rows`` with given (the verdict, null where none came) and _failed: pending rows are shown to the verifier, once for each id, so no row is multiplied."""
+    shown = [c if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("original_test_name", "value", "unit", "specimen", "method", "hits")]
+    answers = verifier(rows.where(pending).select(key, *shown).dropDuplicates([key]))
+    failed = F.col("failed") if "failed" in answers.columns else F.lit(False)
+    given = F.struct("chosen_loinc_num", F.col("confidence").cast("string").alias("confidence"), "rationale")
+    answers = answers.select(key, given.alias("given"), failed.alias("_failed")).dropDuplicates([key])
+    return rows.join(answers, key, "left").withColumn("_failed", F.coalesce("_failed", F.lit(False)))
+
+
+def _verdict(name: Column) -> Column:
+    none = F.struct(F.lit(None).cast("string").alias("chosen_loinc_num"), F.lit("0").alias("confidence"), F.lit("No verdict returned.").alias("rationale"))
+    return verdict_result(name, F.col("hits"), F.coalesce("given", none))
 
 
 def map_rows(
-    observations: DataFrame, index: DataFrame, catalog: DataFrame, learned: DataFrame | None = None,
+    observations: DataFrame, index: DataFrame, catalog: DataFrame | CodeIndex, learned: DataFrame | None = None,
     verifier: Callable[[DataFrame], DataFrame] | None = None, mode: str = "off", key: str = "observation_id",
 ) -> DataFrame:
     """MAP-01: alias, learned, then retrieval with the verifier's mode: off, ambiguous (clear winners skip it) or all.
 
-    Only rows that the first two stages leave are searched. ``verifier`` takes (key, original_test_name, value, unit,
+    ``catalog``: a stored index (``retrieval.build_index``), or a catalog that is indexed here. Only rows that the first two stages leave are searched. ``verifier`` takes (key, original_test_name, value, unit,
     specimen, method, hits) and returns (key, chosen_loinc_num, confidence, rationale) and, if it can fail, failed
     (``batch_verifier`` makes one of a plain call); rows it leaves out count as unanswered (JOIN-11), failed ones and
-    all of a null verifier as a failed call (MAP-03). With a mode other than off there is a column llm_failed.
+    all of a null verifier as a failed call (MAP-03). Rows that share an id get one verdict. With a mode other than off there is a column llm_failed.
     """
     name = F.col("original_test_name")
     marked, asked = questions(observations, ("original_test_name", "specimen", "unit", "method"), F.col("value"))
-    rows = exact_matches(asked, index, catalog)
+    codes = catalog.codes if isinstance(catalog, CodeIndex) else catalog
+    rows = exact_matches(asked, index, codes)
     if learned is not None:
-        rows = learned_matches(rows, learned, catalog)
+        rows = learned_matches(rows, learned, codes)
     else:
         rows = rows.withColumns({"learned_code": F.lit(None).cast("string"), "learned_name": F.lit(None).cast("string")})
     open_ = rows.where(F.col("exact_code").isNull() & F.col("learned_code").isNull())
     found = search_candidates(open_.select(F.col("_ask").alias("query_id"), name.alias("name"), "specimen", "unit", "method", "value"), catalog)
     answers = rows.select("_ask", "exact_code", "exact_canonical", "exact_display", "learned_code", "learned_name").join(found.withColumnRenamed("query_id", "_ask"), "_ask", "left")
+    if mode != "off" and verifier is not None:  # the verifier's rows and all rows read them
+        answers = materialise(answers, "answers")
     rows = marked.join(answers, "_ask", "left").drop("_ask")
     if mode == "off":
         last = unverified(name, F.col("hint"), _NO_LLM)
@@ -103,17 +129,12 @@ def map_rows(
         clear = F.lit(mode == "ambiguous") & F.coalesce("clear_winner", F.lit(False))
         top = F.try_element_at("hits", F.lit(1))
         pending = F.col("exact_code").isNull() & F.col("learned_code").isNull() & ~clear & F.col("hits").isNotNull()
-        failure = unverified(name, F.col("hint"), "LLM verification call failed; needs manual review.", "error")
+        failure = unverified(name, F.col("hint"), _FAILED, "error")
         if verifier is None:
             rows, verdict = rows.withColumn("_failed", pending), failure
         else:
-            answers = verifier(rows.where(pending).select(key, "original_test_name", "value", "unit", "specimen", "method", "hits"))
-            given = F.struct("chosen_loinc_num", F.col("confidence").cast("string").alias("confidence"), "rationale")
-            failed = F.col("failed") if "failed" in answers.columns else F.lit(False)
-            rows = rows.join(answers.select(key, given.alias("given"), failed.alias("_failed")), key, "left").withColumn("_failed", F.coalesce("_failed", F.lit(False)))
-            none = F.struct(F.lit(None).cast("string").alias("chosen_loinc_num"), F.lit("0").alias("confidence"), F.lit("No verdict returned.").alias("rationale"))
-            answer = verdict_result(name, F.col("hits"), F.coalesce("given", none))
-            verdict = F.when(F.col("_failed"), failure).otherwise(answer)
+            rows = _with_verdicts(rows, pending, verifier, key)
+            verdict = F.when(F.col("_failed"), failure).otherwise(_verdict(name))
         last = (
             F.when(clear, result(top["long_common_name"], top["loinc_num"], top["long_common_name"], "confirmed", C.STAGE_CONFIDENCE["retrieval_auto"], "retrieval_auto", "Clear best match among LOINC candidates (name, specimen and unit agree)."))
             .when(F.col("hits").isNull(), result(name, status="unmapped", confidence=0.0, why="No candidate LOINC concepts found."))
@@ -143,24 +164,39 @@ def complete_mapping(observations: DataFrame, mapped: DataFrame, key: str = "obs
     return out.select(*[c for c in observations.columns if c not in RESULT], *[F.col(f"_m.{n}").alias(n) for n in RESULT])
 
 
-def map_single(observations: DataFrame, index: DataFrame, catalog: DataFrame, key: str = "observation_id") -> DataFrame:
-    """MAP-02, MUT-06: the manual-row variant: alias, else hints from the text form (no unit, value or remembered picks)."""
+def map_single(
+    observations: DataFrame, index: DataFrame, catalog: DataFrame | CodeIndex, key: str = "observation_id", verifier: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """MAP-02, MUT-06: the manual-row variant: alias, else the text form is searched (no unit, value or remembered picks).
+
+    Without a verifier what is found is only hinted at; with one (as for ``map_rows``; rows without candidates are shown, too)
+    its verdict counts, and there is a column llm_failed.
+    """
     name = F.col("original_test_name")
     marked, asked = questions(observations, ("original_test_name", "specimen", "method"))
-    rows = exact_matches(asked, index, catalog)
+    codes = catalog.codes if isinstance(catalog, CodeIndex) else catalog
+    rows = exact_matches(asked, index, codes)
     text = F.concat_ws(" | ", name, F.when(F.coalesce("specimen", F.lit("")) != "", F.concat(F.lit("specimen: "), "specimen")), F.nullif("method", F.lit("")))
     open_ = rows.where("exact_code IS NULL").select(F.col("_ask").alias("query_id"), text_query(text).alias("q")).select(
         "query_id", "q.name", "q.specimen", "q.method", F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("value")
     )
     found = search_candidates(open_, catalog).withColumnRenamed("query_id", "_ask")
     answers = rows.select("_ask", "exact_code", "exact_canonical", "exact_display").join(found, "_ask", "left")
+    if verifier is not None:
+        answers = materialise(answers, "answers")
     rows = marked.join(answers, "_ask", "left").drop("_ask")
+    last = unverified(name, F.col("hint"), _NO_LLM)
+    if verifier is not None:
+        none = F.array().cast(rows.schema["hits"].dataType)
+        rows = _with_verdicts(rows.withColumn("hits", F.coalesce("hits", none)), F.col("exact_code").isNull(), verifier, key)
+        last = F.when(F.col("_failed"), result(name, stage="error", why=_FAILED)).otherwise(_verdict(name))
     mapped = F.when(
         F.col("exact_code").isNotNull(),
         result(F.col("exact_canonical"), F.col("exact_code"), F.col("exact_display"), "confirmed", C.STAGE_CONFIDENCE["alias_exact"], "alias_exact", "Exact alias/name match against the official LOINC reference table."),
-    ).otherwise(unverified(name, F.col("hint"), _NO_LLM))
+    ).otherwise(last)
     out = rows.withColumn("_m", mapped)
-    return out.select(*[c for c in observations.columns if c not in RESULT], *[F.col(f"_m.{n}").alias(n) for n in RESULT])
+    marks = [F.col("_failed").alias("llm_failed")] if verifier is not None else []
+    return out.select(*[c for c in observations.columns if c not in (*RESULT, *(["llm_failed"] if marks else []))], *[F.col(f"_m.{n}").alias(n) for n in RESULT], *marks)
 
 
 def to_remember(mapped: DataFrame) -> DataFrame:

@@ -1,153 +1,274 @@
-"""Candidate retrieval: an inverted index joined and aggregated (JOIN-05/06, AGG-04, WIN-14/15, SRT-06/08/09, FN-32..35)."""
+"""Candidate retrieval from a stored inverted index (JOIN-05/06, AGG-04, WIN-14/15, SRT-06/08/09, FN-32..35).
+
+``build_index`` writes each token's postings by falling impact, in blocks that know their upper bound; any number of searches
+reads them. A search takes two rounds: the blocks with the highest bounds give each question a threshold, the
+score that its last place has at least; then only blocks that can beat it are read. Questions are dealt over groups,
+more of them the more questions there are, and a group's task gets the blocks that its questions need and no others.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.text import strip, tokenize, unit_key
-from ..session import ship
+from ..session import discard, materialise, shared_dir, ship
 from .terminology import catalog_features, postings
 
-#: Parts of the forms; each meets the whole catalog in one task.
-SHARDS = 16
-
+#: Postings of a block, questions of a group, and how many times the places of a question are read for its threshold.
+BLOCK, GROUP, FIRST = 128, 64, 4
+#: Scores are compared after rounding to 9 places.
+_MARGIN = 1e-8
 
-def query_tokens(name: Column, specimen: Column, method: Column) -> Column:
-    """FN-35: the name's first eight distinct tokens, then two unseen ones of method and of specimen."""
-    out = F.slice(F.array_distinct(tokenize(name)), 1, C.MAX_NAME_TOKENS)
-    for more in (method, specimen):
-        out = F.concat(out, F.slice(F.array_except(tokenize(more), out), 1, C.MAX_EXTRA_TOKENS))
-    return out
 
+def with_tokens(queries: DataFrame) -> DataFrame:
+    """FN-35, JOIN-06, SET-03: adds tokens (the name's first eight distinct ones, then two unseen ones of method and of specimen) and spec (the specimen's tokens and their synonyms), both sorted.
 
-def specimen_tokens(specimen: Column) -> Column:
-    """JOIN-06, SET-03: the specimen's tokens and their synonyms."""
+    In steps, so that each text is taken apart once.
+    """
+    rows = queries.withColumns({"_name": F.slice(F.array_distinct(tokenize(F.col("name"))), 1, C.MAX_NAME_TOKENS), "_method": tokenize(F.col("method")), "_own": tokenize(F.col("specimen"))})
+    rows = rows.withColumn("_more", F.concat("_name", F.slice(F.array_except("_method", "_name"), 1, C.MAX_EXTRA_TOKENS)))
+    tokens = F.concat("_more", F.slice(F.array_except("_own", "_more"), 1, C.MAX_EXTRA_TOKENS))
     table = F.create_map(*[x for k, v in C.SPECIMEN_SYNONYMS.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))])
-    tokens = tokenize(specimen)
-    return F.array_union(tokens, F.flatten(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(table, t), F.array().cast("array<string>")))))
+    synonyms = F.flatten(F.transform("_own", lambda t: F.coalesce(F.try_element_at(table, t), F.array().cast("array<string>"))))
+    rows = rows.withColumns({"tokens": F.array_sort(tokens), "spec": F.array_sort(F.array_union("_own", synonyms))})
+    return rows.drop("_name", "_method", "_own", "_more")
+
+
+# -------------------------------------------------------------------- the index
+@dataclass
+class CodeIndex:
+    """A stored index: ``blocks`` of postings, the ``tokens`` with their weight and highest bounds, and the ``codes``."""
+
+    blocks: DataFrame
+    tokens: DataFrame
+    codes: DataFrame
+
+
+_BLOCK_SHAPE = "token string, presence boolean, block long, n int, bound double, ord binary, weight binary, norm binary, prior binary, kind binary, kinds array<string>"
+
+
+def build_index(catalog: DataFrame, path: str | None = None, block: int = BLOCK) -> CodeIndex:
+    """Write the index of a catalog to ``path`` (else to the session's shared folder) and open it.
+
+    Ranges of (token, presence, impact) are cut into blocks where they lie, so a token that most codes have is spread over tasks.
+    """
+    spark = catalog.sparkSession
+    ship(spark)
+    path = path or f"{shared_dir(spark)}/code-index-{uuid.uuid4().hex}"
+    features = catalog_features(catalog)
+    kind = F.concat_ws("\t", F.array_join("system_tokens", " "), "unit_key")
+    impact = F.col("weight") / F.col("norm") * (1 + C.RANK_WEIGHT * F.col("prior"))
+    rows = postings(catalog).join(features.select("ord", "norm", "prior", "presence", kind.alias("kind")), "ord").withColumn("impact", impact)
+    order = ["token", "presence", F.col("impact").desc(), "ord"]
+    rows = rows.select("token", "presence", "impact", F.col("ord").cast("long").alias("ord"), "weight", "norm", "prior", "kind").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.mapInArrow(_cut_blocks(block), _BLOCK_SHAPE).write.parquet(f"{path}/blocks")
+    features.select(F.col("ord").cast("long").alias("ord"), "loinc_num", "long_common_name", "component", "system").write.parquet(f"{path}/codes")
+    blocks, n = spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/codes").count()
+    most_of = lambda p: F.coalesce(F.max(F.when(F.col("presence") == p, F.col("bound"))), F.lit(0.0))
+    blocks.groupBy("token").agg(F.ln(1 + F.lit(n) / F.sum("n")).alias("idf"), most_of(False).alias("most"), most_of(True).alias("most_presence")).write.parquet(f"{path}/tokens")
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> CodeIndex:
+    return CodeIndex(*[spark.read.parquet(f"{path}/{part}") for part in ("blocks", "tokens", "codes")])
+
+
+def _cut_blocks(most: int):
+    """Rows in order of (token, presence, impact) to blocks of at most ``most`` rows; holds a block and a batch."""
+
+    def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        made, base, held = 0, TaskContext.get().partitionId() << 32, None
 
+        def cut(table: pa.Table, whole: bool) -> tuple[list[tuple], int]:
+            """The blocks of a table, and where the last one begins if it may go on."""
+            nonlocal made
+            token, presence, kind = (table.column(c).to_pylist() for c in ("token", "presence", "kind"))
+            columns = [table.column(c).to_numpy() for c in ("ord", "weight", "norm", "prior")]
+            impact, out, at = table.column("impact").to_numpy(), [], 0
+            while at < len(token):
+                end = at + 1
+                while end < len(token) and end - at < most and token[end] == token[at] and presence[end] == presence[at]:
+                    end += 1
+                if end == len(token) and not whole:
+                    break
+                kinds: dict[str, int] = {}
+                places = [kinds.setdefault(x, len(kinds)) for x in kind[at:end]]
+                out.append((token[at], presence[at], base + made, end - at, float(impact[at]), *[c[at:end].tobytes() for c in columns], _small(places), list(kinds)))
+                made, at = made + 1, end
+            return out, at
 
-def search(queries: DataFrame, catalog: DataFrame, k: int = C.TOP_K, pool: int = C.POOL) -> DataFrame:
-    """The k best codes of each query, a row each."""
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _block_kinds(pa), strict=True)], [x.split()[0] for x in _BLOCK_SHAPE.split(", ")])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = (table if held is None else pa.concat_tables([held, table])).combine_chunks()
+            rows, at = cut(table, False)
+            held = table.slice(at)
+            if rows:
+                yield packed(rows)
+        if held is not None and held.num_rows:
+            yield packed(cut(held.combine_chunks(), True)[0])
+
+    return run
+
+
+def _small(values: list[int]) -> bytes:
+    import numpy as np
+
+    return np.array(values, np.uint16).tobytes()
+
+
+def _block_kinds(pa) -> list:
+    return [pa.string(), pa.bool_(), pa.int64(), pa.int32(), pa.float64(), *[pa.binary()] * 5, pa.list_(pa.string())]
+
+
+# -------------------------------------------------------------------- searching
+def search(queries: DataFrame, catalog: DataFrame | CodeIndex, k: int = C.TOP_K, pool: int = C.POOL) -> DataFrame:
+    """The k best codes of each query, a row each. ``catalog``: a stored index, or a catalog that is indexed for this search."""
     asked, top = _search(queries, catalog, k, pool)
-    return asked.join(top, "form_id").drop("form_id")
+    return asked.join(top, "form").drop("form")
 
 
-def search_candidates(queries: DataFrame, catalog: DataFrame, k: int = C.TOP_K, pool: int = C.POOL) -> DataFrame:
+def search_candidates(queries: DataFrame, catalog: DataFrame | CodeIndex, k: int = C.TOP_K, pool: int = C.POOL) -> DataFrame:
     """``candidates`` of each query that has any: hits are gathered once per distinct question, then joined as one array."""
     asked, top = _search(queries, catalog, k, pool)
-    return asked.join(candidates(top.withColumnRenamed("form_id", "query_id")).withColumnRenamed("query_id", "form_id"), "form_id").drop("form_id")
+    return asked.join(candidates(top.withColumnRenamed("form", "query_id")).withColumnRenamed("query_id", "form"), "form").drop("form")
 
 
-def _search(queries: DataFrame, catalog: DataFrame, k: int, pool: int) -> tuple[DataFrame, DataFrame]:
-    """(query_id, form_id) and the hits per form_id.
+def _forms(queries: DataFrame) -> DataFrame:
+    """``queries`` with what their answers depend on, and ``form``, a text that names just that: tokens have only letters and digits, so no two forms share it."""
+    rows = with_tokens(queries).withColumns({"ukey": unit_key(F.col("unit")), "pf": presence_factor(F.col("value"), F.col("unit")).cast("double")})
+    return rows.withColumn("form", F.concat_ws("|", F.array_join("tokens", " "), F.array_join("spec", " "), "ukey", F.col("pf").cast("string")))
 
-    ``queries``: query_id, name, specimen, unit, method, value. Distinct token sets of queries are scored once;
-    postings meet them in an equi-join on the token. Hits: rank, loinc_num, long_common_name,
+
+def _search(queries: DataFrame, catalog: DataFrame | CodeIndex, k: int, pool: int) -> tuple[DataFrame, DataFrame]:
+    """(query_id, form) and the hits per form, which are searched for at once.
+
+    ``queries``: query_id, name, specimen, unit, method, value. Hits: rank, loinc_num, long_common_name,
     component, system, score (rounded to 9 places; ties go by catalog position).
     """
-    ship(catalog.sparkSession)
-    n = catalog.agg(F.count(F.lit(1))).scalar()
-    post = postings(catalog)
-    idf = post.groupBy("token").agg(F.ln(1 + n / F.count(F.lit(1))).alias("idf"))
-    asked = queries.withColumn("tokens", query_tokens(F.col("name"), F.col("specimen"), F.col("method")))
-    asked = asked.withColumn("tokens_key", F.array_sort("tokens"))
-    # queries that ask the same are answered once
-    form = F.struct("tokens_key", specimen_tokens(F.col("specimen")).alias("spec"), unit_key(F.col("unit")).alias("ukey"), presence_factor(F.col("value"), F.col("unit")).alias("pf"))
-    asked = asked.withColumn("form_id", F.xxhash64(form)).withColumn("form", form)
-    forms = asked.groupBy("form_id").agg(F.any_value("form").alias("f")).select("form_id", "f.tokens_key", "f.spec", "f.ukey", "f.pf")
-    token_rows = forms.select("form_id", F.explode("tokens_key").alias("token"))
-    wanted = idf.join(token_rows.select("token").distinct(), "token")
-    total = token_rows.join(wanted, "token").groupBy("form_id").agg(F.sum("idf").alias("total_idf"))
-    # codes that no form can tell apart are scored as one; of each such class no more codes than a form can look at are kept
-    vectors = post.join(wanted, "token").groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("token", (F.col("idf") * F.col("weight")).alias("w")))).alias("v"))
-    features = catalog_features(catalog)
-    alike = ("v", "norm", "prior", "presence", "system_tokens", "unit_key")
-    codes = vectors.join(features.select("ord", *alike[1:]), "ord").withColumn("class", F.xxhash64(*alike))
-    first = codes.withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy("ord"))).where(F.col("place") <= 2 * pool + k)
-    classes = first.groupBy("class").agg(F.any_value(F.struct(*alike)).alias("c"), F.array_sort(F.collect_list("ord")).alias("ords")).select("c.*", "ords")
-    # every shard of the forms meets all classes in one task, so the pairs of forms and codes are never shuffled
-    left = forms.withColumn("shard", F.pmod("form_id", F.lit(SHARDS)).cast("int"))
-    right = classes.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1))))
-    best = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(_best(k, pool), "form_id long, rank int, ord long, s double")
-    top = best.join(features.select("ord", "loinc_num", "long_common_name", "component", "system"), "ord").join(total, "form_id").select(
-        "form_id", "rank", "loinc_num", "long_common_name", "component", "system", F.round(F.col("s") / F.col("total_idf"), 9).alias("score")
+    spark = queries.sparkSession
+    ship(spark)
+    index = catalog if isinstance(catalog, CodeIndex) else build_index(catalog)
+    marked = _forms(queries)
+    asked = marked.select("form", "spec", "ukey", "pf", F.explode("tokens").alias("token")).dropDuplicates(["form", "token"]).join(index.tokens, "token")
+    forms = asked.groupBy("form").agg(
+        F.any_value("spec").alias("spec"), F.any_value("ukey").alias("ukey"), F.any_value("pf").alias("pf"),
+        F.array_sort(F.collect_list(F.struct("token", "idf", "most", "most_presence"))).alias("terms"), F.sum("idf").alias("total"),
+        F.sum(F.col("idf") * F.col("most")).alias("all"), F.sum(F.col("idf") * F.col("most_presence")).alias("all_presence"),
+    )
+    forms = materialise(forms, "forms")
+    group = F.pmod(F.xxhash64("form"), F.lit(max(1, -(-forms.count() // GROUP)))).cast("int")
+    forms = _kept_path(forms.withColumn("group", group), forms)
+    # what a code of a block can score at most: the block's bound for its token and the best of the other lists
+    here = F.col("presence")
+    factor = F.when(here, F.col("pf")).otherwise(1.0)
+    own = F.col("idf") * F.col("bound")
+    rest = F.when(here, F.col("all_presence") - F.col("idf") * F.col("most_presence")).otherwise(F.col("all") - F.col("idf") * F.col("most"))
+    lists = forms.select("form", "group", "pf", "all", "all_presence", F.inline("terms"))
+    heads = index.blocks.select("token", "presence", "block", "n", "bound")
+    pairs = lists.join(heads, "token").select("form", "group", "block", "n", (factor * own).alias("own"), (factor * (own + rest)).alias("bound"))
+    most = 2 * pool + k
+    best_first = Window.partitionBy("form").orderBy(F.col("own").desc(), "block").rowsBetween(Window.unboundedPreceding, -1)
+    first = pairs.withColumn("before", F.coalesce(F.sum("n").over(best_first), F.lit(0))).where(F.col("before") < FIRST * most)
+    shape = "form string, rank int, ord long, s double"
+    least = materialise(_read_blocks(index, forms, first).applyInArrow(_best(k, pool, True), shape).select("form", F.col("s").alias("least")), "form-thresholds")
+    can = pairs.join(least, "form", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - _MARGIN))
+    best = _read_blocks(index, forms, can).applyInArrow(_best(k, pool, False), shape)
+    top = best.join(index.codes, "ord").join(forms.select("form", "total"), "form").select(
+        "form", "rank", "loinc_num", "long_common_name", "component", "system", F.round(F.col("s") / F.col("total"), 9).alias("score")
     )
-    return asked.select("query_id", "form_id"), top
+    top = materialise(top, "hits")
+    for done in (forms, least):
+        discard(done)
+    return marked.select("query_id", "form"), top
+
+
+def _kept_path(df: DataFrame, of: DataFrame) -> DataFrame:
+    df._vialframe_path = of._vialframe_path
+    return df
 
 
-def _best(k: int, pool: int):
-    """(forms, classes of codes) to the ``k`` best codes of each form, as a function of two Arrow tables.
+def _read_blocks(index: CodeIndex, forms: DataFrame, wanted: DataFrame):
+    """Each group's forms beside the blocks that one of them wants."""
+    blocks = wanted.select(F.col("group").alias("part"), F.col("block").alias("number")).distinct().join(index.blocks, F.col("number") == F.col("block"))
+    return forms.groupBy("group").cogroup(blocks.groupBy("part"))
+
+
+def _best(k: int, pool: int, threshold: bool):
+    """(forms, blocks) to the ``k`` best codes of each form, or only to the score of the last place that counts, as a function of two Arrow tables.
 
     A factor changes at most ``pool`` places of the order before it, so nothing behind place 2 * pool + k can come to
-    the first k. Ties of scores, rounded to 9 places, go by catalog position.
+    the first k. Ties of scores, rounded to 9 places, go by catalog position. Codes that lack blocks score less than they should, and so less than the threshold.
     """
 
-    def run(forms, classes):
+    def run(forms, blocks):
         import numpy as np
         import pyarrow as pa
 
         out: list[list] = [[], [], [], []]
-        if forms.num_rows and classes.num_rows:
-            c = classes.select(["v", "norm", "prior", "presence", "system_tokens", "unit_key", "ords"]).combine_chunks()
-            ords = c.column("ords").to_pylist()
-            by_first = np.argsort(np.array([o[0] for o in ords]), kind="stable")
-            c, ords = c.take(pa.array(by_first)), [np.array(ords[i], np.int64) for i in by_first]
-            members = np.array([len(o) for o in ords])
-            norm, prior = (np.asarray(c.column(x).to_pylist(), float) for x in ("norm", "prior"))
-            presence = np.array([bool(x) for x in c.column("presence").to_pylist()])
-            units = np.array([x if x is not None else "\0" for x in c.column("unit_key").to_pylist()])
-            kinds: dict[tuple, int] = {}
-            system = np.array([kinds.setdefault(tuple(x or ()), len(kinds)) for x in c.column("system_tokens").to_pylist()])
-            entries: dict[str, tuple[list, list]] = {}
-            for i, v in enumerate(c.column("v").to_pylist()):
-                for x in v:
-                    at, w = entries.setdefault(x["token"], ([], []))
-                    at.append(i)
-                    w.append(x["w"])
-            index = {t: (np.array(at), np.array(w)) for t, (at, w) in entries.items()}
-            prior = 1 + C.RANK_WEIGHT * prior
+        if forms.num_rows and blocks.num_rows:
+            blob = lambda c, kind: [np.frombuffer(x, kind) for x in blocks.column(c).to_pylist()]
+            ords, weights = blob("ord", np.int64), blob("weight", np.float64)
+            sizes = [len(x) for x in ords]
+            codes, first, at = np.unique(np.concatenate(ords), return_index=True, return_inverse=True)
+            norm, prior = np.concatenate(blob("norm", np.float64))[first], 1 + C.RANK_WEIGHT * np.concatenate(blob("prior", np.float64))[first]
+            presence = np.repeat(np.array(blocks.column("presence").to_pylist(), bool), sizes)[first]
+            kinds: dict[str, int] = {}
+            kind = np.concatenate([np.array([kinds.setdefault(x, len(kinds)) for x in names], np.int64)[i] for i, names in zip(blob("kind", np.uint16), blocks.column("kinds").to_pylist(), strict=True)])[first]
+            systems, units = [x.split("\t")[0].split() for x in kinds], np.array([x.split("\t")[1] for x in kinds])
+            lists: dict[str, list] = {}
+            end = np.cumsum(sizes)
+            for i, token in enumerate(blocks.column("token").to_pylist()):
+                lists.setdefault(token, []).append((at[end[i] - sizes[i] : end[i]], weights[i]))
+            index = {t: tuple(np.concatenate(x) for x in zip(*parts, strict=True)) for t, parts in lists.items()}
             most = 2 * pool + k
-            for form in forms.select(["form_id", "tokens_key", "spec", "ukey", "pf"]).to_pylist():
-                hit = [index[t] for t in form["tokens_key"] if t in index]
+            for form in forms.select(["form", "terms", "spec", "ukey", "pf"]).to_pylist():
+                hit = [(index[t["token"]], t["idf"]) for t in form["terms"] if t["token"] in index]
                 if not hit:
                     continue
-                raw = np.bincount(np.concatenate([a for a, _ in hit]), np.concatenate([w for _, w in hit]), len(norm))
-                at = np.flatnonzero(raw > 0)
-                s = raw[at] / norm[at] * prior[at] * np.where(presence[at], form["pf"], 1.0)
+                raw = np.bincount(np.concatenate([a for (a, _), _ in hit]), np.concatenate([w * idf for (_, w), idf in hit]), len(codes))
+                code = np.flatnonzero(raw > 0)
+                s = raw[code] / norm[code] * prior[code] * np.where(presence[code], form["pf"], 1.0)
                 r = np.round(s, 9)
-                if len(at) > most:  # classes lie in the order of their first codes
+                if len(code) > most:  # codes ascend, so of equal scores the first stay
                     least = np.partition(r, len(r) - most)[len(r) - most]
                     above, ties = np.flatnonzero(r > least), np.flatnonzero(r == least)
                     pick = np.concatenate((above, ties[: most - len(above)]))
-                    at, s, r = at[pick], s[pick], r[pick]
-                order = np.lexsort((at, -r))
-                at, s, r = at[order], s[order], r[order]
-                # whole ranks of equal scores until there are enough codes
-                enough = np.searchsorted(np.cumsum(members[at]), most)
-                if enough < len(at):
-                    end = np.searchsorted(-r, -r[enough], "right")
-                    at, s = at[:end], s[:end]
-                code, s, cls = np.concatenate([ords[i] for i in at.tolist()]), np.repeat(s, members[at]), np.repeat(at, members[at])
-                keep = np.lexsort((code, -np.round(s, 9)))[:most]
-                code, s, cls = code[keep], s[keep], cls[keep]
+                    code, s, r = code[pick], s[pick], r[pick]
+                elif threshold:
+                    continue
+                if threshold:
+                    for x, y in zip(out, (form["form"], 0, 0, float(r.min())), strict=True):
+                        x.append(y)
+                    continue
+                order = np.lexsort((code, -r))
+                code, s = code[order], s[order]
                 if form["spec"]:
                     spec = set(form["spec"])
-                    of = np.array([C.SPECIMEN_MATCH if spec.intersection(x) else C.SPECIMEN_MISMATCH if x else 1.0 for x in kinds])
-                    s[:pool] *= of[system[cls[:pool]]]
+                    of = np.array([C.SPECIMEN_MATCH if spec.intersection(x) else C.SPECIMEN_MISMATCH if x else 1.0 for x in systems])
+                    s[:pool] *= of[kind[code[:pool]]]
                     again = np.lexsort((code, -np.round(s, 9)))
-                    code, s, cls = code[again], s[again], cls[again]
+                    code, s = code[again], s[again]
                 if form["ukey"]:
-                    s[:pool] *= np.where(units[cls[:pool]] == form["ukey"], C.UNIT_MATCH, 1.0)
+                    s[:pool] *= np.where(units[kind[code[:pool]]] == form["ukey"], C.UNIT_MATCH, 1.0)
                     again = np.lexsort((code, -np.round(s, 9)))
                     code, s = code[again], s[again]
                 code, s = code[:k], s[:k]
-                for x, y in zip(out, ([form["form_id"]] * len(code), range(1, len(code) + 1), code.tolist(), s.tolist()), strict=True):
+                for x, y in zip(out, ([form["form"]] * len(code), range(1, len(code) + 1), codes[code].tolist(), s.tolist()), strict=True):
                     x.extend(y)
-        kinds_out = (("form_id", pa.int64()), ("rank", pa.int32()), ("ord", pa.int64()), ("s", pa.float64()))
-        return pa.table({name: pa.array(x, kind) for x, (name, kind) in zip(out, kinds_out, strict=True)})
+        shape = (("form", pa.string()), ("rank", pa.int32()), ("ord", pa.int64()), ("s", pa.float64()))
+        return pa.table({name: pa.array(x, kind) for x, (name, kind) in zip(out, shape, strict=True)})
 
     return run
 

@@ -235,6 +235,37 @@ def map_ambiguous(spark: SparkSession, d: str) -> DataFrame:
     return mapped.select("observation_id", "mapping_stage", "loinc_code", "loinc_display", "mapping_status", "mapping_confidence", F.coalesce("llm_failed", F.lit(False)).alias("llm_failed"))
 
 
+#: Where the same words stand in different fields, or in none: specimen, method and unit of the four rows that every part gives.
+_PLACES = (("p_type", None, None), (None, "p_type", None), ("", "p_type", None), ("p_type", "p_brand", "mg/dL"))
+_PLACED = "placed AS (" + " UNION ALL ".join(
+    f"SELECT p_partkey * 10 + {i} AS observation_id, p_brand || ' ' || p_name AS name, " + ", ".join(f"{'NULL::VARCHAR' if x is None else x if x.startswith('p_') else repr(x)} AS {n}" for n, x in zip(("specimen", "method", "unit"), place, strict=True)) + " FROM part"
+    for i, place in enumerate(_PLACES)
+) + "), asked AS (SELECT observation_id AS query_id, name, specimen, method, unit, NULL::VARCHAR AS value FROM placed)"
+_SEARCH_PLACED = _SEARCH.replace(
+    "list_concat(nt, list_slice(list_filter({0}, lambda t: NOT list_contains(nt, t)), 1, 2)) AS toks FROM q1)".format(uniq_sql("own")),
+    f"list_concat(nm, list_slice(list_filter({uniq_sql('own')}, lambda t: NOT list_contains(nm, t)), 1, 2)) AS toks FROM (SELECT *, list_concat(nt, list_slice(list_filter({uniq_sql(tokens_sql('method'))}, lambda t: NOT list_contains(nt, t)), 1, 2)) AS nm FROM q1))",
+)
+
+
+@query(
+    f"WITH {A.CATALOG_SQL}, {_ALIAS_INDEX}, {_POSTINGS}, {_PLACED}, {_SEARCH_PLACED}, c AS (SELECT query_id, max(score) FILTER (rank = 1) AS a, max(score) FILTER (rank = 2) AS b, max(loinc_num) FILTER (rank = 1) AS one, "
+    "string_agg(loinc_num || ' (' || long_common_name || ')', ', ' ORDER BY rank) FILTER (rank <= 3) AS hint FROM top GROUP BY query_id), "
+    f"j AS (SELECT observation_id, p.specimen, p.method, alias_index.loinc_num AS alias_code, a IS NULL AS none, coalesce(a >= 1.3 AND (b IS NULL OR a - b >= 0.2 * a), false) AS clear, one, hint FROM placed p LEFT JOIN alias_index ON {clean_sql('name')} = alias_key LEFT JOIN c ON c.query_id = p.observation_id) "
+    "SELECT observation_id, specimen, method, CASE WHEN alias_code IS NOT NULL THEN 'alias_exact' WHEN clear THEN 'retrieval_auto' WHEN none THEN 'lexical_llm' ELSE 'error' END AS mapping_stage, CASE WHEN alias_code IS NOT NULL THEN alias_code WHEN clear THEN one END AS loinc_code, "
+    "CASE WHEN alias_code IS NOT NULL THEN 'Exact alias/name match against the official LOINC reference table.' WHEN clear THEN 'Clear best match among LOINC candidates (name, specimen and unit agree).' WHEN none THEN 'No candidate LOINC concepts found.' "
+    "ELSE 'LLM verification call failed; needs manual review.' || ' Unverified suggestions: ' || hint || '.' END AS mapping_rationale FROM j"
+)
+def map_placed(spark: SparkSession, d: str) -> DataFrame:
+    """MAP-01/03: every part asked four times with the same words as specimen, as method, beside an empty field and with a unit: each row keeps its own answer."""
+    cat = A.catalog(spark, d)
+    value = lambda x: F.lit(x).cast("string") if x is None or not x.startswith("p_") else F.col(x)
+    places = F.array(*[F.struct(F.lit(i).alias("i"), *[value(x).alias(n) for n, x in zip(("specimen", "method", "unit"), place, strict=True)]) for i, place in enumerate(_PLACES)])
+    rows = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_brand", "p_name").alias("original_test_name"), F.explode(places).alias("x"))
+    rows = rows.select((F.col("p_partkey") * 10 + F.col("x.i")).alias("observation_id"), "original_test_name", "x.specimen", "x.method", "x.unit", F.lit(None).cast("string").alias("value"))
+    mapped = mapping.map_rows(rows, terminology.alias_index(cat), cat, mode="ambiguous")
+    return mapped.select("observation_id", "specimen", "method", "mapping_stage", "loinc_code", "mapping_rationale")
+
+
 @query(
     f"WITH {A.CATALOG_SQL}, {A.OBSERVATIONS_SQL}, {_ALIAS_INDEX} SELECT observation_id, document_id, CASE WHEN alias_index.loinc_num IS NOT NULL THEN 'alias_exact' ELSE 'lexical_only' END AS mapping_stage, alias_index.loinc_num AS loinc_code, long_common_name AS loinc_display, "
     "coalesce(canonical_name, original_test_name) AS normalized_test_name, CASE WHEN alias_index.loinc_num IS NOT NULL THEN 0.98 END AS mapping_confidence "
