@@ -66,9 +66,21 @@ def _is_text(part: Column) -> Column:
 
 
 def _visit(parts: Column) -> Column:
-    """The parts flattened to array<struct<text,said>>: escaped texts (said) and placeholders, in order."""
+    """The parts flattened to array<struct<text,said>>: escaped texts (said) and placeholders, in order.
+
+    Texts with nothing between them are joined before they are escaped, so a control string can't be put together from several
+    parts (empty ones included); a turn of one part needs no joining.
+    """
     placeholder = lambda p: F.when(p["kind"].isin(*EXPANDED_TOKENS), F.concat(F.lit("<|"), p["kind"], F.lit("|>"))).otherwise(OTHER)
-    return F.transform(parts, lambda p: F.struct(F.when(_is_text(p), escape(p["text"])).otherwise(placeholder(p)).alias("text"), _is_text(p).alias("said")))
+    piece = lambda p: F.struct(F.when(_is_text(p), F.coalesce(p["text"], F.lit(""))).otherwise(placeholder(p)).alias("text"), _is_text(p).alias("said"))
+
+    def join(done: Column, p: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(F.concat(last["text"], F.coalesce(p["text"], F.lit(""))).alias("text"), F.lit(True).alias("said"))
+        return F.when(_is_text(p) & F.coalesce(last["said"], F.lit(False)), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(piece(p))))
+
+    joined = F.when(F.size(parts) <= 1, F.transform(parts, piece)).otherwise(F.aggregate(parts, F.array().cast("array<struct<text:string,said:boolean>>"), join))
+    return F.transform(joined, lambda x: F.struct(F.when(x["said"], escape(x["text"])).otherwise(x["text"]).alias("text"), x["said"].alias("said")))
 
 
 def _attached(parts: Column) -> Column:

@@ -17,6 +17,9 @@ with words of the corpus around them, and, as unknown, on plain paragraphs of th
 corpus, on grants of other licences and on sentences that only mention one. A
 temperature fitted on held-out examples calibrates the probabilities.
 
+*Denials.* A unit whose words deny a grant or set it aside (``DENIED``: "is not licensed under", "unlike projects
+released under", "we considered the ... license") names no family, whatever the classifier says.
+
 *Comparison.* A unit counts only if its most likely class is a family whose
 probability reaches ``CUT`` and the family's templates confirm it: ``CONFIRM`` of a
 template's word pairs must occur in the unit, each pair weighing one over the number
@@ -35,6 +38,7 @@ sentences alone).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -49,6 +53,8 @@ DIM, CUT, CONFIRM = 1 << 15, 0.5, 0.6
 SAMPLE, STRETCH, EXAMPLES = 2000, 40, 160
 #: Words on either side that are judged with a place; a stretch this much like a template is no example of unknown.
 CONTEXT, ALIKE = 5, 0.4
+#: Words before a unit that may deny it.
+LEAD = 8
 
 #: How grants name a licence.
 GRANTS = (
@@ -189,6 +195,16 @@ MENTIONS = (
     "an article about the {} and its", "she read the {} twice", "the text of the {} is long", "who wrote the {} and why", "critics of the {} argue that",
 )
 
+#: Bare words that deny a grant, compare with one or set one aside. ("not distributed with this file" is part of a grant.)
+_GRANTED = rb"(?:licen[sc]ed|released|distributed|available|covered|governed|provided|published|offered)"
+DENIED = re.compile(
+    rb"\b(?:not|never|no longer|neither|nor|isn't|aren't|wasn't|cannot be)(?: \S+){0,2} " + _GRANTED + rb"(?: \S+)? under\b"
+    rb"|\b(?:unlike|contrary to|in contrast to|as opposed to)(?: \S+){0,5} " + _GRANTED + rb" under\b"
+    rb"|\b(?:considered|evaluated|discussed|rejected|declined|avoided|dropped|abandoned)(?: \S+){1,5} licen[sc]e\b"
+    rb"|\bnot(?: \S+){0,2} (?:use|adopt|choose|chose|accept)(?: \S+){1,5} licen[sc]e\b",
+    re.IGNORECASE,
+)
+
 
 # --------------------------------------------------------------------- words
 _BARE = np.zeros(256, bool)  # what words are stripped of
@@ -367,7 +383,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def examples(plain: list[bytes], seed: int = 7) -> tuple[list[bytes], np.ndarray]:
     """Training units and classes; the last class is unknown."""
     rnd = np.random.default_rng(seed)
-    filler = sorted({w for p in [*plain, *[x.encode() for x in PLAIN]] for w in p.split()})[:20000]
+    filler = sorted({w for p in [*plain, *[x.encode() for x in PLAIN]] for w in p.split()})
     some = lambda n: [filler[i] for i in rnd.integers(0, len(filler), n)]
 
     def varied(text: bytes, plainly: bool) -> bytes:
@@ -449,8 +465,10 @@ def _grants(words: Bare, weights: np.ndarray) -> dict[int, list[tuple]]:
             share = float(known().share(_pair_set(words, a, b))[c])
             if share < CONFIRM:
                 continue
-            for a, _ in units[text]:
+            for a, b in units[text]:
                 block = int(words.block[a])
+                if DENIED.search(words.text(max(int(words.block_at[block]), a - LEAD), b)):
+                    continue
                 rank = (-float(p[c]), a)
                 if (block, c) not in best or rank < best[block, c][0]:
                     best[block, c] = (rank, a, float(p[c]), share, text)

@@ -65,6 +65,36 @@ FROM e GROUP BY conv_id
 """
 
 
+def chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1 on turns of several parts: the text in two halves, an image between them in every third turn, audio or a document behind."""
+    t, turn, half = F.coalesce("text", F.lit("")), F.coalesce("turn", F.lit(0)), F.floor(F.char_length(F.coalesce("text", F.lit(""))) / 2).cast("int")
+    part = lambda kind, text=None, ref=None, tokens=None: F.struct(F.lit(kind).alias("kind"), (F.lit(None) if text is None else text).cast("string").alias("text"), (F.lit(None) if ref is None else ref).cast("string").alias("ref"), (F.lit(None) if tokens is None else tokens).cast("int").alias("tokens"))  # noqa: E731, E501
+    ref = F.concat_ws("/", F.coalesce("conv_id", F.lit(0)), turn)
+    image, behind = F.when(turn % 3 == 0, part("image", ref=ref, tokens=F.char_length(t))), F.when(turn % 4 == 1, part("audio", ref=ref)).when(turn % 4 == 2, part("document")).when(turn % 4 == 3, part("video", tokens=F.lit(7)))
+    parts = F.filter(F.array(part("text", F.substr(t, F.lit(1), half)), image, part("text", F.substr(t, half + 1)), behind), lambda p: p.isNotNull())
+    chats = chat_format.format_chats(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", parts.alias("parts")))
+    refs = F.array_join(F.transform("attachments", lambda a: F.concat_ws(":", a["kind"], a["ref"], a["tokens"].cast("string"))), "\n")
+    return chats.select(
+        "conv_id", "n_turns", F.sha2(F.col("formatted").cast("binary"), 256).alias("formatted_sha256"), F.sha2(refs.cast("binary"), 256).alias("attachments_sha256"),
+        F.size("attachments").cast("long").alias("n_attachments"), "expanded_tokens", F.char_length(chat_format.loss_text(F.col("segments"))).cast("long").alias("loss_chars"),
+    )
+
+
+CHAT_PARTS_SQL = r"""
+WITH r AS (SELECT conv_id, turn, coalesce(turn, 0) AS n, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+h AS (SELECT *, CASE WHEN n % 3 = 0 THEN text[:length(text) // 2] ELSE text END AS one, CASE WHEN n % 3 = 0 THEN text[length(text) // 2 + 1:] ELSE '' END AS two,
+  coalesce(conv_id, 0)::VARCHAR || '/' || n::VARCHAR AS ref FROM r),
+e AS (SELECT *, regexp_replace(one, '<(\\*)\|', '<\\\1|', 'g') || CASE WHEN n % 3 = 0 THEN '<|image|>' ELSE '' END || regexp_replace(two, '<(\\*)\|', '<\\\1|', 'g')
+    || CASE n % 4 WHEN 1 THEN '<|audio|>' WHEN 2 THEN '<|document|>' WHEN 3 THEN '<|attachment|>' ELSE '' END AS body,
+  list_filter([CASE WHEN n % 3 = 0 THEN 'image:' || ref || ':' || length(text)::VARCHAR END, CASE n % 4 WHEN 1 THEN 'audio:' || ref || ':128' WHEN 2 THEN 'document::512' WHEN 3 THEN 'video::7' END], lambda x: x IS NOT NULL) AS att,
+  CASE WHEN n % 3 = 0 THEN length(text) ELSE 0 END + CASE n % 4 WHEN 1 THEN 128 WHEN 2 THEN 512 WHEN 3 THEN 7 ELSE 0 END AS tokens FROM h)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg('<|im_start|>' || replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), chr(10), '<|nl|>') || chr(10) || body || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role)) AS formatted_sha256,
+  sha256(coalesce(string_agg(array_to_string(att, chr(10)), chr(10) ORDER BY turn NULLS FIRST, role) FILTER (len(att) > 0), '')) AS attachments_sha256, CAST(sum(len(att)) AS BIGINT) AS n_attachments, CAST(sum(tokens) AS BIGINT) AS expanded_tokens,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_file("piece_bpe_32k.model")
     coded = sentencepiece_sa.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
@@ -168,7 +198,8 @@ p AS (SELECT h.conv_id, list_concat(CASE WHEN h > 0 THEN coalesce(d.turns[1:h],
 m AS (SELECT conv_id, len(path) AS n_turns, d AS depth, path[1:d] AS node FROM (SELECT *, unnest(range(len(path) + 1)) AS d FROM p)),
 n AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
     sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n_turns = depth), '')) AS ends_sha256,
-    (count(*) - 1) * CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(node[depth].text, '[^ 	-]+')) END AS own FROM m GROUP BY node, depth),
+    (count(*) - 1) * CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(node[depth].text, '[^ 	-
+]+')) END AS own FROM m GROUP BY node, depth),
 k AS (SELECT node[1:depth - 1] AS up, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY up),
 w AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k ON k.up = n.node),
 s AS (SELECT node[1:d] AS top, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(own) AS BIGINT) AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS d FROM w) GROUP BY top)
@@ -199,7 +230,7 @@ FROM c WHERE score > 0 QUALIFY rank <= 10
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_sentencepiece, op3_substring_dedup, op4_packing, op5_license_scan, op6_ngram_jaccard_join, op7_url_filter, op8_fingerprints, op9_quality_classifier, op10_exact_dedup, op11_line_dedup, op12_prefix_trie, op13_lexical_search)
+    f.__name__: f for f in (op1_chat_formatting, op2_sentencepiece, op3_substring_dedup, op4_packing, op5_license_scan, op6_ngram_jaccard_join, op7_url_filter, op8_fingerprints, op9_quality_classifier, op10_exact_dedup, op11_line_dedup, op12_prefix_trie, op13_lexical_search, chat_parts)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -209,4 +240,5 @@ ORACLE_SQL: dict[str, str] = {
     "op11_line_dedup": OP11_SQL,
     "op12_prefix_trie": OP12_SQL,
     "op13_lexical_search": OP13_SQL,
+    "chat_parts": CHAT_PARTS_SQL,
 }
