@@ -31,7 +31,7 @@ hash, so a table always gives the same model. Scanning reads whole texts.
 
 Defined cases: null or empty texts have no paragraphs and no family; a paragraph of
 any length is one paragraph; a family is named once per paragraph, by its surest
-unit; repeated rows are scanned each for itself; other columns are not read; an
+unit, and at the line where the first of its units begins; repeated rows are scanned each for itself; other columns are not read; an
 empty table gives no rows (the model is then trained on the templates and the fixed
 sentences alone).
 """
@@ -469,9 +469,9 @@ def _grants(words: Bare, weights: np.ndarray) -> dict[int, list[tuple]]:
                 block = int(words.block[a])
                 if DENIED.search(words.text(max(int(words.block_at[block]), a - LEAD), b)):
                     continue
-                rank = (-float(p[c]), a)
-                if (block, c) not in best or rank < best[block, c][0]:
-                    best[block, c] = (rank, a, float(p[c]), share, text)
+                rank, held = (-float(p[c]), a), best.get((block, c))
+                first = a if held is None else min(a, held[1])
+                best[block, c] = (rank, first, float(p[c]), share, text) if held is None or rank < held[0] else (held[0], first, *held[2:])
     out: dict[int, list[tuple]] = {}
     for (block, c), (_, a, p, share, text) in best.items():
         doc = int(words.doc[a])
@@ -527,7 +527,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 
 def scan(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     """One row per paragraph and family (or one with nulls for a document without): doc_id, n_paragraphs, paragraph,
-    line (both count from 0; where the unit begins), family, probability, template_share, text (the unit's bare words)."""
+    line (both count from 0; where the family's first unit begins), family, probability, template_share, text (the unit's bare words)."""
     ship(docs.sparkSession)
     weights = fit(docs) if weights is None else weights
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
