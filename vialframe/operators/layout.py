@@ -69,16 +69,32 @@ def zones(headed: DataFrame) -> DataFrame:
     return top.unionByName(own).select(*PAGE, number.alias("zone"), "y_start", "y_end", "x_start", "x_end")
 
 
+#: Bins of a page's width in which lines meet the zones of their band.
+X_BINS = 64
+
+
 def assign_zones(headed: DataFrame, zone_table: DataFrame) -> DataFrame:
     """JOIN-08: the first zone that holds a line's top and centre, else the page's last zone.
 
-    The zones of a page are few and small, so they travel to its lines as one array: an equi-join by page, no range join.
+    A range join in two steps that never pairs all lines of a page with all its zones. The bands of zones don't overlap
+    in y, so one sweep down the page tells each line its band; within the band, zones lie in the bins of the width that
+    they touch, and a line meets those of its own bin only.
     """
-    packed = zone_table.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("zone", "y_start", "y_end", "x_start", "x_end"))).alias("_zones"))
-    centre, y = (F.col("x0") + F.col("x1")) / 2, F.col("y0")
-    held = F.filter("_zones", lambda z: (z["y_start"] <= y) & (y < z["y_end"]) & (z["x_start"] <= centre) & (centre < z["x_end"]))
-    zone = F.coalesce(F.try_element_at(held, F.lit(1))["zone"], F.try_element_at("_zones", F.lit(-1))["zone"])
-    return headed.join(packed, list(PAGE)).withColumn("zone", zone).drop("_zones")
+    real = zone_table.where((F.col("y_start") < F.col("y_end")) & (F.col("x_start") < F.col("x_end")))
+    edges = zone_table.groupBy(*PAGE, "y_start", "y_end").agg(F.max("zone").alias("_most")).select(*PAGE, F.col("y_start").alias("y0"), F.col("y_end").alias("_end"), "_most", F.lit(0).alias("_kind"))
+    both = headed.withColumn("_kind", F.lit(1)).unionByName(edges, allowMissingColumns=True)
+    down = Window.partitionBy(*PAGE).orderBy("y0", "_kind", "_end").rowsBetween(Window.unboundedPreceding, 0)
+    open_ = F.when((F.col("_kind") == 0) & (F.col("y0") < F.col("_end")), F.struct(F.col("y0").alias("start"), F.col("_end").alias("end")))
+    swept = both.withColumns({"_band": F.last(open_, ignorenulls=True).over(down), "_last": F.max("_most").over(Window.partitionBy(*PAGE))}).where("_kind = 1")
+    centre = (F.col("x0") + F.col("x1")) / 2
+    bin_of = lambda x: F.least(F.greatest(F.floor(x * X_BINS), F.lit(0)), F.lit(X_BINS - 1)).cast("int")
+    swept = swept.withColumns({"_y": F.when(F.col("y0") < F.col("_band.end"), F.col("_band.start")), "_bin": bin_of(centre)})
+    packed = real.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("x_start")), bin_of(F.col("x_end"))))).groupBy(*PAGE, F.col("y_start").alias("_y"), "_bin").agg(
+        F.array_sort(F.collect_list(F.struct("zone", "x_start", "x_end"))).alias("_zones")
+    )
+    held = F.filter("_zones", lambda z: (z["x_start"] <= centre) & (centre < z["x_end"]))
+    zone = F.coalesce(F.try_element_at(held, F.lit(1))["zone"], F.col("_last"))
+    return swept.join(packed, [*PAGE, "_y", "_bin"], "left").withColumn("zone", zone).select(*headed.columns, "zone")
 
 
 def merge_rows(zoned: DataFrame) -> DataFrame:
