@@ -54,15 +54,12 @@ def zones(headed: DataFrame) -> DataFrame:
         ((F.lag("x1").over(across) + F.col("x0")) / 2).alias("left"), ((F.col("x1") + F.lead("x0").over(across)) / 2).alias("right"),
         F.row_number().over(across).alias("sibling"),
     )
-    starts = heads.select(*PAGE, "page_band", "y_start").distinct()
-    down = Window.partitionBy(*PAGE).orderBy("page_band")
-    ends = starts.withColumn("y_end", F.lead("y_start", 1, 1.0).over(down)).select(*PAGE, "page_band", "y_end")
-    own = heads.join(ends, [*PAGE, "page_band"]).select(
-        *PAGE, "page_band", "sibling", "y_start", "y_end", F.coalesce("left", F.lit(0.0)).alias("x_start"), F.coalesce("right", F.lit(1.0)).alias("x_end")
+    below = Window.partitionBy(*PAGE).orderBy("page_band").rangeBetween(1, Window.unboundedFollowing)
+    own = heads.select(
+        *PAGE, "page_band", "sibling", "y_start", F.coalesce(F.min("y_start").over(below), F.lit(1.0)).alias("y_end"), F.coalesce("left", F.lit(0.0)).alias("x_start"), F.coalesce("right", F.lit(1.0)).alias("x_end")
     )
-    first = starts.groupBy(*PAGE).agg(F.min("y_start").alias("y_end"))
-    top = headed.select(*PAGE).distinct().join(first, list(PAGE), "left").select(
-        *PAGE, F.lit(-1).cast("long").alias("page_band"), F.lit(0).alias("sibling"), F.lit(0.0).alias("y_start"), F.coalesce("y_end", F.lit(1.0)).alias("y_end"),
+    top = headed.groupBy(*PAGE).agg(F.min(F.when(F.col("header"), F.col("y0"))).alias("first")).select(
+        *PAGE, F.lit(-1).cast("long").alias("page_band"), F.lit(0).alias("sibling"), F.lit(0.0).alias("y_start"), F.coalesce("first", F.lit(1.0)).alias("y_end"),
         F.lit(0.0).alias("x_start"), F.lit(1.0).alias("x_end"),
     )
     number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("page_band", "sibling")) - 1
@@ -70,7 +67,7 @@ def zones(headed: DataFrame) -> DataFrame:
 
 
 #: Bins of a page's width in which lines meet the zones of their band.
-X_BINS = 64
+X_BINS = 8
 
 
 def assign_zones(headed: DataFrame, zone_table: DataFrame) -> DataFrame:
