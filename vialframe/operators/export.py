@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import spaced
@@ -79,3 +79,16 @@ def bundles(documents: DataFrame, observations: DataFrame) -> DataFrame:
     entries = F.transform(F.coalesce("rs", F.array().cast("array<struct<page_number:int,created_at:timestamp,observation_id:bigint,json:string>>")), lambda r: F.concat(F.lit('{"resource":'), r["json"], F.lit("}")))
     bundle = F.concat(F.lit('{"resourceType":"Bundle","type":"collection",'), stamp, F.lit('"entry":['), F.array_join(F.concat(F.array(F.lit(patient)), entries), ","), F.lit("]}"))
     return documents.select("document_id", "uploaded_at").join(listed, "document_id", "left").select("document_id", bundle.alias("bundle"))
+
+
+def write_bundles(documents: DataFrame, observations: DataFrame, path: str) -> None:
+    """SRC-18: the bundles as a file sink, one JSON line for each document; Spark's commit makes a failed task leave nothing."""
+    bundles(documents, observations).select("bundle").write.text(path)
+
+
+def read_bundles(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_bundles`` has written: timestamp, number of entries and ids of the resources, each line parsed once."""
+    shape = "timestamp string, entry array<struct<resource:struct<resourceType:string,id:string>>>"
+    b = spark.read.schema(shape).json(path)
+    ids = F.transform(F.filter("entry", lambda e: e["resource"]["resourceType"] == "Observation"), lambda e: e["resource"]["id"])
+    return b.select("timestamp", F.size("entry").alias("n_entries"), ids.alias("ids"))

@@ -109,3 +109,14 @@ def active_lab_codes(table: DataFrame, core_only: bool = False) -> DataFrame:
         kept = kept.where(F.col("COMMON_TEST_RANK").try_cast("int") > 0)
     related = F.filter(F.transform(F.split(F.coalesce("RELATEDNAMES2", F.lit("")), ";"), lambda a: strip(a)), lambda a: a != "")
     return kept.withColumn("aliases", F.array_join(related, "|"))
+
+
+def write_active_codes(table: DataFrame, path: str, core_only: bool = False) -> dict[str, int]:
+    """SRC-13: write the active laboratory codes and return how many rows were seen, kept and skipped, counted on the way of the one pass."""
+    from pyspark.sql import Observation
+
+    seen, kept = Observation(), Observation()
+    rows = active_lab_codes(table.observe(seen, F.count(F.lit(1)).alias("n")), core_only).observe(kept, F.count(F.lit(1)).alias("n"))
+    rows.write.parquet(path)
+    a, b = seen.get["n"], kept.get["n"]
+    return {"seen": a, "kept": b, "skipped": a - b}

@@ -6,13 +6,17 @@ documents as recognised words. The oracles compute the same from the columns, no
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import text as X
 from ..functions import validate as V
-from ..operators import evaluate, layout, mapping, parse, retrieval
+from ..operators import evaluate, export, layout, mapping, parse, retrieval, terminology
+from ..session import shared_dir
+from ..sources.keyed import KeyedTable, remember
 from ..sources.tables import table
 from . import adapters as A
 from .queries import clean_sql, query
@@ -378,3 +382,75 @@ def validation_cases(spark: SparkSession, d: str) -> DataFrame:
     names = p.select(F.element_at(F.array(*[F.lit(n) for n in ("wbc", "ph", "na", "co2", "tsh", "a1c")]), (F.col("p_partkey") % 6 + 1).cast("int")).alias("name")).distinct()
     out = V.validate_rows(V.correct_labels(rows, names))
     return out.select("row_id", "dropped", F.when(F.col("ocr"), F.col("corrected_label")).alias("corrected_label"), F.size("notes").alias("n_notes"))
+
+
+# ------------------------------------------------------------------ stores and sinks
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "SELECT p_partkey AS key, coalesce(b.v, a.v, p_size::DOUBLE) AS v, CASE WHEN b.v IS NOT NULL THEN 'second' WHEN a.v IS NOT NULL THEN 'first' ELSE 'base' END AS source FROM part "
+    "LEFT JOIN (SELECT l_partkey AS k, max(l_quantity) AS v FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) a ON a.k = p_partkey LEFT JOIN (SELECT l_partkey AS k, max(l_quantity) AS v FROM lineitem WHERE l_linenumber = 2 AND l_partkey % 7 = 0 GROUP BY 1) b ON b.k = p_partkey"
+)
+def keyed_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-16, MUT-05: parts as a keyed table after two upserts, each of which rewrites the parts of the table that it touches."""
+    p, li = table(spark, d, "part"), table(spark, d, "lineitem")
+    held = KeyedTable.create(p.select(F.col("p_partkey").alias("key"), F.col("p_size").cast("double").alias("v"), F.lit("base").alias("source")), _scratch(spark, "keyed"), ("key",), parts=16)
+    for where, name in (("l_linenumber = 1", "first"), ("l_linenumber = 2 AND l_partkey % 7 = 0", "second")):
+        held = held.upsert(li.where(where).groupBy(F.col("l_partkey").alias("key")).agg(F.max("l_quantity").alias("v")).withColumn("source", F.lit(name)))
+    return held.read()
+
+
+@query(
+    f"WITH r AS (SELECT {clean_sql('p_name')} || '|' || {clean_sql('p_type')} || '|' AS key, p_partkey, p_size FROM part), "
+    "w AS (SELECT key, arg_min(p_partkey, p_partkey) AS c FROM r WHERE p_size % 5 = 0 GROUP BY key), m AS (SELECT key, min(p_partkey) AS c FROM r GROUP BY key) "
+    "SELECT m.key, 'c' || coalesce(w.c, m.c)::VARCHAR AS loinc_num, CASE WHEN w.c IS NOT NULL THEN 'review' ELSE 'llm' END AS source FROM m LEFT JOIN w USING (key)"
+)
+def remembered_store(spark: SparkSession, d: str) -> DataFrame:
+    """MUT-04, MUT-05, WIN-11, SRC-19: reviewers' picks, then a model's, in a keyed table: the model's fill what no reviewer has decided."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"), F.col("p_type").alias("specimen"), F.lit(None).cast("string").alias("unit"), F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("loinc_num"), "p_size")
+    empty = spark.createDataFrame([], "key string, loinc_num string, source string, confidence double")
+    held = KeyedTable.create(empty, _scratch(spark, "remembered"), ("key",), parts=16)
+    held = remember(held, p.where("p_size % 5 = 0").drop("p_size"), "review", 1.0)
+    return remember(held, p.drop("p_size"), "llm", 0.95).read().select("key", "loinc_num", "source")
+
+
+@query(
+    f"WITH {A.OBSERVATIONS_SQL}, {A.QUEUE_SQL}, o AS (SELECT document_id, uploaded_at, count(observation_id) + 1 AS n, string_agg('obs-' || observation_id::VARCHAR, ',' ORDER BY page_number, observation_id) AS ids FROM queue LEFT JOIN observations USING (document_id) GROUP BY ALL) "
+    "SELECT strftime(uploaded_at, '%Y-%m-%dT%H:%M:%S') AS timestamp, CAST(n AS INTEGER) AS n_entries, sha256(coalesce(ids, '')) AS ids FROM o"
+)
+def bundle_files(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-18: the bundles of all orders written as JSON lines and read back."""
+    obs = A.observations(spark, d).withColumns(
+        {"created_at": F.col("created_at").cast("timestamp"), "loinc_code": F.lit("1-1"), "loinc_display": F.lit(None).cast("string"), "normalized_test_name": F.lit(None).cast("string"), "mapping_confidence": F.lit(0.5)}
+    )
+    path = _scratch(spark, "bundles")
+    export.write_bundles(A.queue(spark, d).select("document_id", "uploaded_at"), obs, path)
+    return export.read_bundles(spark, path).select("timestamp", "n_entries", F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids"))
+
+
+@query(
+    "SELECT 'L' || p_partkey::VARCHAR AS loinc_num, p_name || ', \"' || p_type || '\"' AS long_common_name, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS shortname, CASE WHEN p_size % 4 = 0 THEN 0 ELSE p_size END AS common_test_rank, p_name || '/' || p_type AS aliases FROM part"
+)
+def catalog_csv(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-11: parts written as a terminology CSV with quotes, blanks and empty aliases, and read with its rules."""
+    k, p = F.col("p_partkey"), table(spark, d, "part")
+    rows = p.select(
+        F.concat(F.lit("L"), k.cast("string")).alias("LOINC_NUM"), F.concat("p_name", F.lit(', "'), "p_type", F.lit('"')).alias("LONG_COMMON_NAME"), F.when(k % 3 == 0, "  ").otherwise(F.col("p_brand")).alias("SHORTNAME"),
+        F.when(F.col("p_size") % 4 == 0, "none").otherwise(F.concat(F.lit(" "), F.col("p_size").cast("string"))).alias("COMMON_TEST_RANK"), F.concat("p_name", F.lit(" | |"), "p_type", F.lit("|")).alias("aliases"),
+    )
+    path = _scratch(spark, "catalog")
+    rows.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    got = terminology.read_catalog_csv(spark, path)
+    return got.select("loinc_num", "long_common_name", "shortname", "common_test_rank", F.array_join("aliases", "/").alias("aliases"))
+
+
+@query("SELECT count(*) AS seen, count(*) FILTER (p_size > 25 AND p_brand <> 'Brand#1') AS kept, count(*) FILTER (NOT (p_size > 25 AND p_brand <> 'Brand#1')) AS skipped FROM part")
+def etl_counts(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-13: rows seen, kept and skipped, counted while the active codes are written."""
+    p = table(spark, d, "part").select(
+        F.col("p_partkey").alias("ord"), F.when(F.col("p_size") > 25, "1").otherwise("2").alias("CLASSTYPE"), F.when(F.col("p_brand") != "Brand#1", "ACTIVE").otherwise("DEPRECATED").alias("STATUS"), F.col("p_name").alias("RELATEDNAMES2")
+    )
+    counts = terminology.write_active_codes(p, _scratch(spark, "active-codes"))
+    return spark.createDataFrame([(counts["seen"], counts["kept"], counts["skipped"])], "seen long, kept long, skipped long")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.store import needs_sync
+from .keyed import KeyedTable
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -67,20 +68,27 @@ def resident(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def sync(source: DataFrame, path: str) -> bool:
-    """SRC-14: rewrite the stored terminology if its counts of codes or aliases differ from the source's; was it rewritten?"""
+def sync(source: DataFrame, path: str, key: str = "loinc_num") -> bool:
+    """SRC-14: rewrite the stored terminology if its counts of codes or aliases differ from the source's; was it rewritten?
+
+    The stored copy is a keyed table, so readers have the old one until the new one is whole.
+    """
     spark = source.sparkSession
-    try:
-        stored = spark.read.schema(source.schema).parquet(path)
-        if not needs_sync(source, stored).first()["rewrite"]:
+    if has_files(spark, f"{path}/pointers"):
+        table = KeyedTable.open(spark, path)
+        if not needs_sync(source, table.read()).first()["rewrite"]:
             return False
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    source.write.mode("overwrite").parquet(path)
+        table.replace(source)
+    else:
+        KeyedTable.create(source, path, (key,))
     return True
 
 
+def has_files(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def write_observations(rows: DataFrame, path: str) -> None:
     """SRC-16: append, one folder per extraction source so that scans can prune."""
     from ..operators.store import clipped
