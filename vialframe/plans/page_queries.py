@@ -454,3 +454,31 @@ def etl_counts(spark: SparkSession, d: str) -> DataFrame:
     )
     counts = terminology.write_active_codes(p, _scratch(spark, "active-codes"))
     return spark.createDataFrame([(counts["seen"], counts["kept"], counts["skipped"])], "seen long, kept long, skipped long")
+
+
+# --------------------------------------------------------------------- the page flow
+@query(
+    "WITH p AS (SELECT l_orderkey AS document_id, l_linenumber AS page_number, bool_or(l_returnflag = 'R' AND l_tax > 0.05) AS fatal, bool_or(l_quantity > 45) AS unreadable, sum(l_quantity) AS cost FROM lineitem GROUP BY ALL), "
+    "t AS (SELECT *, coalesce(bool_or(fatal) OVER w, false) AS tripped, coalesce(sum(cost) OVER w, 0) > 120 AS late, first_value(CASE WHEN fatal THEN page_number END IGNORE NULLS) OVER w AS tripped_at FROM p WINDOW w AS (PARTITION BY document_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), "
+    "s AS (SELECT *, tripped OR fatal OR unreadable AS diverted FROM t) SELECT document_id, page_number, CASE WHEN NOT diverted THEN 'llm' WHEN NOT late THEN 'fallback' END AS source, NOT tripped AS called, "
+    "CASE WHEN NOT diverted THEN 1 WHEN late OR page_number = 3 THEN 0 ELSE 1 END AS n_tests, CASE WHEN NOT diverted THEN 0.9 WHEN late OR page_number = 3 THEN NULL ELSE 0.65 END::DOUBLE AS confidence, "
+    "CASE WHEN tripped THEN 'ConnectionError: lost at ' || tripped_at::VARCHAR WHEN fatal THEN 'ConnectionError: lost at ' || page_number::VARCHAR WHEN unreadable THEN 'ValueError: unreadable' END AS note, "
+    "CASE WHEN diverted AND late THEN 'page ' || page_number::VARCHAR || ': local extraction time budget (120s) exceeded' WHEN diverted AND page_number = 3 THEN 'page 3: local fallback found no recognizable test rows' END AS reason FROM s"
+)
+def page_flow(spark: SparkSession, d: str) -> DataFrame:
+    """STR-08, STR-10, ORC-01, ORC-03, ORC-04: every page of every order through an extractor that breaks down, answers unreadably, or is cut short by the document's time."""
+    from ..operators import flow
+
+    pages = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page_number")).agg(
+        F.bool_or((F.col("l_returnflag") == "R") & (F.col("l_tax") > 0.05)).alias("fatal"), F.bool_or(F.col("l_quantity") > 45).alias("unreadable"), F.sum("l_quantity").alias("cost")
+    )
+
+    def call(page: dict) -> list[dict]:
+        if page["fatal"]:
+            raise ConnectionError(f"lost at {page['page_number']}")
+        if page["unreadable"]:
+            raise ValueError("unreadable")
+        return [{"name": "Iron", "value": "1", "confidence": 0.9}]
+
+    done = flow.run_pages(pages, call, lambda page: [] if page["page_number"] == 3 else [{"name": "Iron", "value": "1", "confidence": 0.9}], budget=120.0, seconds=lambda page: page["cost"])
+    return done.select("document_id", "page_number", "source", "called", F.size("tests").alias("n_tests"), F.try_element_at("tests", F.lit(1))["confidence"].alias("confidence"), "note", "reason")
