@@ -63,8 +63,10 @@ def describe_error(kind: Column, message: Column) -> Column:
 
 
 def lenient_json(s: Column) -> Column:
-    """FN-27: the outermost {...} of a text with fences or chatter around it."""
-    return F.nullif(F.regexp_extract(s, r"(?s)\{.*\}", 0), F.lit(""))
+    """FN-27: the JSON of a text: the text itself, or its outermost {...} where fences or chatter stand around it; null if neither parses."""
+    whole, inner = strip(s), F.nullif(F.regexp_extract(s, r"(?s)\{.*\}", 0), F.lit(""))
+    parses = lambda c: F.try_parse_json(c).isNotNull()
+    return F.when(whole.startswith("{") & parses(whole), whole).when(parses(inner), inner)
 
 
 def redact(s: Column, secrets: tuple[str, ...] = ()) -> Column:

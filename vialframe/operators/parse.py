@@ -230,3 +230,24 @@ def parse_pages(rows: DataFrame) -> DataFrame:
     tests = F.when(F.col("_own"), F.transform("_tests", prefixed)).when(F.col("_pairs"), stacked)
     out = rows.select("doc_id", "page", "reading_order", "specimen", F.posexplode(tests).alias("test_idx", "t"))
     return out.select("doc_id", "page", "reading_order", "test_idx", "t.*", "specimen", F.lit(C.PARSE_CONFIDENCE).alias("confidence"))
+
+
+#: A test as an extractor's answer names it.
+SAID = "original_test_name string, value string, unit string, reference_range string, specimen string, method string, timing string, flag string, extraction_confidence double"
+
+
+def answered_tests(answers: DataFrame, said: str = "said") -> tuple[DataFrame, DataFrame]:
+    """SRC-20, FN-27: extractors' answers to (rows of tests, answers that are none).
+
+    An answer is a JSON object, perhaps with fences or chatter around it, whose tests each have a name and a confidence from 0 to 1; one bad
+    test spoils its page, which the caller then reads locally. Rows keep the answers' other columns, with test_idx; an answer without
+    tests is good and gives no rows.
+    """
+    from ..functions.text import lenient_json
+
+    body = F.from_json(lenient_json(F.col(said)), f"tests array<struct<{SAID.replace(', ', ',').replace(' ', ':')}>>, page_notes string")
+    bad = F.exists(F.coalesce("_b.tests", F.array().cast(f"array<struct<{SAID.replace(', ', ',').replace(' ', ':')}>>")), lambda t: t["original_test_name"].isNull() | ~F.coalesce(t["extraction_confidence"].between(0, 1), F.lit(False)))
+    read = answers.withColumn("_b", body).withColumn("_bad", F.col("_b").isNull() | bad)
+    kept = [c for c in answers.columns if c != said]
+    tests = read.where("NOT _bad").select(*kept, F.col("_b.page_notes").alias("page_notes"), F.posexplode("_b.tests").alias("test_idx", "t")).select(*kept, "test_idx", "t.*", "page_notes")
+    return tests, read.where("_bad").select(*answers.columns)

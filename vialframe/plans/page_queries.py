@@ -482,3 +482,23 @@ def page_flow(spark: SparkSession, d: str) -> DataFrame:
 
     done = flow.run_pages(pages, call, lambda page: [] if page["page_number"] == 3 else [{"name": "Iron", "value": "1", "confidence": 0.9}], budget=120.0, seconds=lambda page: page["cost"])
     return done.select("document_id", "page_number", "source", "called", F.size("tests").alias("n_tests"), F.try_element_at("tests", F.lit(1))["confidence"].alias("confidence"), "note", "reason")
+
+
+@query(
+    "SELECT p_partkey AS id, x.i AS test_idx, CASE x.i WHEN 0 THEN p_name ELSE p_type END AS original_test_name, CASE x.i WHEN 0 THEN p_size::VARCHAR END AS value, CASE x.i WHEN 0 THEN NULL ELSE 'mg/dL' END AS unit, CASE x.i WHEN 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence, 'n' || p_size::VARCHAR AS page_notes, false AS bad "
+    "FROM part, (SELECT unnest([0, 1]) AS i) x WHERE p_partkey % 6 < 3 UNION ALL SELECT p_partkey, NULL, NULL, NULL, NULL, NULL, NULL, true FROM part WHERE p_partkey % 6 > 3"
+)
+def page_json(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-20, FN-27: an extractor's answer for every part: plain, fenced, amid chatter, without tests, cut off, and with a confidence out of range."""
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    size = _text("p_size")
+    body = lambda sure: F.concat(
+        F.lit('{"tests": [{"original_test_name": "'), "p_name", F.lit('", "value": "'), size, F.lit('", "unit": null, "extraction_confidence": 0.5}, {"original_test_name": "'), "p_type", F.lit(f'", "unit": "mg/dL", "extraction_confidence": {sure}}}], "page_notes": "n'), size, F.lit('"}')
+    )
+    said = (
+        F.when(k % 6 == 0, body("1")).when(k % 6 == 1, F.concat(F.lit("```json\n"), body("1"), F.lit("\n```"))).when(k % 6 == 2, F.concat(F.lit("Here it is: "), body("1.0"), F.lit(" - done.")))
+        .when(k % 6 == 3, F.lit('{"tests": [], "page_notes": null}')).when(k % 6 == 4, F.concat(F.lit('{"tests": [{"original_test_name": "'), "p_name")).otherwise(body("1.5"))
+    )
+    tests, bad = parse.answered_tests(p.select(k.alias("id"), said.alias("said")))
+    good = tests.select("id", "test_idx", "original_test_name", "value", "unit", F.col("extraction_confidence").alias("confidence"), "page_notes", F.lit(False).alias("bad"))
+    return good.unionByName(bad.select("id", F.lit(True).alias("bad")), allowMissingColumns=True)
