@@ -95,7 +95,7 @@ def correct_labels(rows: DataFrame, short_names: DataFrame, key: str = "row_id")
 
 
 def validate_rows(rows: DataFrame) -> DataFrame:
-    """FN-18, FN-19, FLT-14: adds notes, suggested_value, confidence and dropped.
+    """FN-18, FN-19, FLT-14: adds notes, suggested_value, confidence, dropped, bad_unit and bad_flag.
 
     Needs original_test_name, value, unit, reference_range, flag, extraction_confidence, ocr; uses known and
     corrected_label where ``correct_labels`` has added them.
@@ -107,13 +107,13 @@ def validate_rows(rows: DataFrame) -> DataFrame:
     fixed = F.when(ocr, F.col("corrected_label"))
     # what several checks use is computed once per row
     rows = rows.withColumns({"_n": number(value), "_rng": parse_range(rng_text), "_std": plain_unit(unit)})
-    rows = rows.withColumn("_bad_unit", (F.coalesce(unit, F.lit("")) != "") & ~known_unit(F.col("_std")))
-    rows = rows.withColumns({"_hint": decimal_fix(value, F.col("_n"), F.col("_rng")), "_bad_flag": flag_conflicts(flag, F.col("_n"), F.col("_rng"))})
+    rows = rows.withColumn("bad_unit", (F.coalesce(unit, F.lit("")) != "") & ~known_unit(F.col("_std")))
+    rows = rows.withColumns({"_hint": decimal_fix(value, F.col("_n"), F.col("_rng")), "bad_flag": flag_conflicts(flag, F.col("_n"), F.col("_rng"))})
     n, hint = F.col("_n"), F.col("_hint")
     junk = ocr & fixed.isNull() & junk_label(name, F.col("known"))
     bare = ocr & ~junk & F.coalesce(F.rlike(strip(unit), F.lit(r"^[<>]?\d+\.?\d*$")), F.lit(False))
     text_value = n.isNull() & value.isNotNull() & ~F.rlike(value, F.lit(r"^[A-Za-z][A-Za-z \-]*$"))
-    bad_unit, bad_flag = F.col("_bad_unit"), F.col("_bad_flag")
+    bad_unit, bad_flag = F.col("bad_unit"), F.col("bad_flag")
     show = lambda c: F.coalesce(c, F.lit("None"))
     first = F.when(fixed.isNotNull(), F.format_string("label '%s' looks like an OCR misread of '%s'; corrected", name, fixed))
     checks = F.array(
@@ -136,4 +136,4 @@ def validate_rows(rows: DataFrame) -> DataFrame:
             "confidence": F.when(junk | bare, base).otherwise(F.round(F.greatest(F.lit(C.MIN_CONFIDENCE), F.least(F.lit(1.0), base - cost)), 2)),
             "dropped": junk | bare,
         }
-    ).drop("_n", "_rng", "_std", "_bad_unit", "_hint", "_bad_flag")
+    ).drop("_n", "_rng", "_std", "_hint")

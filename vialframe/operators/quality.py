@@ -110,6 +110,25 @@ def stage_histogram(observations: DataFrame, by: str = "document_id") -> DataFra
     return observations.groupBy(by, "mapping_stage").agg(F.count(F.lit(1)).alias("n"))
 
 
+STAGES = ("alias_exact", "learned", "retrieval_auto", "lexical_llm", "lexical_only", "error")
+
+
+def run_summary(feed: DataFrame, observations: DataFrame, started: Column) -> DataFrame:
+    """AGG-14: a row for each document of the feed (document_id, ts): seconds from its first event to its last, how many of them it
+    waited (until the first event that is ``started``; all, if none is), and its rows by mapping stage, a column each.
+
+    Both inputs are aggregated by document with partial sums; only totals meet.
+    """
+    at = lambda c: c.cast("double")
+    times = feed.groupBy("document_id").agg(F.min(at(F.col("ts"))).alias("a"), F.max(at(F.col("ts"))).alias("b"), F.min(F.when(started, at(F.col("ts")))).alias("s"))
+    stages = observations.groupBy("document_id").agg(*[F.count_if(F.col("mapping_stage") == s).alias(s) for s in STAGES])
+    wall = F.col("b") - F.col("a")
+    waited = F.greatest(F.lit(0.0), wall - (F.col("b") - F.coalesce("s", "b")))
+    return times.join(stages, "document_id", "left").select(
+        "document_id", F.round(wall, 1).alias("wall_seconds"), F.round(waited, 1).alias("queue_wait_seconds"), *[F.coalesce(s, F.lit(0).cast("long")).alias(s) for s in STAGES]
+    )
+
+
 def with_grand_total(rows: DataFrame, key: str, *sums: str) -> DataFrame:
     """AGG-19: sums per key and a grand-total row (key null), from one pass."""
     return rows.rollup(key).agg(*[F.round(F.sum(c), 4).alias(c) for c in sums])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import text as X
 from ..functions import validate as V
-from ..operators import evaluate, export, layout, mapping, parse, retrieval, terminology
+from ..operators import evaluate, export, layout, mapping, parse, quality, retrieval, terminology
 from ..session import shared_dir
 from ..sources.keyed import KeyedTable, remember
 from ..sources.tables import table
@@ -502,3 +502,18 @@ def page_json(spark: SparkSession, d: str) -> DataFrame:
     tests, bad = parse.answered_tests(p.select(k.alias("id"), said.alias("said")))
     good = tests.select("id", "test_idx", "original_test_name", "value", "unit", F.col("extraction_confidence").alias("confidence"), "page_notes", F.lit(False).alias("bad"))
     return good.unionByName(bad.select("id", F.lit(True).alias("bad")), allowMissingColumns=True)
+
+
+_STAGE_OF = ("alias_exact", "learned", "lexical_llm", "error")
+
+
+@query(
+    f"WITH {A.FEED_SQL}, {A.OBSERVATIONS_SQL}, t AS (SELECT document_id, epoch_us(min(ts)) / 1e6 AS a, epoch_us(max(ts)) / 1e6 AS b, epoch_us(min(ts) FILTER (level = 'click')) / 1e6 AS s FROM feed GROUP BY document_id), "
+    f"o AS (SELECT document_id, {list(_STAGE_OF)}[page_number % 4 + 1] AS stage FROM observations), c AS (SELECT document_id, " + ", ".join(f"count(*) FILTER (stage = '{s}') AS {s}" for s in quality.STAGES) + " FROM o GROUP BY document_id) "
+    "SELECT document_id, round(b - a, 1) AS wall_seconds, round(greatest(0.0, (b - a) - (b - coalesce(s, b))), 1) AS queue_wait_seconds, " + ", ".join(f"coalesce({s}, 0) AS {s}" for s in quality.STAGES) + " FROM t LEFT JOIN c USING (document_id)"
+)
+def run_times(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-14: wall seconds, queue wait and stage histogram of every document of the feed."""
+    stage = F.element_at(F.array(*[F.lit(s) for s in _STAGE_OF]), F.col("page_number") % 4 + 1)
+    feed = A.feed(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    return quality.run_summary(feed, A.observations(spark, d).withColumn("mapping_stage", stage), F.col("level") == "click")
