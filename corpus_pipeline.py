@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``docs``. Stages read nothing but ``docs``.
+
+Defined cases, in every stage: a null text counts as an empty one; rows with a null doc_id are documents like others (where the
+smallest or largest id stays, a null one loses); a repeated row is a copy, of which the exact dedup leaves
+one (the near-copy stage, which comes after it, keeps rows that repeat both id and text together); a very long text is handled whole,
+as one row; further columns, whatever their names, are handed on; an empty table gives no rows. A document
+that loses all its words goes on as an empty text, and is packed as its end id alone.
 """
 
 from __future__ import annotations
@@ -12,12 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vialframe.llm import exact_dedup, ngram_join, packing, quality, substring_dedup
-from vialframe.llm.common import materialise
+from vialframe.llm.common import discard, materialise
 from vialframe.llm.queries import tokenizer_file
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weak-label classifier rejects go."""
+    """Documents that the weak-label classifier rejects go; an empty text is judged like any other."""
     names = ("_vf_votes", "_vf_quality", "_vf_accepted")
     return quality.score(docs, names=names).where(names[2]).select(*docs.columns)
 
@@ -62,8 +68,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; every stage but the last is written and read again."""
+    """All stages over the documents of ``sf_dir``; every stage but the last is written and read again, and what it has read is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        kept = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
