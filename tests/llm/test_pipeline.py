@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from tests.llm.test_llm import brute_classes, brute_repeats, documents
 
 
@@ -56,3 +57,32 @@ def test_stages_take_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, f in corpus_pipeline.STAGES:
         assert f(spark, empty, "").count() == 0
+
+
+def test_stages_take_odd_rows(spark):
+    """Null texts and ids, repeated rows, a very long text and clashing columns go through every stage."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice(["th", "an", "er", "on", "re", "st", "in"]) for _ in range(rnd.randint(1, 4)))
+    prose = [" ".join(rnd.choice(["the", "of", "and", word(), word()]) for _ in range(120)) + "." for _ in range(8)]
+    long = " ".join(word() for _ in range(60_000))
+    rows = [(i, t) for i, t in enumerate(prose)] + [(2, prose[2]), (2, prose[2]), (None, prose[3]), (None, None), (20, None), (21, ""), (22, long), (23, prose[5] + " " + prose[6])]
+    extra = ("digest", "sha", "votes", "n", "kept", "key", "root", "label", "ids", "start", "gram")
+    df = spark.createDataFrame([(d, t, "en", "s", len(t or ""), *[f"x{d}"] * len(extra)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)).repartition(3)
+    before = {(r.doc_id, r.text) for r in df.collect()}
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        out = f(spark, df, "")
+        got = out.collect()
+        assert out.columns == df.columns and out.dtypes == df.dtypes, name
+        assert all(r.key == f"x{r.doc_id}" == r.gram for r in got), name
+        if name != "substring_dedup":
+            assert {(r.doc_id, r.text) for r in got} <= before, name
+        else:
+            assert len(got) == len(rows)
+        if name == "exact_dedup":
+            kept = [r.doc_id for r in got]
+            assert len(kept) == len(set(kept)) and 21 in kept and 20 not in kept and None not in kept and 22 in kept and kept.count(2) == 1
+        if name == "ngram_jaccard_join":
+            assert sum(r.text == prose[3] for r in got) == 1 and sum(r.text == prose[2] for r in got) == 3 and 22 in {r.doc_id for r in got}
+    packed = corpus_pipeline.pack_sequences(spark, df, "").groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    n = {r.doc_id: r.n for r in packed}
+    assert set(n) == {d for d, _ in rows} and n[20] == n[21] == 1 and n[22] > 60_000
