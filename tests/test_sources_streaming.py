@@ -97,6 +97,19 @@ def test_claims_are_won_once(spark, tmp_path):
     assert won == ["a", "b", None]
 
 
+def test_workers_that_share_claims_exclude_each_other(spark, tmp_path):
+    spark.range(40).select(F.col("id").alias("document_id"), F.lit("pending").alias("status")).repartition(4).write.parquet(str(tmp_path / "in"))
+    queue = spark.readStream.schema("document_id long, status string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    seen: dict[str, list] = {"a": [], "b": []}
+    workers = [
+        jobs.claim_worker(queue, lambda df, n, w=w: seen[w].extend(r.document_id for r in df.collect()), str(tmp_path / f"ck-{w}"), "0 seconds", claims=str(tmp_path / "claims")) for w in seen
+    ]
+    for q in workers:
+        q.processAllAvailable()
+        q.stop()
+    assert sorted(seen["a"] + seen["b"]) == list(range(40))
+
+
 def test_stuck_stream_times_out(spark, tmp_path):
     import time
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import text as X
 from ..functions import validate as V
-from ..operators import evaluate, export, layout, lifecycle, mapping, parse, quality, retrieval, store, terminology
+from ..operators import export, layout, lifecycle, mapping, parse, quality, retrieval, store, terminology
 from ..sources.files import model_input
 from ..sources.tables import table
 from . import adapters as A

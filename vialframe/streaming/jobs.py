@@ -99,31 +99,37 @@ def claim_next(queue: DataFrame, claims: str, tries: int = 5):
     return None
 
 
-def claim_worker(queue: DataFrame, process, checkpoint: str, every: str = "2 seconds"):
-    """STR-01, STR-13: each micro-batch claims the pending documents that arrived and that no batch has claimed before.
+def claim_worker(queue: DataFrame, process, checkpoint: str, every: str = "2 seconds", claims: str | None = None, tries: int = 20):
+    """STR-01, STR-13: each micro-batch claims the pending documents that arrived and that no worker has claimed before.
 
-    Claims are written per batch before ``process(claimed, batch)`` runs, and a batch that was processed is marked; a
-    batch that Spark repeats after a crash claims the same documents again, or is skipped if its mark is there.
+    Claims are rows of a keyed table at ``claims`` (workers that share a queue share it, each with a checkpoint of its own), written before
+    ``process(claimed, batch)`` runs: a batch commits its claims against the version that it has read, and if another worker
+    was faster it looks again. Only the parts of the table that the batch's documents fall into are read. A batch that was processed is marked; one that Spark
+    repeats after a crash finds its own claims, or is skipped if its mark is there.
     """
+    from ..sources.keyed import Conflict, KeyedTable
+    from ..sources.tables import has_files
+
     pending = queue.where("status = 'pending'")
-    claims = f"{checkpoint.rstrip('/')}-claims"
+    worker = checkpoint.rstrip("/")
+    held = claims or f"{worker}-claims"
 
     def step(df: DataFrame, n: int) -> None:
         spark = df.sparkSession
-        jvm = spark._jvm
-        done = jvm.org.apache.hadoop.fs.Path(f"{claims}-done/{n}")
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{worker}-done/{n}")
         files = done.getFileSystem(spark._jsc.hadoopConfiguration())
         if files.exists(done):
             return
-        kind = df.schema["document_id"].dataType.simpleString()
-        earlier = [f"{claims}/{s.getPath().getName()}" for s in files.listStatus(jvm.org.apache.hadoop.fs.Path(claims))] if files.exists(jvm.org.apache.hadoop.fs.Path(claims)) else []
-        earlier = [p for p in earlier if not p.endswith(f"/batch-{n}")]
-        new = df.dropDuplicates(["document_id"])
-        if earlier:
-            new = new.join(spark.read.schema(f"document_id {kind}").parquet(*earlier), "document_id", "left_anti")
-        own = f"{claims}/batch-{n}"
-        new.select("document_id").write.mode("overwrite").parquet(own)
-        mine = spark.read.schema(f"document_id {kind}").parquet(own)
+        new = df.select("document_id").dropDuplicates().withColumns({"worker": F.lit(worker), "batch": F.lit(n).cast("long")})
+        for left in range(tries, 0, -1):
+            try:
+                table = KeyedTable.open(spark, held) if has_files(spark, f"{held}/pointers") else KeyedTable.create(new.limit(0), held, ("document_id",))
+                table = table.upsert(new, lambda rows, more: rows.unionByName(more.join(rows.select("document_id"), "document_id", "left_anti").select(*rows.columns)))
+                break
+            except Conflict:
+                if left == 1:
+                    raise
+        mine = table.read().where((F.col("worker") == worker) & (F.col("batch") == n)).select("document_id")
         process(df.dropDuplicates(["document_id"]).join(mine, "document_id", "left_semi").withColumn("status", F.lit("processing")), n)
         files.create(done, True).close()
 
