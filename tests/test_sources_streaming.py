@@ -97,6 +97,21 @@ def test_claims_are_won_once(spark, tmp_path):
     assert won == ["a", "b", None]
 
 
+def test_throttled_commits_of_a_stream_equal_the_batch_form(spark, tmp_path):
+    from vialframe.operators import lifecycle
+
+    rows = [(f"d{i % 3}", i, 1_000_000.0 + i * 0.13, i % 11 == 0) for i in range(90)]
+    df = spark.createDataFrame(rows, "document_id string, seq long, s double, forced boolean").select("document_id", "seq", F.timestamp_micros((F.col("s") * 1e6).cast("long")).alias("ts"), "forced")
+    want, last = {}, {}
+    for d, i, t, f in rows:
+        want[i] = f or d not in last or t - last[d] >= 0.8
+        last[d] = t if want[i] else last[d]
+    assert {r.seq: r.committed for r in lifecycle.commits(df).collect()} == want
+    df.coalesce(1).write.parquet(str(tmp_path / "feed"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "feed"))
+    assert {r.seq: r.committed for r in run(jobs.commits_stream(stream), "commits")} == want
+
+
 def test_workers_that_share_claims_exclude_each_other(spark, tmp_path):
     spark.range(40).select(F.col("id").alias("document_id"), F.lit("pending").alias("status")).repartition(4).write.parquet(str(tmp_path / "in"))
     queue = spark.readStream.schema("document_id long, status string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))

@@ -126,3 +126,42 @@ def limiter(hits: DataFrame, limit: int, window_s: float) -> DataFrame:
     sorted_ = timed.repartition("client").sortWithinPartitions("client", "t", "seq")
     kind = hits.schema["client"].dataType.simpleString()
     return sorted_.mapInPandas(run, f"client {kind}, seq long, allowed boolean, retry_after double")
+
+
+COMMIT_EVERY_SECONDS = 0.8
+
+
+def throttled(times, forced, last: float | None, every_s: float) -> tuple[list[bool], float | None]:
+    """Which of a document's entries, in order, are committed, and when the last of them was."""
+    out = []
+    for t, f in zip(times, forced, strict=True):
+        go = bool(f) or last is None or t - last >= every_s
+        last = t if go else last
+        out.append(go)
+    return out, last
+
+
+def commits(feed: DataFrame, every_s: float = COMMIT_EVERY_SECONDS) -> DataFrame:
+    """STR-02: (document_id, seq, committed): an entry of the feed (document_id, ts, seq, forced) is committed, which is the document's
+    heartbeat, if it is forced or the last commit lies ``every_s`` seconds back.
+
+    Each document's entries stream through in order, sorted by Spark; only the time of the last commit is held.
+    """
+    import pandas as pd
+
+    ship(feed.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        document, last = object(), None
+        for pdf in batches:
+            out: list[bool] = []
+            for key, part in pdf.groupby("document_id", sort=False, dropna=False):
+                last = last if key == document else None
+                document = key
+                went, last = throttled(part["t"], part["forced"], last, every_s)
+                out += went
+            yield pdf.assign(committed=out)[["document_id", "seq", "committed"]]
+
+    timed = feed.select("document_id", "seq", F.coalesce("forced", F.lit(False)).alias("forced"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    kind = feed.schema["document_id"].dataType.simpleString()
+    return timed.repartition("document_id").sortWithinPartitions("document_id", "t", "seq").mapInPandas(run, f"document_id {kind}, seq long, committed boolean")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import text as X
 from ..functions import validate as V
-from ..operators import evaluate, export, layout, mapping, parse, quality, retrieval, terminology
+from ..operators import evaluate, export, layout, lifecycle, mapping, parse, quality, retrieval, terminology
 from ..session import shared_dir
 from ..sources.keyed import KeyedTable, remember
 from ..sources.tables import table
@@ -517,3 +517,14 @@ def run_times(spark: SparkSession, d: str) -> DataFrame:
     stage = F.element_at(F.array(*[F.lit(s) for s in _STAGE_OF]), F.col("page_number") % 4 + 1)
     feed = A.feed(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
     return quality.run_summary(feed, A.observations(spark, d).withColumn("mapping_stage", stage), F.col("level") == "click")
+
+
+@query(
+    f"WITH RECURSIVE {A.FEED_SQL}, h AS (SELECT document_id, seq, epoch_us(ts)::DOUBLE / 1e6 AS t, level = 'error' AS forced, row_number() OVER (PARTITION BY document_id ORDER BY ts, seq) AS n FROM feed), "
+    "r AS (SELECT document_id, seq, n, true AS committed, t AS last FROM h WHERE n = 1 UNION ALL SELECT h.document_id, h.seq, h.n, h.forced OR h.t - r.last >= 43200, CASE WHEN h.forced OR h.t - r.last >= 43200 THEN h.t ELSE r.last END "
+    "FROM r JOIN h ON h.document_id = r.document_id AND h.n = r.n + 1) SELECT document_id, seq, committed FROM r"
+)
+def heartbeat_commits(spark: SparkSession, d: str) -> DataFrame:
+    """STR-02: which entries of the feed are committed at most every twelve hours (the table's pace), errors always."""
+    feed = A.feed(spark, d).withColumn("forced", F.col("level") == "error")
+    return lifecycle.commits(feed, 43200.0)

@@ -52,6 +52,33 @@ def limiter_stream(hits: DataFrame, limit: int, window_s: float) -> DataFrame:
     )
 
 
+def commits_stream(feed: DataFrame, every_s: float | None = None, keep_s: int = C.STUCK_SECONDS) -> DataFrame:
+    """STR-02: ``lifecycle.commits`` over a stream of (document_id, ts, seq, forced). State: the time of a document's last commit.
+
+    It goes once the document has been silent for ``keep_s`` seconds of event time (and at least ``every_s``): its next entry is committed anyway.
+    """
+    import pandas as pd
+
+    from ..operators.lifecycle import COMMIT_EVERY_SECONDS, throttled
+
+    ship(feed.sparkSession)
+    every = COMMIT_EVERY_SECONDS if every_s is None else every_s
+    kind = feed.schema["document_id"].dataType.simpleString()
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(["t", "seq"])
+        went, last = throttled(rows["t"], rows["forced"], state.get[0] if state.exists else None, every)
+        state.update((float(last),))
+        state.setTimeoutTimestamp(max(int((last + max(keep_s, every)) * 1000), state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({"document_id": [key[0]] * len(rows), "seq": rows["seq"].to_numpy(), "committed": went})
+
+    timed = feed.withWatermark("ts", "1 minute").select("document_id", "seq", "ts", F.coalesce("forced", F.lit(False)).alias("forced"), (F.unix_micros(F.col("ts")) / 1e6).alias("t"))
+    return timed.groupBy("document_id").applyInPandasWithState(run, f"document_id {kind}, seq long, committed boolean", "last double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def stuck_stream(feed: DataFrame, after_s: int = C.STUCK_SECONDS) -> DataFrame:
     """STR-03: documents whose feed (document_id, ts) was silent for ``after_s`` seconds of event time."""
     import pandas as pd
