@@ -528,3 +528,44 @@ def heartbeat_commits(spark: SparkSession, d: str) -> DataFrame:
     """STR-02: which entries of the feed are committed at most every twelve hours (the table's pace), errors always."""
     feed = A.feed(spark, d).withColumn("forced", F.col("level") == "error")
     return lifecycle.commits(feed, 43200.0)
+
+
+# -------------------------------------------------------------- the way of the pages
+_TYPES = ("text/plain", "application/pdf", "image/png", "application/zip", C.CONTENT_TYPES[".docx"])
+
+
+@query(
+    f"WITH d AS (SELECT doc_id, {list(_TYPES)}[doc_id % 5 + 1] AS kind, CASE WHEN doc_id % 7 = 0 THEN '  ' || left(text, 12) ELSE text END AS text FROM documents) "
+    "SELECT doc_id, CASE WHEN kind = 'text/plain' OR doc_id % 5 = 4 THEN 'parse' WHEN kind = 'application/pdf' AND length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 20 THEN 'layout' WHEN kind IN ('application/pdf', 'image/png') THEN 'ocr' ELSE 'unavailable' END AS route FROM d"
+)
+def page_routes(spark: SparkSession, d: str) -> DataFrame:
+    """ORC-01, ORC-06: the route of every document, as if it were of each content type in turn; some have too little text."""
+    from ..sources.files import route_pages
+
+    k = F.col("doc_id")
+    kind = F.element_at(F.array(*[F.lit(t) for t in _TYPES]), (k % 5 + 1).cast("int"))
+    text = F.when(k % 7 == 0, F.concat(F.lit("  "), F.substring("text", 1, 12))).otherwise(F.col("text"))
+    return route_pages(table(spark, d, "documents").select("doc_id", kind.alias("content_type"), text.alias("text"))).select("doc_id", "route")
+
+
+@query(
+    f"WITH r AS (SELECT p_size AS doc_id, p_partkey % 3 AS k, {_NAME} AS n, p_size::VARCHAR AS v, (p_size + 7)::VARCHAR AS hi, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS reading_order FROM part) "
+    "SELECT doc_id, CAST(reading_order AS INTEGER) AS reading_order, n AS name, v AS value, CASE k WHEN 0 THEN '10*3/uL' ELSE 'mg/dL' END AS unit, CASE k WHEN 0 THEN v || '-' || hi END AS reference_range, 0.65::DOUBLE AS confidence, 'digital' AS source FROM r WHERE k < 2"
+)
+def extracted_texts(spark: SparkSession, d: str) -> DataFrame:
+    """ORC-01, ORC-04, SRC-07: parts as text pages by size, a printed row a line: laid out, parsed, confidence capped."""
+    from ..operators import reports
+
+    rows = table(spark, d, "part").select("p_size", "p_partkey", F.expr(f"CASE p_partkey % 3 WHEN 0 THEN {_shape_sql(_SHAPES[0][0][0], 'STRING')} WHEN 1 THEN {_shape_sql(_SHAPES[6][0][0], 'STRING')} ELSE {_shape_sql(_SHAPES[8][0][0], 'STRING')} END").alias("line"))
+    pages = rows.groupBy(F.col("p_size").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "line"))).alias("l")).select("doc_id", F.lit(1).alias("page"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+    tests = reports.extract(texts=pages)
+    return tests.select("doc_id", F.col("reading_order").cast("int").alias("reading_order"), "name", "value", "unit", "reference_range", "confidence", "source")
+
+
+@query(
+    f"WITH {_PAGE_LINES}, c AS (SELECT doc_id, page, sum(length(text)) AS n FROM lines GROUP BY ALL) SELECT doc_id, page, CASE WHEN n >= {C.DIGITAL_PAGE_MIN_CHARS} THEN 'digital' ELSE 'scanned' END AS path, "
+    f"CASE WHEN n >= {C.DIGITAL_PAGE_MIN_CHARS} THEN 'text layer has ' || n::VARCHAR || ' characters' ELSE 'only ' || n::VARCHAR || ' characters in the text layer' END AS reason FROM c"
+)
+def page_paths(spark: SparkSession, d: str) -> DataFrame:
+    """ORC-02, FLT-01: the suppliers' pages with enough text go the digital way, the others with their reason."""
+    return layout.classify_pages(page_lines(spark, d)).select("doc_id", "page", "path", "reason")
