@@ -45,23 +45,32 @@ def normalised(text: Column) -> Column:
 
 def _collapse(batches: Iterable) -> Iterator:
     """Merge a sorted partition: equal (digest, sha, n_bytes) become one entry. Holds one batch and one entry."""
+    import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    # Spark marks columns that hold no null, what is made here is not marked: batches of both kinds can't be put together
+    kinds = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    shape = pa.schema(list(zip(["home", "digest", "sha", "n_bytes", "keep_id", "n"], kinds, strict=True)))
     held = None
     for batch in batches:
-        table = pa.Table.from_batches([batch])
+        table = pa.Table.from_batches([batch]).cast(shape)
         if held is not None:
             table = pa.concat_tables([held, table])
         if not table.num_rows:
             continue
-        merged = table.group_by(["home", "digest", "sha", "n_bytes"], use_threads=False).aggregate(
-            [("keep_id", "max"), ("n", "sum")]
-        )
-        merged = merged.rename_columns(["home", "digest", "sha", "n_bytes", "keep_id", "n"]).select(
-            ["home", "digest", "sha", "n_bytes", "keep_id", "n"]
-        )
-        # groups come in order of first sight, so the entry that may go on in the next batch is the last
+        table = table.combine_chunks()
+        # equal entries are neighbours; a table of hashes would find them too, but gives its groups in no certain order
+        changes = np.zeros(table.num_rows - 1, bool)
+        for key in ("digest", "sha", "n_bytes"):
+            column = table.column(key)
+            changes |= pc.not_equal(column.slice(1), column.slice(0, table.num_rows - 1)).to_numpy()
+        starts = np.concatenate(([0], np.flatnonzero(changes) + 1))
+        ids = table.column("keep_id")
+        most = np.maximum.reduceat(ids.fill_null(np.iinfo(np.int64).min).to_numpy(), starts)
+        none = np.logical_and.reduceat(ids.is_null().to_numpy(), starts)
+        sums = [pa.array(most, mask=none), pa.array(np.add.reduceat(table.column("n").to_numpy(), starts))]
+        merged = pa.table([*table.select(shape.names[:4]).take(starts).columns, *sums], schema=shape)
         held = merged.slice(merged.num_rows - 1, 1)
         yield from merged.slice(0, merged.num_rows - 1).to_batches()
     if held is not None:
