@@ -4,6 +4,10 @@
 reads them. A search takes two rounds: the blocks with the highest bounds give each question a threshold, the
 score that its last place has at least; then only blocks that can beat it are read. Questions are dealt over groups,
 more of them the more questions there are, and a group's task gets the blocks that its questions need and no others.
+
+Codes that differ in nothing that scores (name tokens, norm, prior, presence, system and unit) are one *profile*: it is posted
+and scored once, however many codes it has, and only profiles among the best are spelled out as codes. What an alias
+alone says is posted by code.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.text import strip, tokenize, unit_key
 from ..session import discard, materialise, shared_dir, ship
-from .terminology import catalog_features, postings
+from .terminology import catalog_features, name_tokens, postings  # noqa: F401
 
 #: Postings of a block, questions of a group, and how many times the places of a question are read for its threshold.
 BLOCK, GROUP, FIRST = 128, 64, 4
@@ -50,7 +54,8 @@ class CodeIndex:
     codes: DataFrame
 
 
-_BLOCK_SHAPE = "token string, presence boolean, block long, n int, bound double, ord binary, weight binary, norm binary, prior binary, kind binary, kinds array<string>"
+_BLOCK_SHAPE = "token string, presence boolean, single boolean, block long, n long, bound double, ord binary, profile binary, weight binary, norm binary, prior binary, codes binary, kind binary, kinds array<string>"
+_PROFILE = ["profile", "own", "norm", "prior", "presence", "kind"]
 
 
 def build_index(catalog: DataFrame, path: str | None = None, block: int = BLOCK) -> CodeIndex:
@@ -61,14 +66,27 @@ def build_index(catalog: DataFrame, path: str | None = None, block: int = BLOCK)
     spark = catalog.sparkSession
     ship(spark)
     path = path or f"{shared_dir(spark)}/code-index-{uuid.uuid4().hex}"
-    features = catalog_features(catalog)
+    features, own = catalog_features(catalog), name_tokens()
+    aliases = tokenize(F.array_join(F.coalesce("aliases", F.array().cast("array<string>")), " "))
+    texts = catalog.select("ord", F.array_join(F.array_sort(own), " ").alias("own"), F.array_join(F.array_except(aliases, own), " ").alias("other"))
     kind = F.concat_ws("\t", F.array_join("system_tokens", " "), "unit_key")
-    impact = F.col("weight") / F.col("norm") * (1 + C.RANK_WEIGHT * F.col("prior"))
-    rows = postings(catalog).join(features.select("ord", "norm", "prior", "presence", kind.alias("kind")), "ord").withColumn("impact", impact)
-    order = ["token", "presence", F.col("impact").desc(), "ord"]
-    rows = rows.select("token", "presence", "impact", F.col("ord").cast("long").alias("ord"), "weight", "norm", "prior", "kind").repartitionByRange(*order).sortWithinPartitions(*order)
+    coded = features.join(texts, "ord").select(F.col("ord").cast("long").alias("ord"), "loinc_num", "long_common_name", "component", "system", "norm", "prior", "presence", kind.alias("kind"), "own", "other")
+    for seed in range(8):  # until no two profiles share a number, which is all but always at once
+        codes = coded.withColumn("profile", F.xxhash64(F.lit(seed), *_PROFILE[1:]))
+        codes.write.mode("overwrite").parquet(f"{path}/codes")
+        codes = spark.read.parquet(f"{path}/codes")
+        codes.groupBy(*_PROFILE).agg(F.count(F.lit(1)).alias("codes")).write.mode("overwrite").parquet(f"{path}/profiles")
+        profiles = spark.read.parquet(f"{path}/profiles")
+        if profiles.groupBy("profile").count().where("count > 1").isEmpty():
+            break
+    split = lambda c: F.explode(F.filter(F.split(c, " "), lambda t: t != "")).alias("token")
+    of = ["profile", "norm", "prior", "presence", "kind"]
+    whole = profiles.select(split("own"), F.lit(False).alias("single"), F.col("profile").alias("ord"), *of, F.lit(C.NAME_WEIGHT).alias("weight"), "codes")
+    single = codes.select(split("other"), F.lit(True).alias("single"), "ord", *of, F.lit(C.ALIAS_WEIGHT).alias("weight"), F.lit(1).cast("long").alias("codes"))
+    rows = whole.unionByName(single).withColumn("impact", F.col("weight") / F.col("norm") * (1 + C.RANK_WEIGHT * F.col("prior")))
+    order = ["token", "presence", "single", F.col("impact").desc(), "ord"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     rows.mapInArrow(_cut_blocks(block), _BLOCK_SHAPE).write.parquet(f"{path}/blocks")
-    features.select(F.col("ord").cast("long").alias("ord"), "loinc_num", "long_common_name", "component", "system").write.parquet(f"{path}/codes")
     blocks, n = spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/codes").count()
     most_of = lambda p: F.coalesce(F.max(F.when(F.col("presence") == p, F.col("bound"))), F.lit(0.0))
     blocks.groupBy("token").agg(F.ln(1 + F.lit(n) / F.sum("n")).alias("idf"), most_of(False).alias("most"), most_of(True).alias("most_presence")).write.parquet(f"{path}/tokens")
@@ -80,7 +98,7 @@ def open_index(spark: SparkSession, path: str) -> CodeIndex:
 
 
 def _cut_blocks(most: int):
-    """Rows in order of (token, presence, impact) to blocks of at most ``most`` rows; holds a block and a batch."""
+    """Rows in order of (token, presence, single, impact) to blocks of at most ``most`` rows, which count their codes; holds a block and a batch."""
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -91,18 +109,18 @@ def _cut_blocks(most: int):
         def cut(table: pa.Table, whole: bool) -> tuple[list[tuple], int]:
             """The blocks of a table, and where the last one begins if it may go on."""
             nonlocal made
-            token, presence, kind = (table.column(c).to_pylist() for c in ("token", "presence", "kind"))
-            columns = [table.column(c).to_numpy() for c in ("ord", "weight", "norm", "prior")]
+            token, presence, single, kind = (table.column(c).to_pylist() for c in ("token", "presence", "single", "kind"))
+            columns = [table.column(c).to_numpy() for c in ("ord", "profile", "weight", "norm", "prior", "codes")]
             impact, out, at = table.column("impact").to_numpy(), [], 0
             while at < len(token):
                 end = at + 1
-                while end < len(token) and end - at < most and token[end] == token[at] and presence[end] == presence[at]:
+                while end < len(token) and end - at < most and token[end] == token[at] and presence[end] == presence[at] and single[end] == single[at]:
                     end += 1
                 if end == len(token) and not whole:
                     break
                 kinds: dict[str, int] = {}
                 places = [kinds.setdefault(x, len(kinds)) for x in kind[at:end]]
-                out.append((token[at], presence[at], base + made, end - at, float(impact[at]), *[c[at:end].tobytes() for c in columns], _small(places), list(kinds)))
+                out.append((token[at], presence[at], single[at], base + made, int(columns[-1][at:end].sum()), float(impact[at]), *[c[at:end].tobytes() for c in columns], _small(places), list(kinds)))
                 made, at = made + 1, end
             return out, at
 
@@ -129,7 +147,7 @@ def _small(values: list[int]) -> bytes:
 
 
 def _block_kinds(pa) -> list:
-    return [pa.string(), pa.bool_(), pa.int64(), pa.int32(), pa.float64(), *[pa.binary()] * 5, pa.list_(pa.string())]
+    return [pa.string(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), *[pa.binary()] * 7, pa.list_(pa.string())]
 
 
 # -------------------------------------------------------------------- searching
@@ -181,15 +199,22 @@ def _search(queries: DataFrame, catalog: DataFrame | CodeIndex, k: int, pool: in
     most = 2 * pool + k
     best_first = Window.partitionBy("form").orderBy(F.col("own").desc(), "block").rowsBetween(Window.unboundedPreceding, -1)
     first = pairs.withColumn("before", F.coalesce(F.sum("n").over(best_first), F.lit(0))).where(F.col("before") < FIRST * most)
-    shape = "form string, rank int, ord long, s double"
-    least = materialise(_read_blocks(index, forms, first).applyInArrow(_best(k, pool, True), shape).select("form", F.col("s").alias("least")), "form-thresholds")
+    shape = "form string, part int, profile long, ord long, s double, of_system double, of_unit double"
+    least = materialise(_read_blocks(index, forms, first).applyInArrow(_best(most, True), shape).select("form", F.col("s").alias("least")), "form-thresholds")
     can = pairs.join(least, "form", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - _MARGIN))
-    best = _read_blocks(index, forms, can).applyInArrow(_best(k, pool, False), shape)
+    found = materialise(_read_blocks(index, forms, can).applyInArrow(_best(most, False), shape), "found")
+    # of a profile's codes only the first can have a place
+    wanted = found.where("profile IS NOT NULL").select("profile").distinct()
+    place = F.row_number().over(Window.partitionBy("profile").orderBy("ord"))
+    members = index.codes.join(wanted, "profile").select("profile", "ord", place.alias("n")).where(F.col("n") <= most)
+    members = members.groupBy("profile").agg(F.collect_list("ord").alias("ords"))
+    spelled = found.join(members, "profile", "left").select("form", "part", "s", "of_system", "of_unit", F.col("profile").isNull().alias("single"), F.coalesce("ords", F.array("ord")).alias("ords"))
+    best = spelled.groupBy("part").applyInArrow(_places(k, pool), "form string, rank int, ord long, s double")
     top = best.join(index.codes, "ord").join(forms.select("form", "total"), "form").select(
         "form", "rank", "loinc_num", "long_common_name", "component", "system", F.round(F.col("s") / F.col("total"), 9).alias("score")
     )
     top = materialise(top, "hits")
-    for done in (forms, least):
+    for done in (forms, least, found):
         discard(done)
     return marked.select("query_id", "form"), top
 
@@ -205,68 +230,145 @@ def _read_blocks(index: CodeIndex, forms: DataFrame, wanted: DataFrame):
     return forms.groupBy("group").cogroup(blocks.groupBy("part"))
 
 
-def _best(k: int, pool: int, threshold: bool):
-    """(forms, blocks) to the ``k`` best codes of each form, or only to the score of the last place that counts, as a function of two Arrow tables.
+def _best(most: int, threshold: bool):
+    """(forms, blocks) to the profiles and single codes of each form that hold its first ``most`` codes, or only to the score that the last of them has, as a function of two Arrow tables.
 
-    A factor changes at most ``pool`` places of the order before it, so nothing behind place 2 * pool + k can come to
-    the first k. Ties of scores, rounded to 9 places, go by catalog position. Codes that lack blocks score less than they should, and so less than the threshold.
+    A factor changes at most ``pool`` places of the order before it, so nothing behind place ``most`` = 2 * pool + k can come to
+    the first k. Ties of scores, rounded to 9 places, are all handed on. Codes that lack blocks score less than they should, and so less than the threshold.
+    A code with an alias's token stands for itself and not with its profile.
     """
 
     def run(forms, blocks):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[] for _ in range(7)]
         if forms.num_rows and blocks.num_rows:
-            blob = lambda c, kind: [np.frombuffer(x, kind) for x in blocks.column(c).to_pylist()]
-            ords, weights = blob("ord", np.int64), blob("weight", np.float64)
-            sizes = [len(x) for x in ords]
-            codes, first, at = np.unique(np.concatenate(ords), return_index=True, return_inverse=True)
-            norm, prior = np.concatenate(blob("norm", np.float64))[first], 1 + C.RANK_WEIGHT * np.concatenate(blob("prior", np.float64))[first]
-            presence = np.repeat(np.array(blocks.column("presence").to_pylist(), bool), sizes)[first]
             kinds: dict[str, int] = {}
-            kind = np.concatenate([np.array([kinds.setdefault(x, len(kinds)) for x in names], np.int64)[i] for i, names in zip(blob("kind", np.uint16), blocks.column("kinds").to_pylist(), strict=True)])[first]
+            whole, single = (_Entries(blocks.filter(pc.equal(blocks.column("single"), one)), kinds) for one in (False, True))
             systems, units = [x.split("\t")[0].split() for x in kinds], np.array([x.split("\t")[1] for x in kinds])
-            lists: dict[str, list] = {}
-            end = np.cumsum(sizes)
-            for i, token in enumerate(blocks.column("token").to_pylist()):
-                lists.setdefault(token, []).append((at[end[i] - sizes[i] : end[i]], weights[i]))
-            index = {t: tuple(np.concatenate(x) for x in zip(*parts, strict=True)) for t, parts in lists.items()}
-            most = 2 * pool + k
+            # where a single code's profile lies among those read, else past their end
+            at = np.minimum(np.searchsorted(whole.ids, single.profile), max(len(whole.ids) - 1, 0))
+            home = np.where(whole.ids[at] == single.profile, at, len(whole.ids)) if len(whole.ids) else np.zeros(len(single.ids), np.int64)
             for form in forms.select(["form", "terms", "spec", "ukey", "pf"]).to_pylist():
-                hit = [(index[t["token"]], t["idf"]) for t in form["terms"] if t["token"] in index]
-                if not hit:
+                raw = np.append(whole.raw(form["terms"]), 0.0)
+                own = single.raw(form["terms"])
+                p, c = np.flatnonzero(raw), np.flatnonzero(own)
+                if not len(p) + len(c):
                     continue
-                raw = np.bincount(np.concatenate([a for (a, _), _ in hit]), np.concatenate([w * idf for (_, w), idf in hit]), len(codes))
-                code = np.flatnonzero(raw > 0)
-                s = raw[code] / norm[code] * prior[code] * np.where(presence[code], form["pf"], 1.0)
+                s = np.concatenate((whole.score(p, raw[p], form["pf"]), single.score(c, own[c] + raw[home[c]], form["pf"])))
                 r = np.round(s, 9)
-                if len(code) > most:  # codes ascend, so of equal scores the first stay
-                    least = np.partition(r, len(r) - most)[len(r) - most]
-                    above, ties = np.flatnonzero(r > least), np.flatnonzero(r == least)
-                    pick = np.concatenate((above, ties[: most - len(above)]))
-                    code, s, r = code[pick], s[pick], r[pick]
-                elif threshold:
+                left = whole.codes[p] - np.bincount(home[c], minlength=len(raw))[p]
+                n = np.concatenate((np.minimum(left, most), np.ones(len(c), np.int64)))
+                if threshold and n.sum() < most:
                     continue
-                if threshold:
-                    for x, y in zip(out, (form["form"], 0, 0, float(r.min())), strict=True):
-                        x.append(y)
-                    continue
-                order = np.lexsort((code, -r))
-                code, s = code[order], s[order]
-                if form["spec"]:
-                    spec = set(form["spec"])
-                    of = np.array([C.SPECIMEN_MATCH if spec.intersection(x) else C.SPECIMEN_MISMATCH if x else 1.0 for x in systems])
-                    s[:pool] *= of[kind[code[:pool]]]
-                    again = np.lexsort((code, -np.round(s, 9)))
-                    code, s = code[again], s[again]
-                if form["ukey"]:
-                    s[:pool] *= np.where(units[kind[code[:pool]]] == form["ukey"], C.UNIT_MATCH, 1.0)
-                    again = np.lexsort((code, -np.round(s, 9)))
-                    code, s = code[again], s[again]
-                code, s = code[:k], s[:k]
-                for x, y in zip(out, ([form["form"]] * len(code), range(1, len(code) + 1), codes[code].tolist(), s.tolist()), strict=True):
+                if n.sum() >= most:
+                    down = np.argsort(-r, kind="stable")
+                    least = r[down[np.searchsorted(np.cumsum(n[down]), most)]]
+                    if threshold:
+                        for x, y in zip(out, (form["form"], 0, None, None, float(least), 1.0, 1.0), strict=True):
+                            x.append(y)
+                        continue
+                    stay = r >= least
+                else:
+                    stay = np.ones(len(s), bool)
+                stay &= n > 0
+                kind = np.concatenate((whole.kind[p], single.kind[c]))[stay]
+                of_system, of_unit = np.ones(len(systems)), np.ones(len(systems))
+                spec = set(form["spec"] or ())
+                for x in np.unique(kind).tolist():
+                    if spec:
+                        of_system[x] = C.SPECIMEN_MATCH if spec.intersection(systems[x]) else C.SPECIMEN_MISMATCH if systems[x] else 1.0
+                    if form["ukey"] and units[x] == form["ukey"]:
+                        of_unit[x] = C.UNIT_MATCH
+                n_whole, rows = int(stay[: len(p)].sum()), len(kind)
+                part = [hash_of(form["form"])] * rows
+                profile = whole.ids[p[stay[: len(p)]]].tolist() + [None] * (rows - n_whole)
+                ord_ = [None] * n_whole + single.ids[c[stay[len(p) :]]].tolist()
+                for x, y in zip(out, ([form["form"]] * rows, part, profile, ord_, s[stay].tolist(), of_system[kind].tolist(), of_unit[kind].tolist()), strict=True):
                     x.extend(y)
+        shape = (("form", pa.string()), ("part", pa.int32()), ("profile", pa.int64()), ("ord", pa.int64()), ("s", pa.float64()), ("of_system", pa.float64()), ("of_unit", pa.float64()))
+        return pa.table({name: pa.array(x, kind) for x, (name, kind) in zip(out, shape, strict=True)})
+
+    def hash_of(form: str) -> int:
+        from zlib import crc32
+
+        return crc32(form.encode()) % PARTS
+
+    return run
+
+
+#: Parts in which forms get their places.
+PARTS = 1 << 12
+
+
+class _Entries:
+    """What blocks post (profiles, or single codes): ids in order, what scores them, and each token's list of them."""
+
+    def __init__(self, blocks, kinds: dict[str, int]):
+        import numpy as np
+
+        blob = lambda c, kind: [np.frombuffer(x, kind) for x in blocks.column(c).to_pylist()]
+        put = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        ids, weights = blob("ord", np.int64), blob("weight", np.float64)
+        self.ids, first, at = np.unique(put(ids, np.int64), return_index=True, return_inverse=True)
+        get = lambda c, kind: put(blob(c, kind), kind)[first]
+        self.profile, self.codes, self.norm = get("profile", np.int64), get("codes", np.int64), get("norm", np.float64)
+        self.prior = 1 + C.RANK_WEIGHT * get("prior", np.float64)
+        sizes = [len(x) for x in ids]
+        self.presence = np.repeat(np.array(blocks.column("presence").to_pylist(), bool), sizes)[first]
+        self.kind = put([np.array([kinds.setdefault(x, len(kinds)) for x in names], np.int64)[i] for i, names in zip(blob("kind", np.uint16), blocks.column("kinds").to_pylist(), strict=True)], np.int64)[first]
+        lists: dict[str, list] = {}
+        end = np.cumsum(sizes)
+        for i, token in enumerate(blocks.column("token").to_pylist()):
+            lists.setdefault(token, []).append((at[end[i] - sizes[i] : end[i]], weights[i]))
+        self.lists = {t: tuple(np.concatenate(x) for x in zip(*parts, strict=True)) for t, parts in lists.items()}
+
+    def raw(self, terms: list[dict]):
+        """The sum of weights of each entry."""
+        import numpy as np
+
+        hit = [(*self.lists[t["token"]], t["idf"]) for t in terms if t["token"] in self.lists]
+        if not hit:
+            return np.zeros(len(self.ids))
+        return np.bincount(np.concatenate([a for a, _, _ in hit]), np.concatenate([w * idf for _, w, idf in hit]), len(self.ids))
+
+    def score(self, at, raw, pf: float):
+        import numpy as np
+
+        return raw / self.norm[at] * self.prior[at] * np.where(self.presence[at], pf, 1.0)
+
+
+def _places(k: int, pool: int):
+    """Profiles with their first codes, and single codes, of whole forms to the ``k`` best codes of each; ties go by catalog position."""
+
+    def run(rows):
+        import numpy as np
+        import pyarrow as pa
+
+        out: list[list] = [[], [], [], []]
+        forms = rows.column("form").combine_chunks().dictionary_encode()
+        at = forms.indices.to_numpy()
+        lists = rows.column("ords").combine_chunks()
+        sizes, ords = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+        ends = np.cumsum(sizes)
+        values = [rows.column(c).to_numpy() for c in ("s", "of_system", "of_unit", "single")]
+        by_form = np.argsort(at, kind="stable")
+        for mine in np.split(by_form, np.flatnonzero(np.diff(at[by_form])) + 1):
+            code = np.concatenate([ords[ends[i] - sizes[i] : ends[i]] for i in mine])
+            s, of_system, of_unit, single = (np.repeat(v[mine], sizes[mine]) for v in values)
+            # a code that stands for itself is none of its profile's
+            keep = np.lexsort((~single.astype(bool), code))
+            keep = keep[np.concatenate(([True], np.diff(code[keep]) != 0))]
+            code, s, of_system, of_unit = code[keep], s[keep], of_system[keep], of_unit[keep]
+            order = np.lexsort((code, -np.round(s, 9)))[: 2 * pool + k]
+            for factor in (of_system, of_unit):
+                s[order[:pool]] *= factor[order[:pool]]
+                order = order[np.lexsort((code[order], -np.round(s[order], 9)))]
+            order = order[:k]
+            for x, y in zip(out, ([forms.dictionary[at[mine[0]]].as_py()] * len(order), range(1, len(order) + 1), code[order].tolist(), s[order].tolist()), strict=True):
+                x.extend(y)
         shape = (("form", pa.string()), ("rank", pa.int32()), ("ord", pa.int64()), ("s", pa.float64()))
         return pa.table({name: pa.array(x, kind) for x, (name, kind) in zip(out, shape, strict=True)})
 
