@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,12 +35,16 @@ def reference_range(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) != "", F.struct(bound(1).alias("low"), bound(2).alias("high"), F.when(part(1).isNull(), text).alias("text")))
 
 
-def observation_resource() -> Column:
-    """FN-24: the resource of a row as a struct over the observation's columns."""
-    display = F.coalesce(*[F.nullif(c, F.lit("")) for c in ("loinc_display", "normalized_test_name", "original_test_name")])
+#: The columns of an observation that its resource shows.
+SHOWN = ("observation_id", "original_test_name", "normalized_test_name", "loinc_code", "loinc_display", "mapping_status", "mapping_confidence", "value", "unit", "reference_range", "specimen", "page_number")
+
+
+def observation_resource(of: Callable[[str], Column] = F.col) -> Column:
+    """FN-24: the resource of a row as a struct over the observation's columns, which ``of`` finds by name."""
+    display = F.coalesce(*[F.nullif(of(c), F.lit("")) for c in ("loinc_display", "normalized_test_name", "original_test_name")])
     coding = F.when(
-        F.coalesce("loinc_code", F.lit("")) != "",
-        F.array(F.struct(F.lit("http://loinc.org").alias("system"), F.col("loinc_code").alias("code"), display.alias("display"))),
+        F.coalesce(of("loinc_code"), F.lit("")) != "",
+        F.array(F.struct(F.lit("http://loinc.org").alias("system"), of("loinc_code").alias("code"), display.alias("display"))),
     )
     category = F.array(
         F.struct(
@@ -48,35 +54,37 @@ def observation_resource() -> Column:
     none = F.lit(None)
     extension = F.array_compact(
         F.array(
-            F.struct(F.lit(STATUS_URL).alias("url"), F.col("mapping_status").alias("valueString"), none.cast("double").alias("valueDecimal")),
-            F.when(F.col("mapping_confidence").isNotNull(), F.struct(F.lit(CONFIDENCE_URL).alias("url"), none.cast("string").alias("valueString"), F.col("mapping_confidence").alias("valueDecimal"))),
+            F.struct(F.lit(STATUS_URL).alias("url"), of("mapping_status").alias("valueString"), none.cast("double").alias("valueDecimal")),
+            F.when(of("mapping_confidence").isNotNull(), F.struct(F.lit(CONFIDENCE_URL).alias("url"), none.cast("string").alias("valueString"), of("mapping_confidence").alias("valueDecimal"))),
         )
     )
-    span = reference_range(F.col("reference_range"))
+    span = reference_range(of("reference_range"))
     return F.struct(
         F.lit("Observation").alias("resourceType"),
-        F.concat(F.lit("obs-"), F.col("observation_id").cast("string")).alias("id"),
+        F.concat(F.lit("obs-"), of("observation_id").cast("string")).alias("id"),
         F.lit("final").alias("status"),
         category.alias("category"),
-        F.struct(F.col("original_test_name").alias("text"), coding.alias("coding")).alias("code"),
+        F.struct(of("original_test_name").alias("text"), coding.alias("coding")).alias("code"),
         F.struct(F.lit("Patient/patient-1").alias("reference")).alias("subject"),
         extension.alias("extension"),
-        value_quantity(F.col("value"), F.col("unit")).alias("valueQuantity"),
-        value_string(F.col("value")).alias("valueString"),
+        value_quantity(of("value"), of("unit")).alias("valueQuantity"),
+        value_string(of("value")).alias("valueString"),
         F.when(span.isNotNull(), F.array(span)).alias("referenceRange"),
-        F.when(F.coalesce("specimen", F.lit("")) != "", F.struct(F.col("specimen").alias("display"))).alias("specimen"),
-        F.when(F.col("page_number").isNotNull(), F.array(F.struct(F.concat(F.lit("Source page "), F.col("page_number").cast("string")).alias("text")))).alias("note"),
+        F.when(F.coalesce(of("specimen"), F.lit("")) != "", F.struct(of("specimen").alias("display"))).alias("specimen"),
+        F.when(of("page_number").isNotNull(), F.array(F.struct(F.concat(F.lit("Source page "), of("page_number").cast("string")).alias("text")))).alias("note"),
     )
 
 
 def bundles(documents: DataFrame, observations: DataFrame) -> DataFrame:
     """SRC-18: (document_id, bundle) with the bundle as JSON; resources by page, creation time and id."""
-    resource = F.to_json(observation_resource())
-    rows = observations.select("document_id", F.struct("page_number", "created_at", "observation_id", resource.alias("json")).alias("r"))
+    # rows meet as they are: their JSON, many times as long, is made where the bundle is
+    first = ("page_number", "created_at", "observation_id")
+    rows = observations.select("document_id", F.struct(*first, *[c for c in SHOWN if c not in first]).alias("r"))
     listed = rows.groupBy("document_id").agg(F.array_sort(F.collect_list("r")).alias("rs"))
     patient = '{"resource":{"resourceType":"Patient","id":"patient-1"}}'
     stamp = F.when(F.col("uploaded_at").isNotNull(), F.concat(F.lit('"timestamp":"'), F.date_format("uploaded_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('",'))).otherwise("")
-    entries = F.transform(F.coalesce("rs", F.array().cast("array<struct<page_number:int,created_at:timestamp,observation_id:bigint,json:string>>")), lambda r: F.concat(F.lit('{"resource":'), r["json"], F.lit("}")))
+    json = lambda r: F.to_json(observation_resource(lambda c: r[c]))
+    entries = F.coalesce(F.transform("rs", lambda r: F.concat(F.lit('{"resource":'), json(r), F.lit("}"))), F.array().cast("array<string>"))
     bundle = F.concat(F.lit('{"resourceType":"Bundle","type":"collection",'), stamp, F.lit('"entry":['), F.array_join(F.concat(F.array(F.lit(patient)), entries), ","), F.lit("]}"))
     return documents.select("document_id", "uploaded_at").join(listed, "document_id", "left").select("document_id", bundle.alias("bundle"))
 
