@@ -90,8 +90,8 @@ def bundles(documents: DataFrame, observations: DataFrame) -> DataFrame:
 
 
 def write_bundles(documents: DataFrame, observations: DataFrame, path: str) -> None:
-    """SRC-18: the bundles as a file sink, one JSON line for each document; Spark's commit makes a failed task leave nothing."""
-    bundles(documents, observations).select("bundle").write.text(path)
+    """SRC-18: the bundles as a file sink, one JSON line for each document, packed by gzip; Spark's commit makes a failed task leave nothing."""
+    bundles(documents, observations).select("bundle").write.text(path, compression="gzip")
 
 
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
