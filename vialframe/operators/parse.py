@@ -196,15 +196,16 @@ def parse_pages(rows: DataFrame) -> DataFrame:
     """
     page = Window.partitionBy("doc_id", "page").orderBy("reading_order")
     before = page.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_tokens", tokenize_spans(F.col("spans"))).withColumn("_tests", token_tests(F.col("_tokens"), F.col("source")))
     specimen = strip(F.nullif(F.regexp_extract("text", C.SPECIMEN_PATTERN, 1), F.lit("")))
+    # the first window sorts the page, so it comes before the rows get their tokens and tests
+    rows = rows.withColumn("specimen", F.last(F.nullif(specimen, F.lit("")), ignorenulls=True).over(before))
+    rows = rows.withColumn("_tokens", tokenize_spans(F.col("spans"))).withColumn("_tests", token_tests(F.col("_tokens"), F.col("source")))
     own = F.size("_tests") > 0
     first = F.try_element_at("_tokens", F.lit(1))
     alone = F.size("_tokens") == 1
     label_only = ~own & alone & ~is_value(first) & ~is_rejected_label(first) & (F.length(first) >= 2)
     rows = rows.withColumns(
         {
-            "specimen": F.last(F.nullif(specimen, F.lit("")), ignorenulls=True).over(before),
             "_own": own,
             "_label": F.coalesce(label_only, F.lit(False)),
             "_value": F.coalesce(~own & is_value(first), F.lit(False)),

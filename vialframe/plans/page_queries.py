@@ -15,7 +15,7 @@ from .. import config as C
 from ..functions import text as X
 from ..functions import validate as V
 from ..operators import evaluate, export, layout, lifecycle, mapping, parse, quality, retrieval, terminology
-from ..session import shared_dir
+from ..session import dealt, shared_dir
 from ..sources.keyed import KeyedTable, remember
 from ..sources.tables import table
 from . import adapters as A
@@ -148,7 +148,8 @@ def ocr_rows(spark: SparkSession, d: str) -> DataFrame:
 )
 def page_parsing(spark: SparkSession, d: str) -> DataFrame:
     """WIN-06, WIN-07, WIN-08: an order is a page: a specimen line, then a card, a label over two lines, or a label left open."""
-    c = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.max("l_quantity").cast("long").cast("string").alias("v"))
+    li = table(spark, d, "lineitem")
+    c = dealt(li, li.count(), "l_orderkey").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.max("l_quantity").cast("long").cast("string").alias("v"))
     k = F.col("doc_id")
     first = F.when(k % 4 == 0, "Specimen: Serum").when(k % 4 == 1, "Specimen: Urine").otherwise("-")
     line = lambda text, y0, y1: F.struct(text.alias("text"), F.lit(y0).alias("y0"), F.lit(y1).alias("y1"))

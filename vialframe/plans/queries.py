@@ -11,6 +11,7 @@ from .. import config as C
 from ..functions import text as X
 from ..functions import validate as V
 from ..operators import export, layout, lifecycle, mapping, parse, quality, retrieval, store, terminology
+from ..session import dealt
 from ..sources.files import model_input
 from ..sources.tables import table
 from . import adapters as A
@@ -777,6 +778,7 @@ def layout_lines(spark: SparkSession, d: str) -> DataFrame:
 def specimen_carry(spark: SparkSession, d: str) -> DataFrame:
     """WIN-06: the declared specimen carried down each document's lines."""
     li = table(spark, d, "lineitem")
+    li = dealt(li, li.count(), "l_orderkey")
     said = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("Specimen: "), F.when(F.col("l_linestatus") == "O", "Serum").otherwise("Urine")))
     rows = li.groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("i")).agg(F.max(said).alias("s"))
     rows = rows.select("doc_id", F.lit(1).alias("page"), F.col("i").alias("reading_order"), F.lit(0).alias("column_index"), F.coalesce("s", F.lit("-")).alias("text"))

@@ -47,6 +47,18 @@ def shared_dir(spark: SparkSession) -> str:
     return got.rstrip("/")
 
 
+#: Rows of a task, where a query deals its rows out itself.
+TASK_ROWS = 150_000
+
+
+def dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """``df`` dealt by ``by`` over as many tasks as ``rows`` ask for, so that a task's memory does not grow with the table.
+
+    Spark puts small shuffled parts together by their packed bytes, until there are no more tasks than cores.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *by)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
