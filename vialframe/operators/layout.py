@@ -94,6 +94,57 @@ def assign_zones(headed: DataFrame, zone_table: DataFrame) -> DataFrame:
     return swept.join(packed, [*PAGE, "_y", "_bin"], "left").withColumn("zone", zone).select(*headed.columns, "zone")
 
 
+def zoned(lines: DataFrame) -> DataFrame:
+    """``lines`` with page_band, header and zone, as ``assign_zones`` gives them for the zones of the lines themselves.
+
+    All is done by windows over one deal of the lines by page, without a join. A band of headers ends where the next begins, so the last
+    one above a line is the one that may hold it. Inside a band each zone ends where its neighbour begins: the first that holds a centre c >= 0
+    is the number of inner borders whose running maximum is <= c. Zones that reach left of the page (c < 0) are listed and searched.
+    """
+    cols = lines.columns
+    whole = (Window.unboundedPreceding, Window.unboundedFollowing)
+    banded = with_bands(lines, PAGE, "page_band")
+    sized = is_header_sized(F.coalesce("max_font", F.lit(0.0)), F.col("text"))
+    across = Window.partitionBy(*PAGE, "page_band").orderBy("x0", "y0", "line_idx")
+    over_page = Window.partitionBy(*PAGE).orderBy("page_band", "x0", "y0", "line_idx")
+    border = (F.lag("x1").over(across) + F.col("x0")) / 2
+    headed = banded.withColumns({
+        "header": F.bool_and(sized).over(across.rowsBetween(*whole)), "_y_start": F.min("y0").over(across.rowsBetween(*whole)), "_sibling": F.row_number().over(across),
+        "_left": border, "_right": (F.col("x1") + F.lead("x0").over(across)) / 2,
+    })
+    is_head = F.col("header")
+    below = Window.partitionBy(*PAGE).orderBy("page_band").rangeBetween(1, Window.unboundedFollowing)
+    headed = headed.withColumns({
+        "_border": F.when(is_head, F.max("_left").over(across.rowsBetween(Window.unboundedPreceding, 0))), "_own": F.sum(is_head.cast("long")).over(over_page.rowsBetween(Window.unboundedPreceding, 0)),
+        "_last": F.sum(is_head.cast("long")).over(over_page.rowsBetween(*whole)), "_first": F.min(F.when(is_head, F.col("y0"))).over(over_page.rowsBetween(*whole)),
+        "_y_end": F.coalesce(F.min(F.when(is_head, F.col("_y_start"))).over(below), F.lit(1.0)),
+    })
+    band = F.struct(F.col("page_band").alias("no"), F.col("_y_start").alias("start"), F.col("_y_end").alias("end"), (F.col("_own") - F.col("_sibling") + 1).alias("zone"))
+    swept = headed.withColumn("_band", F.max(F.when(is_head & F.col("_y_start").isNotNull(), band)).over(Window.partitionBy(*PAGE).orderBy("y0")))
+    centre, start, end = (F.col("x0") + F.col("x1")) / 2, F.coalesce("_left", F.lit(0.0)), F.coalesce("_right", F.lit(1.0))
+    # a line stands at its centre, a header also at its border: both meet in the order of the width
+    outside = F.when((start < 0) & (start < end), F.struct(F.col("_own").alias("zone"), start.alias("x_start"), end.alias("x_end")))
+    kept = F.struct(*cols, "page_band", "header", "_last", "_first", "_band")
+    line = F.struct(F.col("_band.no").alias("b"), centre.alias("at"), F.lit(0).alias("border"), F.lit(None).cast("double").alias("most"), F.lit(None).cast("struct<zone:bigint,x_start:double,x_end:double>").alias("outside"), kept.alias("l"))
+    edge = F.struct(F.col("page_band").alias("b"), F.col("_border").alias("at"), F.lit(1).alias("border"), F.col("_border").alias("most"), outside.alias("outside"), F.lit(None).cast(_kind(headed, kept)).alias("l"))
+    met = swept.select(*PAGE, F.explode(F.array_compact(F.array(line, F.when(is_head & F.col("_border").isNotNull(), edge)))).alias("e")).select(*PAGE, "e.*")
+    along = Window.partitionBy(*PAGE, "b").orderBy("at")
+    met = met.withColumns({
+        "_n": F.sum("border").over(along), "_reach": F.greatest(F.lit(1.0), F.max("most").over(along.rowsBetween(*whole))), "_outside": F.array_sort(F.collect_list("outside").over(along.rowsBetween(*whole))),
+    }).where("border = 0")
+    y0, c = F.col("l.y0"), F.col("at")
+    inside = (c >= 0) & (c < F.col("_reach"))
+    left = F.try_element_at(F.filter("_outside", lambda z: (z["x_start"] <= c) & (c < z["x_end"])), F.lit(1))["zone"]
+    in_band = F.when(inside, F.col("l._band.zone") + F.col("_n")).when(c < 0, left)
+    zone = F.when(F.col("l._band").isNull(), F.when((y0 >= 0) & (y0 < F.coalesce("l._first", F.lit(1.0))) & (c >= 0) & (c < 1), F.lit(0).cast("long"))).when(y0 < F.col("l._band.end"), in_band)
+    return met.select(*[F.col(x if x in PAGE else f"l.{x}").alias(x) for x in [*cols, "page_band", "header"]], F.coalesce(zone, F.col("l._last")).alias("zone"))
+
+
+def _kind(df: DataFrame, column: Column):
+    """The type of a column over ``df``."""
+    return df.withColumn("_band", F.lit(None).cast("struct<no:bigint,start:double,end:double,zone:bigint>")).select(column).schema[0].dataType
+
+
 def merge_rows(zoned: DataFrame) -> DataFrame:
     """WIN-04, AGG-09: bands inside a zone become rows, spans from left to right, boxes united."""
     banded = with_bands(zoned, (*PAGE, "zone"), "zone_band")
@@ -106,8 +157,7 @@ def merge_rows(zoned: DataFrame) -> DataFrame:
 
 def reading_order(lines: DataFrame) -> DataFrame:
     """WIN-05: rows with column_index (the zone), reading_order from 0, text, spans and box; zone by zone, top down."""
-    headed = with_headers(lines)
-    rows = merge_rows(assign_zones(headed, zones(headed)))
+    rows = merge_rows(zoned(lines))
     order = F.row_number().over(Window.partitionBy(*PAGE).orderBy("zone", "zone_band")) - 1
     return rows.select(
         *PAGE, order.alias("reading_order"), F.col("zone").alias("column_index"), strip(F.array_join("spans", " ")).alias("text"), "spans", "source", "x0", "y0", "x1", "y1"

@@ -40,6 +40,7 @@ def page_lines(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     li, o, p = table(spark, d, "lineitem"), F.col("l_orderkey"), F.col("l_partkey")
+    li = dealt(li, li.count(), "l_suppkey", "l_linenumber")
     place = F.row_number().over(Window.partitionBy("l_suppkey", "l_linenumber").orderBy("l_orderkey", "l_partkey", "l_extendedprice"))
     x, y = (p % 83) / 100.0, (o * 37 % 1009) / 1000.0
     font = F.when(o % 4 == 0, 12.5).when(o % 4 == 1, 11.5).when(o % 8 == 2, 14.5).otherwise(10.0)
@@ -72,8 +73,7 @@ zoned AS (SELECT l.*, coalesce(h.zone, z.last_zone) AS zone FROM lines l JOIN la
 @query(f"WITH {_ZONES} SELECT doc_id, page, line_idx, CAST(zone AS INTEGER) AS zone FROM zoned")
 def zone_assignment(spark: SparkSession, d: str) -> DataFrame:
     """JOIN-08, WIN-02, WIN-03, FLT-15: every line's zone, against a theta join."""
-    headed = layout.with_headers(page_lines(spark, d))
-    return layout.assign_zones(headed, layout.zones(headed)).select("doc_id", "page", "line_idx", F.col("zone").cast("int").alias("zone"))
+    return layout.zoned(page_lines(spark, d)).select("doc_id", "page", "line_idx", F.col("zone").cast("int").alias("zone"))
 
 
 @query(
