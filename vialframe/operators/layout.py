@@ -200,19 +200,25 @@ def ocr_lines(words: DataFrame) -> DataFrame:
     """
     line = (*PAGE, "block_num", "par_num", "line_num")
     kept = words.where((strip(F.col("text")) != "") & (F.col("conf") >= C.OCR_WORD_CONFIDENCE))
-    typical = kept.groupBy(*line).agg(F.percentile("height", 0.5).alias("h"))
-    order = Window.partitionBy(*line).orderBy("left", "top", "text")
-    gap = F.col("left") - F.lag(F.col("left") + F.col("width")).over(order)
-    kept = kept.join(typical, list(line)).withColumn("_new", F.when(gap > C.OCR_GAP_RATIO * F.col("h"), 1).otherwise(0))
-    kept = kept.withColumn("span_idx", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = kept.groupBy(*line, "span_idx").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "top", "text"))), lambda w: w["text"]), " ").alias("text"),
-        (F.avg("conf") / 100).alias("confidence"), (F.min("left") / F.max("page_width")).alias("x0"), (F.min("top") / F.max("page_height")).alias("y0"),
-        (F.max(F.col("left") + F.col("width")) / F.max("page_width")).alias("x1"), (F.max(F.col("top") + F.col("height")) / F.max("page_height")).alias("y1"),
+    # a line is short, so its words meet once, in an array that holds all that is asked of them
+    ws, n = F.col("_ws"), F.size("_ws")
+    lines = kept.groupBy(*line).agg(F.array_sort(F.collect_list(F.struct("left", "top", "text", "width", "height", "conf", "page_width", "page_height"))).alias("_ws"))
+    heights = F.array_sort(F.filter(F.transform(ws, lambda w: w["height"]), lambda x: x.isNotNull()))
+    middle = lambda h, k: F.try_element_at(h, F.floor((F.size(h) + k) / 2).cast("int"))
+    lines = lines.withColumn("_heights", heights).withColumn("_h", (middle(F.col("_heights"), 1) + middle(F.col("_heights"), 2)) / 2)
+    gap = lambda i: ws[i - 1]["left"] - (ws[i - 2]["left"] + ws[i - 2]["width"])
+    lines = lines.withColumn("_at", F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (gap(i) > C.OCR_GAP_RATIO * F.col("_h"))))
+    phrases = F.zip_with("_at", F.concat(F.slice("_at", 2, F.size("_at")), F.array(n + 1)), lambda a, b: F.slice(ws, a, b - a))
+    of = lambda p, f: F.transform(p, f)
+    phrase = lambda p: F.struct(
+        F.array_join(of(p, lambda w: w["text"]), " ").alias("text"),
+        (F.aggregate(p, F.lit(0.0), lambda s, w: s + w["conf"]) / F.size(p) / 100).alias("confidence"),
+        (F.array_min(of(p, lambda w: w["left"])) / F.array_max(of(p, lambda w: w["page_width"]))).alias("x0"), (F.array_min(of(p, lambda w: w["top"])) / F.array_max(of(p, lambda w: w["page_height"]))).alias("y0"),
+        (F.array_max(of(p, lambda w: w["left"] + w["width"])) / F.array_max(of(p, lambda w: w["page_width"]))).alias("x1"), (F.array_max(of(p, lambda w: w["top"] + w["height"])) / F.array_max(of(p, lambda w: w["page_height"]))).alias("y1"),
     )
-    lines = spans.groupBy(*line).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("span_idx", "text"))), lambda s: s["text"]).alias("spans"), F.avg("confidence").alias("confidence"),
-        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
+    lines = lines.select(*line, F.transform(phrases, phrase).alias("_s")).select(
+        *line, F.col("_s.text").alias("spans"), (F.aggregate("_s", F.lit(0.0), lambda s, p: s + p["confidence"]) / F.size("_s")).alias("confidence"),
+        F.array_min("_s.x0").alias("x0"), F.array_min("_s.y0").alias("y0"), F.array_max("_s.x1").alias("x1"), F.array_max("_s.y1").alias("y1"),
     )
     place = Window.partitionBy(*PAGE).orderBy((F.col("y0") + F.col("y1")) / 2, "x0")
     return lines.select(

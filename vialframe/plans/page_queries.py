@@ -169,7 +169,9 @@ _WORDS_SQL = """words AS (SELECT doc_id, i, i // 9 AS line_num, w AS text, (i %
 
 def recognised_words(spark: SparkSession, d: str) -> DataFrame:
     """documents as recognised words: nine to a line, with boxes and confidences."""
-    words = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), " ", -1)).alias("i", "text"))
+    docs = table(spark, d, "documents")
+    # whole texts are dealt, so their words needn't be
+    words = dealt(docs, 100 * docs.count(), "doc_id").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), " ", -1)).alias("i", "text"))
     i = F.col("i")
     return words.select(
         "doc_id", F.lit(1).alias("page"), F.lit(1).alias("block_num"), F.lit(1).alias("par_num"), F.floor(i / 9).cast("int").alias("line_num"), (i % 9 * 60 + (i * 37 + F.col("doc_id")) % 41).cast("int").alias("left"),
