@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import dealt
 from ..sources.tables import table
 
 
@@ -35,7 +36,7 @@ def observations(spark: SparkSession, d: str) -> DataFrame:
     """lineitem with part and orders as observations: names in three spellings with case and punctuation noise."""
     li, p = table(spark, d, "lineitem"), table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
     o = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
-    j = li.join(p, F.col("l_partkey") == F.col("p_partkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    j = dealt(li.join(p, F.col("l_partkey") == F.col("p_partkey")), li.count(), "l_orderkey").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     v = F.col("l_suppkey") % 3
     name = (
         F.when(v == 0, F.concat(F.upper("p_name"), F.lit(" - "), F.col("l_partkey").cast("string")))
