@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.text import clean, make_key
-from ..session import materialise, ship
+from ..session import dealt, materialise, ship
 from ..sources.external import with_retry
 from .retrieval import CodeIndex, presence_factor, search_candidates, text_query
 
@@ -24,12 +24,19 @@ def result(name: Column, code=None, display=None, status="needs_review", confide
     return F.struct(*[as_column(v).cast(_TYPES[n]).alias(n) for n, v in zip(RESULT, values, strict=True)])
 
 
-def exact_matches(observations: DataFrame, index: DataFrame, catalog: DataFrame) -> DataFrame:
-    """JOIN-01/02: observations with exact_code, exact_canonical and exact_display where the cleaned name is an index key."""
+def exact_matches(observations: DataFrame, index: DataFrame, catalog: DataFrame, rows: int | None = None) -> DataFrame:
+    """JOIN-01/02: observations with exact_code, exact_canonical and exact_display where the cleaned name is an index key.
+
+    ``rows``, the number of observations, deals them over tasks that hold the index's keys alone: rows stream past them unsorted,
+    so a name of very many rows costs time but no memory.
+    """
     named = index.join(catalog.select("loinc_num", F.col("long_common_name").alias("exact_display")), "loinc_num", "left").select(
         F.col("alias_key").alias("_key"), F.col("loinc_num").alias("exact_code"), F.col("canonical_name").alias("exact_canonical"), "exact_display"
     )
-    return observations.join(named, clean(F.col("original_test_name")) == F.col("_key"), "left").drop("_key")
+    asked = observations.withColumn("_name", clean(F.col("original_test_name")))
+    if rows is not None:
+        asked, named = dealt(asked, rows, "_name"), dealt(named, rows, "_key").hint("shuffle_hash")
+    return asked.join(named, F.col("_name") == F.col("_key"), "left").drop("_name", "_key")
 
 
 def learned_matches(observations: DataFrame, learned: DataFrame, catalog: DataFrame) -> DataFrame:

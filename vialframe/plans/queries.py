@@ -73,7 +73,7 @@ def alias_index(spark: SparkSession, d: str) -> DataFrame:
 def alias_exact_map(spark: SparkSession, d: str) -> DataFrame:
     """JOIN-01, JOIN-02."""
     cat = A.catalog(spark, d)
-    rows = mapping.exact_matches(A.observations(spark, d), terminology.alias_index(cat), cat)
+    rows = mapping.exact_matches(A.observations(spark, d), terminology.alias_index(cat), cat, table(spark, d, "lineitem").count())
     return rows.select("observation_id", "document_id", "original_test_name", F.col("exact_code").alias("loinc_code"), F.col("exact_canonical").alias("canonical_name"), F.col("exact_display").alias("display"))
 
 
@@ -349,7 +349,7 @@ def learned_upsert(spark: SparkSession, d: str) -> DataFrame:
 def doc_quality(spark: SparkSession, d: str) -> DataFrame:
     """FN-01, AGG-01, JOIN-01, AGG-05/08: every observation mapped by exact alias, quality per document (the flagship)."""
     cat = A.catalog(spark, d)
-    rows = mapping.exact_matches(A.observations(spark, d), terminology.alias_index(cat), cat)
+    rows = mapping.exact_matches(A.observations(spark, d), terminology.alias_index(cat), cat, table(spark, d, "lineitem").count())
     mapped = rows.select("document_id", F.when(F.col("exact_code").isNotNull(), "confirmed").otherwise("needs_review").alias("mapping_status"))
     return quality.status_counts(mapped)
 
