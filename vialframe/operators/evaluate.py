@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 
 from ..functions.text import clean
-from ..session import ship
+from ..session import dealt, ship
 
 
 def score_gold(gold: DataFrame, observations: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def accuracy(scored: DataFrame) -> DataFrame:
     return per.unionByName(macro).withColumns({c: F.round(c, 6) for c in ("extraction", "mapping")})
 
 
-def agreement(base: DataFrame, new: DataFrame) -> DataFrame:
+def agreement(base: DataFrame, new: DataFrame, rows: int | None = None) -> DataFrame:
     """JOIN-10: greedy one-to-one pairing of two runs' rows (file, row_idx, page, name, value, loinc), in the base's order.
 
     Rows pair on the same page with the same cleaned value if one name holds the other; a base row takes the first free
@@ -45,36 +45,40 @@ def agreement(base: DataFrame, new: DataFrame) -> DataFrame:
     repeats 10^5 times takes 10^5 steps. Nulls pair with nothing.
     """
     ship(base.sparkSession)
-    form = lambda df, p: df.select(F.col("file").alias(f"{p}file"), F.col("page").alias(f"{p}page"), clean(F.col("value")).alias("v"), F.col("row_idx").cast("long").alias("idx"), clean(F.col("name")).alias("name"), F.col("loinc").alias("code")).dropna(subset=[f"{p}file", f"{p}page", "v", "name"])  # noqa: E731, E501
+    form = lambda df, side: df.select(F.col("file"), F.col("page"), F.lit(side).alias("side"), F.col("row_idx").cast("long").alias("idx"), clean(F.col("value")).alias("v"), clean(F.col("name")).alias("name"), F.col("loinc").alias("code")).dropna(subset=["file", "page", "v", "name"])  # noqa: E731, E501
     shape = f"file {base.schema['file'].dataType.simpleString()}, page {base.schema['page'].dataType.simpleString()}, base_idx long, new_idx long, base_code string, new_code string"
-    return form(base, "").groupBy("file", "page").cogroup(form(new, "new_").groupBy("new_file", "new_page")).applyInArrow(_pair_up, shape)
+    both = form(new, 0).unionByName(form(base, 1))
+    both = both.repartition("file", "page") if rows is None else dealt(both, rows, "file", "page")
+    return both.sortWithinPartitions("file", "page", "side", "idx").mapInArrow(_pair_up, shape)
 
 
-def _pair_up(base, new):
-    """The pairs of one page, as Arrow tables; both sides are taken in order of idx."""
+def _pair_up(batches):
+    """The pairs of pages that stream through in order, each page's new rows before its base rows; only the new rows of one page are held."""
     import pyarrow as pa
 
-    rows = lambda t: sorted(zip(*[t.column(c).to_pylist() for c in ("idx", "v", "name", "code")], strict=True), key=lambda r: r[0])
-    lines: dict[str, dict[str, list]] = {}
-    for idx, v, name, code in rows(new):
-        lines.setdefault(v, {}).setdefault(name, []).append((idx, code))
-    at: dict[tuple[str, str], int] = {}
-    fits: dict[tuple[str, str], list[str]] = {}
-    out: list[list] = [[], [], [], []]
-    for idx, v, name, code in rows(base):
-        here = lines.get(v, {})
-        if (v, name) not in fits:
-            fits[v, name] = [n for n in here if n in name or name in n]
-        free = fits[v, name] = [n for n in fits[v, name] if at.get((v, n), 0) < len(here[n])]
-        if free:
-            taken = min(free, key=lambda n: here[n][at.get((v, n), 0)][0])
-            place = at.get((v, taken), 0)
-            at[v, taken] = place + 1
-            for column, value in zip(out, (idx, here[taken][place][0], code, here[taken][place][1]), strict=True):
-                column.append(value)
-    first = lambda c: pa.repeat(base.column(c)[0], len(out[0])) if base.num_rows else pa.nulls(0, base.schema.field(c).type)
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
-    return pa.table([first("file"), first("page"), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], ["file", "page", "base_idx", "new_idx", "base_code", "new_code"])
+    page, lines, at, fits = None, {}, {}, {}
+    for batch in batches:
+        out: list[list] = [[], [], [], [], [], []]
+        for file, number, side, idx, v, name, code in zip(*[batch.column(c).to_pylist() for c in ("file", "page", "side", "idx", "v", "name", "code")], strict=True):
+            if page != (file, number):
+                page, lines, at, fits = (file, number), {}, {}, {}
+            if side == 0:
+                lines.setdefault(v, {}).setdefault(name, []).append((idx, code))
+                continue
+            here = lines.get(v)
+            if not here:
+                continue
+            if (v, name) not in fits:
+                fits[v, name] = [n for n in here if n in name or name in n]
+            free = fits[v, name] = [n for n in fits[v, name] if at.get((v, n), 0) < len(here[n])]
+            if free:
+                taken = min(free, key=lambda n: here[n][at.get((v, n), 0)][0])
+                place = at.get((v, taken), 0)
+                at[v, taken] = place + 1
+                for column, value in zip(out, (file, number, idx, here[taken][place][0], code, here[taken][place][1]), strict=True):
+                    column.append(value)
+        kinds = (batch.schema.field("file").type, batch.schema.field("page").type, pa.int64(), pa.int64(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["file", "page", "base_idx", "new_idx", "base_code", "new_code"])
 
 
 def compare_runs(old: DataFrame, new: DataFrame) -> DataFrame:
